@@ -4,14 +4,21 @@ The second level splits large sites, so a batch rewrites only the slices its pos
 large site still spreads over many tasks.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from yomisaku import schemas
 from yomisaku.functions.text import with_index_text
 from yomisaku.operators.ingest import KEY, delete_posts, upsert_posts
 from yomisaku.session import materialize
+from yomisaku.sources.landing import DEFAULT_GROUP
 
 SLICES = 64
 
+_STORED = T.StructType(
+    [T.StructField(f.name, f.dataType) for f in schemas.POSTS]
+    + [T.StructField(f"{name}_idx", T.StringType()) for name in ("title", "excerpt", "content")]
+    + [T.StructField("slice", T.IntegerType())])
+
 
 def _sliced(posts: DataFrame, slices: int) -> DataFrame:
     return posts.withColumn("slice", F.pmod(F.xxhash64("post_id"), F.lit(slices)).cast("int"))
@@ -37,7 +44,8 @@ def write_posts(posts: DataFrame, path: str, slices: int = SLICES) -> None:
 
 
 def _read_slices(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).withColumn("site_id", F.col("site_id").cast("string"))
+    # With its own schema Spark does not guess the type of site ids from folder names.
+    return spark.read.schema(_STORED).parquet(path).select(*_STORED.names)
 
 
 def read_posts(spark: SparkSession, path: str) -> DataFrame:
@@ -75,8 +83,6 @@ def write_urls(urls: DataFrame, path: str) -> None:
 
 def read_sites(spark: SparkSession, path: str) -> DataFrame:
     """Site rows; a table written before groups existed gets the default one."""
-    from yomisaku import schemas
-    from yomisaku.sources.landing import DEFAULT_GROUP
     sites = spark.read.schema(schemas.SITES).parquet(path)
     return sites.withColumn("group_id", F.coalesce("group_id", F.lit(DEFAULT_GROUP)))
 

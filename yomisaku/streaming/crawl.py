@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from yomisaku import schemas
 from yomisaku.operators.index import append_index
 from yomisaku.operators.ingest import advance_marks, normalize_posts
-from yomisaku.sources.store import merge_posts, read_posts, read_sites, write_sites
+from yomisaku.session import materialize
+from yomisaku.sources.store import SLICES, merge_posts, read_posts, read_sites, write_sites
 
 
 def stream_posts(spark: SparkSession, landing: str, max_files: int = 1000) -> DataFrame:
@@ -20,11 +21,11 @@ def stream_posts(spark: SparkSession, landing: str, max_files: int = 1000) -> Da
 
 
 def ingest_batch(spark: SparkSession, landed: DataFrame, batch_id: int, *, store: str, sites: str,
-                 now: Column, index: str | None = None, newest_wins: bool = False) -> None:
+                 now: Column, index: str | None = None, newest_wins: bool = False, slices: int = SLICES) -> None:
     """One micro-batch: merge the posts, index the changed ones, move the marks."""
     known = read_sites(spark, sites)
-    posts = normalize_posts(landed, known)
-    merge_posts(spark, store, posts, newest_wins)
+    posts = materialize(normalize_posts(landed, known), "batch")  # read by every step below
+    merge_posts(spark, store, posts, newest_wins, slices)
     if index is not None:
         keys = posts.select("site_id", "post_id").distinct()
         changed = read_posts(spark, store).join(keys, ["site_id", "post_id"], "left_semi")
@@ -34,11 +35,12 @@ def ingest_batch(spark: SparkSession, landed: DataFrame, batch_id: int, *, store
 
 
 def stream_upsert(spark: SparkSession, landing: str, checkpoint: str, *, store: str, sites: str, now: Column,
-                  index: str | None = None, newest_wins: bool = False, max_files: int = 1000) -> StreamingQuery:
+                  index: str | None = None, newest_wins: bool = False, max_files: int = 1000,
+                  slices: int = SLICES) -> StreamingQuery:
     """Start the ingest of everything that has landed; stops by itself."""
     def take(landed: DataFrame, batch_id: int) -> None:
         ingest_batch(landed.sparkSession, landed, batch_id, store=store, sites=sites, now=now, index=index,
-                     newest_wins=newest_wins)
+                     newest_wins=newest_wins, slices=slices)
     return (stream_posts(spark, landing, max_files).writeStream.foreachBatch(take)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
