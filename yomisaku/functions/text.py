@@ -71,7 +71,12 @@ def prepare_index_text(text: Column) -> Column:
 
 def prepare_query_text(text: Column, profile: str = "local") -> Column:
     """Stage 1 text of a query. ``profile='hosted'`` keeps only ASCII letters besides CJK."""
-    return _separate(nfkc_for_index(text), _NOT_INDEXED_ASCII if profile == "hosted" else _NOT_INDEXED)
+    return separate_query_text(nfkc_for_index(text), profile)
+
+
+def separate_query_text(normalized: Column, profile: str = "local") -> Column:
+    """Stage 1 text of a query part that is NFKC already."""
+    return _separate(normalized, _NOT_INDEXED_ASCII if profile == "hosted" else _NOT_INDEXED)
 
 
 def is_ascii_word(token: Column) -> Column:

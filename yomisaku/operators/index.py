@@ -2,7 +2,7 @@
 
 ``postings`` is the flat view, one row per token. The stored form groups it by term and document:
 
-``terms``   term, site_id, post_id, doc_len, tf_title, tf_excerpt, tf_content, positions
+``terms``   term, site_id, post_id, doc_len, tf_title, tf_excerpt, tf_content, positions, bucket
 ``vocab``   term, docs, total
 ``docs``    site_id, post_id, doc_len
 ``corpus``  n_docs, avg_len (one row)
@@ -10,21 +10,34 @@
 On disk each table has one folder per generation: a batch of changes is appended, never merged into old files.
 
 A position is ``field number * 2**28 + place in the field``: neighbours are in one field, and one array
-serves all three. The terms table is range-partitioned and sorted by (term, document), so a search reads only
-the row groups of its terms while a term found in every document still spreads over many files.
+serves all three. The terms table has a folder per bucket of leading letters and is sorted by term in each file, so a
+search reads only the folders and row groups of its terms; a term found in every document spreads over the many files of
+its folder.
 """
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from yomisaku.functions.text import index_terms, with_index_text
 
 FIELDS = (("title", "A"), ("excerpt", "B"), ("content", "C"))  # fixed values: fields and weight classes
 FIELD_SHIFT = 28
+BUCKETS = 64
 DOC = ["site_id", "post_id"]
 
 
+_KEY = "site_id string, post_id bigint"
+_SCHEMAS = {
+    "terms": f"term string, {_KEY}, doc_len int, tf_title int, tf_excerpt int, tf_content int, "
+             "positions array<int>, gen int, bucket int",
+    "vocab": "term string, docs bigint, total bigint, gen int",
+    "docs": f"{_KEY}, doc_len int, gen int",
+    "corpus": "n_docs bigint, avg_len double, gen int",
+    "touched": f"{_KEY}, gen int",
+}
+
+
 class Index(NamedTuple):
     terms: DataFrame
     vocab: DataFrame
@@ -62,30 +75,48 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
 
 
+def term_bucket(term: str) -> Column:
+    """The folder of a term: terms with the same two first letters lie together."""
+    return F.pmod(F.xxhash64(F.substring(term, 1, 2)), F.lit(BUCKETS)).cast("int")
+
+
 def document_terms(posts: DataFrame) -> DataFrame:
-    """One row per term and document, clustered and sorted by both; one shuffle."""
+    """One row per term and document.
+
+    A document's terms are grouped within its row: sorted by term and place, each run of one term becomes a row.
+    Nothing is shuffled, and no group is larger than its document.
+    """
     def locate(field, n):
         return F.transform(field, lambda t, i: F.struct(
             t.alias("term"), (i + F.lit(n << FIELD_SHIFT)).alias("at")))
-    located = F.concat(*[locate(f, n) for n, (f, _) in enumerate(FIELDS)])
-    tokens = _doc_lengths(_with_terms(posts)).select(*DOC, "doc_len", F.explode(located).alias("t"))
-    tokens = tokens.select("t.term", *DOC, "doc_len", "t.at").repartitionByRange("term", *DOC)
-    # The range partitioning already clusters these groups: Spark adds no second exchange.
-    grouped = tokens.groupBy("term", *DOC, "doc_len").agg(F.sort_array(F.collect_list("at")).alias("positions"))
+    tokens = _doc_lengths(_with_terms(posts)).select(
+        *DOC, "doc_len", F.sort_array(F.concat(*[locate(f, n) for n, (f, _) in enumerate(FIELDS)])).alias("tokens"))
+    starts_run = F.transform("tokens", lambda t, i: F.when(
+        (i == 0) | (t["term"] != F.get("tokens", i - 1)["term"]), i))
+    runs = tokens.select("*", F.filter(starts_run, lambda i: i.isNotNull()).alias("heads"))
+
+    def run(head, k):
+        after = F.coalesce(F.get("heads", k + 1), F.size("tokens"))
+        places = F.transform(F.slice("tokens", head + 1, after - head), lambda t: t["at"])
+        return F.struct(F.get("tokens", head)["term"].alias("term"), places.alias("positions"))
+    rows = runs.select(*DOC, "doc_len", F.explode(F.transform("heads", run)).alias("run"))
+    rows = rows.select("run.term", *DOC, "doc_len", "run.positions")
 
     def in_field(n):
-        # Integer division of the position gives its field.
         return F.size(F.filter("positions", lambda p: F.shiftright(p, FIELD_SHIFT) == n))
-    return grouped.select(
-        "term", *DOC, "doc_len",
-        *[in_field(n).alias(f"tf_{f}") for n, (f, _) in enumerate(FIELDS)],
-        "positions").sortWithinPartitions("term", *DOC)
+    return rows.select("term", *DOC, "doc_len", *[in_field(n).alias(f"tf_{f}") for n, (f, _) in enumerate(FIELDS)],
+                       "positions", term_bucket("term").alias("bucket"))
+
+
+def _clustered(terms: DataFrame) -> DataFrame:
+    """Sorted by folder, term and document. Rebalancing splits a folder too large for one task."""
+    return terms.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", *DOC)
 
 
 def vocabulary(terms: DataFrame) -> DataFrame:
     """Documents and occurrences per term."""
-    return terms.groupBy("term").agg(
-        F.count("*").alias("docs"), F.sum(F.size("positions")).alias("total"))
+    times = sum(F.col(f"tf_{f}") for f, _ in FIELDS)
+    return terms.groupBy("term").agg(F.count("*").alias("docs"), F.sum(times).alias("total"))
 
 
 def build_index(posts: DataFrame) -> Index:
@@ -113,20 +144,23 @@ def append_index(changed: DataFrame, deleted: DataFrame, path: str, generation:
 def _write_generation(posts: DataFrame, touched: DataFrame, path: str, generation: int) -> None:
     spark = posts.sparkSession
 
-    def write(df, name):
-        df.write.mode("overwrite").parquet(f"{path}/{name}/gen={generation}")
-    write(document_terms(posts), "terms")
+    def write(df, name, *folders):
+        df.write.mode("overwrite").partitionBy(*folders).parquet(f"{path}/{name}/gen={generation}")
+    write(_clustered(document_terms(posts)), "terms", "bucket")
     write(doc_stats(posts), "docs")
     write(touched.distinct(), "touched")
-    written = spark.read.parquet(f"{path}/terms/gen={generation}")
+    written = _read(spark, path, "terms").filter(F.col("gen") == generation)
     write(vocabulary(written).repartitionByRange("term").sortWithinPartitions("term"), "vocab")
     write(corpus_stats(_live(spark, path, "docs")), "corpus")
 
 
+def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{path}/{name}")
+
+
 def _live(spark: SparkSession, path: str, name: str) -> DataFrame:
     """Rows of the newest generation of each document."""
-    rows = spark.read.parquet(f"{path}/{name}")
-    touched = spark.read.parquet(f"{path}/touched")
+    rows, touched = _read(spark, path, name), _read(spark, path, "touched")
     if touched.isEmpty():
         return rows.drop("gen")
     newest = touched.groupBy(*DOC).agg(F.max("gen").alias("newest"))
@@ -136,9 +170,9 @@ def _live(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 def read_index(spark: SparkSession, path: str) -> Index:
     # Terms that no longer occur may stay in the vocabulary; they only widen prefixes to nothing.
-    vocab = spark.read.parquet(f"{path}/vocab").groupBy("term").agg(
+    vocab = _read(spark, path, "vocab").groupBy("term").agg(
         F.sum("docs").alias("docs"), F.sum("total").alias("total"))
-    corpus = spark.read.parquet(f"{path}/corpus")
+    corpus = _read(spark, path, "corpus")
     return Index(_live(spark, path, "terms"), vocab, _live(spark, path, "docs"),
                  corpus.agg(F.max_by("n_docs", "gen").alias("n_docs"), F.max_by("avg_len", "gen").alias("avg_len")))
 

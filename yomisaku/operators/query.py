@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from yomisaku.functions.text import index_terms, is_ascii_word, nfkc, prepare_query_text
+from yomisaku.functions.text import index_terms, is_ascii_word, nfkc, separate_query_text
 
 # Characters blanked before words are split.
 SPECIAL = {"local": r'["()*:]', "hosted": r'["()*:&|!<>]'}
@@ -10,48 +10,49 @@ _SPACES = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]+"
 
 
 def compile_queries(searches: DataFrame, profile: str = "local") -> DataFrame:
-    """``query_id, q`` to ``query_id, clause_no, kind, terms``; every clause of a search must match.
+    """``query_id, q`` to ``query_id, clause_no, n_clauses, kind, terms``; every clause of a search must match.
 
     Kinds: ``exact`` one term, ``prefix`` a term's beginning, ``phrase`` terms side by side, ``phrase_prefix`` the
     same with only the beginning of the last one. Searches that compile to nothing give no row; a clause without
-    terms matches nothing.
+    terms matches nothing. Each search is compiled within its own row.
     """
     # Splitting at the quotes leaves the quoted parts at odd places. With an odd number of quotes the last part
     # was never closed and is read as words.
     parts = searches.select("query_id", F.split(nfkc(F.col("q")), '"').alias("parts"))
-    parts = parts.select("query_id", F.size("parts").alias("n"), F.posexplode("parts").alias("part_no", "part"))
-    closed = (F.col("part_no") % 2 == 1) & ((F.col("part_no") < F.col("n") - 1) | (F.col("n") % 2 == 1))
-    parts = parts.select("query_id", "part_no", closed.alias("quoted"),
-                         F.regexp_replace("part", SPECIAL[profile], " ").alias("part"))
-    words = parts.select(
-        "query_id", "part_no", "quoted",
-        F.posexplode(F.when(F.col("quoted"), F.array("part")).otherwise(F.split("part", _SPACES)))
-        .alias("word_no", "word"))
-    words = words.select("query_id", "part_no", "word_no", "quoted",
-                         prepare_query_text(F.col("word"), profile).alias("prepared"))
-    words = words.filter(F.col("prepared") != "").withColumn("tokens", F.split("prepared", " "))
+    n = F.size("parts")
+
+    def words_of(part, place):
+        quoted = (place % 2 == 1) & ((place < n - 1) | (n % 2 == 1))
+        plain = F.regexp_replace(part, SPECIAL[profile], " ")
+        return F.transform(
+            F.when(quoted, F.array(plain)).otherwise(F.split(plain, _SPACES)),
+            lambda word: F.struct(quoted.alias("quoted"), separate_query_text(word, profile).alias("text")))
+    words = parts.select("query_id", F.filter(
+        F.flatten(F.transform("parts", words_of)), lambda w: w["text"] != "").alias("words"))
+
     # A quoted part, or a word without ASCII tokens, is one clause; any other word gives one per token.
-    whole = F.col("quoted") | ~F.exists("tokens", is_ascii_word)
-    units = words.select(
-        "query_id", "part_no", "word_no", "quoted",
-        F.posexplode(F.when(whole, F.array("prepared")).otherwise(F.col("tokens"))).alias("unit_no", "unit"))
-    units = units.select(
-        "query_id", "part_no", "word_no", "unit_no",
-        index_terms(F.col("unit")).alias("terms"), (~F.col("quoted") & is_ascii_word(F.col("unit"))).alias("open"))
+    def units_of(word):
+        tokens = F.split(word["text"], " ")
+        whole = word["quoted"] | ~F.exists(tokens, is_ascii_word)
+        return F.transform(F.when(whole, F.array(word["text"])).otherwise(tokens),
+                           lambda t: F.struct(t.alias("text"), (~word["quoted"] & is_ascii_word(t)).alias("open")))
+    units = words.select("query_id", F.flatten(F.transform("words", units_of)).alias("units"))
+    units = units.select("query_id", F.size("units").alias("n_clauses"), F.posexplode("units").alias("clause_no", "unit"))
+    clauses = units.select("query_id", "clause_no", "n_clauses", F.col("unit.open").alias("open"),
+                           index_terms(F.col("unit.text")).alias("terms"))
     kind = (F.when((F.size("terms") > 1) & F.col("open"), "phrase_prefix")
             .when(F.size("terms") > 1, "phrase").when(F.col("open"), "prefix").otherwise("exact"))
-    place = F.array_sort(F.collect_list(F.struct("part_no", "word_no", "unit_no", kind.alias("kind"), "terms")))
-    # One group per search: as long as its own text.
-    clauses = units.groupBy("query_id").agg(place.alias("clauses"))
-    return (clauses.select("query_id", F.posexplode("clauses").alias("clause_no", "c"))
-            .select("query_id", "clause_no", "c.kind", "c.terms"))
+    return clauses.select("query_id", "clause_no", "n_clauses", kind.alias("kind"), "terms")
 
 
 def clause_slots(clauses: DataFrame) -> DataFrame:
-    """One row per term of each clause: its place, and whether only its beginning must match."""
+    """One row per term of each clause: its place, and whether only its beginning must match.
+
+    A clause without terms keeps one row with a NULL term.
+    """
     slots = clauses.select(
-        "query_id", "clause_no", "kind", F.size("terms").alias("n_slots"),
-        F.posexplode("terms").alias("slot", "term"))
+        "query_id", "clause_no", "n_clauses", "kind", F.size("terms").alias("n_slots"),
+        F.posexplode_outer("terms").alias("slot", "term"))
     last = F.col("slot") == F.col("n_slots") - 1
-    return slots.select("query_id", "clause_no", "n_slots", "slot", "term",
-                        (F.col("kind").isin("prefix", "phrase_prefix") & last).alias("is_prefix"))
+    is_prefix = F.coalesce(F.col("kind").isin("prefix", "phrase_prefix") & last, F.lit(False))
+    return slots.select("query_id", "clause_no", "n_clauses", "n_slots", "slot", "term", is_prefix.alias("is_prefix"))

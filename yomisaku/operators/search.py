@@ -7,17 +7,19 @@ scan; larger ones stay distributed and are joined by shuffle. Both ways give the
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from yomisaku import schemas
 from yomisaku.functions.cards import (
     format_date, highlight, title_or_default, truncate_ellipsis)
 from yomisaku.functions.posts import pipe_split
-from yomisaku.operators.index import FIELD_SHIFT, Index
+from yomisaku.operators.index import FIELD_SHIFT, FIELDS, Index, term_bucket
 from yomisaku.operators.query import clause_slots, compile_queries
-from yomisaku.session import rows_if_few
+from yomisaku.session import localize, materialize
 
 DOC = ["site_id", "post_id"]
+FIELD_NAMES = [name for name, _ in FIELDS]
 HIT = ["query_id", *DOC]
 
 # Fixed values of the ranking formulas.
@@ -40,67 +42,73 @@ RESULT_COLUMNS = ["site_id", "post_id", "url", "title", "excerpt", "author", "pu
 
 # ---- matching ---------------------------------------------------------------------------------------------------
 
-def _localize(df: DataFrame) -> tuple[DataFrame, list | None]:
-    """A small table as a local relation with its rows, a larger one as it is."""
-    rows = rows_if_few(df, FEW_ROWS)
-    if rows is None:
-        return df, None
-    return df.sparkSession.createDataFrame(rows, df.schema), rows
-
-
 def _any_of(predicates: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, predicates, F.lit(False))
 
 
-def expand_prefixes(slots: DataFrame, rows: list | None, vocab: DataFrame) -> DataFrame:
+def _only_wanted(terms: DataFrame, rows: list[dict] | None) -> DataFrame:
+    """Terms some slot asks for, if they are few enough to filter by while scanning."""
+    if rows is None:
+        return terms
+    whole = sorted({r["term"] for r in rows if not r["is_prefix"] and r["term"]})
+    starts = sorted({r["term"] for r in rows if r["is_prefix"]})
+    if len(whole) + len(starts) > FEW_PREDICATES:
+        return terms
+    return terms.filter(_any_of([F.col("term") == t for t in whole]
+                                + [F.col("term").startswith(t) for t in starts]))
+
+
+def expand_prefixes(slots: DataFrame, rows: list[dict] | None, vocab: DataFrame) -> DataFrame:
     """Slots with whole terms only: prefix slots become one slot per vocabulary term they begin.
 
     An equi join: each vocabulary term offers its beginnings of the lengths that occur among the prefixes.
     """
-    exact = slots.filter(~F.col("is_prefix"))
+    columns = [c for c in slots.columns if c != "is_prefix"]
+    exact = slots.filter(~F.col("is_prefix")).select(columns)
     prefixes = slots.filter("is_prefix").withColumnRenamed("term", "prefix")
-    terms = vocab.select("term")
     if rows is not None:
-        wanted = sorted({r.term for r in rows if r.is_prefix})
+        wanted = [r for r in rows if r["is_prefix"]]
         if not wanted:
-            return exact.drop("is_prefix")
-        if len(wanted) <= FEW_PREDICATES:
-            terms = terms.filter(_any_of([F.col("term").startswith(p) for p in wanted]))
-        lengths = sorted({len(p) for p in wanted})
+            return exact
+        terms = _only_wanted(vocab.select("term"), wanted)
+        lengths = sorted({len(r["term"]) for r in wanted})
         starts = terms.select("term", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n"))
     else:
         # As many starts as the term has letters, up to the longest prefix.
         longest = prefixes.agg(F.coalesce(F.max(F.length("prefix")), F.lit(0))).scalar()
-        starts = terms.select("term", F.explode(F.sequence(
+        starts = vocab.select("term", F.explode(F.sequence(
             F.lit(1), F.greatest(F.lit(1), F.least(F.length("term"), longest)))).alias("n"))
     starts = starts.filter(F.length("term") >= F.col("n")).select(
         "term", F.substring("term", F.lit(1), F.col("n")).alias("prefix"))
-    expanded = starts.join(prefixes, "prefix")
-    columns = [c for c in slots.columns if c != "is_prefix"]
-    return exact.select(columns).unionByName(expanded.select(columns))
+    return exact.unionByName(starts.join(prefixes, "prefix").select(columns))
 
 
 def clause_hits(clauses: DataFrame, index: Index) -> DataFrame:
-    """Documents matching each clause, with its occurrences per field.
+    """Documents matching each clause, with its occurrences per field."""
+    return _slot_hits(*localize(clause_slots(clauses), FEW_ROWS), index)
 
-    A clause of one term adds up its terms' counts. A phrase keeps the start positions its terms agree on: each
+
+def _slot_hits(slots: DataFrame, rows: list[dict] | None, index: Index) -> DataFrame:
+    """A clause of one term adds up its terms' counts. A phrase keeps the start positions its terms agree on: each
     term's positions are shifted back by its place, and a start found for all places is an occurrence.
     """
-    slots, rows = _localize(clause_slots(clauses))
-    pairs, pair_rows = _localize(expand_prefixes(slots, rows, index.vocab))
-    terms = index.terms
-    if pair_rows is not None and len({r.term for r in pair_rows}) <= FEW_PREDICATES:
-        terms = terms.filter(_any_of([F.col("term") == t for t in sorted({r.term for r in pair_rows})]))
+    pairs = expand_prefixes(slots, rows, index.vocab).withColumn("bucket", term_bucket("term"))
+    pairs, pair_rows = localize(pairs, FEW_ROWS)
+    terms = _only_wanted(index.terms, rows)
+    if pair_rows is not None:
+        # Reads only the folders the terms lie in.
+        terms = terms.filter(F.col("bucket").isin(sorted({r["bucket"] for r in pair_rows if r["term"]})))
+        pairs = F.broadcast(pairs)
     phrase = F.col("n_slots") > 1
-    found = terms.join(pairs, "term").select(
-        "query_id", "clause_no", *DOC, "doc_len", "n_slots",
-        *[F.when(~phrase, F.col(f"tf_{f}")).alias(f"tf_{f}") for f in ("title", "excerpt", "content")],
+    found = terms.join(pairs, ["bucket", "term"]).select(
+        "query_id", "clause_no", "n_clauses", *DOC, "doc_len", "n_slots",
+        *[F.when(~phrase, F.col(f"tf_{f}")).alias(f"tf_{f}") for f in FIELD_NAMES],
         F.when(phrase, F.transform("positions", lambda p: p - F.col("slot"))).alias("starts"))
-    # One shuffle by document serves this grouping and the one per search.
+    # Clustering by document alone serves this grouping and the later one per search: one shuffle.
     found = found.repartition(*HIT)
-    grouped = found.groupBy("query_id", "clause_no", *DOC, "doc_len", "n_slots").agg(
-        *[F.sum(f"tf_{f}").alias(f"tf_{f}") for f in ("title", "excerpt", "content")],
-        F.array_sort(F.flatten(F.collect_list("starts"))).alias("starts"))
+    grouped = found.groupBy("query_id", "clause_no", "n_clauses", *DOC, "doc_len", "n_slots").agg(
+        *[F.sum(f"tf_{f}").alias(f"tf_{f}") for f in FIELD_NAMES],
+        F.sort_array(F.flatten(F.collect_list("starts"))).alias("starts"))
     # In sorted starts one found n times is followed by itself n - 1 places on.
     n = F.col("n_slots")
     agreed = F.filter("starts", lambda p, i: F.get("starts", i + n - 1) == p)
@@ -109,17 +117,15 @@ def clause_hits(clauses: DataFrame, index: Index) -> DataFrame:
     def occurrences(place, field):
         in_field = F.size(F.filter("starts", lambda p: F.shiftright(p, FIELD_SHIFT) == place))
         return F.when(n > 1, in_field).otherwise(F.col(f"tf_{field}")).cast("bigint").alias(f"tf_{field}")
-    hits = grouped.select(
-        "query_id", "clause_no", *DOC, "doc_len",
-        *[occurrences(i, f) for i, f in enumerate(("title", "excerpt", "content"))])
-    return hits.withColumn("tf", F.col("tf_title") + F.col("tf_excerpt") + F.col("tf_content")).filter("tf > 0")
+    hits = grouped.select("query_id", "clause_no", "n_clauses", *DOC, "doc_len",
+                          *[occurrences(i, f) for i, f in enumerate(FIELD_NAMES)])
+    return hits.withColumn("tf", sum(F.col(f"tf_{f}") for f in FIELD_NAMES)).filter("tf > 0")
 
 
-def match_all(hits: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Documents that match every clause of their search."""
-    wanted = clauses.groupBy("query_id").agg(F.count("*").alias("n_clauses"))
-    found = hits.groupBy(*HIT).agg(F.count("*").alias("n_found"))
-    return (found.join(wanted, "query_id").filter(F.col("n_found") == F.col("n_clauses")).select(*HIT))
+def match_all(hits: DataFrame, *scores: Column) -> DataFrame:
+    """Documents that match every clause of their search, with aggregates over their clauses."""
+    found = hits.groupBy(*HIT).agg(F.count("*").alias("n_found"), F.max("n_clauses").alias("n_clauses"), *scores)
+    return found.filter(F.col("n_found") == F.col("n_clauses")).drop("n_found", "n_clauses")
 
 
 # ---- ranking ----------------------------------------------------------------------------------------------------
@@ -133,34 +139,38 @@ def clause_idf(hits: DataFrame, corpus: DataFrame) -> DataFrame:
             .select("query_id", "clause_no", F.when(idf > 0, idf).otherwise(BM25_MIN_IDF).alias("idf")))
 
 
-def rank_bm25(hits: DataFrame, clauses: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Documents matching all clauses with their BM25 score, higher is better. A clause counts as one unit."""
-    few = rows_if_few(clauses.select("query_id"), FEW_ROWS) is not None
-    small = F.broadcast if few else (lambda df: df)
+def rank_bm25(hits: DataFrame, corpus: DataFrame, few_clauses: bool = False) -> DataFrame:
+    """Documents matching all clauses with their BM25 score, higher is better. A clause counts as one unit.
+
+    ``hits`` is read twice, once to count each clause's documents; give it written if it is costly.
+    ``few_clauses`` says that the number of clauses was checked to be small.
+    """
+    idf = clause_idf(hits, corpus)
     average = corpus.select("avg_len").scalar()
     tf = F.col("tf")
     saturated = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("doc_len") / average))
-    scored = hits.join(small(clause_idf(hits, corpus)), ["query_id", "clause_no"])
-    return _all_clauses(scored, clauses, F.sum(F.col("idf") * saturated), small)
+    scored = hits.join(F.broadcast(idf) if few_clauses else idf, ["query_id", "clause_no"])
+    return match_all(scored, F.round(F.sum(F.col("idf") * saturated), 6).alias("score"))
 
 
-def rank_weighted(hits: DataFrame, clauses: DataFrame, weights=CLASS_WEIGHTS) -> DataFrame:
+def rank_weighted(hits: DataFrame, weights=CLASS_WEIGHTS) -> DataFrame:
     """Documents matching all clauses, scored by the weight classes of the fields they match in.
 
     Counts are damped as ``tf / (tf + 1)``, so a hit in a higher class outweighs repetition in a lower one.
     """
-    few = rows_if_few(clauses.select("query_id"), FEW_ROWS) is not None
-    small = F.broadcast if few else (lambda df: df)
-    score = sum(F.col(f"tf_{f}") / (F.col(f"tf_{f}") + 1) * w
-                for f, w in zip(("title", "excerpt", "content"), weights))
-    return _all_clauses(hits, clauses, F.sum(score), small)
+    score = sum(F.col(f"tf_{f}") / (F.col(f"tf_{f}") + 1) * w for f, w in zip(FIELD_NAMES, weights))
+    return match_all(hits, F.round(F.sum(score), 6).alias("score"))
 
 
-def _all_clauses(hits: DataFrame, clauses: DataFrame, score: Column, small) -> DataFrame:
-    wanted = clauses.groupBy("query_id").agg(F.count("*").alias("n_clauses"))
-    found = hits.groupBy(*HIT).agg(F.count("*").alias("n_found"), F.round(score, 6).alias("score"))
-    return (found.join(small(wanted), "query_id").filter(F.col("n_found") == F.col("n_clauses"))
-            .select(*HIT, "score"))
+def _ranked(slots: DataFrame, rows: list[dict] | None, index: Index, rank: str | None) -> DataFrame:
+    """Matching documents, with a score unless ``rank`` is None."""
+    hits = _slot_hits(slots, rows, index)
+    if rank is None:
+        return match_all(hits)
+    if rank == "weighted":
+        return rank_weighted(hits)
+    # Written once, then read to count and to score.
+    return rank_bm25(materialize(hits, "hits"), index.corpus, rows is not None)
 
 
 # ---- filters ----------------------------------------------------------------------------------------------------
@@ -199,7 +209,7 @@ def filter_widgets(posts: DataFrame, widgets_only: bool = False) -> DataFrame:
 # ---- one search -------------------------------------------------------------------------------------------------
 
 def single_search(spark: SparkSession, q: str) -> DataFrame:
-    return spark.createDataFrame([(0, q)], "query_id bigint, q string")
+    return spark.createDataFrame(pa.table({"query_id": [0], "q": [q]}))
 
 
 def result_order(sort: str, has_text: bool) -> list[Column]:
@@ -214,33 +224,45 @@ def result_order(sort: str, has_text: bool) -> list[Column]:
 
 
 def matches(posts: DataFrame, sites: DataFrame, index: Index, q: str = "", *, site_ids=None, group_id=None,
-            categories=None, tags=None, widgets_only: bool | None = False, rank: str = "bm25",
+            categories=None, tags=None, widgets_only: bool | None = False, rank: str | None = "bm25",
             profile: str = "local") -> tuple[DataFrame, bool]:
-    """All posts a search finds, unordered and with ``score``, and whether it had a text part.
+    """All posts a search finds, unordered, and whether it had a text part.
 
-    ``widgets_only=None`` searches articles and widget rows alike.
+    Only the columns that order a result are carried: ``site_id``, ``post_id``, ``published_at`` and, unless
+    ``rank`` is None, ``score``. ``widgets_only=None`` searches articles and widget rows alike.
     """
-    found = posts.select(*RESULT_COLUMNS)
-    found = found if widgets_only is None else filter_widgets(found, widgets_only)
+    found = posts if widgets_only is None else filter_widgets(posts, widgets_only)
     found = filter_terms(filter_group(filter_sites(found, site_ids), sites, group_id), categories, tags)
-    clauses, rows = _localize(compile_queries(single_search(posts.sparkSession, q), profile))
+    found = found.select(*DOC, "published_at")
+    searches = single_search(posts.sparkSession, q)
+    slots, rows = localize(clause_slots(compile_queries(searches, profile)), FEW_ROWS)
     if rows == []:
-        return found.withColumn("score", F.lit(0.0)), False
-    hits = clause_hits(clauses, index)
-    ranked = (rank_weighted(hits, clauses) if rank == "weighted" else rank_bm25(hits, clauses, index.corpus))
-    return found.join(ranked.drop("query_id"), DOC), True
+        return (found if rank is None else found.withColumn("score", F.lit(0.0))), False
+    return found.join(_ranked(slots, rows, index, rank).drop("query_id"), DOC), True
 
 
 def search_posts(posts: DataFrame, sites: DataFrame, index: Index, q: str = "", *, sort: str = "relevance",
-                 limit: int = DEFAULT_LIMIT, offset: int = 0, **filters) -> DataFrame:
-    """One page of a search: result columns, ``total_count``, ``score`` and ``rn``, the place in the whole result."""
-    found, has_text = matches(posts, sites, index, q, **filters)
-    total = found.agg(F.count("*")).scalar()
+                 limit: int = DEFAULT_LIMIT, offset: int = 0, rank: str = "bm25", **filters) -> DataFrame:
+    """One page of a search: result columns, ``total_count``, ``score`` and ``rn``, the place in the whole result.
+
+    Sorted by date a page carries no score: nothing is ranked then, and ``score`` is NULL.
+    """
     limit, offset = clamp_page(limit, offset)
-    order = result_order(sort, has_text)
-    page = _numbered(found, order, limit, offset)
+    by_date = sort in ("newest", "oldest")
+    found, has_text = matches(posts, sites, index, q, rank=None if by_date else rank, **filters)
+    if by_date:
+        found = found.withColumn("score", F.lit(None).cast("double"))
+    page = _numbered(found, result_order(sort, has_text), limit, offset)
+    page = page.withColumn("total_count", found.agg(F.count("*")).scalar())
+    return _with_result_columns(page.drop("published_at"), posts, small=True)
+
+
+def _with_result_columns(page: DataFrame, posts: DataFrame, small: bool) -> DataFrame:
+    """Fetch the wide columns of the chosen rows only; ``small`` pages are bounded by their limits."""
     lists = {c: pipe_split(F.col(c)) for c in ("categories", "tags")}
-    return page.withColumns({**lists, "total_count": total}).select(*RESULT_COLUMNS, "total_count", "score", "rn")
+    rows = posts.select(*RESULT_COLUMNS).join(F.broadcast(page) if small else page, DOC).withColumns(lists)
+    first = [c for c in page.columns if c not in DOC]
+    return rows.select(*first, *RESULT_COLUMNS)
 
 
 def clamp_page(limit: int, offset: int) -> tuple[int, int]:
@@ -255,11 +277,13 @@ def _numbered(found: DataFrame, order: list[Column], limit: int, offset: int) ->
 
 
 def export_urls(posts: DataFrame, sites: DataFrame, index: Index, q: str = "", *, sort: str = "relevance",
-                **filters) -> DataFrame:
+                rank: str = "bm25", **filters) -> DataFrame:
     """Non-blank urls among the first results of a search, in order."""
-    found, has_text = matches(posts, sites, index, q, **filters)
+    by_date = sort in ("newest", "oldest")
+    found, has_text = matches(posts, sites, index, q, rank=None if by_date else rank, **filters)
     numbered = _numbered(found, result_order(sort, has_text), EXPORT_ROWS, 0)
-    return numbered.filter(F.col("url") != "").select("rn", "url")
+    urls = posts.select(*DOC, "url").join(F.broadcast(numbered.select(*DOC, "rn")), DOC)
+    return urls.filter(F.col("url") != "").select("rn", "url")
 
 
 # ---- many searches ----------------------------------------------------------------------------------------------
@@ -271,27 +295,25 @@ def search_many(posts: DataFrame, sites: DataFrame, index: Index, searches: Data
     Posts of unknown sites are not found. A search without text is joined by site, one with text by document; a
     search that matches everything is ranked in salted parts before its top rows meet.
     """
-    local, rows = _localize(searches)
-    clauses = compile_queries(local, profile)
-    if rows is not None:
-        clauses, _ = _localize(clauses)
-    hits = clause_hits(clauses, index)
-    ranked = (rank_weighted(hits, clauses) if rank == "weighted" else rank_bm25(hits, clauses, index.corpus))
-    request = _requests(local)
-    meta = posts.select(*RESULT_COLUMNS)
+    searches, rows = localize(searches, FEW_ROWS)
+    slots, slot_rows = localize(clause_slots(compile_queries(searches, profile)), FEW_ROWS)
+    request = _requests(searches)
+    meta = posts.select(*DOC, "published_at", "categories", "tags")
     known = sites.select(F.col("id").alias("site_id"), F.col("group_id").alias("site_group"))
 
-    with_text = ranked.join(request, "query_id").join(known, "site_id").join(meta, DOC)
-    blank = request.join(clauses.select("query_id").distinct(), "query_id", "left_anti")
+    with_text = _ranked(slots, slot_rows, index, rank).join(request, "query_id").join(known, "site_id").join(meta, DOC)
+    blank = request.join(slots.select("query_id").distinct(), "query_id", "left_anti")
     reach = _reachable_sites(blank, known, _parts(posts.sparkSession))
     without_text = (meta.join(reach, "site_id").join(request, "query_id").join(known, "site_id")
                     .withColumn("score", F.lit(0.0)))
 
     found = with_text.withColumn("has_text", F.lit(True)).unionByName(
         without_text.withColumn("has_text", F.lit(False)))
+    found = found.filter(_request_filter()).select(
+        "query_id", *DOC, "published_at", "score", "has_text", "sort", "lim", "off")
     deepest = None if rows is None else max(
-        [clamp_page(_or(r.lim, DEFAULT_LIMIT), 0)[0] + max(0, _or(r.off, 0)) for r in rows], default=0)
-    return _top_pages(found.filter(_request_filter()), deepest)
+        [clamp_page(_or(r["lim"], DEFAULT_LIMIT), 0)[0] + max(0, _or(r["off"], 0)) for r in rows], default=0)
+    return _with_result_columns(_top_pages(found, deepest), posts, small=False)
 
 
 def _or(value, default):
@@ -326,7 +348,7 @@ def _reachable_sites(requests: DataFrame, known: DataFrame, parts: int) -> DataF
         "query_id", F.col("want_group").alias("site_group")).join(known, "site_group")
     # A request without limits meets every site once: each site lies in one part, the request in all of them.
     everywhere = free.filter(F.col("want_group") == "").select(
-        "query_id", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("bigint").alias("part"))
+        "query_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"))
     by_part = everywhere.join(
         known.withColumn("part", F.pmod(F.xxhash64("site_id"), F.lit(parts))), "part")
     columns = ["query_id", "site_id"]
@@ -364,7 +386,7 @@ def _top_pages(found: DataFrame, deepest: int | None) -> DataFrame:
     best = first_rows(first_rows(salted, "query_id", "salt").drop("rn"), "query_id")
     page = best.filter(F.col("rn") > F.col("off"))
     return page.join(totals, "query_id").select(
-        "query_id", F.col("rn").cast("bigint").alias("rn"), "total_count", "score", *RESULT_COLUMNS)
+        "query_id", F.col("rn").cast("bigint").alias("rn"), "total_count", "score", *DOC)
 
 
 # ---- presentation -----------------------------------------------------------------------------------------------

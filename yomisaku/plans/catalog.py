@@ -59,12 +59,12 @@ def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, ix.I
     """Posts, sites and index, written once per session as an ingest would leave them."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
-        posts = materialize(text.with_index_text(load(spark, sf_dir, "posts")), "posts")
-        index_path = scratch_path(spark, "index")
-        ix.write_index(posts, index_path)
-        _written[key] = (posts, index_path)
-    posts, index_path = _written[key]
-    return posts, load(spark, sf_dir, "sites"), ix.read_index(spark, index_path)
+        path = scratch_path(spark, "store")
+        store.write_posts(load(spark, sf_dir, "posts"), path, slices=4)
+        posts = store.read_posts(spark, path)
+        _written[key] = (posts, materialize(load(spark, sf_dir, "sites"), "sites"),
+                         ix.write_index(posts, scratch_path(spark, "index")))
+    return _written[key]
 
 
 # ---- SQL pieces -------------------------------------------------------------------------------------------------
@@ -541,7 +541,7 @@ def index_refresh(spark, sf_dir):
 
 @register(with_views("typed") + """
 , t as (select query_id, shape, lower(w1) as a, lower(w2) as b, lower(w3) as c from typed)
-select query_id, n as clause_no, kind, terms from (
+select query_id, n as clause_no, cast(max(n) over (partition by query_id) + 1 as int) as n_clauses, kind, terms from (
   select query_id, 0 as n, 'prefix' as kind, a as terms from t where shape in (0, 2, 3, 4, 5)
   union all select query_id, 0, 'phrase', a || '|' || b from t where shape = 1
   union all select query_id, 1, 'phrase', b || '|' || c from t where shape = 2
@@ -556,12 +556,11 @@ def compile_queries(spark, sf_dir):
     return _plain(query.compile_queries(load(spark, sf_dir, "typed")))
 
 
-def _hits(spark: SparkSession, sf_dir: str, q) -> tuple[DataFrame, DataFrame]:
-    """Clauses and hits of one search per benchmark passage."""
+def _hits(spark: SparkSession, sf_dir: str, q) -> DataFrame:
+    """Clause hits of one search per benchmark passage."""
     _, _, index = corpus(spark, sf_dir)
     searches = load(spark, sf_dir, "saved").select("query_id", q.alias("q"))
-    clauses = query.compile_queries(searches)
-    return clauses, search.clause_hits(clauses, index)
+    return search.clause_hits(query.compile_queries(searches), index)
 
 
 def _quoted(*words):
@@ -574,29 +573,29 @@ HIT_SQL = with_views("saved", "posts") + f", {PADDED} select query_id, site_id,
 @register(HIT_SQL + f"""{tf_sql("' ' || w1 || ' '")} as tf
 from saved join padded on {has_sql("' ' || w1 || ' '")}""")
 def match_exact(spark, sf_dir):
-    _, hits = _hits(spark, sf_dir, _quoted("w1"))
+    hits = _hits(spark, sf_dir, _quoted("w1"))
     return hits.select("query_id", "site_id", "post_id", "tf")
 
 
 @register(HIT_SQL + f"""{tf_sql("' ' || w2", doubled=False)} as tf
 from saved join padded on {has_sql("' ' || w2")}""")
 def match_prefix(spark, sf_dir):
-    _, hits = _hits(spark, sf_dir, F.col("w2"))
+    hits = _hits(spark, sf_dir, F.col("w2"))
     return hits.select("query_id", "site_id", "post_id", "tf")
 
 
 @register(HIT_SQL + f"""{tf_sql("' ' || w1 || '  ' || w2 || ' '")} as tf
 from saved join padded on {has_sql("' ' || w1 || ' ' || w2 || ' '")}""")
 def match_phrase(spark, sf_dir):
-    _, hits = _hits(spark, sf_dir, _quoted("w1", "w2"))
+    hits = _hits(spark, sf_dir, _quoted("w1", "w2"))
     return hits.select("query_id", "site_id", "post_id", "tf")
 
 
 @register(with_views("saved", "posts") + f""", {PADDED} select query_id, site_id, post_id from saved join padded
 on {has_sql("' ' || w1 || ' '")} and {has_sql("' ' || w2")}""")
 def match_all(spark, sf_dir):
-    clauses, hits = _hits(spark, sf_dir, F.concat_ws(" ", _quoted("w1"), "w2"))
-    return search.match_all(hits, clauses)
+    hits = _hits(spark, sf_dir, F.concat_ws(" ", _quoted("w1"), "w2"))
+    return search.match_all(hits)
 
 
 # ---- single searches --------------------------------------------------------------------------------------------
@@ -695,7 +694,7 @@ scored as (select site_id, post_id, round({bm25_sql('f1', 'd1')} + {bm25_sql('f2
 def rank_bm25(spark, sf_dir):
     _, _, index = corpus(spark, sf_dir)
     clauses = query.compile_queries(search.single_search(spark, FLAGSHIP))
-    ranked = search.rank_bm25(search.clause_hits(clauses, index), clauses, index.corpus)
+    ranked = search.rank_bm25(search.clause_hits(clauses, index), index.corpus)
     return ranked.select("site_id", "post_id", "score")
 
 
@@ -710,7 +709,7 @@ round({damped_sql("' thha'", False)} + {damped_sql("' of  the '", True)}, 6) as
 def rank_weighted(spark, sf_dir):
     _, _, index = corpus(spark, sf_dir)
     clauses = query.compile_queries(search.single_search(spark, FLAGSHIP))
-    return search.rank_weighted(search.clause_hits(clauses, index), clauses).select("site_id", "post_id", "score")
+    return search.rank_weighted(search.clause_hits(clauses, index)).select("site_id", "post_id", "score")
 
 
 @register(with_views("posts", "sites") + SCORED + f""", numbered as (select p.*, score, count(*) over () as total_count,
@@ -786,7 +785,8 @@ numbered as (select *, count(*) over (partition by query_id) as total_count, row
   case when sort = 'relevance' and kind <> 3 then score end desc,
   case when sort = 'oldest' then published_at end asc nulls last,
   case when sort <> 'oldest' then published_at end desc nulls last, site_id, post_id) as rn from found)
-select query_id, rn, total_count, score, site_id, post_id, url, title, excerpt, author, {_ts('published_at')}, categories, tags
+select query_id, rn, total_count, score, site_id, post_id, url, title, excerpt, author, {_ts('published_at')},
+  trim(categories, '|') as categories, trim(tags, '|') as tags
 from numbered where rn > off and rn <= off + lim""")
 def search_many(spark, sf_dir):
     return _plain(search.search_many(*corpus(spark, sf_dir), saved_searches(spark, sf_dir)))

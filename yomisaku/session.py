@@ -55,7 +55,13 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rows_if_few(df: DataFrame, max_rows: int) -> list | None:
-    """The rows of ``df`` if there are at most ``max_rows``, else None. Never fetches more than that."""
-    rows = df.limit(max_rows + 1).collect()
-    return rows if len(rows) <= max_rows else None
+def localize(df: DataFrame, max_rows: int) -> tuple[DataFrame, list[dict] | None]:
+    """A table of at most ``max_rows`` rows as a local relation together with its rows, a larger one unchanged.
+
+    Never fetches more than one row beyond the bound. Spark knows the exact size of a local relation, so it broadcasts
+    it and folds constants through it.
+    """
+    fetched = df.limit(max_rows + 1).toArrow()
+    if fetched.num_rows > max_rows:
+        return df, None
+    return df.sparkSession.createDataFrame(fetched, df.schema), fetched.to_pylist()

@@ -28,19 +28,25 @@ def _slice_of(posts: DataFrame) -> DataFrame:
     return posts.select("site_id", "slice").distinct()
 
 
+def _by_slice(sliced: DataFrame) -> DataFrame:
+    """Rows of a slice together, so that it makes few files; a slice too large for one task is split."""
+    return sliced.hint("rebalance", "site_id", "slice")
+
+
 def _overwrite_slices(sliced: DataFrame, path: str) -> None:
-    # Together a slice's rows make one file; a large slice is split by Spark's own row limit per file.
-    (sliced.repartition("site_id", "slice").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 5_000_000)
+    (_by_slice(sliced).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("site_id", "slice").parquet(path))
 
 
 def write_posts(posts: DataFrame, path: str, slices: int = SLICES) -> None:
-    """Write a whole store, with the prepared text columns."""
+    """Write a whole store, with the prepared text columns, which are made after the shuffle.
+
+    ``slices`` bounds what a batch rewrites: choose it so that a slice of a large site fits in a few files.
+    """
+    sliced = _by_slice(_sliced(posts, slices))
     if "content_idx" not in posts.columns:
-        posts = with_index_text(posts)
-    (_sliced(posts, slices).repartition("site_id", "slice").write.mode("overwrite")
-     .option("maxRecordsPerFile", 5_000_000).partitionBy("site_id", "slice").parquet(path))
+        sliced = with_index_text(sliced)
+    sliced.write.mode("overwrite").partitionBy("site_id", "slice").parquet(path)
 
 
 def _read_slices(spark: SparkSession, path: str) -> DataFrame:
