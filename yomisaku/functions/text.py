@@ -59,6 +59,11 @@ def nfkc(text: Column) -> Column:
     return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text, F.lit(""))
 
 
+def _separate_sql(normalized: str, dropped: str) -> str:
+    """Stage 1 after NFKC, as an SQL expression over another one."""
+    return (f"trim(lower(regexp_replace(regexp_replace({normalized}, '([{CJK}])', ' $1 '), r'{dropped}', ' ')))")
+
+
 def _separate(normalized: Column, dropped: str) -> Column:
     spaced = F.regexp_replace(normalized, f"([{CJK}])", " $1 ")
     return F.trim(F.lower(F.regexp_replace(spaced, dropped, " ")))
@@ -71,12 +76,16 @@ def prepare_index_text(text: Column) -> Column:
 
 def prepare_query_text(text: Column, profile: str = "local") -> Column:
     """Stage 1 text of a query. ``profile='hosted'`` keeps only ASCII letters besides CJK."""
-    return separate_query_text(nfkc_for_index(text), profile)
+    return _separate(nfkc_for_index(text), _query_separators(profile))
+
+
+def separate_query_text_sql(normalized: str, profile: str = "local") -> str:
+    """Stage 1 text of a query part that is NFKC already, as an SQL expression."""
+    return _separate_sql(normalized, _query_separators(profile))
 
 
-def separate_query_text(normalized: Column, profile: str = "local") -> Column:
-    """Stage 1 text of a query part that is NFKC already."""
-    return _separate(normalized, _NOT_INDEXED_ASCII if profile == "hosted" else _NOT_INDEXED)
+def _query_separators(profile: str) -> str:
+    return _NOT_INDEXED_ASCII if profile == "hosted" else _NOT_INDEXED
 
 
 def is_ascii_word(token: Column) -> Column:

@@ -75,9 +75,9 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
 
 
-def term_bucket(term: str) -> Column:
-    """The folder of a term: terms with the same two first letters lie together."""
-    return F.pmod(F.xxhash64(F.substring(term, 1, 2)), F.lit(BUCKETS)).cast("int")
+def term_bucket() -> Column:
+    """The folder of ``term``: terms with the same two first letters lie together."""
+    return F.expr(f"cast(pmod(xxhash64(substring(term, 1, 2)), {BUCKETS}) as int)")
 
 
 def document_terms(posts: DataFrame) -> DataFrame:
@@ -86,26 +86,20 @@ def document_terms(posts: DataFrame) -> DataFrame:
     A document's terms are grouped within its row: sorted by term and place, each run of one term becomes a row.
     Nothing is shuffled, and no group is larger than its document.
     """
-    def locate(field, n):
-        return F.transform(field, lambda t, i: F.struct(
-            t.alias("term"), (i + F.lit(n << FIELD_SHIFT)).alias("at")))
-    tokens = _doc_lengths(_with_terms(posts)).select(
-        *DOC, "doc_len", F.sort_array(F.concat(*[locate(f, n) for n, (f, _) in enumerate(FIELDS)])).alias("tokens"))
-    starts_run = F.transform("tokens", lambda t, i: F.when(
-        (i == 0) | (t["term"] != F.get("tokens", i - 1)["term"]), i))
-    runs = tokens.select("*", F.filter(starts_run, lambda i: i.isNotNull()).alias("heads"))
-
-    def run(head, k):
-        after = F.coalesce(F.get("heads", k + 1), F.size("tokens"))
-        places = F.transform(F.slice("tokens", head + 1, after - head), lambda t: t["at"])
-        return F.struct(F.get("tokens", head)["term"].alias("term"), places.alias("positions"))
-    rows = runs.select(*DOC, "doc_len", F.explode(F.transform("heads", run)).alias("run"))
-    rows = rows.select("run.term", *DOC, "doc_len", "run.positions")
-
-    def in_field(n):
-        return F.size(F.filter("positions", lambda p: F.shiftright(p, FIELD_SHIFT) == n))
-    return rows.select("term", *DOC, "doc_len", *[in_field(n).alias(f"tf_{f}") for n, (f, _) in enumerate(FIELDS)],
-                       "positions", term_bucket("term").alias("bucket"))
+    located = ", ".join(
+        f"transform({f}, (t, i) -> struct(t as term, i + {n << FIELD_SHIFT} as at))" for n, (f, _) in enumerate(FIELDS))
+    tokens = _doc_lengths(_with_terms(posts)).selectExpr(*DOC, "doc_len", f"sort_array(concat({located})) as tokens")
+    runs = tokens.selectExpr("*", """
+        filter(transform(tokens, (t, i) -> if(i = 0 or t.term <> get(tokens, i - 1).term, i, null)),
+               i -> i is not null) as heads""")
+    rows = runs.selectExpr(*DOC, "doc_len", """
+        explode(transform(heads, (h, k) -> struct(
+            get(tokens, h).term as term,
+            transform(slice(tokens, h + 1, coalesce(get(heads, k + 1), size(tokens)) - h), t -> t.at) as positions))) as run""")
+    rows = rows.selectExpr("run.term", *DOC, "doc_len", "run.positions").selectExpr("term", *DOC, "doc_len", *[
+        f"size(filter(positions, p -> shiftright(p, {FIELD_SHIFT}) = {n})) as tf_{f}" for n, (f, _) in enumerate(FIELDS)],
+        "positions")
+    return rows.withColumn("bucket", term_bucket())
 
 
 def _clustered(terms: DataFrame) -> DataFrame:

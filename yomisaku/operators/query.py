@@ -2,11 +2,13 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from yomisaku.functions.text import index_terms, is_ascii_word, nfkc, separate_query_text
+from yomisaku.functions.text import ASCII_WORD, index_terms, nfkc, separate_query_text_sql
 
 # Characters blanked before words are split.
 SPECIAL = {"local": r'["()*:]', "hosted": r'["()*:&|!<>]'}
 _SPACES = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]+"
+_QUOTED = "(i % 2 = 1 and (i < size(parts) - 1 or size(parts) % 2 = 1))"
+_IS_ASCII = f"rlike(t, r'^{ASCII_WORD}$')"
 
 
 def compile_queries(searches: DataFrame, profile: str = "local") -> DataFrame:
@@ -16,33 +18,26 @@ def compile_queries(searches: DataFrame, profile: str = "local") -> DataFrame:
     same with only the beginning of the last one. Searches that compile to nothing give no row; a clause without
     terms matches nothing. Each search is compiled within its own row.
     """
+    prepared = separate_query_text_sql("word", profile)
     # Splitting at the quotes leaves the quoted parts at odd places. With an odd number of quotes the last part
     # was never closed and is read as words.
     parts = searches.select("query_id", F.split(nfkc(F.col("q")), '"').alias("parts"))
-    n = F.size("parts")
-
-    def words_of(part, place):
-        quoted = (place % 2 == 1) & ((place < n - 1) | (n % 2 == 1))
-        plain = F.regexp_replace(part, SPECIAL[profile], " ")
-        return F.transform(
-            F.when(quoted, F.array(plain)).otherwise(F.split(plain, _SPACES)),
-            lambda word: F.struct(quoted.alias("quoted"), separate_query_text(word, profile).alias("text")))
-    words = parts.select("query_id", F.filter(
-        F.flatten(F.transform("parts", words_of)), lambda w: w["text"] != "").alias("words"))
-
+    words = parts.selectExpr("query_id", f"""
+        flatten(transform(parts, (part, i) -> transform(
+            if({_QUOTED}, array(regexp_replace(part, r'{SPECIAL[profile]}', ' ')),
+               split(regexp_replace(part, r'{SPECIAL[profile]}', ' '), r'{_SPACES}')),
+            word -> struct({_QUOTED} as quoted, {prepared} as text)))) as words""")
     # A quoted part, or a word without ASCII tokens, is one clause; any other word gives one per token.
-    def units_of(word):
-        tokens = F.split(word["text"], " ")
-        whole = word["quoted"] | ~F.exists(tokens, is_ascii_word)
-        return F.transform(F.when(whole, F.array(word["text"])).otherwise(tokens),
-                           lambda t: F.struct(t.alias("text"), (~word["quoted"] & is_ascii_word(t)).alias("open")))
-    units = words.select("query_id", F.flatten(F.transform("words", units_of)).alias("units"))
-    units = units.select("query_id", F.size("units").alias("n_clauses"), F.posexplode("units").alias("clause_no", "unit"))
-    clauses = units.select("query_id", "clause_no", "n_clauses", F.col("unit.open").alias("open"),
+    units = words.selectExpr("query_id", f"""
+        flatten(transform(filter(words, w -> w.text <> ''), w -> transform(
+            if(w.quoted or not exists(split(w.text, ' '), t -> {_IS_ASCII}), array(w.text), split(w.text, ' ')),
+            t -> struct(t as text, not w.quoted and {_IS_ASCII} as open)))) as units""")
+    units = units.selectExpr("query_id", "size(units) as n_clauses", "posexplode(units) as (clause_no, unit)")
+    clauses = units.select("query_id", "clause_no", "n_clauses", "unit.open",
                            index_terms(F.col("unit.text")).alias("terms"))
-    kind = (F.when((F.size("terms") > 1) & F.col("open"), "phrase_prefix")
-            .when(F.size("terms") > 1, "phrase").when(F.col("open"), "prefix").otherwise("exact"))
-    return clauses.select("query_id", "clause_no", "n_clauses", kind.alias("kind"), "terms")
+    return clauses.selectExpr("query_id", "clause_no", "n_clauses", """
+        case when size(terms) > 1 then if(open, 'phrase_prefix', 'phrase') when open then 'prefix' else 'exact' end as kind""",
+                              "terms")
 
 
 def clause_slots(clauses: DataFrame) -> DataFrame:
@@ -50,9 +45,7 @@ def clause_slots(clauses: DataFrame) -> DataFrame:
 
     A clause without terms keeps one row with a NULL term.
     """
-    slots = clauses.select(
-        "query_id", "clause_no", "n_clauses", "kind", F.size("terms").alias("n_slots"),
-        F.posexplode_outer("terms").alias("slot", "term"))
-    last = F.col("slot") == F.col("n_slots") - 1
-    is_prefix = F.coalesce(F.col("kind").isin("prefix", "phrase_prefix") & last, F.lit(False))
-    return slots.select("query_id", "clause_no", "n_clauses", "n_slots", "slot", "term", is_prefix.alias("is_prefix"))
+    slots = clauses.selectExpr("query_id", "clause_no", "n_clauses", "kind", "size(terms) as n_slots",
+                               "posexplode_outer(terms) as (slot, term)")
+    return slots.selectExpr("query_id", "clause_no", "n_clauses", "n_slots", "slot", "term", """
+        coalesce(kind in ('prefix', 'phrase_prefix') and slot = n_slots - 1, false) as is_prefix""")

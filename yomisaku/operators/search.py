@@ -92,34 +92,28 @@ def _slot_hits(slots: DataFrame, rows: list[dict] | None, index: Index) -> DataF
     """A clause of one term adds up its terms' counts. A phrase keeps the start positions its terms agree on: each
     term's positions are shifted back by its place, and a start found for all places is an occurrence.
     """
-    pairs = expand_prefixes(slots, rows, index.vocab).withColumn("bucket", term_bucket("term"))
+    pairs = expand_prefixes(slots, rows, index.vocab).withColumn("bucket", term_bucket())
     pairs, pair_rows = localize(pairs, FEW_ROWS)
     terms = _only_wanted(index.terms, rows)
     if pair_rows is not None:
         # Reads only the folders the terms lie in.
         terms = terms.filter(F.col("bucket").isin(sorted({r["bucket"] for r in pair_rows if r["term"]})))
         pairs = F.broadcast(pairs)
-    phrase = F.col("n_slots") > 1
-    found = terms.join(pairs, ["bucket", "term"]).select(
+    found = terms.join(pairs, ["bucket", "term"]).selectExpr(
         "query_id", "clause_no", "n_clauses", *DOC, "doc_len", "n_slots",
-        *[F.when(~phrase, F.col(f"tf_{f}")).alias(f"tf_{f}") for f in FIELD_NAMES],
-        F.when(phrase, F.transform("positions", lambda p: p - F.col("slot"))).alias("starts"))
+        *[f"if(n_slots = 1, tf_{f}, null) as tf_{f}" for f in FIELD_NAMES],
+        "if(n_slots > 1, transform(positions, p -> p - slot), null) as starts")
     # Clustering by document alone serves this grouping and the later one per search: one shuffle.
-    found = found.repartition(*HIT)
-    grouped = found.groupBy("query_id", "clause_no", "n_clauses", *DOC, "doc_len", "n_slots").agg(
+    grouped = found.repartition(*HIT).groupBy("query_id", "clause_no", "n_clauses", *DOC, "doc_len", "n_slots").agg(
         *[F.sum(f"tf_{f}").alias(f"tf_{f}") for f in FIELD_NAMES],
-        F.sort_array(F.flatten(F.collect_list("starts"))).alias("starts"))
+        F.expr("sort_array(flatten(collect_list(starts)))").alias("starts"))
     # In sorted starts one found n times is followed by itself n - 1 places on.
-    n = F.col("n_slots")
-    agreed = F.filter("starts", lambda p, i: F.get("starts", i + n - 1) == p)
-    grouped = grouped.withColumn("starts", F.when(n > 1, agreed))
-
-    def occurrences(place, field):
-        in_field = F.size(F.filter("starts", lambda p: F.shiftright(p, FIELD_SHIFT) == place))
-        return F.when(n > 1, in_field).otherwise(F.col(f"tf_{field}")).cast("bigint").alias(f"tf_{field}")
-    hits = grouped.select("query_id", "clause_no", "n_clauses", *DOC, "doc_len",
-                          *[occurrences(i, f) for i, f in enumerate(FIELD_NAMES)])
-    return hits.withColumn("tf", sum(F.col(f"tf_{f}") for f in FIELD_NAMES)).filter("tf > 0")
+    agreed = grouped.selectExpr("* except (starts)", """
+        if(n_slots > 1, filter(starts, (p, i) -> get(starts, i + n_slots - 1) = p), null) as starts""")
+    hits = agreed.selectExpr("query_id", "clause_no", "n_clauses", *DOC, "doc_len", *[
+        f"if(n_slots > 1, cast(size(filter(starts, p -> shiftright(p, {FIELD_SHIFT}) = {i})) as bigint), tf_{f}) as tf_{f}"
+        for i, f in enumerate(FIELD_NAMES)])
+    return hits.selectExpr("*", f"{' + '.join(f'tf_{f}' for f in FIELD_NAMES)} as tf").filter("tf > 0")
 
 
 def match_all(hits: DataFrame, *scores: Column) -> DataFrame:
