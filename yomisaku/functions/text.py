@@ -23,19 +23,27 @@ ASCII_WORD = r"[A-Za-z0-9_\-.@/]+"
 
 # Text in these ranges is either its own NFKC form in any context, or (full-width punctuation, the
 # ideographic space) has an NFKC form that separates tokens just as it does itself. Only text with other
-# characters is sent to the Arrow function. Checked against unicodedata in the tests.
-NFKC_SAFE_RANGES = (
-    (0x0000, 0x009F), (0x00A1, 0x00A7), (0x00A9, 0x00A9), (0x00AB, 0x00AE), (0x00B0, 0x00B1),
-    (0x00B6, 0x00B7), (0x00BB, 0x00BB), (0x00BF, 0x0131), (0x0134, 0x013E), (0x0141, 0x0148),
-    (0x014A, 0x017E), (0x2010, 0x2010), (0x2012, 0x2016), (0x2018, 0x2023), (0x3000, 0x3029),
-    (0x3041, 0x3096), (0x30A0, 0x30FE), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xFF01, 0xFF0C),
-    (0xFF1A, 0xFF1F), (0xFF3B, 0xFF3E),
-)
-_NEEDS_NFKC = "[^" + "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in NFKC_SAFE_RANGES) + "]"
-
-_NOT_INDEXED = rf"[^\p{{L}}\p{{N}}_\-.@/{CJK}]+"
-_NOT_INDEXED_ASCII = rf"[^A-Za-z0-9_\-.@/{CJK}]+"
-_NOT_A_TERM = r"[^\p{L}\p{N}]+"
+# characters is sent to the Arrow function. Checked against unicodedata in the tests. Grouped by how common they are:
+# Java tests a nested class as one step, so the groups keep the regex short for most characters.
+_SAFE_JAPANESE = ((0x3000, 0x3029), (0x3041, 0x3096), (0x30A0, 0x30FE), (0x3400, 0x4DBF), (0x4E00, 0x9FFF))
+_SAFE_LATIN = ((0x0000, 0x009F), (0x00A1, 0x00A7), (0x00A9, 0x00A9), (0x00AB, 0x00AE), (0x00B0, 0x00B1),
+               (0x00B6, 0x00B7), (0x00BB, 0x00BB), (0x00BF, 0x0131), (0x0134, 0x013E), (0x0141, 0x0148),
+               (0x014A, 0x017E))
+_SAFE_SIGNS = ((0x2010, 0x2010), (0x2012, 0x2016), (0x2018, 0x2023), (0xFF01, 0xFF0C), (0xFF1A, 0xFF1F),
+               (0xFF3B, 0xFF3E))
+NFKC_SAFE_RANGES = _SAFE_JAPANESE + _SAFE_LATIN + _SAFE_SIGNS
+
+
+def _group(ranges) -> str:
+    return "[" + "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in ranges) + "]"
+
+
+_NEEDS_NFKC = (r"[\x{80}-\x{10ffff}&&[^" + _group(_SAFE_JAPANESE) + _group(_SAFE_LATIN) + _group(_SAFE_SIGNS) + "]]")
+_CJK_CHAR = rf"[\x{{3040}}-\x{{ff9f}}&&[{CJK}]]"
+
+_NOT_INDEXED = rf"[^[a-zA-Z0-9_\-.@/][{CJK}][\p{{L}}\p{{N}}]]+"
+_NOT_INDEXED_ASCII = rf"[^[a-zA-Z0-9_\-.@/][{CJK}]]+"
+_NOT_A_TERM = r"[^[a-zA-Z0-9][\p{L}\p{N}]]+"
 
 _LATIN_RANGES = ((0x00C0, 0x024F), (0x1E00, 0x1EFF))
 _HAS_LATIN_MARKS = "[" + "".join(f"{chr(lo)}-{chr(hi)}" for lo, hi in _LATIN_RANGES) + "]"
@@ -61,11 +69,11 @@ def nfkc(text: Column) -> Column:
 
 def _separate_sql(normalized: str, dropped: str) -> str:
     """Stage 1 after NFKC, as an SQL expression over another one."""
-    return (f"trim(lower(regexp_replace(regexp_replace({normalized}, '([{CJK}])', ' $1 '), r'{dropped}', ' ')))")
+    return (f"trim(lower(regexp_replace(regexp_replace({normalized}, r'{_CJK_CHAR}', ' $0 '), r'{dropped}', ' ')))")
 
 
 def _separate(normalized: Column, dropped: str) -> Column:
-    spaced = F.regexp_replace(normalized, f"([{CJK}])", " $1 ")
+    spaced = F.regexp_replace(normalized, _CJK_CHAR, " $0 ")
     return F.trim(F.lower(F.regexp_replace(spaced, dropped, " ")))
 
 
