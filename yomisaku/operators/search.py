@@ -264,10 +264,10 @@ def clamp_page(limit: int, offset: int) -> tuple[int, int]:
 
 
 def _numbered(found: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
-    """Top rows first, then numbers for just those: the window never sees more than the page's end."""
-    top = found.orderBy(*order).limit(offset + limit)
-    numbered = top.withColumn("rn", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
-    return numbered.filter(F.col("rn") > offset)
+    """One page with its row numbers; the window sees only the page, however deep it lies."""
+    page = found.orderBy(*order).offset(offset).limit(limit)
+    place = F.row_number().over(Window.orderBy(*order)).cast("bigint")
+    return page.withColumn("rn", place + offset)
 
 
 def export_urls(posts: DataFrame, sites: DataFrame, index: Index, q: str = "", *, sort: str = "relevance",
