@@ -45,16 +45,20 @@ def highlight(text: Column, query: Column) -> Column:
     return F.when(pattern.isNull(), escaped).otherwise(F.regexp_replace(escaped, pattern, F.lit(MARK)))
 
 
-def _local(ts: Column) -> Column:
-    return F.convert_timezone(F.lit("UTC"), F.lit(ZONE), ts)
+def _local_text(ts: Column, chars: int) -> Column:
+    # From the text of the wall clock: date_format would pass through the session time zone.
+    local = F.convert_timezone(F.lit("UTC"), F.lit(ZONE), ts).cast("string")
+    return F.coalesce(F.translate(F.substring(local, 1, chars), "-", "/"), F.lit(""))
 
 
 def format_date(ts: Column) -> Column:
-    return F.coalesce(F.date_format(_local(ts), "yyyy/MM/dd"), F.lit(""))
+    """``yyyy/MM/dd`` in the readers' zone; NULL gives ''."""
+    return _local_text(ts, 10)
 
 
 def format_datetime(ts: Column) -> Column:
-    return F.coalesce(F.date_format(_local(ts), "yyyy/MM/dd HH:mm"), F.lit(""))
+    """``yyyy/MM/dd HH:mm`` in the readers' zone; NULL gives ''."""
+    return _local_text(ts, 16)
 
 
 def title_or_default(title: Column) -> Column:

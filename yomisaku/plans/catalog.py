@@ -41,7 +41,7 @@ def _plain(df: DataFrame) -> DataFrame:
     """Timestamps and lists as text, so that both engines print them alike."""
     def shown(f):
         if isinstance(f.dataType, T.TimestampNTZType):
-            return F.date_format(f.name, "yyyy-MM-dd HH:mm:ss").alias(f.name)
+            return F.substring(F.col(f.name).cast("string"), 1, 19).alias(f.name)
         if isinstance(f.dataType, T.ArrayType):
             return F.array_join(f.name, "|").alias(f.name)
         return F.col(f.name)
@@ -129,7 +129,7 @@ def landed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(taxonomy).alias("taxonomy"), n.alias("name")))
 
     def iso(column):
-        return F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss")
+        return F.translate(F.substring(F.col(column).cast("string"), 1, 19), " ", "T")
     body = F.to_json(F.struct(
         post_id.alias("id"),
         F.when(post_id % 4 == 0, F.concat(F.lit("/"), post_id.cast("string"), F.lit("/"))).otherwise(F.col("url"))
