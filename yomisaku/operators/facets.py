@@ -28,6 +28,15 @@ def site_counts(sites: DataFrame, posts: DataFrame, include_widgets: bool = Fals
             .orderBy("group_id", "name", "id"))
 
 
+def register_site_counts(sites: DataFrame, posts: DataFrame) -> None:
+    """Make ``site_counts`` callable in SQL as the table function ``list_sites_with_counts()``."""
+    site_counts(sites, posts).createOrReplaceTempView("site_counts")
+    sites.sparkSession.sql("""
+        create or replace temporary function list_sites_with_counts()
+        returns table (id string, name string, group_id string, url string, count bigint)
+        return select id, name, group_id, url, count from site_counts""")
+
+
 def _name_counts(posts: DataFrame, column: str) -> DataFrame:
     names = posts.select(F.explode(pipe_split(F.col(column))).alias("name"))
     return names.groupBy("name").agg(F.count("*").alias("count"))

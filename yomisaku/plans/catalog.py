@@ -9,7 +9,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from yomisaku import schemas
 from yomisaku.functions import cards, markup, posts as post_fn, text
 from yomisaku.operators import facets, index as ix, ingest, pages, query, search
 from yomisaku.plans.fixtures import load, with_views
@@ -804,6 +803,12 @@ def facet_sites(spark, sf_dir):
     return facets.site_counts(load(spark, sf_dir, "sites"), load(spark, sf_dir, "posts"))
 
 
+@register(with_views("posts", "sites") + f"select * from {SITE_COUNTS_SQL} x")
+def facet_sites_sql(spark, sf_dir):
+    facets.register_site_counts(load(spark, sf_dir, "sites"), load(spark, sf_dir, "posts"))
+    return spark.sql("select * from list_sites_with_counts()")
+
+
 @register(with_views("posts") + f"select name, count(*) as count from {NAMES_SQL.format(c='categories')} x group by name")
 def facet_categories(spark, sf_dir):
     return facets.category_counts(load(spark, sf_dir, "posts"))
