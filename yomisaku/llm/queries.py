@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from yomisaku.llm import decontaminate as dc
+from yomisaku.llm import bpe, decontaminate as dc, line_dedup, quality, warc
 from yomisaku.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,119 @@ from documents d left join counts using (doc_id) left join hit_words using (doc_
 @register(DECONTAMINATE_SQL)
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.report(dc.benchmark_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+QUALITY_SQL = r"""
+with base as (
+  select doc_id, lang, source, coalesce(text, '') as text,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as ls
+  from documents),
+windows as (
+  select doc_id, k, list_aggregate(ws[k:k + 4], 'string_agg', ' ') as win
+  from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as k from base where len(ws) >= 5)),
+found as (select doc_id, k, count(*) over (partition by doc_id, win) as n from windows),
+repeats as (select doc_id, count(distinct k + o) as n_repeat_words
+  from (select doc_id, k, unnest(range(0, 5)) as o from found where n > 1) group by 1),
+signals as (
+  select b.doc_id, lang, source, len(ws) as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) as word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+    len(ls) as n_lines, len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
+  from base b left join repeats using (doc_id)),
+rated as (
+  select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+    n_symbols / greatest(word_chars, 1) as symbol_rate, n_dup_lines / greatest(n_lines, 1) as dup_line_rate,
+    n_repeat_words / greatest(n_words, 1) as repeat_rate, word_chars / greatest(n_words, 1) as word_length
+  from signals),
+quartiles as (
+  select lang, source, count(*) as n,
+    quantile_disc(symbol_rate, 0.25) as s1, quantile_disc(symbol_rate, 0.75) as s3,
+    quantile_disc(dup_line_rate, 0.25) as d1, quantile_disc(dup_line_rate, 0.75) as d3,
+    quantile_disc(repeat_rate, 0.25) as r1, quantile_disc(repeat_rate, 0.75) as r3,
+    quantile_disc(word_length, 0.25) as l1, quantile_disc(word_length, 0.75) as l3
+  from rated where not base_failed group by 1, 2),
+fences as (
+  select lang as g_lang, source as g_source,
+    case when n >= 20 then greatest(0.1, s3 + 3.0 * (s3 - s1)) else 0.1 end as most_s,
+    case when n >= 20 then greatest(0.3, d3 + 3.0 * (d3 - d1)) else 0.3 end as most_d,
+    case when n >= 20 then greatest(0.1, r3 + 3.0 * (r3 - r1)) else 0.1 end as most_r,
+    case when n >= 20 then l1 - (6.0 * (l3 - l1) + 2.0) end as least_l,
+    case when n >= 20 then l3 + (6.0 * (l3 - l1) + 2.0) end as most_l
+  from quartiles)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and symbol_rate <= coalesce(most_s, 0.1) and dup_line_rate <= coalesce(most_d, 0.3)
+    and repeat_rate <= coalesce(most_r, 0.1) and coalesce(word_length >= least_l, true)
+    and coalesce(word_length <= most_l, true) as kept
+from rated left join fences on lang is not distinct from g_lang and source is not distinct from g_source
+"""
+
+
+@register(QUALITY_SQL)
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+LINES_SQL = r"""
+with lines as (
+  select doc_id, unnest(string_split(text, chr(10))) as s, generate_subscripts(string_split(text, chr(10)), 1) as i
+  from documents),
+full_lines as (
+  select doc_id, i, t, row_number() over (partition by doc_id order by i) as k
+  from (select doc_id, i, trim(translate(s, chr(9) || chr(13) || chr(11) || chr(12), '    ')) as t from lines) where t <> ''),
+windows as (
+  select a.doc_id, a.k, a.t || chr(10) || b.t || chr(10) || c.t as win
+  from full_lines a join full_lines b on a.doc_id = b.doc_id and b.k = a.k + 1
+  join full_lines c on a.doc_id = c.doc_id and c.k = a.k + 2),
+ranked as (
+  select doc_id, k, first_value(doc_id) over w as first_doc, first_value(k) over w as first_k
+  from windows window w as (partition by win order by doc_id, k rows between unbounded preceding and unbounded following)),
+gone as (
+  select distinct r.doc_id, l.i from (select doc_id, k, unnest(range(0, 3)) as o, first_doc, first_k from ranked
+    where not (doc_id = first_doc and k = first_k)) r
+  join full_lines l on l.doc_id = r.doc_id and l.k = r.k + r.o
+  where not (r.doc_id = r.first_doc and l.k < r.first_k + 3))
+select d.doc_id, case when n_cut > 0 then coalesce(kept, '') else d.text end as text, coalesce(n_cut, 0) as n_cut
+from documents d
+left join (select doc_id, count(*) as n_cut from gone group by 1) using (doc_id)
+left join (select doc_id, string_agg(s, chr(10) order by i) as kept from lines anti join gone using (doc_id, i) group by 1) using (doc_id)
+"""
+
+
+@register(LINES_SQL)
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_cut")
+
+
+PAGES_SQL = r"""
+with base as (select page_id, encode(coalesce(html, '')) as body from pages),
+digests as (select page_id, octet_length(body) as payload_bytes, sha1(body) as sha from base),
+firsts as (select sha, min(page_id) as first from digests group by 1),
+coded as (
+  select sha, list_aggregate(list_transform(range(0, 32), lambda g:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+      ((instr('0123456789abcdef', substr(sha, (g * 5) // 4 + 1, 1)) - 1) * 16
+       + greatest(instr('0123456789abcdef', substr(sha || '0', (g * 5) // 4 + 2, 1)) - 1, 0))
+      >> (3 - (g * 5) % 4)) % 32, 1)), 'string_agg', '') as payload_digest
+  from firsts)
+select page_id, payload_bytes, payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to
+from digests join firsts using (sha) join coded using (sha)
+"""
+
+
+@register(PAGES_SQL)
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_report(table(spark, sf_dir, "pages"))
+
+
+#: The vocabulary file; every executor has the public tokenizers installed.
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@register()
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
