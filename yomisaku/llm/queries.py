@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from yomisaku.llm import bpe, decontaminate as dc, line_dedup, quality, warc
+from yomisaku.llm import bpe, decontaminate as dc, line_dedup, ngram_join, quality, warc
 from yomisaku.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,30 @@ def vocabulary_path() -> str:
 @register()
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+SHINGLES_SQL = r"""
+with recursive ws as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda w: w <> '') as ws from documents),
+shingles as (
+  select distinct doc_id, list_aggregate(ws[k:k + 3], 'string_agg', ' ') as s
+  from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) as k from ws where len(ws) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by 1),
+common as (
+  select a.doc_id as x, b.doc_id as y, count(*) as c
+  from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (
+  select x, y from common join sizes sx on sx.doc_id = x join sizes sy on sy.doc_id = y
+  where 100 * c >= 85 * (sx.n + sy.n - c)),
+edges as (select x, y from links union all select y, x from links),
+reach as (select doc_id, doc_id as other from documents union select r.doc_id, e.y from reach r join edges e on e.x = r.other)
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id
+from documents d left join sizes using (doc_id)
+join (select doc_id, min(other) as component_id from reach group by 1) using (doc_id)
+"""
+
+
+@register(SHINGLES_SQL)
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
