@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from yomisaku.llm import bpe, decontaminate as dc, line_dedup, ngram_join, quality, warc
+from yomisaku.llm import bpe, decontaminate as dc, langid, line_dedup, ngram_join, quality, warc
 from yomisaku.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,3 +199,10 @@ join (select doc_id, min(other) as component_id from reach group by 1) using (do
 @register(SHINGLES_SQL)
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@register()
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs.filter(~langid.held_out()).filter("doc_id is not null"))
+    return langid.identify(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
