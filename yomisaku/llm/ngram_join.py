@@ -23,13 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from yomisaku.llm.bitmaps import bitmap, in_bitmap
 from yomisaku.llm.common import free_name, text_blocks, written
 from yomisaku.llm.components import components
 from yomisaku.llm.words import NOT_BLANK, Words, mix, runs
 
 HOT = 16
-#: Bits of the bitmaps; they are all that is broadcast.
-BITMAP = 1 << 25
 _SEEDS = [np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0xA54FF53A5F1D36F1)]
 
 _LONGS = T.ArrayType(T.LongType())
@@ -111,23 +110,6 @@ def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("t")).mapInArrow(run, schema)
 
 
-# ---- bitmaps
-
-def _bitmap(values: DataFrame, column: str) -> np.ndarray:
-    """Bits of the values' places; at most BITMAP / 64 rows reach the driver."""
-    bit = values.select(F.pmod(F.col(column), F.lit(BITMAP)).alias("bit"))
-    rows = (bit.selectExpr("cast(shiftright(bit, 6) as int) as w", "shiftleft(1L, cast(bit % 64 as int)) as b")
-            .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())
-    bits = np.zeros(BITMAP // 64, np.int64)
-    bits[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
-    return bits.view(np.uint64)
-
-
-def _in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    place = values & np.uint64(BITMAP - 1)
-    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-
-
 # ---- prefixes
 
 _PREFIX = T.StructType([*[T.StructField(c, T.LongType()) for c in ("a", "b", "n")], T.StructField("hot", T.DoubleType()),
@@ -150,14 +132,14 @@ def _prefixes(sigs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     some = sigs.filter(F.col("n") >= rule.least)
     counts = (some.select(F.explode(F.slice("head", 1, F.expr(f"n - ceil({rule.num} * n / {rule.den}) + 1").cast("int"))).alias("w"))
               .select(F.pmod("w", F.lit(1 << 31)).cast("int").alias("w")).groupBy("w").count().filter(F.col("count") > HOT))
-    shared = spark.sparkContext.broadcast(_bitmap(counts.select(F.col("w").cast("long").alias("w")), "w"))
+    shared = spark.sparkContext.broadcast(bitmap(counts.select(F.col("w").cast("long").alias("w")), "w"))
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for part in batches:
             ns = part.column(2).to_pylist()
             heads = _lists(part.column(3))
-            hots = [_in_bitmap(bits, h) for h in heads]
+            hots = [in_bitmap(bits, h) for h in heads]
             made = [_ordered(h, n, hot, rule) for h, n, hot in zip(heads, ns, hots)]
             share = [float(hot[:rule.prefix(n)].mean()) for hot, n in zip(hots, ns)]
             yield pa.RecordBatch.from_arrays(
@@ -175,7 +157,7 @@ def _prefixes(sigs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     short = base.filter("not enough")
 
     def whole(sets: list[np.ndarray]) -> list[tuple[np.ndarray, int]]:
-        return [_ordered(s, len(s), _in_bitmap(shared.value, s), rule)[:2] for s in sets]
+        return [_ordered(s, len(s), in_bitmap(shared.value, s), rule)[:2] for s in sets]
 
     again = _fetch(docs, short, rule, whole)
     mended = (short.drop("tokens", "cold").join(again, ["key", "b"]).withColumn("enough", F.lit(True)))
@@ -188,14 +170,14 @@ def _fetch(docs: DataFrame, need: DataFrame, rule: Rule, of=None) -> DataFrame:
     Texts are chosen by a bitmap before they are split into words; what it lets through wrongly goes in the join. ``of`` makes tokens
     and cold from whole sets; without it they are the whole set and its size.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(need, "t"))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(need, "t"))
     schema = T.StructType([*[T.StructField(c, T.LongType()) for c in ("doc", "key", "b")],
                            T.StructField("tokens", _LONGS), T.StructField("cold", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_blocks(batches):
             t = part.column(2).to_numpy().view(np.uint64)
-            part = part.filter(pa.array(_in_bitmap(bits.value, t)))
+            part = part.filter(pa.array(in_bitmap(bits.value, t)))
             if not part.num_rows:
                 continue
             sets = token_sets(part.column(1).combine_chunks() if isinstance(part.column(1), pa.ChunkedArray) else part.column(1), rule.k)
@@ -257,12 +239,12 @@ def _cold_pairs(classes: DataFrame, rule: Rule) -> DataFrame:
     rows = classes.filter("cold > 0").select("key", "n", "grp", F.posexplode(F.slice("tokens", 1, F.col("cold"))).alias("i", "w"))
     twice = (rows.select(F.pmod("w", F.lit(1 << 31)).cast("int").alias("w")).groupBy("w").count().filter("count > 1")
              .select(F.col("w").cast("long").alias("w")))
-    bits = classes.sparkSession.sparkContext.broadcast(_bitmap(twice, "w"))
+    bits = classes.sparkSession.sparkContext.broadcast(bitmap(twice, "w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             lists = _lists(part.column(3))
-            met = [np.flatnonzero(_in_bitmap(bits.value, x)) for x in lists]
+            met = [np.flatnonzero(in_bitmap(bits.value, x)) for x in lists]
             counts = np.array([len(m) for m in met])
             whose = np.repeat(np.arange(part.num_rows), counts)
             take = pa.array(whose)

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from yomisaku.llm import bpe, decontaminate as dc, langid, line_dedup, ngram_join, quality, warc
+from yomisaku.llm import bpe, chunk_dedup, decontaminate as dc, langid, licenses, line_dedup, ngram_join, pii, quality, warc
 from yomisaku.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,3 +206,58 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs.filter(~langid.held_out()).filter("doc_id is not null"))
     return langid.identify(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@register()
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.dedup_chunks(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_cut_bytes")
+
+
+def _templates_sql() -> str:
+    rows = ", ".join(f"({i}, '{name}', '{' '.join(licenses.normal_words(text))}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
+    return f"select * from (values {rows}) as t(k, name, words)"
+
+
+LICENSE_SQL = r"""
+with templates as (""" + _templates_sql() + r"""),
+template_grams as (
+  select k, name, ws[i] || ' ' || ws[i + 1] as g from (select k, name, string_split(words, ' ') as ws from templates) t,
+    range(1, 400) r(i) where i < len(ws)),
+template_counts as (select k, name, g, count(*) as c from template_grams group by all),
+template_sizes as (select k, count(*) as size from template_grams group by 1),
+pieces as (
+  select distinct doc_id, unnest(list_concat(string_split(text, chr(10)),
+    list_filter(string_split_regex(text, '\n[ \t\r]*\n'), lambda p: contains(p, chr(10))),
+    case when contains(text, chr(10)) then [text] else [] end)) as p
+  from documents),
+units as (
+  select row_number() over () as u, doc_id,
+    list_filter(string_split(regexp_replace(lower(p), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '') as ws from pieces),
+unit_grams as (
+  select u, doc_id, len(ws) - 1 as size, ws[i] || ' ' || ws[i + 1] as g
+  from (select u, doc_id, ws, unnest(range(1, len(ws))) as i from units where len(ws) between 2 and 400)),
+unit_counts as (select u, doc_id, size, g, count(*) as c from unit_grams group by all),
+matches as (
+  select u, doc_id, name, 2.0::double * sum(least(a.c, b.c)) / (any_value(a.size) + any_value(s.size)) as dice
+  from unit_counts a join template_counts b using (g) join template_sizes s using (k)
+  group by u, doc_id, k, name having 2.0::double * sum(least(a.c, b.c)) / (any_value(a.size) + any_value(s.size)) >= 0.8),
+best as (
+  select doc_id, arg_min(name, (-dice, name)) as license, max(dice) as dice, count(distinct u) as n_units from matches group by 1),
+names as (select doc_id, string_agg(name, ',' order by name) as licenses from (select distinct doc_id, name from matches) group by 1)
+select d.doc_id, license, dice, coalesce(licenses, '') as licenses, coalesce(n_units, 0) as n_units
+from documents d left join best using (doc_id) left join names using (doc_id)
+"""
+
+
+@register(LICENSE_SQL)
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+#: The key of the registered query; real data takes a secret one.
+PSEUDONYM_KEY = "example key"
+
+
+@register()
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), PSEUDONYM_KEY).select("doc_id", "text", "n_replaced")

@@ -63,20 +63,27 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        out = np.empty(len(self), np.uint64)
-        at = 0
-        while at < len(self):  # in parts, so that a very long text takes little memory
-            to = max(at + 1, int(np.searchsorted(self.starts, self.starts[at] + _HASH_BYTES)))
-            s, e = self.starts[at:to] - self.starts[at], self.ends[at:to] - self.starts[at]
-            sizes = e - s
-            firsts = np.cumsum(sizes) - sizes
-            step = np.arange(int(sizes.sum())) - np.repeat(firsts, sizes)
-            values = self.raw[self.starts[at]:self.ends[to - 1]][step + np.repeat(s, sizes)].astype(np.uint64)
-            values += np.uint64(1)
-            values *= _power_table(int(sizes.max()))[step]
-            out[at:to] = np.add.reduceat(values, firsts) + sizes.astype(np.uint64)
-            at = to
-        return mix(out)
+        return segment_hashes(self.raw, self.starts, self.ends)
+
+
+def segment_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each segment, none of which is empty; ``second`` = 1 gives another one."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):  # in parts, so that a very long text takes little memory
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + _HASH_BYTES)))
+        s, e = starts[at:to] - starts[at], ends[at:to] - starts[at]
+        sizes = e - s
+        firsts = np.cumsum(sizes) - sizes
+        step = np.arange(int(sizes.sum())) - np.repeat(firsts, sizes)
+        values = raw[starts[at]:ends[to - 1]][step + np.repeat(s, sizes)].astype(np.uint64)
+        if second:
+            values = values * np.uint64(0xC2B2AE3D27D4EB4F) ^ np.uint64(0x165667B19E3779F9)
+        values += np.uint64(1)
+        values *= _power_table(int(sizes.max()))[step]
+        out[at:to] = np.add.reduceat(values, firsts) + sizes.astype(np.uint64)
+        at = to
+    return mix(out)
 
 
 def runs(hashes: np.ndarray, k: int) -> np.ndarray:
