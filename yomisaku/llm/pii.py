@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from yomisaku.llm.common import free_name
 
 ROUNDS = 8
+_LETTERS, _BASE26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
 
 _ISO = r"\d{4}-\d{2}-\d{2}"
 _DOTTED = r"\d{2}\.\d{2}\.\d{4}"
@@ -38,10 +39,11 @@ def _number(c: Column) -> Column:
     return F.coalesce(c.try_cast("long"), F.lit(0).cast("long"))
 
 
-def feistel(kind: str, left: Column, right: Column, lefts: Column, rights: Column, key: str) -> Column:
-    """The pair (l, r) after a keyed permutation of all pairs below (lefts, rights)."""
+def feistel(kind: str, left: Column, right: Column, lefts: Column, rights: Column, key: str,
+            beside: Column | None = None) -> Column:
+    """The pair (l, r) after a keyed permutation of all pairs below (lefts, rights); another for each ``beside``."""
     def added(value: Column, i: Column) -> Column:
-        text = F.concat_ws("|", F.lit(key), F.lit(kind), lefts.cast("string"), rights.cast("string"), i.cast("string"), value.cast("string"))
+        text = F.concat_ws("|", F.lit(key), F.lit(kind), F.lit("") if beside is None else beside, lefts.cast("string"), rights.cast("string"), i.cast("string"), value.cast("string"))
         return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
     def turn(s: Column, i: Column) -> Column:
@@ -52,16 +54,21 @@ def feistel(kind: str, left: Column, right: Column, lefts: Column, rights: Colum
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn)
 
 
-def _ten_to(n: Column) -> Column:
-    return F.rpad(F.lit("1"), n + 1, "0").cast("long")
-
-
-def _digits(kind: str, s: Column, key: str) -> Column:
-    """A string of up to 36 digits permuted among those of its length."""
+def _written(kind: str, s: Column, base: int, key: str, beside: Column | None = None) -> Column:
+    """Up to 24 digits of a base (36 of base 10) permuted among those of their length; another permutation for each ``beside``."""
     n = F.length(s)
     half = F.floor(n / 2).cast("int")
-    pair = feistel(kind, _number(F.substr(s, F.lit(1), half)), _number(F.substr(s, half + 1)), _ten_to(half), _ten_to(n - half), key)
-    return _with(pair, lambda p: F.concat(F.lpad(p["l"].cast("string"), half, "0"), F.lpad(p["r"].cast("string"), n - half, "0")))
+
+    def power(k: Column) -> Column:
+        return F.conv(F.rpad(F.lit("1"), k + 1, "0"), base, 10).cast("long")
+
+    def value(part: Column) -> Column:
+        return F.conv(F.concat(F.lit("0"), part), base, 10).cast("long")
+
+    def shown(v: Column, k: Column) -> Column:
+        return F.lpad(F.lower(F.conv(v.cast("string"), 10, base)), k, "0")
+    pair = feistel(kind, value(F.substr(s, F.lit(1), half)), value(F.substr(s, half + 1)), power(half), power(n - half), key, beside)
+    return _with(pair, lambda p: F.concat(shown(p["l"], half), shown(p["r"], n - half)))
 
 
 def _with(value: Column, use) -> Column:
@@ -95,7 +102,7 @@ def _card(m: Column, key: str) -> tuple[Column, Column]:
     """First digit kept, the others permuted, check digit anew."""
     d = _only(m, "0-9")
     n = F.length(d)
-    body = F.concat(F.substr(d, F.lit(1), F.lit(1)), _digits("card", F.substr(d, F.lit(2), n - 2), key))
+    body = F.concat(F.substr(d, F.lit(1), F.lit(1)), _written("card", F.substr(d, F.lit(2), n - 2), 10, key))
     made = _with(body, lambda b: F.concat(b, ((10 - _luhn(F.concat(b, F.lit("0")))) % 10).cast("string")))
     return _luhn(d) == 0, _with(made, lambda p: _put_back(m, p, "0-9"))
 
@@ -160,7 +167,7 @@ def _iban(m: Column, key: str) -> tuple[Column, Column]:
         return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), add)
 
     account = F.substr(m, F.lit(5))
-    moved = _put_back(account, _digits("iban", _only(account, "0-9"), key), "0-9")
+    moved = _put_back(account, _written("iban", _only(account, "0-9"), 10, key), "0-9")
 
     def shown(a: Column) -> Column:
         open_ = F.concat(F.substr(m, F.lit(1), F.lit(2)), F.lit("00"), a)
@@ -169,24 +176,13 @@ def _iban(m: Column, key: str) -> tuple[Column, Column]:
 
 
 def _mail(m: Column, key: str) -> tuple[Column, Column]:
-    """Letters and digits of the local part permuted as numbers to base 36, the first 22 of them; the domain stays."""
+    """The digits of the local part permuted among digits, its letters (the first 24) among letters; the domain stays."""
     local = F.lower(F.substring_index(m, "@", 1))
-    letters = F.substr(_only(local, "a-z0-9"), F.lit(1), F.lit(22))
-    n = F.length(letters)
-    half = F.floor(n / 2).cast("int")
-
-    def power(k: Column) -> Column:
-        return F.conv(F.rpad(F.lit("1"), k + 1, "0"), 36, 10).cast("long")
-
-    def value(s: Column) -> Column:
-        return _number(F.conv(F.concat(F.lit("0"), s), 36, 10))
-    pair = feistel("mail", value(F.substr(letters, F.lit(1), half)), value(F.substr(letters, half + 1)), power(half), power(n - half), key)
-
-    def shown(p: Column) -> Column:
-        made = F.lower(F.concat(F.lpad(F.conv(p["l"].cast("string"), 10, 36), half, "0"), F.lpad(F.conv(p["r"].cast("string"), 10, 36), n - half, "0")))
-        rest = F.substr(_only(local, "a-z0-9"), F.lit(23))
-        return F.concat(_put_back(local, F.concat(made, rest), "a-z0-9"), F.substr(m, F.length(local) + 1))
-    return n > 0, _with(pair, shown)
+    digits, letters = F.substr(_only(local, "0-9"), F.lit(1), F.lit(24)), F.substr(_only(local, "a-z"), F.lit(1), F.lit(24))
+    moved = F.translate(_written("mail letters", F.translate(letters, _LETTERS, _BASE26), 26, key, digits), _BASE26, _LETTERS)
+    made = _put_back(local, F.concat(_written("mail digits", digits, 10, key), F.substr(_only(local, "0-9"), F.lit(25))), "0-9")
+    made = _with(made, lambda x: _put_back(x, F.concat(moved, F.substr(_only(local, "a-z"), F.lit(25))), "a-z"))
+    return F.length(digits) + F.length(letters) > 0, F.concat(made, F.substr(m, F.length(local) + 1))
 
 
 def pseudonym(m: Column, key: str) -> Column:
