@@ -23,7 +23,7 @@ ACCURACY = 10_000
 
 #: Per signal: the least that its fence may be, so that a group without spread rejects no ordinary text, how many
 #: spreads lie between the upper quartile and the fence, and the group size below which a fence is not trusted.
-FENCES = {"symbol_rate": (0.1, 3.0), "dup_line_rate": (0.3, 3.0), "repeat_rate": (0.1, 3.0)}
+FENCES = {"symbol_rate": (0.05, 3.0), "dup_line_rate": (0.3, 3.0), "repeat_rate": (0.2, 3.0)}
 WORD_LENGTH_SPREADS = 6.0
 WORD_LENGTH_SLACK = 2.0
 MIN_GROUP = 20

@@ -89,15 +89,15 @@ quartiles as (
   from rated where not base_failed group by 1, 2),
 fences as (
   select lang as g_lang, source as g_source,
-    case when n >= 20 then greatest(0.1, s3 + 3.0 * (s3 - s1)) else 0.1 end as most_s,
+    case when n >= 20 then greatest(0.05, s3 + 3.0 * (s3 - s1)) else 0.05 end as most_s,
     case when n >= 20 then greatest(0.3, d3 + 3.0 * (d3 - d1)) else 0.3 end as most_d,
-    case when n >= 20 then greatest(0.1, r3 + 3.0 * (r3 - r1)) else 0.1 end as most_r,
+    case when n >= 20 then greatest(0.2, r3 + 3.0 * (r3 - r1)) else 0.2 end as most_r,
     case when n >= 20 then l1 - (6.0 * (l3 - l1) + 2.0) end as least_l,
     case when n >= 20 then l3 + (6.0 * (l3 - l1) + 2.0) end as most_l
   from quartiles)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and symbol_rate <= coalesce(most_s, 0.1) and dup_line_rate <= coalesce(most_d, 0.3)
-    and repeat_rate <= coalesce(most_r, 0.1) and coalesce(word_length >= least_l, true)
+  not base_failed and symbol_rate <= coalesce(most_s, 0.05) and dup_line_rate <= coalesce(most_d, 0.3)
+    and repeat_rate <= coalesce(most_r, 0.2) and coalesce(word_length >= least_l, true)
     and coalesce(word_length <= most_l, true) as kept
 from rated left join fences on lang is not distinct from g_lang and source is not distinct from g_source
 """
