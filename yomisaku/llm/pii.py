@@ -31,8 +31,8 @@ PATTERN = (f"(?:{_ALONE}(?:(?:{_ISO}|{_DOTTED}|{_SLASHED}|{_SSN}|{_IP}|{_PHONE}|
            f"|{_MAIL})|(?<![\\p{{L}}\\p{{N}}_])\\([2-9]\\d{{2}}\\) ?[2-9]\\d{{2}}[ .-]\\d{{4}}{_CLOSED}"
            f"|(?<![\\p{{L}}\\p{{N}}_])\\+1[ .-]?(?:\\([2-9]\\d{{2}}\\) ?|[2-9]\\d{{2}}[ .-])[2-9]\\d{{2}}[ .-]\\d{{4}}{_CLOSED})")
 
-#: Dates of these years are permuted among themselves: 73,049 days = 319 * 229.
-FIRST_DAY, DAYS_LEFT, DAYS_RIGHT = "1900-01-01", 319, 229
+#: Dates from the first day to 2099-12-30 are permuted among themselves: 73,048 days = 184 * 397.
+FIRST_DAY, DAYS_LEFT, DAYS_RIGHT = "1900-01-01", 184, 397
 
 
 def _number(c: Column) -> Column:
