@@ -86,15 +86,34 @@ def test_matches_and_scores_like_brute_force(spark, tables):
         assert all(abs(got[i][d] - want[d]) < 1e-5 for d in want), q
 
 
-def test_tables_too_large_to_fetch_give_the_same(spark, tables, monkeypatch):
+def test_deep_pages_equal_shallow_ones(spark, tables, monkeypatch):
     posts, sites, index, _ = tables
-    searches = many(spark)
-    want = sorted(map(str, search.search_many(posts, sites, index, searches).collect()))
-    single = sorted(map(str, search.search_posts(posts, sites, index, 'th "of the"').collect()))
-    monkeypatch.setattr(search, "FEW_ROWS", 0)
-    assert sorted(map(str, search.search_many(posts, sites, index, searches).collect())) == want
-    assert sorted(map(str, search.search_posts(posts, sites, index, 'th "of the"').collect())) == single
-    assert want and single
+    options = {"limit": 25, "offset": 10}
+    want = sorted(map(str, search.search_posts(posts, sites, index, "th", **options).collect()))
+    urls = sorted(map(str, search.export_urls(posts, sites, index, "th", limit=30).collect()))
+    monkeypatch.setattr(search, "HEAP_ROWS", 0)
+    assert sorted(map(str, search.search_posts(posts, sites, index, "th", **options).collect())) == want
+    assert sorted(map(str, search.export_urls(posts, sites, index, "th", limit=30).collect())) == urls
+    whole = search.export_urls(posts, sites, index, "th").orderBy("rn").collect()
+    assert sorted(map(str, whole[:len(urls)])) == urls and want
+
+
+def test_export_has_no_last_row(spark):
+    found = spark.range(25000, numPartitions=7).select(F.lit("s").alias("site_id"), F.col("id").alias("post_id"), F.lit(0.0).alias("score"),
+                                                       (F.lit("2024-01-01").cast("timestamp_ntz")).alias("published_at"))
+    got = search.numbered(found, search.result_order("newest", False))
+    assert got.filter(F.col("rn") != F.col("post_id") + 1).count() == 0 and got.count() == 25000
+
+
+def test_any_number_of_terms_prunes_the_scan(spark, tables, tmp_path):
+    posts, sites, _, _ = tables
+    index = ix.write_index(posts, str(tmp_path / "index"))
+    q = " ".join(f'"{w}"' for w in ["the", *[f"zq{i}" for i in range(80)]])
+    hits = search.clause_hits(query.compile_queries(search.single_search(spark, q)), index)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(term" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert sorted(map(str, hits.select("post_id", "tf").collect())) == sorted(map(str, search.clause_hits(
+        query.compile_queries(search.single_search(spark, '"the"')), index).select("post_id", "tf").collect()))
 
 
 def many(spark):
@@ -114,7 +133,7 @@ def many(spark):
 def test_many_equals_single_searches(spark, tables):
     posts, sites, index, _ = tables
     searches = many(spark)
-    columns = ["rn", "total_count", "site_id", "post_id", "url", "categories"]
+    columns = ["rn", "total_count", "score", "site_id", "post_id", "url", "categories"]
     got = {}
     for r in search.search_many(posts, sites, index, searches).collect():
         got.setdefault(r.query_id, []).append(tuple(r[c] for c in columns))

@@ -1,8 +1,8 @@
 """Matching, ranking, filtering and paging of searches over the index.
 
-Everything works on a table of searches (``SEARCH``); a single search is a one-row table. Small tables of terms
-are fetched, counted and given back as literals, which lets Spark broadcast them and push term predicates into the
-scan; larger ones stay distributed and are joined by shuffle. Both ways give the same rows.
+Everything works on a table of searches (``SEARCH``); a single search is a one-row table. There is one plan for any
+number of searches and terms: tables of terms are written to the shared folder and joined, and Spark picks the join by
+their size. What is fetched to prune a scan is bounded by the number of index folders and of prefix lengths.
 """
 
 from functools import reduce
@@ -16,7 +16,7 @@ from yomisaku.functions.cards import (
 from yomisaku.functions.posts import pipe_split
 from yomisaku.operators.index import FIELD_SHIFT, FIELDS, Index, term_bucket
 from yomisaku.operators.query import clause_slots, compile_queries
-from yomisaku.session import localize, materialize
+from yomisaku.session import materialize
 
 DOC = ["site_id", "post_id"]
 FIELD_NAMES = [name for name, _ in FIELDS]
@@ -29,13 +29,12 @@ BM25_MIN_IDF = 1e-6
 CLASS_WEIGHTS = (1.0, 0.4, 0.2)
 
 # Fixed values of the search interface.
-DEFAULT_LIMIT, MAX_LIMIT = 30, 100
+DEFAULT_LIMIT = 30
 CARD_EXCERPT_CHARS = 200
-EXPORT_ROWS = 10100
 PAGE_WINDOW = 5
 
-FEW_ROWS = 20000      # slots or expanded terms kept as literals up to this many
-FEW_PREDICATES = 64   # term predicates pushed into the scan up to this many
+HEAP_ROWS = 10000     # a page that ends later in the result is cut from a distributed sort, not from a heap per task
+_LAST = "\U0010ffff"  # sorts after every letter of a term
 
 RESULT_COLUMNS = ["site_id", "post_id", "url", "title", "excerpt", "author", "published_at", "categories", "tags"]
 
@@ -46,19 +45,17 @@ def _any_of(predicates: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, predicates, F.lit(False))
 
 
-def _only_wanted(terms: DataFrame, rows: list[dict] | None) -> DataFrame:
-    """Terms some slot asks for, if they are few enough to filter by while scanning."""
-    if rows is None:
-        return terms
-    whole = sorted({r["term"] for r in rows if not r["is_prefix"] and r["term"]})
-    starts = sorted({r["term"] for r in rows if r["is_prefix"]})
-    if len(whole) + len(starts) > FEW_PREDICATES:
-        return terms
-    return terms.filter(_any_of([F.col("term") == t for t in whole]
-                                + [F.col("term").startswith(t) for t in starts]))
+def _only_wanted(terms: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Terms between the first and the last wanted one of each index folder; other folders are not read."""
+    bounds = (pairs.filter("term is not null").groupBy("bucket")
+              .agg(F.min("term").alias("low"), F.max("term").alias("high")).collect())
+    if not bounds:
+        return terms.filter(F.lit(False))
+    return terms.filter(F.col("bucket").isin([b.bucket for b in bounds])).filter(_any_of(
+        [(F.col("bucket") == b.bucket) & F.col("term").between(b.low, b.high) for b in bounds]))
 
 
-def expand_prefixes(slots: DataFrame, rows: list[dict] | None, vocab: DataFrame) -> DataFrame:
+def expand_prefixes(slots: DataFrame, vocab: DataFrame) -> DataFrame:
     """Slots with whole terms only: prefix slots become one slot per vocabulary term they begin.
 
     An equi join: each vocabulary term offers its beginnings of the lengths that occur among the prefixes.
@@ -66,18 +63,12 @@ def expand_prefixes(slots: DataFrame, rows: list[dict] | None, vocab: DataFrame)
     columns = [c for c in slots.columns if c != "is_prefix"]
     exact = slots.filter(~F.col("is_prefix")).select(columns)
     prefixes = slots.filter("is_prefix").withColumnRenamed("term", "prefix")
-    if rows is not None:
-        wanted = [r for r in rows if r["is_prefix"]]
-        if not wanted:
-            return exact
-        terms = _only_wanted(vocab.select("term"), wanted)
-        lengths = sorted({len(r["term"]) for r in wanted})
-        starts = terms.select("term", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n"))
-    else:
-        # As many starts as the term has letters, up to the longest prefix.
-        longest = prefixes.agg(F.coalesce(F.max(F.length("prefix")), F.lit(0))).scalar()
-        starts = vocab.select("term", F.explode(F.sequence(
-            F.lit(1), F.greatest(F.lit(1), F.least(F.length("term"), longest)))).alias("n"))
+    wanted = prefixes.groupBy(F.length("prefix").alias("n")).agg(
+        F.min("prefix").alias("low"), F.max(F.concat("prefix", F.lit(_LAST))).alias("high")).collect()
+    if not wanted:
+        return exact
+    terms = vocab.select("term").filter(F.col("term").between(min(w.low for w in wanted), max(w.high for w in wanted)))
+    starts = terms.select("term", F.explode(F.array(*[F.lit(w.n) for w in wanted])).alias("n"))
     starts = starts.filter(F.length("term") >= F.col("n")).select(
         "term", F.substring("term", F.lit(1), F.col("n")).alias("prefix"))
     return exact.unionByName(starts.join(prefixes, "prefix").select(columns))
@@ -85,20 +76,15 @@ def expand_prefixes(slots: DataFrame, rows: list[dict] | None, vocab: DataFrame)
 
 def clause_hits(clauses: DataFrame, index: Index) -> DataFrame:
     """Documents matching each clause, with its occurrences per field."""
-    return _slot_hits(*localize(clause_slots(clauses), FEW_ROWS), index)
+    return _slot_hits(materialize(clause_slots(clauses), "slots"), index)
 
 
-def _slot_hits(slots: DataFrame, rows: list[dict] | None, index: Index) -> DataFrame:
+def _slot_hits(slots: DataFrame, index: Index) -> DataFrame:
     """A clause of one term adds up its terms' counts. A phrase keeps the start positions its terms agree on: each
     term's positions are shifted back by its place, and a start found for all places is an occurrence.
     """
-    pairs = expand_prefixes(slots, rows, index.vocab).withColumn("bucket", term_bucket())
-    pairs, pair_rows = localize(pairs, FEW_ROWS)
-    terms = _only_wanted(index.terms, rows)
-    if pair_rows is not None:
-        # Reads only the folders the terms lie in.
-        terms = terms.filter(F.col("bucket").isin(sorted({r["bucket"] for r in pair_rows if r["term"]})))
-        pairs = F.broadcast(pairs)
+    pairs = materialize(expand_prefixes(slots, index.vocab).withColumn("bucket", term_bucket()), "pairs")
+    terms = _only_wanted(index.terms, pairs)
     found = terms.join(pairs, ["bucket", "term"]).selectExpr(
         "query_id", "clause_no", "n_clauses", *DOC, "doc_len", "n_slots",
         *[f"if(n_slots = 1, tf_{f}, null) as tf_{f}" for f in FIELD_NAMES],
@@ -133,17 +119,16 @@ def clause_idf(hits: DataFrame, corpus: DataFrame) -> DataFrame:
             .select("query_id", "clause_no", F.when(idf > 0, idf).otherwise(BM25_MIN_IDF).alias("idf")))
 
 
-def rank_bm25(hits: DataFrame, corpus: DataFrame, few_clauses: bool = False) -> DataFrame:
+def rank_bm25(hits: DataFrame, corpus: DataFrame) -> DataFrame:
     """Documents matching all clauses with their BM25 score, higher is better. A clause counts as one unit.
 
     ``hits`` is read twice, once to count each clause's documents; give it written if it is costly.
-    ``few_clauses`` says that the number of clauses was checked to be small.
     """
     idf = clause_idf(hits, corpus)
     average = corpus.select("avg_len").scalar()
     tf = F.col("tf")
     saturated = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("doc_len") / average))
-    scored = hits.join(F.broadcast(idf) if few_clauses else idf, ["query_id", "clause_no"])
+    scored = hits.join(idf, ["query_id", "clause_no"])
     return match_all(scored, F.round(F.sum(F.col("idf") * saturated), 6).alias("score"))
 
 
@@ -156,15 +141,15 @@ def rank_weighted(hits: DataFrame, weights=CLASS_WEIGHTS) -> DataFrame:
     return match_all(hits, F.round(F.sum(score), 6).alias("score"))
 
 
-def _ranked(slots: DataFrame, rows: list[dict] | None, index: Index, rank: str | None) -> DataFrame:
+def _ranked(slots: DataFrame, index: Index, rank: str | None) -> DataFrame:
     """Matching documents, with a score unless ``rank`` is None."""
-    hits = _slot_hits(slots, rows, index)
+    hits = _slot_hits(slots, index)
     if rank is None:
         return match_all(hits)
     if rank == "weighted":
         return rank_weighted(hits)
     # Written once, then read to count and to score.
-    return rank_bm25(materialize(hits, "hits"), index.corpus, rows is not None)
+    return rank_bm25(materialize(hits, "hits"), index.corpus)
 
 
 # ---- filters ----------------------------------------------------------------------------------------------------
@@ -223,79 +208,97 @@ def matches(posts: DataFrame, sites: DataFrame, index: Index, q: str = "", *, si
     """All posts a search finds, unordered, and whether it had a text part.
 
     Only the columns that order a result are carried: ``site_id``, ``post_id``, ``published_at`` and, unless
-    ``rank`` is None, ``score``. ``widgets_only=None`` searches articles and widget rows alike.
+    ``rank`` is None, ``score``. ``widgets_only=None`` searches articles and widget rows alike. Posts of unknown sites
+    are not found.
     """
     found = posts if widgets_only is None else filter_widgets(posts, widgets_only)
     found = filter_terms(filter_group(filter_sites(found, site_ids), sites, group_id), categories, tags)
+    found = found.join(sites.select(F.col("id").alias("site_id")), "site_id", "left_semi")
     found = found.select(*DOC, "published_at")
     searches = single_search(posts.sparkSession, q)
-    slots, rows = localize(clause_slots(compile_queries(searches, profile)), FEW_ROWS)
-    if rows == []:
+    slots = materialize(clause_slots(compile_queries(searches, profile)), "slots")
+    if slots.isEmpty():
         return (found if rank is None else found.withColumn("score", F.lit(0.0))), False
-    return found.join(_ranked(slots, rows, index, rank).drop("query_id"), DOC), True
+    return found.join(_ranked(slots, index, rank).drop("query_id"), DOC), True
 
 
 def search_posts(posts: DataFrame, sites: DataFrame, index: Index, q: str = "", *, sort: str = "relevance",
-                 limit: int = DEFAULT_LIMIT, offset: int = 0, rank: str = "bm25", **filters) -> DataFrame:
+                 limit: int = DEFAULT_LIMIT, offset: int = 0, rank: str = "bm25", max_limit: int | None = None,
+                 **filters) -> DataFrame:
     """One page of a search: result columns, ``total_count``, ``score`` and ``rn``, the place in the whole result.
 
-    Sorted by date a page carries no score: nothing is ranked then, and ``score`` is NULL.
+    Every row has its score, however the result is sorted, as in ``search_many``. ``max_limit`` bounds the page for
+    callers that serve others.
     """
-    limit, offset = clamp_page(limit, offset)
-    by_date = sort in ("newest", "oldest")
-    found, has_text = matches(posts, sites, index, q, rank=None if by_date else rank, **filters)
-    if by_date:
-        found = found.withColumn("score", F.lit(None).cast("double"))
+    limit, offset = clamp_page(limit, offset, max_limit)
+    found, has_text = matches(posts, sites, index, q, rank=rank, **filters)
     page = _numbered(found, result_order(sort, has_text), limit, offset)
     page = page.withColumn("total_count", found.agg(F.count("*")).scalar())
-    return _with_result_columns(page.drop("published_at"), posts, small=True)
+    return _with_result_columns(page.drop("published_at"), posts)
 
 
-def _with_result_columns(page: DataFrame, posts: DataFrame, small: bool) -> DataFrame:
-    """Fetch the wide columns of the chosen rows only; ``small`` pages are bounded by their limits."""
+def _with_result_columns(page: DataFrame, posts: DataFrame) -> DataFrame:
+    """Fetch the wide columns of the chosen rows only."""
     lists = {c: pipe_split(F.col(c)) for c in ("categories", "tags")}
-    rows = posts.select(*RESULT_COLUMNS).join(F.broadcast(page) if small else page, DOC).withColumns(lists)
+    rows = posts.select(*RESULT_COLUMNS).join(page, DOC).withColumns(lists)
     first = [c for c in page.columns if c not in DOC]
     return rows.select(*first, *RESULT_COLUMNS)
 
 
-def clamp_page(limit: int, offset: int) -> tuple[int, int]:
-    return max(1, min(limit, MAX_LIMIT)), max(0, offset)
+def clamp_page(limit: int, offset: int, max_limit: int | None = None) -> tuple[int, int]:
+    return max(1, limit if max_limit is None else min(limit, max_limit)), max(0, offset)
+
+
+def numbered(found: DataFrame, order: list[Column]) -> DataFrame:
+    """All rows with their place ``rn`` in the order, from a distributed sort.
+
+    A row's place is its place in its sorted partition after the rows of the partitions before; only the partitions'
+    sizes meet in one task.
+    """
+    done = materialize(found.orderBy(*order).withColumn("at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("at", 33).alias("part")
+    sizes = done.groupBy(part).agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    place = F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1) + 1
+    return done.withColumn("part", part).join(before, "part").withColumn("rn", place).drop("part", "at", "before")
 
 
 def _numbered(found: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
-    """One page with its row numbers; the window sees only the page, however deep it lies."""
+    """One page with its row numbers; a shallow one from the first rows of each task."""
+    if offset + limit > HEAP_ROWS:
+        return numbered(found, order).filter((F.col("rn") > offset) & (F.col("rn") <= offset + limit))
     page = found.orderBy(*order).offset(offset).limit(limit)
     place = F.row_number().over(Window.orderBy(*order)).cast("bigint")
     return page.withColumn("rn", place + offset)
 
 
 def export_urls(posts: DataFrame, sites: DataFrame, index: Index, q: str = "", *, sort: str = "relevance",
-                rank: str = "bm25", **filters) -> DataFrame:
-    """Non-blank urls among the first results of a search, in order."""
+                rank: str = "bm25", limit: int | None = None, **filters) -> DataFrame:
+    """Non-blank urls of all results of a search, or of the first ``limit``, with their places."""
     by_date = sort in ("newest", "oldest")
     found, has_text = matches(posts, sites, index, q, rank=None if by_date else rank, **filters)
-    numbered = _numbered(found, result_order(sort, has_text), EXPORT_ROWS, 0)
-    urls = posts.select(*DOC, "url").join(F.broadcast(numbered.select(*DOC, "rn")), DOC)
+    order = result_order(sort, has_text)
+    placed = numbered(found, order) if limit is None else _numbered(found, order, limit, 0)
+    urls = posts.select(*DOC, "url").join(placed.select(*DOC, "rn"), DOC)
     return urls.filter(F.col("url") != "").select("rn", "url")
 
 
 # ---- many searches ----------------------------------------------------------------------------------------------
 
 def search_many(posts: DataFrame, sites: DataFrame, index: Index, searches: DataFrame,
-                rank: str = "bm25", profile: str = "local") -> DataFrame:
+                rank: str = "bm25", profile: str = "local", max_limit: int | None = None) -> DataFrame:
     """The requested page of every search: ``query_id``, ``rn``, ``total_count``, ``score``, result columns.
 
     Posts of unknown sites are not found. A search without text is joined by site, one with text by document; a
     search that matches everything is ranked in salted parts before its top rows meet.
     """
-    searches, rows = localize(searches, FEW_ROWS)
-    slots, slot_rows = localize(clause_slots(compile_queries(searches, profile)), FEW_ROWS)
-    request = _requests(searches)
+    searches = materialize(searches, "searches")
+    slots = materialize(clause_slots(compile_queries(searches, profile)), "slots")
+    request = _requests(searches, max_limit)
     meta = posts.select(*DOC, "published_at", "categories", "tags")
     known = sites.select(F.col("id").alias("site_id"), F.col("group_id").alias("site_group"))
 
-    with_text = _ranked(slots, slot_rows, index, rank).join(request, "query_id").join(known, "site_id").join(meta, DOC)
+    with_text = _ranked(slots, index, rank).join(request, "query_id").join(known, "site_id").join(meta, DOC)
     blank = request.join(slots.select("query_id").distinct(), "query_id", "left_anti")
     reach = _reachable_sites(blank, known, _parts(posts.sparkSession))
     without_text = (meta.join(reach, "site_id").join(request, "query_id").join(known, "site_id")
@@ -305,20 +308,15 @@ def search_many(posts: DataFrame, sites: DataFrame, index: Index, searches: Data
         without_text.withColumn("has_text", F.lit(False)))
     found = found.filter(_request_filter()).select(
         "query_id", *DOC, "published_at", "score", "has_text", "sort", "lim", "off")
-    deepest = None if rows is None else max(
-        [clamp_page(_or(r["lim"], DEFAULT_LIMIT), 0)[0] + max(0, _or(r["off"], 0)) for r in rows], default=0)
-    return _with_result_columns(_top_pages(found, deepest), posts, small=False)
-
-
-def _or(value, default):
-    return default if value is None else value
+    deepest = request.agg(F.coalesce(F.max(F.col("lim") + F.col("off")), F.lit(0))).first()[0]
+    return _with_result_columns(_top_pages(found, deepest), posts)
 
 
 def _parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _requests(searches: DataFrame) -> DataFrame:
+def _requests(searches: DataFrame, max_limit: int | None) -> DataFrame:
     none = F.array().cast("array<string>")
     lim = F.coalesce("lim", F.lit(DEFAULT_LIMIT))
     return searches.select(
@@ -329,8 +327,8 @@ def _requests(searches: DataFrame) -> DataFrame:
         F.transform(F.coalesce("categories", none), F.lower).alias("want_categories"),
         F.transform(F.coalesce("tags", none), F.lower).alias("want_tags"),
         F.coalesce("widgets_only", F.lit(False)).alias("widgets_only"),
-        F.least(F.greatest(lim, F.lit(1)), F.lit(MAX_LIMIT)).alias("lim"),
-        F.greatest(F.coalesce("off", F.lit(0)), F.lit(0)).alias("off"))
+        F.least(F.greatest(lim, F.lit(1)), F.lit(max_limit)).cast("bigint").alias("lim"),
+        F.greatest(F.coalesce("off", F.lit(0)), F.lit(0)).cast("bigint").alias("off"))
 
 
 def _reachable_sites(requests: DataFrame, known: DataFrame, parts: int) -> DataFrame:
@@ -360,8 +358,8 @@ def _request_filter() -> Column:
             & names_match("categories") & names_match("tags"))
 
 
-def _top_pages(found: DataFrame, deepest: int | None) -> DataFrame:
-    """Page and total of each search. ``deepest`` is the last row any of them asks for, if known."""
+def _top_pages(found: DataFrame, deepest: int) -> DataFrame:
+    """Page and total of each search. ``deepest`` is the last row any of them asks for."""
     totals = found.groupBy("query_id").agg(F.count("*").alias("total_count"))
     by_score = ~F.col("sort").isin("newest", "oldest") & F.col("has_text")
     order = [F.when(by_score, F.col("score")).desc(),
@@ -372,8 +370,7 @@ def _top_pages(found: DataFrame, deepest: int | None) -> DataFrame:
 
     def first_rows(rows, *keys):
         rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-        if deepest is not None:
-            rows = rows.filter(F.col("rn") <= deepest)  # a literal: Spark cuts the groups before the shuffle too
+        rows = rows.filter(F.col("rn") <= deepest)  # a literal: Spark cuts the groups before the shuffle too
         return rows.filter(F.col("rn") <= last)
     # A row among the first of its search is among the first of its part, so the parts can be cut separately.
     salted = found.withColumn("salt", F.pmod(F.xxhash64(*DOC), F.lit(_parts(found.sparkSession))))

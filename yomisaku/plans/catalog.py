@@ -722,13 +722,13 @@ def search_relevance(spark, sf_dir):
 @register(with_views("posts") + f""", {PADDED} select count(*) as total_count from padded
 where {has_sql("' the'")} and post_id <> -1""")
 def search_total(spark, sf_dir):
-    found, _ = search.matches(*corpus(spark, sf_dir), "the")
+    found, _ = search.matches(*corpus(spark, sf_dir), "the", rank=None)
     return found.agg(F.count("*").alias("total_count"))
 
 
 @register(with_views("posts") + f""", {PADDED}, n as (select url, row_number() over (order by {NEWEST}) as rn
   from posts join padded using (site_id, post_id) where {has_sql("' the'")} and post_id <> -1)
-select rn, url from n where rn <= 10100 and url <> ''""")
+select rn, url from n where url <> ''""")
 def export_urls(spark, sf_dir):
     return search.export_urls(*corpus(spark, sf_dir), "the", sort="newest")
 

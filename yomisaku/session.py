@@ -28,11 +28,14 @@ def local_session(cores: str = "8", app: str = "yomisaku", memory: str = "12g")
 def scratch_root(spark: SparkSession) -> str:
     """The folder shared by all executors: ``spark.checkpoint.dir`` of the session.
 
-    Only a session without that setting (tests, the bench) gets a temporary folder of its own.
+    Only a local session without that setting (tests, the bench) gets a temporary folder of its own; executors on
+    other machines would not see it.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_roots:
         _own_roots[app] = tempfile.mkdtemp(prefix="yomisaku-")
@@ -53,15 +56,3 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def localize(df: DataFrame, max_rows: int) -> tuple[DataFrame, list[dict] | None]:
-    """A table of at most ``max_rows`` rows as a local relation together with its rows, a larger one unchanged.
-
-    Never fetches more than one row beyond the bound. Spark knows the exact size of a local relation, so it broadcasts
-    it and folds constants through it.
-    """
-    fetched = df.limit(max_rows + 1).toArrow()
-    if fetched.num_rows > max_rows:
-        return df, None
-    return df.sparkSession.createDataFrame(fetched, df.schema), fetched.to_pylist()
