@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from yomisaku import schemas
@@ -156,3 +157,70 @@ def test_stream_takes_new_files_once_and_replays_safely(spark, tmp_path):
     assert state() == after
     run("c2")  # a lost checkpoint replays everything
     assert state() == after
+
+
+def test_store_keeps_its_slice_count_and_one_row_a_key(spark, tmp_path):
+    path = str(tmp_path / "store")
+    first = make_posts(spark, [("a", i, f"t{i}", "x", 1) for i in range(20)])
+    store.write_posts(first.withColumn("seq", F.lit(1)).unionByName(first.withColumns({"title": F.lit("later"), "seq": F.lit(2)})), path, slices=7)
+    assert {r.title for r in store.read_posts(spark, path).collect()} == {"later"} and store.read_posts(spark, path).count() == 20
+    store.merge_posts(spark, path, first.withColumn("seq", F.lit(None).cast("bigint")))
+    assert sorted(r.title for r in store.read_posts(spark, path).collect()) == sorted(f"t{i}" for i in range(20))
+    with pytest.raises(ValueError, match="7 slices"):
+        store.merge_posts(spark, path, first.withColumn("seq", F.lit(3)), slices=64)
+
+
+def test_a_merge_that_breaks_off_loses_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    store.write_posts(make_posts(spark, [("a", i, f"t{i}", "x", 1) for i in range(12)]), path, slices=3)
+    batch = make_posts(spark, [("a", 1, "new", "x", 2), ("b", 5, "other", "x", 2)]).withColumn("seq", F.lit(1))
+    with monkeypatch.context() as m:
+        calls = []
+        m.setattr(store, "_finish", lambda *a: calls.append(a) or (len(calls) > 1 and (_ for _ in ()).throw(RuntimeError("lost"))))
+        with pytest.raises(RuntimeError):
+            store.merge_posts(spark, path, batch)
+    titles = sorted(r.title for r in store.read_posts(spark, path).collect())
+    assert titles == sorted(["new", "other", *[f"t{i}" for i in range(12) if i != 1]])
+    store.merge_posts(spark, path, make_posts(spark, [("b", 6, "third", "x", 2)]).withColumn("seq", F.lit(1)))
+    assert store.read_posts(spark, path).count() == 14
+    store.merge_posts(spark, path, batch)
+    assert sorted(r.title for r in store.read_posts(spark, path).collect()) == sorted([*titles, "third"])
+
+
+def test_a_merge_reads_touched_slices_only(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store.write_posts(make_posts(spark, [(s, i, "t", "x", 1) for s in "abc" for i in range(12)]), path, slices=4)
+    keys = store._sliced(spark.createDataFrame([("b", 3)], "site_id string, post_id long"), 4)
+    plan = store._touched_slices(spark, path, keys)._jdf.queryExecution().executedPlan().toString()
+    assert "slice" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_bodies_with_something_else_are_told(spark):
+    bodies = spark.createDataFrame([
+        (1, '\n\t[{"id": 1}, {"id": 2}]'), (2, ' {"id": 3}'), (3, '[{"id": 4}, 5]'), (4, "<html>down</html>"), (5, '[{"id": 6}'),
+        (6, ""), (7, None), (8, "[]"), (9, '{"code": "rest_no_route"}')], "n int, body string")
+    posts = landing.parse_posts(bodies)
+    assert sorted((r.n, r.id) for r in posts.collect()) == [(1, 1), (1, 2), (2, 3)]
+    rejects = {r.n: r.reason for r in landing.rejected_bodies(bodies).collect()}
+    assert rejects == {3: "no_post", 4: "malformed", 5: "malformed", 6: "missing", 7: "missing", 9: "no_post"}
+
+
+def test_lines_that_are_no_posts_are_told(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"site_id": "a", "seq": 1, "id": 7}\n{"site_id": "a", "seq"\n')
+    assert [r.id for r in landing.read_posts_json(spark, str(tmp_path)).collect()] == [7]
+    assert [r.body for r in landing.unreadable_posts(spark, str(tmp_path)).collect()] == ['{"site_id": "a", "seq"']
+
+
+def test_posts_of_unknown_sites_stay(spark):
+    landed = landing.parse_posts(spark.createDataFrame([("x", '{"id": 1, "link": "/p"}')], "site_id string, body string"))
+    sites = spark.createDataFrame([("a", "A", "https://a", "g", None, at(9))], schemas.SITES)
+    got = ingest.normalize_posts(landed, sites).collect()
+    assert [(r.post_id, r.url) for r in got] == [(1, "/p")]
+    assert ingest.incremental_filter(ingest.normalize_posts(landed, sites), sites).count() == 1
+
+
+def test_second_response_has_no_fallback(spark):
+    rows = spark.createDataFrame([(200, "text/html", True), (200, "application/json", True), (404, "application/json", True),
+                                  (400, "text/html", True), (403, None, True), (200, "text/html", False), (301, None, None)],
+                                 "status int, content_type string, is_fallback boolean")
+    assert [r.outcome for r in landing.classify_responses(rows).collect()] == ["error", "ok", "error", "end", "blocked", "fallback", "fallback"]

@@ -15,11 +15,11 @@ KEY = ["site_id", "post_id"]
 
 
 def normalize_posts(landed: DataFrame, sites: DataFrame) -> DataFrame:
-    """Landed posts to flat post rows; an arrival ``seq`` is kept."""
+    """Landed posts to flat post rows; an arrival ``seq`` is kept. Links of posts of unknown sites stay as they are."""
     base = sites.select(F.col("id").alias("site_id"), F.col("url").alias("base_url"))
     embedded = F.col("_embedded")
     kept = ["seq"] if "seq" in landed.columns else []
-    return landed.join(base, "site_id").select(
+    return landed.join(base, "site_id", "left").select(
         "site_id",
         F.col("id").alias("post_id"),
         absolutize(F.col("link"), F.col("base_url")).alias("url"),
@@ -38,10 +38,13 @@ def normalize_posts(landed: DataFrame, sites: DataFrame) -> DataFrame:
 def last_arrivals(batch: DataFrame, newest_wins: bool = False) -> DataFrame:
     """One row per key: the last arrival by ``seq``, or the newest by ``modified_at`` then ``seq``.
 
-    Aggregated map-side, so a key repeated any number of times leaves each task as one row.
+    A missing ``seq`` comes before all others; among several the newest counts. Aggregated map-side, so a key repeated
+    any number of times leaves each task as one row.
     """
     values = [c for c in batch.columns if c not in KEY]
-    order = F.struct("modified_at", "seq") if newest_wins else F.col("seq")
+    seq = F.coalesce("seq", F.lit(-1).cast("bigint")) if "seq" in batch.columns else F.lit(-1).cast("bigint")
+    # A struct is never NULL, so no row is lost to a NULL order.
+    order = F.struct("modified_at", seq) if newest_wins else F.struct(seq, "modified_at")
     latest = batch.groupBy(*KEY).agg(F.max_by(F.struct(*values), order).alias("row"))
     return latest.select(*KEY, "row.*").select(*batch.columns)
 
@@ -71,11 +74,11 @@ def upsert_sites(sites: DataFrame, configured: DataFrame) -> DataFrame:
 
 
 def incremental_filter(batch: DataFrame, sites: DataFrame, purge: bool = False) -> DataFrame:
-    """Posts modified strictly after their site's mark; all of them without a mark or in a purge run."""
+    """Posts modified strictly after their site's mark; all of them without a mark or site, or in a purge run."""
     if purge:
         return batch
     marks = sites.select(F.col("id").alias("site_id"), F.col("last_modified").alias("mark"))
-    return (batch.join(marks, "site_id")
+    return (batch.join(marks, "site_id", "left")
             .filter(F.col("mark").isNull() | (F.col("modified_at") > F.col("mark"))).drop("mark"))
 
 

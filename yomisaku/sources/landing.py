@@ -9,16 +9,58 @@ DEFAULT_GROUP = "backlink"  # fixed value
 _POSTS = T.ArrayType(schemas.POST_JSON)
 
 
+_BLANKS = r"^[ \t\r\n]+"  # what JSON takes for white space
+_REST = "_unreadable"
+
+
+def _lines(read, path: str) -> DataFrame:
+    schema = T.StructType([*schemas.LANDED_POST.fields, T.StructField(_REST, T.StringType())])
+    return read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _REST).json(path)
+
+
 def read_posts_json(spark: SparkSession, path: str) -> DataFrame:
     """Landed posts, one JSON object per line, with their site and arrival sequence."""
-    return spark.read.schema(schemas.LANDED_POST).json(path)
+    return _lines(spark.read, path).filter(F.col(_REST).isNull()).drop(_REST)
+
+
+def unreadable_posts(spark: SparkSession, path: str) -> DataFrame:
+    """The landed lines that are no posts: their text as ``body``, what is known of the site, and the file they are in."""
+    rest = _lines(spark.read, path).select("site_id", F.col(_REST).alias("body"), F.input_file_name().alias("file"))
+    return rest.filter("body is not null")
+
+
+def _parsed(bodies: DataFrame, body: str) -> DataFrame:
+    text = F.regexp_replace(body, _BLANKS, "")
+    wrapped = F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
+    return bodies.withColumn("_posts", F.when(text != "", F.from_json(wrapped, _POSTS)))
+
+
+def _is_post(p: Column) -> Column:
+    return p.isNotNull() & p["id"].isNotNull()
 
 
 def parse_posts(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """Parse a column of posts API bodies (one object or an array of them): one row per post."""
-    wrapped = F.when(F.ltrim(body).startswith("["), F.col(body)).otherwise(
-        F.concat(F.lit("["), F.col(body), F.lit("]")))
-    return bodies.withColumn("post", F.explode(F.from_json(wrapped, _POSTS))).drop(body).select("*", "post.*").drop("post")
+    """Parse a column of posts API bodies (one object or an array of them): one row per post.
+
+    What is no post gives no row here, but one in ``rejected_bodies``.
+    """
+    posts = _parsed(bodies, body).withColumn("post", F.explode(F.filter("_posts", _is_post)))
+    return posts.drop(body, "_posts").select("*", "post.*").drop("post")
+
+
+def rejected_bodies(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """The bodies that hold something else than posts, with ``reason``: ``missing``, ``malformed`` or ``no_post``.
+
+    ``no_post`` is valid JSON with an element that is no object with an id; Spark reads no post of an array that holds
+    anything but objects. An empty array holds nothing and is no reject.
+    """
+    whole = F.size(F.filter("_posts", _is_post)) == F.size("_posts")
+    text = F.regexp_replace(body, _BLANKS, "")
+    # An array that does not end, or text around the JSON, is parsed in part or not at all.
+    valid = F.expr(f"try_parse_json({'`' + body + '`'}) is not null")
+    reason = (F.when(F.col(body).isNull() | (text == ""), "missing").when(~valid, "malformed")
+              .when(F.coalesce(whole, F.lit(False)), None).otherwise("no_post"))
+    return _parsed(bodies, body).withColumn("reason", reason).filter("reason is not null").drop("_posts")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -36,25 +78,33 @@ def normalize_sites(configured: DataFrame) -> DataFrame:
     )
 
 
-def response_class(status: Column, content_type: Column) -> Column:
-    """What a landed response means for the page walk."""
+def response_class(status: Column, content_type: Column, is_fallback: Column | None = None) -> Column:
+    """What a landed response means for the page walk; after a fallback there is no other to fall back to."""
     is_json = F.coalesce(F.lower(content_type).contains("json"), F.lit(False))
     redirect = status.between(300, 399)
-    return (F.when(status == 403, "blocked")
-            .when((status == 404) | redirect | ~is_json, "fallback")
-            .when(status == 400, "end")
-            .when(status >= 400, "error")
-            .otherwise("ok"))
+    first = (F.when(status == 403, "blocked")
+             .when((status == 404) | redirect | ~is_json, "fallback")
+             .when(status == 400, "end")
+             .when(status >= 400, "error")
+             .otherwise("ok"))
+    if is_fallback is None:
+        return first
+    second = F.when(status == 403, "blocked").when(status == 400, "end").when((status >= 300) | ~is_json, "error").otherwise("ok")
+    return F.when(F.coalesce(is_fallback, F.lit(False)), second).otherwise(first)
 
 
 def classify_responses(responses: DataFrame) -> DataFrame:
-    """Add ``outcome`` and the page counters, which default to one page and no total."""
+    """Add ``outcome`` and the page counters, which default to one page and no total.
+
+    A column ``is_fallback``, where there is one, marks responses to the second way of asking.
+    """
     def header(name, default):
         return F.coalesce(F.col(name).try_cast("int"), F.lit(default)).alias(name)
     counters = [header(n, d) for n, d in (("total_pages", 1), ("total", 0)) if n in responses.columns]
     others = [c for c in responses.columns if c not in ("total_pages", "total")]
+    second = F.col("is_fallback") if "is_fallback" in responses.columns else None
     return responses.select(
-        *others, *counters, response_class(F.col("status"), F.col("content_type")).alias("outcome"))
+        *others, *counters, response_class(F.col("status"), F.col("content_type"), second).alias("outcome"))
 
 
 def parse_run_ledger(lines: DataFrame, line: str = "line") -> DataFrame:

@@ -1,14 +1,18 @@
 """The article store: Parquet partitioned by site and by a hash of the post id.
 
 The second level splits large sites, so a batch rewrites only the slices its posts fall into, and a scan of one
-large site still spreads over many tasks.
+large site still spreads over many tasks. The number of slices is written with the store and always read from there.
+
+A batch's new slices are written in full to ``_pending`` and marked as ready before the old ones are replaced. Readers
+take ready slices instead of stored ones, and the next writer finishes a replacement that was broken off, so no row is
+lost in between. A store has one writer at a time.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from yomisaku import schemas
 from yomisaku.functions.text import with_index_text
-from yomisaku.operators.ingest import KEY, delete_posts, upsert_posts
+from yomisaku.operators.ingest import KEY, delete_posts, last_arrivals, upsert_posts
 from yomisaku.session import materialize
 from yomisaku.sources.landing import DEFAULT_GROUP
 
@@ -33,53 +37,116 @@ def _by_slice(sliced: DataFrame) -> DataFrame:
     return sliced.hint("rebalance", "site_id", "slice")
 
 
-def _overwrite_slices(sliced: DataFrame, path: str) -> None:
-    (_by_slice(sliced).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("site_id", "slice").parquet(path))
+def _files(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and a maker of its paths."""
+    jvm = spark.sparkContext._jvm
+    make = jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def _pending(path: str) -> str:
+    return f"{path}/_pending"
+
+
+def _ready(spark: SparkSession, path: str) -> DataFrame | None:
+    """The slices of a batch that are complete beside the store but may not have replaced the old ones yet."""
+    files, make = _files(spark, path)
+    return spark.read.schema(_STORED).parquet(_pending(path)) if files.exists(make(_pending(path) + "/_SUCCESS")) else None
+
+
+def _finish(spark: SparkSession, path: str) -> None:
+    """Replace the slices that a complete batch left ready. For writers only, of which there is one at a time."""
+    ready = _ready(spark, path)
+    if ready is not None:
+        (_by_slice(ready).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("site_id", "slice").parquet(path))
+    files, make = _files(spark, path)
+    files.delete(make(_pending(path)), True)
+
+
+def _replace_slices(sliced: DataFrame, path: str) -> None:
+    """The new slices first as a whole beside the store; Spark marks the copy when its last task is done."""
+    sliced.select(*_STORED.names).write.mode("overwrite").parquet(_pending(path))
+    _finish(sliced.sparkSession, path)
+
+
+def _slice_count(spark: SparkSession, path: str, slices: int | None) -> int:
+    stored = spark.read.schema("slices int").json(f"{path}/_slices").first().slices
+    if slices not in (None, stored):
+        raise ValueError(f"the store has {stored} slices a site, not {slices}")
+    return stored
 
 
 def write_posts(posts: DataFrame, path: str, slices: int = SLICES) -> None:
     """Write a whole store, with the prepared text columns, which are made after the shuffle.
 
-    ``slices`` bounds what a batch rewrites: choose it so that a slice of a large site fits in a few files.
+    ``slices`` bounds what a batch rewrites: choose it so that a slice of a large site fits in a few files. Of rows
+    with one key the last arrival is kept.
     """
-    sliced = _by_slice(_sliced(posts, slices))
+    sliced = _by_slice(_sliced(last_arrivals(posts), slices))
     if "content_idx" not in posts.columns:
         sliced = with_index_text(sliced)
+    sliced = sliced.drop("seq")
     sliced.write.mode("overwrite").partitionBy("site_id", "slice").parquet(path)
+    posts.sparkSession.range(1).selectExpr(f"{slices} as slices").coalesce(1).write.mode("overwrite").json(f"{path}/_slices")
 
 
 def _read_slices(spark: SparkSession, path: str) -> DataFrame:
     # With its own schema Spark does not guess the type of site ids from folder names.
-    return spark.read.schema(_STORED).parquet(path).select(*_STORED.names)
+    stored = spark.read.schema(_STORED).parquet(path).select(*_STORED.names)
+    ready = _ready(spark, path)
+    if ready is None:
+        return stored
+    return stored.join(_slice_of(ready), ["site_id", "slice"], "left_anti").unionByName(ready.select(*_STORED.names))
 
 
 def read_posts(spark: SparkSession, path: str) -> DataFrame:
     return _read_slices(spark, path).filter(F.col("post_id").isNotNull()).drop("slice")
 
 
+def _touched_slices(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """The stored rows of the slices that some keys fall into; other slices are not read.
+
+    The filter on folders is fetched: a batch touches at most sites * slices of them.
+    """
+    wanted: dict[str, list[int]] = {}
+    for r in _slice_of(keys).collect():
+        wanted.setdefault(r.site_id, []).append(r.slice)
+    stored = _read_slices(spark, path)
+    if not wanted:
+        return stored.filter(F.lit(False))
+    by_slices: dict[tuple[int, ...], list[str]] = {}
+    for site, found in wanted.items():
+        by_slices.setdefault(tuple(sorted(found)), []).append(site)
+    test = F.lit(False)
+    for found, sites in by_slices.items():
+        test = test | (F.col("site_id").isin(sites) & F.col("slice").isin(list(found)))
+    return stored.filter(test)
+
+
 def merge_posts(spark: SparkSession, path: str, batch: DataFrame, newest_wins: bool = False,
-                slices: int = SLICES) -> None:
-    """Upsert a batch (post columns and ``seq``) into the store, rewriting only the slices it touches.
+                slices: int | None = None) -> None:
+    """Upsert a batch (post columns and ``seq``) into the store, reading and rewriting only the slices it touches.
 
-    The new slices are first written to the shared folder: the store is never read while it is overwritten, and
-    repeating the batch gives the same store.
+    Repeating the batch gives the same store. ``slices``, if given, must be the store's.
     """
+    _finish(spark, path)
     batch = with_index_text(batch)
-    incoming = _sliced(batch, slices)
-    touched = _read_slices(spark, path).join(_slice_of(incoming), ["site_id", "slice"], "left_semi")
+    incoming = _sliced(batch, _slice_count(spark, path, slices))
+    touched = _touched_slices(spark, path, incoming)
     merged = upsert_posts(touched.filter(F.col("post_id").isNotNull()).select(*incoming.drop("seq").columns),
                           incoming, newest_wins)
-    _overwrite_slices(materialize(merged, "merge"), path)
+    _replace_slices(merged, path)
 
 
-def remove_posts(spark: SparkSession, path: str, keys: DataFrame, slices: int = SLICES) -> None:
+def remove_posts(spark: SparkSession, path: str, keys: DataFrame, slices: int | None = None) -> None:
     """Delete posts by key. A slice left empty keeps one row without a post id, which readers skip."""
-    gone = _sliced(keys.select(*KEY), slices)
-    touched = _read_slices(spark, path).join(_slice_of(gone), ["site_id", "slice"], "left_semi")
+    _finish(spark, path)
+    gone = _sliced(keys.select(*KEY), _slice_count(spark, path, slices))
+    touched = _touched_slices(spark, path, gone)
     left = materialize(delete_posts(touched, gone), "delete")
     empty = _slice_of(gone).join(_slice_of(left), ["site_id", "slice"], "left_anti")
-    _overwrite_slices(left.unionByName(empty, allowMissingColumns=True), path)
+    _replace_slices(left.unionByName(empty, allowMissingColumns=True), path)
 
 
 def write_urls(urls: DataFrame, path: str) -> None:

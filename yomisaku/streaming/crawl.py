@@ -12,7 +12,7 @@ from yomisaku import schemas
 from yomisaku.operators.index import append_index
 from yomisaku.operators.ingest import advance_marks, normalize_posts
 from yomisaku.session import materialize
-from yomisaku.sources.store import SLICES, merge_posts, read_posts, read_sites, write_sites
+from yomisaku.sources.store import merge_posts, read_posts, read_sites, write_sites
 
 
 def stream_posts(spark: SparkSession, landing: str, max_files: int = 1000) -> DataFrame:
@@ -21,7 +21,7 @@ def stream_posts(spark: SparkSession, landing: str, max_files: int = 1000) -> Da
 
 
 def ingest_batch(spark: SparkSession, landed: DataFrame, batch_id: int, *, store: str, sites: str,
-                 now: Column, index: str | None = None, newest_wins: bool = False, slices: int = SLICES) -> None:
+                 now: Column, index: str | None = None, newest_wins: bool = False, slices: int | None = None) -> None:
     """One micro-batch: merge the posts, index the changed ones, move the marks."""
     known = read_sites(spark, sites)
     posts = materialize(normalize_posts(landed, known), "batch")  # read by every step below
@@ -36,7 +36,7 @@ def ingest_batch(spark: SparkSession, landed: DataFrame, batch_id: int, *, store
 
 def stream_upsert(spark: SparkSession, landing: str, checkpoint: str, *, store: str, sites: str, now: Column,
                   index: str | None = None, newest_wins: bool = False, max_files: int = 1000,
-                  slices: int = SLICES) -> StreamingQuery:
+                  slices: int | None = None) -> StreamingQuery:
     """Start the ingest of everything that has landed; stops by itself."""
     def take(landed: DataFrame, batch_id: int) -> None:
         ingest_batch(landed.sparkSession, landed, batch_id, store=store, sites=sites, now=now, index=index,
