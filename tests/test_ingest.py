@@ -119,8 +119,17 @@ def test_appended_index_equals_rebuild(spark):
         appended = ix.append_index(changed, deleted, path, 1)
         assert index_rows(appended) == index_rows(want)
         assert appended.corpus.first() == want.corpus.first()
+        assert sorted(map(tuple, appended.vocab.collect())) == sorted(map(tuple, want.vocab.collect()))
     again = ix.append_index(make_posts(spark, [("s", 2, "d", "back", 3)]), deleted.limit(0), path, 2)
     assert ("back", "s", 2) in {r[:3] for r in index_rows(again)} and again.corpus.first().n_docs == 4
+    # Two streams may name their batches alike in number, not in name; nothing of the other's is lost.
+    both = ix.append_index(make_posts(spark, [("t", 3, "moved", "", 4)]), deleted.limit(0), path, "other 1", make_posts(spark, [("t", 3, "f", "a", 1)]))
+    now = make_posts(spark, [("s", 1, "new", "a", 2), ("u", 4, "g", "a a", 2), ("s", 2, "d", "back", 3), ("t", 3, "moved", "", 4)])
+    folded = ix.write_index(now, path)
+    fresh = ix.build_index(now)
+    for index in (both, folded, ix.read_index(spark, path)):
+        assert index_rows(index) == index_rows(fresh) and index.corpus.first() == fresh.corpus.first()
+        assert sorted(map(tuple, index.vocab.collect())) == sorted(map(tuple, fresh.vocab.collect()))
 
 
 def land(folder, name, rows):

@@ -7,7 +7,10 @@
 ``docs``    site_id, post_id, doc_len
 ``corpus``  n_docs, avg_len (one row)
 
-On disk each table has one folder per generation: a batch of changes is appended, never merged into old files.
+On disk an index has a folder per version, and in it each table one per generation. A batch of changes is appended as a
+generation, never merged into old files: terms and documents leave out older rows of touched documents when read, vocabulary
+and corpus figures hold what a generation adds to the sums. Writing the index anew makes a version of one generation;
+readers take the newest complete version.
 
 A position is ``field number * 2**28 + place in the field``: neighbours are in one field, and one array
 serves all three. The terms table has a folder per bucket of leading letters and is sorted by term in each file, so a
@@ -15,11 +18,14 @@ search reads only the folders and row groups of its terms; a term found in every
 its folder.
 """
 
+import hashlib
+import time
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from yomisaku.functions.text import index_terms, with_index_text
+from yomisaku.session import shared_files
 
 FIELDS = (("title", "A"), ("excerpt", "B"), ("content", "C"))  # fixed values: fields and weight classes
 FIELD_SHIFT = 28
@@ -33,7 +39,7 @@ _SCHEMAS = {
              "positions array<int>, gen int, bucket int",
     "vocab": "term string, docs bigint, total bigint, gen int",
     "docs": f"{_KEY}, doc_len int, gen int",
-    "corpus": "n_docs bigint, avg_len double, gen int",
+    "corpus": "n_docs bigint, sum_len bigint, gen int",
     "touched": f"{_KEY}, gen int",
 }
 
@@ -120,41 +126,110 @@ def build_index(posts: DataFrame) -> Index:
 
 
 def write_index(posts: DataFrame, path: str) -> Index:
-    """Write the index of ``posts`` as its first generation and return it as read back."""
-    _write_generation(posts, posts.select(*DOC).limit(0), path, 0)
-    return read_index(posts.sparkSession, path)
+    """Write the index of ``posts`` as a new version of one generation and return it as read back.
 
+    The version takes the place of the one before when it is complete. The one before stays for its readers, older
+    ones are deleted.
+    """
+    spark = posts.sparkSession
+    files, make = shared_files(spark, path)
+    old = _versions(spark, path)
+    version = f"{path}/v={max([time.time_ns(), *[v + 1 for v in old]])}"
+    nothing = document_terms(posts.limit(0))
+    _write_generation(posts, posts.select(*DOC).limit(0), nothing, doc_stats(posts.limit(0)), version, 0)
+    files.create(make(f"{version}/_READY")).close()
+    for v in old[1:]:
+        files.delete(make(f"{path}/v={v}"), True)
+    return read_index(spark, path)
 
-def append_index(changed: DataFrame, deleted: DataFrame, path: str, generation: int) -> Index:
-    """Add changed documents as a new generation; what is written stays.
 
-    Older rows of a changed or deleted document are left out when reading. Writing a generation again replaces it.
-    A full ``write_index`` from the store folds all generations into one.
-    """
-    _write_generation(changed, changed.select(*DOC).unionByName(deleted.select(*DOC)), path, generation)
-    return read_index(changed.sparkSession, path)
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions, newest first."""
+    files, make = shared_files(spark, path)
+    if not files.exists(make(path)):
+        return []
+    found = [str(f.getPath().getName()) for f in files.listStatus(make(path)) if f.isDirectory()]
+    return sorted((int(n[2:]) for n in found if n.startswith("v=") and files.exists(make(f"{path}/{n}/_READY"))), reverse=True)
+
+
+def _current(spark: SparkSession, path: str) -> str:
+    return f"{path}/v={_versions(spark, path)[0]}"
 
 
-def _write_generation(posts: DataFrame, touched: DataFrame, path: str, generation: int) -> None:
+def append_index(changed: DataFrame, deleted: DataFrame, path: str, batch: str | int,
+                 replaced: DataFrame | None = None) -> Index:
+    """Add changed documents as a new generation; what is written stays.
+
+    Older rows of a changed or deleted document are left out when reading. ``batch`` names the batch: generations are
+    numbered in order of their first writing, and a batch that is complete is not written again. ``replaced`` are the
+    posts of the touched keys before the batch; without them their terms are looked up in the index.
+    """
+    spark = changed.sparkSession
+    version = _current(spark, path)
+    generation, done = _generation(spark, version, str(batch))
+    if not done:
+        touched = changed.select(*DOC).unionByName(deleted.select(*DOC)).distinct()
+        if replaced is None:
+            terms = _live(spark, version, "terms", generation).join(touched, DOC, "left_semi")
+            docs = _live(spark, version, "docs", generation).join(touched, DOC, "left_semi")
+        else:
+            terms, docs = document_terms(replaced), doc_stats(replaced)
+        _write_generation(changed, touched, terms, docs, version, generation)
+        files, make = shared_files(spark, path)
+        files.create(make(f"{version}/_batches/{generation}-{_name(batch)}.done")).close()
+    return read_index(spark, path)
+
+
+def _name(batch: str | int) -> str:
+    return hashlib.md5(str(batch).encode()).hexdigest()
+
+
+def _generation(spark: SparkSession, version: str, batch: str) -> tuple[int, bool]:
+    """The number of a batch's generation, the next free one if it has none yet, and whether it is complete."""
+    files, make = shared_files(spark, version)
+    folder = f"{version}/_batches"
+    files.mkdirs(make(folder))
+    names = [str(f.getPath().getName()) for f in files.listStatus(make(folder))]
+    mine = [n for n in names if f"-{_name(batch)}" in n]
+    if mine:
+        return int(mine[0].split("-")[0]), any(n.endswith(".done") for n in mine)
+    generation = 1 + max([0, *[int(n.split("-")[0]) for n in names]])
+    files.create(make(f"{folder}/{generation}-{_name(batch)}")).close()
+    return generation, False
+
+
+def _write_generation(posts: DataFrame, touched: DataFrame, old_terms: DataFrame, old_docs: DataFrame, version: str,
+                      generation: int) -> None:
     spark = posts.sparkSession
 
     def write(df, name, *folders):
-        df.write.mode("overwrite").partitionBy(*folders).parquet(f"{path}/{name}/gen={generation}")
+        df.write.mode("overwrite").partitionBy(*folders).parquet(f"{version}/{name}/gen={generation}")
+
+    def own(name):
+        return _read(spark, version, name).filter(F.col("gen") == generation)
+
+    def less(df, *columns):
+        return df.select(*[(-F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
     write(_clustered(document_terms(posts)), "terms", "bucket")
     write(doc_stats(posts), "docs")
     write(touched.distinct(), "touched")
-    written = _read(spark, path, "terms").filter(F.col("gen") == generation)
-    write(vocabulary(written).repartitionByRange("term").sortWithinPartitions("term"), "vocab")
-    write(corpus_stats(_live(spark, path, "docs")), "corpus")
+    added = vocabulary(own("terms")).unionByName(less(vocabulary(old_terms), "docs", "total"))
+    added = added.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("total").alias("total")).filter("docs != 0 or total != 0")
+    write(added.repartitionByRange("term").sortWithinPartitions("term"), "vocab")
+    sizes = own("docs").select(F.lit(1).alias("n"), "doc_len").unionByName(old_docs.select(F.lit(-1).alias("n"), (-F.col("doc_len")).alias("doc_len")))
+    write(sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_docs"),
+                    F.coalesce(F.sum("doc_len"), F.lit(0)).cast("bigint").alias("sum_len")), "corpus")
 
 
-def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.schema(_SCHEMAS[name]).parquet(f"{path}/{name}")
+def _read(spark: SparkSession, version: str, name: str) -> DataFrame:
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{version}/{name}")
 
 
-def _live(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Rows of the newest generation of each document."""
-    rows, touched = _read(spark, path, name), _read(spark, path, "touched")
+def _live(spark: SparkSession, version: str, name: str, before: int | None = None) -> DataFrame:
+    """Rows of the newest generation of each document, or of the newest one before some generation."""
+    rows, touched = _read(spark, version, name), _read(spark, version, "touched")
+    if before is not None:
+        rows, touched = rows.filter(F.col("gen") < before), touched.filter(F.col("gen") < before)
     if touched.isEmpty():
         return rows.drop("gen")
     newest = touched.groupBy(*DOC).agg(F.max("gen").alias("newest"))
@@ -163,12 +238,12 @@ def _live(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    # Terms that no longer occur may stay in the vocabulary; they only widen prefixes to nothing.
-    vocab = _read(spark, path, "vocab").groupBy("term").agg(
-        F.sum("docs").alias("docs"), F.sum("total").alias("total"))
-    corpus = _read(spark, path, "corpus")
-    return Index(_live(spark, path, "terms"), vocab, _live(spark, path, "docs"),
-                 corpus.agg(F.max_by("n_docs", "gen").alias("n_docs"), F.max_by("avg_len", "gen").alias("avg_len")))
+    version = _current(spark, path)
+    vocab = _read(spark, version, "vocab").groupBy("term").agg(
+        F.sum("docs").alias("docs"), F.sum("total").alias("total")).filter("docs > 0")
+    corpus = _read(spark, version, "corpus").agg(F.sum("n_docs").alias("n_docs"), F.sum("sum_len").alias("sum_len"))
+    return Index(_live(spark, version, "terms"), vocab, _live(spark, version, "docs"),
+                 corpus.select("n_docs", (F.col("sum_len") / F.col("n_docs")).alias("avg_len")))
 
 
 def refresh_terms(terms: DataFrame, changed: DataFrame, deleted: DataFrame) -> DataFrame:

@@ -56,3 +56,9 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_files(spark: SparkSession, path: str):
+    """The Hadoop file system that holds a path, and what makes its path objects."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make

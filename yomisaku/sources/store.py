@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from yomisaku import schemas
 from yomisaku.functions.text import with_index_text
 from yomisaku.operators.ingest import KEY, delete_posts, last_arrivals, upsert_posts
-from yomisaku.session import materialize
+from yomisaku.session import materialize, shared_files
 from yomisaku.sources.landing import DEFAULT_GROUP
 
 SLICES = 64
@@ -37,20 +37,13 @@ def _by_slice(sliced: DataFrame) -> DataFrame:
     return sliced.hint("rebalance", "site_id", "slice")
 
 
-def _files(spark: SparkSession, path: str):
-    """The Hadoop file system of a path, and a maker of its paths."""
-    jvm = spark.sparkContext._jvm
-    make = jvm.org.apache.hadoop.fs.Path
-    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
-
-
 def _pending(path: str) -> str:
     return f"{path}/_pending"
 
 
 def _ready(spark: SparkSession, path: str) -> DataFrame | None:
     """The slices of a batch that are complete beside the store but may not have replaced the old ones yet."""
-    files, make = _files(spark, path)
+    files, make = shared_files(spark, path)
     return spark.read.schema(_STORED).parquet(_pending(path)) if files.exists(make(_pending(path) + "/_SUCCESS")) else None
 
 
@@ -60,7 +53,7 @@ def _finish(spark: SparkSession, path: str) -> None:
     if ready is not None:
         (_by_slice(ready).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("site_id", "slice").parquet(path))
-    files, make = _files(spark, path)
+    files, make = shared_files(spark, path)
     files.delete(make(_pending(path)), True)
 
 
@@ -124,6 +117,12 @@ def _touched_slices(spark: SparkSession, path: str, keys: DataFrame) -> DataFram
     return stored.filter(test)
 
 
+def stored_posts(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """The stored posts of some keys; only the slices of these keys are read."""
+    wanted = _sliced(keys.select(*KEY).distinct(), _slice_count(spark, path, None))
+    return _touched_slices(spark, path, wanted).join(wanted, [*KEY, "slice"], "left_semi").drop("slice")
+
+
 def merge_posts(spark: SparkSession, path: str, batch: DataFrame, newest_wins: bool = False,
                 slices: int | None = None) -> None:
     """Upsert a batch (post columns and ``seq``) into the store, reading and rewriting only the slices it touches.

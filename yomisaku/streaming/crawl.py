@@ -1,7 +1,7 @@
 """The periodic crawl as a stream over a landing folder.
 
 Each run takes what has landed since the last one (``availableNow``) in micro-batches. A batch is merged into the store
-by key and its index generation is replaced by number, so a replayed batch changes nothing. No watermark: late and older
+by key and its index generation is known by the stream and the batch, so a replayed batch changes nothing. No watermark: late and older
 posts overwrite like any other, unless ``newest_wins``.
 """
 
@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from yomisaku import schemas
+from yomisaku.functions.text import with_index_text
 from yomisaku.operators.index import append_index
-from yomisaku.operators.ingest import advance_marks, normalize_posts
+from yomisaku.operators.ingest import advance_marks, normalize_posts, upsert_posts
 from yomisaku.session import materialize
-from yomisaku.sources.store import merge_posts, read_posts, read_sites, write_sites
+from yomisaku.sources.store import merge_posts, read_sites, stored_posts, write_sites
 
 
 def stream_posts(spark: SparkSession, landing: str, max_files: int = 1000) -> DataFrame:
@@ -20,17 +21,21 @@ def stream_posts(spark: SparkSession, landing: str, max_files: int = 1000) -> Da
     return spark.readStream.schema(schemas.LANDED_POST).option("maxFilesPerTrigger", max_files).json(landing)
 
 
-def ingest_batch(spark: SparkSession, landed: DataFrame, batch_id: int, *, store: str, sites: str,
+def ingest_batch(spark: SparkSession, landed: DataFrame, batch: str | int, *, store: str, sites: str,
                  now: Column, index: str | None = None, newest_wins: bool = False, slices: int | None = None) -> None:
-    """One micro-batch: merge the posts, index the changed ones, move the marks."""
+    """One micro-batch: index the changed posts, merge them, move the marks.
+
+    The index comes first, as it needs the posts that the merge replaces. ``batch`` names the batch among all that write
+    to this index; a replayed one is not indexed again.
+    """
     known = read_sites(spark, sites)
     posts = materialize(normalize_posts(landed, known), "batch")  # read by every step below
-    merge_posts(spark, store, posts, newest_wins, slices)
     if index is not None:
-        keys = posts.select("site_id", "post_id").distinct()
-        changed = read_posts(spark, store).join(keys, ["site_id", "post_id"], "left_semi")
-        # Generation 0 is the index built from the whole store.
-        append_index(changed, keys.limit(0), index, batch_id + 1)
+        before = materialize(stored_posts(spark, store, posts), "before")
+        prepared = with_index_text(posts)
+        after = upsert_posts(before.select(*prepared.drop("seq").columns), prepared, newest_wins)
+        append_index(materialize(after, "after"), posts.select("site_id", "post_id").limit(0), index, batch, before)
+    merge_posts(spark, store, posts, newest_wins, slices)
     write_sites(advance_marks(known, posts, now), sites)
 
 
@@ -39,7 +44,7 @@ def stream_upsert(spark: SparkSession, landing: str, checkpoint: str, *, store:
                   slices: int | None = None) -> StreamingQuery:
     """Start the ingest of everything that has landed; stops by itself."""
     def take(landed: DataFrame, batch_id: int) -> None:
-        ingest_batch(landed.sparkSession, landed, batch_id, store=store, sites=sites, now=now, index=index,
+        ingest_batch(landed.sparkSession, landed, f"{checkpoint} {batch_id}", store=store, sites=sites, now=now, index=index,
                      newest_wins=newest_wins, slices=slices)
     return (stream_posts(spark, landing, max_files).writeStream.foreachBatch(take)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
