@@ -49,6 +49,14 @@ def test_widget_text_is_what_surrounds_the_article():
     assert page["widget"] == "t n a f"
 
 
+@pytest.mark.parametrize("markup,shown", [
+    ("<article><ruby>東京<rp>(</rp><rt>とうきょう</rt><rp>)</rp></ruby>駅</article>", "東京 駅"),
+    ("<article>a&#129;b&#x80;</article>", "a\x81b€"),
+])
+def test_annotations_and_old_references(markup, shown):
+    assert read(markup)["content"] == shown
+
+
 @pytest.mark.parametrize("html,text", [
     ("", ""), (None, ""), ("plain  text\n x", "plain text x"), ("<p>a</p>b", "a b"), ("a&nbsp;b &lt;i&gt;", "a b <i>"),
     ("<b>x</b><script>var a='</p>'</script>y<noscript>z</noscript>", "x y"), ("1 < 2", "1 < 2"), ("a　b", "a b"),

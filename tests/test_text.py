@@ -1,3 +1,4 @@
+import itertools
 import unicodedata
 
 import pytest
@@ -28,17 +29,15 @@ def test_both_stages(spark):
 
 
 def plain_stage1(value):
-    """The rule character by character, as the specification words it."""
-    value = unicodedata.normalize("NFKC", value)
-    out = ""
-    for ch in value:
-        if any(lo <= ord(ch) <= hi for lo, hi in text.CJK_RANGES):
-            out += f" {ch} "
-        elif ch.isalnum() or ch in "_-.@/":
-            out += ch.lower()
-        else:
-            out += " "
-    return " ".join(out.split())
+    """The rule by kinds of characters: ideographs and kana stand alone, runs of kept ones are words, others part them."""
+    def kind(c):
+        if any(ord(c) in range(lo, hi + 1) for lo, hi in text.CJK_RANGES):
+            return "alone"
+        return "word" if unicodedata.category(c)[0] in "LN" or c in "_-.@/" else "gap"
+    words = []
+    for name, run in itertools.groupby(unicodedata.normalize("NFKC", value), kind):
+        words += {"alone": list, "word": lambda r: ["".join(r).lower()], "gap": lambda r: []}[name](run)
+    return " ".join(words)
 
 
 def test_every_character_of_the_basic_plane_like_the_rule(spark):

@@ -16,7 +16,7 @@ from pyspark.sql.functions import pandas_udf
 # in order of priority. A selector is (tag, class, id, inside tag).
 VOID = frozenset("area base br col embed hr img input keygen link menuitem meta param source track wbr "
                  "basefont bgsound command frame image isindex nextid spacer".split())
-SILENT = frozenset(("script", "style", "noscript"))
+SILENT = frozenset(("script", "style", "noscript", "rt", "rp"))  # the last two annotate characters
 NOT_BODY = SILENT | {"nav", "header", "footer", "aside"}
 TITLE_SELECTORS = (("h1", "c--entry-title", None, None), ("h1", "entry-title", None, None),
                    ("h1", None, None, "article"), ("h1", None, None, None), ("title", None, None, None))
@@ -100,7 +100,9 @@ class TextEvents(HTMLParser):
         try:
             code = int(name[1:], 16) if name[:1] in "xX" else int(name)
             char = bytes([code]).decode("windows-1252") if code < 256 else chr(code)
-        except (ValueError, OverflowError, UnicodeDecodeError):
+        except UnicodeDecodeError:  # one of the few codes that windows-1252 leaves open
+            char = chr(code)
+        except (ValueError, OverflowError):
             char = "�"
         self.buffer.append(char)
 

@@ -3,7 +3,6 @@
 from pyspark.sql import Column, functions as F
 
 EXCERPT_CHARS = 200   # fixed value
-WIDGET_CHARS = 30000  # fixed value
 
 _ZONE = r"(Z|z|[+-]\d{2}:?\d{2})$"
 

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from yomisaku import schemas
 from yomisaku.functions.markup import page_fields
 from yomisaku.functions.posts import (
-    WIDGET_CHARS, blank_to_null, excerpt, normalize_article_url, parse_utc, url_post_id)
+    blank_to_null, excerpt, normalize_article_url, parse_utc, url_post_id)
 
 WIDGET_LABEL = ("ウィジット (", ")")  # fixed value: around the site name
 
@@ -83,10 +83,11 @@ def archive_links(archives: DataFrame, rules: DataFrame) -> DataFrame:
     return matched.select("site_id", normalize_article_url(F.col("href")).alias("url")).distinct()
 
 
-def widget_text(fields: DataFrame) -> DataFrame:
-    """Text around the article, capped; blank unless the page was a fetched HTML page."""
+def widget_text(fields: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Text around the article, whole unless ``max_chars`` is given; blank unless the page was a fetched HTML page."""
     usable = (F.col("status") == 200) & F.lower("content_type").contains("html")
-    text = F.when(usable, excerpt(F.col("widget_text"), WIDGET_CHARS)).otherwise("")
+    kept = F.col("widget_text") if max_chars is None else excerpt(F.col("widget_text"), max_chars)
+    text = F.when(usable, kept).otherwise("")
     return fields.select("url", F.coalesce(text, F.lit("")).alias("widget_text"))
 
 

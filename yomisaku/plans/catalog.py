@@ -183,6 +183,26 @@ def rest_normalize(spark, sf_dir):
     return _plain(ingest.normalize_posts(parsed, load(spark, sf_dir, "sites")))
 
 
+def damaged_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed bodies of which some begin with line ends, hold no post, break off, are empty or missing."""
+    kind, body = F.col("seq") % 7, F.col("body")
+    damaged = (F.when(kind == 1, F.concat(F.lit("\n\t["), body, F.lit("]"))).when(kind == 2, F.concat(F.lit("["), body))
+               .when(kind == 3, " \r\n").when(kind == 4, None).when(kind == 5, '{"code": "no_route"}').otherwise(body))
+    return landed_bodies(spark, sf_dir).withColumn("body", damaged)
+
+
+@register(with_views("articles") + """
+select site_id, post_id as seq, case post_id % 7 when 2 then 'malformed' when 5 then 'no_post' else 'missing' end as reason
+from articles where post_id % 7 in (2, 3, 4, 5)""")
+def rest_rejects(spark, sf_dir):
+    return landing.rejected_bodies(damaged_bodies(spark, sf_dir)).select("site_id", "seq", "reason")
+
+
+@register(with_views("articles") + "select site_id, post_id as seq, post_id as id from articles where post_id % 7 in (0, 1, 6)")
+def rest_damaged(spark, sf_dir):
+    return landing.parse_posts(damaged_bodies(spark, sf_dir)).select("site_id", "seq", "id")
+
+
 @register(with_views("responses") + """
 select event_id, site_id, status, content_type, coalesce(try_cast(total_pages as int), 1) as total_pages,
   case when status = 403 then 'blocked'
@@ -335,7 +355,7 @@ def archive_links(spark, sf_dir):
 
 @register(f"""
 with x as (select {HOST_SQL} as site_id, page_id, url, html from pages),
-w as (select site_id, url, substr({strip_markup_sql("regexp_replace(html, '<article>.*?</article>', ' ', 's')")}, 1, 30000) as t
+w as (select site_id, url, {strip_markup_sql("regexp_replace(html, '<article>.*?</article>', ' ', 's')")} as t
   from x qualify row_number() over (partition by site_id order by page_id) = 1)
 select site_id, cast(-1 as bigint) as post_id, url, 'ウィジット (' || site_id || ')' as title, substr(t, 1, 200) as excerpt,
   t as content, '' as author, '{NOW}' as published_at, '{NOW}' as modified_at, '' as categories, '' as tags from w where t <> ''""")
@@ -733,6 +753,15 @@ def export_urls(spark, sf_dir):
     return search.export_urls(*corpus(spark, sf_dir), "the", sort="newest")
 
 
+@register(search_sql(f"""{has_sql("' the'")} and {ARTICLE}""", limit=1 << 40, columns="site_id, post_id"))
+def search_numbered(spark, sf_dir):
+    """Every result with its place, by the distributed sort that deep pages are cut from."""
+    found, has_text = search.matches(*corpus(spark, sf_dir), "the", rank=None)
+    placed = search.numbered(found, search.result_order("newest", has_text))
+    total = placed.agg(F.count("*").alias("total_count"))
+    return placed.select("site_id", "post_id", "rn").join(F.broadcast(total))
+
+
 @register(search_sql(f"""{has_sql("' the '")} and {ARTICLE} and site_id in ('src1', 'src2')""", columns="""site_id, post_id,
   url, regexp_replace(replace(replace(replace(replace(coalesce(nullif(title, ''), '(無題)'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'),
     '(?i)(the)', '<mark>\\1</mark>', 'g') as title_html, name as site_name,
