@@ -233,3 +233,18 @@ def test_second_response_has_no_fallback(spark):
                                   (400, "text/html", True), (403, None, True), (200, "text/html", False), (301, None, None)],
                                  "status int, content_type string, is_fallback boolean")
     assert [r.outcome for r in landing.classify_responses(rows).collect()] == ["error", "ok", "error", "end", "blocked", "fallback", "fallback"]
+
+
+def test_removed_posts_leave_store_and_index(spark, tmp_path):
+    paths = {k: str(tmp_path / k) for k in ("store", "index")}
+    posts = make_posts(spark, [("a", i, f"t{i} same", "x", 1) for i in range(6)])
+    store.write_posts(posts, paths["store"], slices=2)
+    ix.write_index(posts, paths["index"])
+    keys = spark.createDataFrame([("a", 2), ("a", 3), ("b", 1)], "site_id string, post_id bigint")
+    for _ in range(2):
+        crawl.remove_batch(spark, keys, "purge 1", **paths)
+    left = posts.filter("post_id not in (2, 3)")
+    want, got = ix.build_index(left), ix.read_index(spark, paths["index"])
+    assert index_rows(got) == index_rows(want) and got.corpus.first() == want.corpus.first()
+    assert sorted(map(tuple, got.vocab.collect())) == sorted(map(tuple, want.vocab.collect()))
+    assert keyed(store.read_posts(spark, paths["store"]), "title") == keyed(left, "title")

@@ -13,7 +13,7 @@ from yomisaku.functions.text import with_index_text
 from yomisaku.operators.index import append_index
 from yomisaku.operators.ingest import advance_marks, normalize_posts, upsert_posts
 from yomisaku.session import materialize
-from yomisaku.sources.store import merge_posts, read_sites, stored_posts, write_sites
+from yomisaku.sources.store import merge_posts, read_sites, remove_posts, stored_posts, write_sites
 
 
 def stream_posts(spark: SparkSession, landing: str, max_files: int = 1000) -> DataFrame:
@@ -39,6 +39,14 @@ def ingest_batch(spark: SparkSession, landed: DataFrame, batch: str | int, *, st
     write_sites(advance_marks(known, posts, now), sites)
 
 
+def remove_batch(spark: SparkSession, keys: DataFrame, batch: str | int, *, store: str, index: str | None = None) -> None:
+    """Delete posts by key from the index and then from the store; a repeated batch changes nothing."""
+    if index is not None:
+        before = materialize(stored_posts(spark, store, keys), "removed")
+        append_index(before.limit(0), keys, index, batch, before)
+    remove_posts(spark, store, keys)
+
+
 def stream_upsert(spark: SparkSession, landing: str, checkpoint: str, *, store: str, sites: str, now: Column,
                   index: str | None = None, newest_wins: bool = False, max_files: int = 1000,
                   slices: int | None = None) -> StreamingQuery:
