@@ -8,11 +8,12 @@ over classes. It never holds a group of similar texts in one task and never make
    tokens share a bit matters for speed only: any one order is right), else by hash. Two sets that are similar enough share
    a token among the first of both (prefix filter).
 3. Classes are partitioned into groups of similar texts: those that share a minhash are compared with the one class
-   among them whose tokens are commonest, and what is similar enough is tied together by connected components.
+   among them whose tokens are commonest, and what is similar enough joins its group.
 4. Between different groups: tokens that are not hot meet directly. Hot tokens meet in the token-group matrix, one row for
    each token and group however many texts the group has. For the query classes of the smaller group, the overlap with the other
    group's token union is an upper bound of that with each member; only groups that it lets through are opened.
-5. The remaining pairs are compared exactly on their whole sets, and components are closed over all links.
+5. Pairs that remain are compared by bitmap sketches of the sets, which bound the intersection from above, then exactly
+   on whole sets, and components are closed over all links.
 
 Two different shingles share a hash with a chance of about 2**-64, as do two different sets their key.
 """
@@ -92,9 +93,9 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
 
 
 def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, t (hash of the text), n, a, b (digest of the set), m (minhashes) and head (tokens of the smallest hashes)."""
+    """doc_id, t (hash of the text), n, a, b (digest of the set), m (minhashes), head (tokens of the smallest hashes), sketch."""
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("t", "n", "a", "b")],
-                           T.StructField("m", _LONGS), T.StructField("head", _LONGS)])
+                           T.StructField("m", _LONGS), T.StructField("head", _LONGS), T.StructField("sketch", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_blocks(batches):
@@ -104,12 +105,45 @@ def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
-                 _list_column(least), _list_column([s[:rule.kept(len(s))] if len(s) >= rule.least else s[:0] for s in sets])],
+                 _list_column(least), _list_column([s[:rule.kept(len(s))] if len(s) >= rule.least else s[:0] for s in sets]),
+                 pa.array([sketch(s) for s in sets], pa.binary())],
                 names=schema.names)
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("t")).mapInArrow(run, schema)
 
 
+# ---- sketches
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """A bitmap of the tokens' places, of a power of two of bits, twice as many as tokens at least."""
+    bits = np.zeros(max(64, 1 << (2 * len(tokens) - 1).bit_length()), np.uint8)
+    bits[(tokens >> np.uint64(8)).astype(np.int64) & (len(bits) - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_common(x: bytes, y: bytes, nx: int, ny: int) -> int:
+    """An upper bound of the intersection: each bit set for one alone is a token, or more, that the other lacks."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(a), len(b))
+    a, b = np.bitwise_or.reduce(a.reshape(-1, size), 0), np.bitwise_or.reduce(b.reshape(-1, size), 0)
+    return min(nx - int(np.bitwise_count(a & ~b).sum()), ny - int(np.bitwise_count(b & ~a).sum()))
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs x, y whose sketches do not rule them out; what remains is compared on whole sets."""
+    x = classes.select(F.col("key").alias("x"), F.col("n").alias("xn"), F.col("sketch").alias("xs"))
+    y = classes.select(F.col("key").alias("y"), F.col("n").alias("yn"), F.col("sketch").alias("ys"))
+    schema = T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            nx, ny, xs, ys = (part.column(c).to_pylist() for c in range(2, 6))
+            ok = [(rule.num + rule.den) * most_common(a, b, m, n) >= rule.num * (m + n) for m, n, a, b in zip(nx, ny, xs, ys)]
+            yield part.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.join(x, "x").join(y, "y").select("x", "y", "xn", "yn", "xs", "ys").mapInArrow(run, schema)
+
+
 # ---- prefixes
 
 _PREFIX = T.StructType([*[T.StructField(c, T.LongType()) for c in ("a", "b", "n")], T.StructField("hot", T.DoubleType()),
@@ -126,13 +160,40 @@ def _ordered(tokens: np.ndarray, n: int, hot: np.ndarray, rule: Rule) -> tuple[n
     return tokens[:0], 0, False
 
 
+def _one_row(rows: DataFrame, *others: F.Column) -> DataFrame:
+    """Per class the row whose text stands for it: key, b, label and t."""
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("one")
+    named = [F.col("a").alias("key"), "b", F.col("one.doc_id").alias("label"), F.col("one.t").alias("t")]
+    return rows.groupBy("a", "b").agg(one, *others).select(*named, *[c for c in ("m", "sketch") if others])
+
+
+def _frequent(lists: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of the tokens in more than HOT of the lists."""
+    counts = (lists.select(F.explode(column).alias("w")).select(F.pmod("w", F.lit(1 << 31)).cast("int").alias("w"))
+              .groupBy("w").count().filter(F.col("count") > HOT))
+    return bitmap(counts.select(F.col("w").cast("long").alias("w")), "w")
+
+
 def _prefixes(sigs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """One row per class that others may be similar to: key, b, label, t, n, m, hot share, ordered tokens, how many are cold."""
+    """One row per class that others may be similar to: key, b, label, t, n, m, hot share, ordered tokens, how many are cold.
+
+    Hot are the tokens that are frequent among the kept ones of all rows, and those frequent among all tokens of the
+    classes that have too few others to fill their prefix, as these reach further than what was kept.
+    """
     spark = sigs.sparkSession
     some = sigs.filter(F.col("n") >= rule.least)
-    counts = (some.select(F.explode(F.slice("head", 1, F.expr(f"n - ceil({rule.num} * n / {rule.den}) + 1").cast("int"))).alias("w"))
-              .select(F.pmod("w", F.lit(1 << 31)).cast("int").alias("w")).groupBy("w").count().filter(F.col("count") > HOT))
-    shared = spark.sparkContext.broadcast(bitmap(counts.select(F.col("w").cast("long").alias("w")), "w"))
+    first = _frequent(some, "head")
+    kept = spark.sparkContext.broadcast(first)
+
+    def lacks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            ns = part.column(4).to_pylist()
+            made = [not _ordered(h, n, in_bitmap(kept.value, h), rule)[2] for h, n in zip(_lists(part.column(5)), ns)]
+            yield part.select([0, 1, 2, 3]).filter(pa.array(made, pa.bool_()))
+
+    rows = some.select("a", "b", "doc_id", "t", "n", "head").mapInArrow(lacks, "a long, b long, doc_id long, t long")
+    heavy = written(_fetch(docs, written(_one_row(rows), "heavy"), rule), "heavy-sets")
+    shared = spark.sparkContext.broadcast(first | _frequent(heavy, "tokens"))
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -148,20 +209,19 @@ def _prefixes(sigs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
                  pa.array([m[1] for m in made], pa.int32())], names=_PREFIX.names)
 
     # Equal sets give equal rows, so it doesn't matter which of a class is kept.
-    whose = some.groupBy("a", "b").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("one"), F.first("m").alias("m"))
+    whose = _one_row(some, F.first("m").alias("m"), F.first("sketch").alias("sketch"))
     ordered = (some.select("a", "b", "n", "head").mapInArrow(order, _PREFIX).groupBy("a", "b")
-               .agg(*[F.first(c).alias(c) for c in ("n", "hot", "enough", "tokens", "cold")]))
-    base = written(ordered.join(whose, ["a", "b"]).select(
-        F.col("a").alias("key"), "b", F.col("one.doc_id").alias("label"), F.col("one.t").alias("t"), "n", "m", "hot",
-        "enough", "tokens", "cold"), "prefixes")
+               .agg(*[F.first(c).alias(c) for c in ("n", "hot", "enough", "tokens", "cold")]).withColumnRenamed("a", "key"))
+    base = written(ordered.join(whose, ["key", "b"]).select(
+        "key", "b", "label", "t", "n", "m", "hot", "enough", "tokens", "cold", "sketch"), "prefixes")
     short = base.filter("not enough")
 
     def whole(sets: list[np.ndarray]) -> list[tuple[np.ndarray, int]]:
         return [_ordered(s, len(s), in_bitmap(shared.value, s), rule)[:2] for s in sets]
 
     again = _fetch(docs, short, rule, whole)
-    mended = (short.drop("tokens", "cold").join(again, ["key", "b"]).withColumn("enough", F.lit(True)))
-    return written(base.filter("enough").unionByName(mended), "ordered")
+    mended = written(short.drop("tokens", "cold").join(again, ["key", "b"]), "mended")
+    return base.filter("enough").unionByName(mended)
 
 
 def _fetch(docs: DataFrame, need: DataFrame, rule: Rule, of=None) -> DataFrame:
@@ -188,9 +248,9 @@ def _fetch(docs: DataFrame, need: DataFrame, rule: Rule, of=None) -> DataFrame:
                  _list_column([m[0] for m in made]), pa.array([m[1] for m in made], pa.int32())], names=schema.names)
 
     got = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("t")).mapInArrow(run, schema)
-    keys = need.select(F.col("key").alias("k"), F.col("b").alias("kb"), "label")
-    same = (F.col("key") == F.col("k")) & (F.col("b") == F.col("kb")) & F.col("doc").eqNullSafe(F.col("label"))
-    return got.join(keys, same).select("key", "b", "tokens", "cold").dropDuplicates(["key", "b"])
+    # Rows of one label and set are alike; the join's shuffle serves for taking one of them too.
+    return (got.join(need.select("key", "b", "label"), ["key", "b"]).filter(F.col("doc").eqNullSafe(F.col("label")))
+            .groupBy("key", "b").agg(F.first("tokens").alias("tokens"), F.first("cold").alias("cold")))
 
 
 # ---- comparing pairs
@@ -225,7 +285,7 @@ def _stars(classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
               .filter(F.col("c") > HOT).select("j", "w", F.col("p.key").alias("y"), F.col("p.n").alias("yn")))
     pairs = (shared.join(pivots, ["j", "w"]).filter("key != y").filter(rule.sizes_fit("n", "yn"))
              .select(F.col("key").alias("x"), "y").distinct())
-    pairs = written(pairs, "stars")
+    pairs = written(_plausible(pairs, classes, rule), "stars")
     keys = pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("y").alias("key")))
     return written(_verified(pairs, _sets_of(docs, classes, keys, rule), rule), "star-links")
 
@@ -266,13 +326,16 @@ def _cold_pairs(classes: DataFrame, rule: Rule) -> DataFrame:
 def _group_pairs(classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of classes of different groups that share hot tokens only, by the token-group matrix."""
     rows = classes.select("key", "n", "grp", "members", F.posexplode("tokens").alias("i", "w"), "cold").filter("i >= cold")
-    matrix = (rows.groupBy("w", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.first("members").alias("size"))
-              .select("w", F.col("grp").alias("g"), "least", "most", "size"))
+    matrix = (rows.groupBy("w", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("i")).alias("room"),
+                                           F.first("members").alias("size"))
+              .select("w", F.col("grp").alias("g"), "least", "most", "room", "size"))
     needed = rule.overlap("n", f"greatest(least, ceil({rule.num} * n / {rule.den}))")
     met = (rows.join(matrix, "w").filter("struct(members, grp) < struct(size, g)")
            .filter(f"{rule.den} * most >= {rule.num} * n and {rule.den} * n >= {rule.num} * least")
-           .groupBy(F.col("key").alias("x"), "n", "g", "size").agg(F.min("i").alias("i"), F.min("least").alias("least"))
-           .filter(F.expr(f"n - i >= {needed}")).select("x", "n", "g", "size", F.expr(needed).cast("long").alias("needed")))
+           # The first token that two texts share leaves each of them room for the overlap they need.
+           .filter(f"least(n - i, room) >= {needed}")
+           .groupBy(F.col("key").alias("x"), "n", "g", "size").agg(F.min("least").alias("least"))
+           .select("x", "n", "g", "size", F.expr(needed).cast("long").alias("needed")))
     met = written(met, "query-groups")
     single = met.filter("size = 1")
     several = met.filter("size > 1")
@@ -297,19 +360,24 @@ def classes_of(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> tu
     rule = Rule(k, num, den)
     sigs = written(signatures(docs, rule), "signatures")
     classes = _prefixes(sigs, docs, rule)
-    first = written(components(_stars(classes, docs, rule).select(F.col("x").alias("u"), F.col("y").alias("v"))), "groups")
-    sizes = first.groupBy("root").agg(F.count("*").alias("members"))
-    group = first.join(sizes, "root").select(F.col("node").alias("key"), F.col("root").alias("grp"), "members")
-    grouped = (classes.select("key", "b", "label", "t", "n", "tokens", "cold").join(group, "key", "left")
+    # A class belongs to the group of the least pivot that it is linked to; whoever has none is a group alone.
+    stars = _stars(classes, docs, rule)
+    first = stars.groupBy(F.col("x").alias("key")).agg(F.min("y").alias("grp"))
+    pivots = stars.select(F.col("y").alias("key")).distinct().join(first, "key", "left_anti").withColumn("grp", F.col("key"))
+    first = written(first.unionByName(pivots), "groups")
+    sizes = first.groupBy("grp").agg(F.count("*").alias("members"))
+    group = first.join(sizes, "grp")
+    grouped = (classes.select("key", "b", "label", "t", "n", "tokens", "cold", "sketch").join(group, "key", "left")
                .withColumns({"grp": F.coalesce("grp", "key"), "members": F.coalesce("members", F.lit(1).cast("long"))}))
     grouped = written(grouped, "grouped")
-    pairs = written(_cold_pairs(grouped, rule).unionByName(_group_pairs(grouped, docs, rule)).distinct(), "pairs")
+    met = _cold_pairs(grouped, rule).unionByName(_group_pairs(grouped, docs, rule)).distinct()
+    pairs = written(_plausible(met, grouped, rule), "pairs")
     keys = pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("y").alias("key")))
     links = _verified(pairs, _sets_of(docs, grouped, keys, rule), rule)
     edges = (links.select(F.col("x").alias("u"), F.col("y").alias("v"))
-             .unionByName(first.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+             .unionByName(stars.select(F.col("x").alias("u"), F.col("y").alias("v"))))
     roots = components(edges).select(F.col("node").alias("key"), "root")
-    return sigs.drop("m", "head"), roots
+    return sigs.drop("m", "head", "sketch"), roots
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
