@@ -102,8 +102,9 @@ def repeated(docs: DataFrame, small: int = SMALL) -> DataFrame:
 
     found = written(source.mapInArrow(emit, "a long, b long, doc_id long, t long, start long"), "chunks")
     place = F.struct("doc_id", "t", "start")
-    first = (found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-             .filter("not (first <=> last)").select("a", "b", "first"))
+    # Written, so that the join has shuffles of its own, whose hot partitions Spark splits.
+    first = written(found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+                    .filter("not (first <=> last)").select("a", "b", "first"), "first-chunks")
     later = found.join(first, ["a", "b"]).filter(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set("start")).alias("starts"))
 

@@ -39,8 +39,9 @@ def covered(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """
     every = written(windows(docs, lines), "windows")
     place = F.struct("doc_id", "t1", "t2", "at")
-    first = (every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-             .filter("not (first <=> last)").select("h1", "h2", "first"))
+    # Written, so that the join has shuffles of its own, whose hot partitions Spark splits.
+    first = written(every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+                    .filter("not (first <=> last)").select("h1", "h2", "first"), "first-windows")
     later = every.join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
     same = F.expr("doc_id <=> first.doc_id and t1 = first.t1 and t2 = first.t2")
     shared = F.when(same, F.greatest(F.lit(0), F.col("first.at") + lines - F.col("at"))).otherwise(F.lit(0))
