@@ -301,6 +301,24 @@ def test_licences(spark):
     assert licenses.scan(docs_of(spark, texts), [("one", "word")]).filter("license is not null").count() == 0
 
 
+def test_headers_of_the_gnu_family_and_short_full_texts(spark):
+    gnu = ("This {} is free software{} you can redistribute it and/or modify\nit under the terms of the GNU {} as published by\n"
+           "the Free Software Foundation{} either version {} of the License, or\n(at your option) any later version.")
+    headers = {"GPL-2.0": ("program", ";", "General Public License", ";", "2"), "GPL-3.0": ("program", ":", "General Public License", ",", "3"),
+               "LGPL-2.0": ("library", ";", "Library General Public License", ";", "2"),
+               "LGPL-2.1": ("library", ";", "Lesser General Public License", ";", "2.1"),
+               "LGPL-3.0": ("library", ":", "Lesser General Public License", ",", "3"),
+               "AGPL-3.0": ("program", ":", "Affero General Public License", ",", "3")}
+    texts = [prose(30) + "\n\n" + gnu.format(*h) + "\n\n" + prose(30) for h in headers.values()]
+    full = {name: text for name, text in licenses.TEMPLATES if len(text) > 600}
+    assert set(full) == {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"}
+    texts += [text.replace(". ", ".\n\n").replace(": ", ":\n\n") for text in full.values()]
+    got = {r.doc_id: r for r in licenses.scan(docs_of(spark, texts)).collect()}
+    assert [got[i].license for i in range(len(texts))] == [*headers, *full]
+    # The SQL has units of up to 400 words, so that what a template may match must not be longer.
+    assert all((len(licenses.normal_words(t)) - 1) * (2 - licenses.DICE) / licenses.DICE <= 399 for _, t in licenses.TEMPLATES)
+
+
 # ---- personal data
 
 def luhn(digits):
