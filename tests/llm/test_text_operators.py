@@ -363,6 +363,30 @@ def test_pseudonyms_equal_plain_network(spark):
     assert got[2].text == texts[2] and got[2].n_replaced_ == 0 and got[3].text is None and got[4].text == ""
 
 
+def test_blanks_in_ibans_and_written_forms_of_dates(spark):
+    plain = ["DE89370400440532013000", "NL91ABNA0417164300", "AT611904300234573201", "GB82WEST12345698765432", "MT84MALT011000012345MTLCAST001S"]
+    blanked = [" ".join(i[k:k + 4] for k in range(0, len(i), 4)) for i in plain]
+    wrong = "DE12 4012 8888 8888 1881 ABCD EF"  # no IBAN, yet a card
+    dates = ["2024-01-02", "2024-01-02T10:00:00Z", "2024-01-02t1000", "2.1.2024", "02.01.2024", "1/2/2024", "01/02/2024", "2.01.2024", "30.2.2024"]
+    left = ["2024-01-02Tea", "1.2.2024.5", "DE88 3704 0044 0532 0130 00", "x2.1.2024"]
+    texts = [f"to {i} EUR 5" for i in [*plain, *blanked]] + [wrong] + [f"on {d}, so" for d in dates] + left
+    got = {r.doc_id: r for r in pii.pseudonymize(docs_of(spark, texts), "k").collect()}
+    ibans = [got[i].text[3:-6] for i in range(10)]
+    for i, b in enumerate(blanked):
+        new = ibans[i]
+        assert new != plain[i] and int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1
+        assert ibans[5 + i] == " ".join(new[k:k + 4] for k in range(0, len(new), 4)) and len(ibans[5 + i]) == len(b)
+    card = got[10].text[5:24]
+    assert got[10].text == f"DE12 {card} ABCD EF" and card != "4012 8888 8888 1881" and luhn(card.replace(" ", ""))
+    day = datetime.date.fromisoformat(got[11].text[3:13])
+    assert day != datetime.date(2024, 1, 2)
+    short, us = f"{day.day}.{day.month}.{day.year}", f"{day.month}/{day.day}/{day.year}"
+    want = [f"{day}", f"{day}T10:00:00Z", f"{day}t1000", short, f"{day:%d.%m.%Y}", us, f"{day:%m/%d/%Y}", short, "30.2.2024"]
+    assert [got[11 + i].text for i in range(9)] == [f"on {d}, so" for d in want]
+    assert [got[i].n_replaced for i in range(20)] == [1] * 19 + [0]
+    assert [got[20 + i].text for i in range(4)] == left and all(got[20 + i].n_replaced == 0 for i in range(4))
+
+
 def test_pseudonyms_are_permutations(spark):
     dates = [str(datetime.date(1900, 1, 1) + datetime.timedelta(i * 9)) for i in range(8000)]
     cards = []

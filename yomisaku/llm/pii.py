@@ -15,22 +15,35 @@ ROUNDS = 8
 _LETTERS, _BASE26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
 
 _ISO = r"\d{4}-\d{2}-\d{2}"
-_DOTTED = r"\d{2}\.\d{2}\.\d{4}"
-_SLASHED = r"\d{2}/\d{2}/\d{4}"
+_DOTTED = r"\d{1,2}\.\d{1,2}\.\d{4}"
+_SLASHED = r"\d{1,2}/\d{1,2}/\d{4}"
 _SSN = r"\d{3}-\d{2}-\d{4}"
 _IP = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 _PHONE = r"(?:\+1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}"
 _CARD = r"\d(?:[ -]?\d){12,18}"
-_IBAN = r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}"
+
+# Length of the IBANs of a country. It tells where one written with blanks ends.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+                22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+                25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+                28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+                31: "MT SC", 32: "LC", 33: "RU"}
+_BLANKED = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+_IBAN = rf"(?=[A-Z]{{2}}\d{{2}})(?:{_BLANKED}|[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}})"
 _MAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 
 #: No letter, digit or joining sign around a value, so that parts of longer codes are left alone.
 _ALONE = r"(?<![\p{L}\p{N}_.+%-])"
 _CLOSED = r"(?![\p{L}\p{N}_])(?![-./]\d)"
-PATTERN = (f"(?:{_ALONE}(?:(?:{_ISO}|{_DOTTED}|{_SLASHED}|{_SSN}|{_IP}|{_PHONE}|{_CARD}|{_IBAN}){_CLOSED}"
+#: A date may be followed by its time.
+_TIME = r"(?=[Tt](?:[01]\d|2[0-4])(?::?[0-5]\d|(?![\p{L}\p{N}_])))"
+PATTERN = (f"(?:{_ALONE}(?:(?:{_ISO}|{_DOTTED}|{_SLASHED}|{_SSN}|{_IP}|{_PHONE}|{_IBAN}|{_CARD}){_CLOSED}|{_ISO}{_TIME}"
            f"|{_MAIL})|(?<![\\p{{L}}\\p{{N}}_])\\([2-9]\\d{{2}}\\) ?[2-9]\\d{{2}}[ .-]\\d{{4}}{_CLOSED}"
            f"|(?<![\\p{{L}}\\p{{N}}_])\\+1[ .-]?(?:\\([2-9]\\d{{2}}\\) ?|[2-9]\\d{{2}}[ .-])[2-9]\\d{{2}}[ .-]\\d{{4}}{_CLOSED})")
 
+#: What may stand inside an IBAN with blanks that turns out to be none.
+NUMBERS = f"{_ALONE}(?:{_PHONE}|{_CARD}){_CLOSED}"
+
 #: Dates from the first day to 2099-12-30 are permuted among themselves: 73,048 days = 184 * 397.
 FIRST_DAY, DAYS_LEFT, DAYS_RIGHT = "1900-01-01", 184, 397
 
@@ -157,7 +170,7 @@ def _date(iso: Column, key: str) -> tuple[Column, Column]:
 
 
 def _iban(m: Column, key: str) -> tuple[Column, Column]:
-    """The digits of the account part permuted, check digits anew."""
+    """The digits of the account part permuted, check digits anew; blanks stay in their places and count for nothing."""
     def remainder(s: Column) -> Column:
         turned = F.concat(F.substr(s, F.lit(5)), F.substr(s, F.lit(1), F.lit(4)))
 
@@ -166,13 +179,14 @@ def _iban(m: Column, key: str) -> tuple[Column, Column]:
             return (F.when(v < 0, total).when(v < 10, total * 10 + v).otherwise(total * 100 + v)) % 97
         return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), add)
 
-    account = F.substr(m, F.lit(5))
+    plain = F.translate(m, " ", "")
+    account = F.substr(plain, F.lit(5))
     moved = _put_back(account, _written("iban", _only(account, "0-9"), 10, key), "0-9")
 
     def shown(a: Column) -> Column:
         open_ = F.concat(F.substr(m, F.lit(1), F.lit(2)), F.lit("00"), a)
         return F.concat(F.substr(m, F.lit(1), F.lit(2)), F.lpad((98 - remainder(open_)).cast("string"), 2, "0"), a)
-    return remainder(m) == 1, _with(moved, shown)
+    return remainder(plain) == 1, _with(_with(moved, shown), lambda p: _put_back(m, p, "A-Z0-9"))
 
 
 def _mail(m: Column, key: str) -> tuple[Column, Column]:
@@ -185,25 +199,47 @@ def _mail(m: Column, key: str) -> tuple[Column, Column]:
     return F.length(digits) + F.length(letters) > 0, F.concat(made, F.substr(m, F.length(local) + 1))
 
 
+def _spliced(text: Column, pattern: str, made: Column) -> Column:
+    """``text`` with its matches, m in ``made``, replaced by the value of p where there is one."""
+    shown = F.zip_with(F.split(text, pattern, -1), made, lambda a, b: F.concat(a, F.coalesce(b["p"]["value"], b["m"], F.lit(""))))
+    return F.array_join(shown, "")
+
+
+def _count(made: Column) -> Column:
+    """How many values were replaced in ``made``."""
+    return F.aggregate(made, F.lit(0), lambda n, x: n + F.coalesce(x["p"]["n"], F.lit(0)))
+
+
+def _first_of(m: Column, cases: list[tuple[str, str, tuple[Column, Column]]], otherwise: dict[str, Column] = {}) -> Column:
+    """kind, value and number of replaced values by the first pattern that ``m`` matches as a whole; NULL if it is not valid."""
+    none = F.lit(None).cast("struct<kind:string,value:string,n:int>")
+    out = none
+    for kind, pattern, (valid, made) in reversed(cases):
+        right = F.struct(F.lit(kind).alias("kind"), made.alias("value"), F.lit(1).alias("n"))
+        out = F.when(m.rlike(f"^(?:{pattern})$"), F.when(valid, right).otherwise(otherwise.get(kind, none))).otherwise(out)
+    return out
+
+
 def pseudonym(m: Column, key: str) -> Column:
-    """kind and pseudonym of one matched value; both NULL if it is not valid."""
-    def whole(pattern: str) -> Column:
-        return m.rlike(f"^(?:{pattern})$")
+    """kind, pseudonym and number of values of one match; all NULL if it is not valid."""
+    day, month, year = (F.lpad(F.split_part(F.translate(m, "/", "."), F.lit("."), F.lit(i)), n, "0") for i, n in ((1, 2), (2, 2), (3, 4)))
     iso = _date(m, key)
-    dotted = _date(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2)), key)
-    slashed = _date(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 1, 2), F.substring(m, 4, 2)), key)
+    dotted = _date(F.concat_ws("-", year, month, day), key)
+    slashed = _date(F.concat_ws("-", year, day, month), key)
 
     def shuffled(moved: Column, order: str) -> Column:
         parts = {"y": (1, 4), "m": (6, 2), "d": (9, 2)}
-        return _with(moved, lambda s: F.concat_ws(order[0], *[F.substring(s, *parts[c]) for c in order[1:]]))
+        made = _with(moved, lambda s: F.concat_ws(order[0], *[F.substring(s, *parts[c]) for c in order[1:]]))
+        # Where a day or month has one digit, leading zeros are not written.
+        return F.when(m.rlike(r"\b\d[./]"), F.regexp_replace(made, r"\b0", "")).otherwise(made)
     cases = [("date", _ISO, iso), ("date", _DOTTED, (dotted[0], shuffled(dotted[1], ".dmy"))),
              ("date", _SLASHED, (slashed[0], shuffled(slashed[1], "/mdy"))), ("ssn", _SSN, _ssn(m, key)), ("ip", _IP, _ip(m, key)),
              ("phone", _PHONE, _phone(m, key)), ("card", _CARD, _card(m, key)), ("iban", _IBAN, _iban(m, key)), ("mail", _MAIL, _mail(m, key))]
-    none = F.lit(None).cast("struct<kind:string,value:string>")
-    out = none
-    for kind, pattern, (valid, made) in reversed(cases):
-        out = F.when(whole(pattern), F.when(valid, F.struct(F.lit(kind).alias("kind"), made.alias("value"))).otherwise(none)).otherwise(out)
-    return out
+    inside = F.transform(F.regexp_extract_all(m, F.lit(NUMBERS), F.lit(0)), lambda x: F.struct(
+        x.alias("m"), _first_of(x, [("phone", _PHONE, _phone(x, key)), ("card", _CARD, _card(x, key))]).alias("p")))
+    numbers = _with(inside, lambda hits: F.struct(
+        F.lit("numbers").alias("kind"), _spliced(m, NUMBERS, hits).alias("value"), _count(hits).alias("n")))
+    return _first_of(m, cases, {"iban": F.when(m.rlike(NUMBERS), numbers)})
 
 
 def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
@@ -215,11 +251,9 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     hits, parts, made = (free_name(docs, n) for n in ("pii_hits", "pii_parts", "pii_made"))
     found = docs.withColumn(hits, F.when(F.col("text").rlike(PATTERN), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
     found = found.withColumns({
-        parts: F.when(F.col(hits).isNotNull(), F.split("text", PATTERN, -1)),
         made: F.when(F.col(hits).isNotNull(), F.transform(hits, lambda m: F.struct(m.alias("m"), pseudonym(m, key).alias("p"))))})
-    shown = F.zip_with(parts, made, lambda a, b: F.concat(a, F.coalesce(b["p"]["value"], b["m"], F.lit(""))))
-    found = found.withColumn(parts, F.when(F.col(hits).isNotNull(), F.array_join(shown, "")))
-    count = F.coalesce(F.size(F.filter(made, lambda x: x["p"].isNotNull())), F.lit(0)).cast("long")
+    found = found.withColumn(parts, F.when(F.col(hits).isNotNull(), _spliced(F.col("text"), PATTERN, F.col(made))))
+    count = F.coalesce(_count(F.col(made)), F.lit(0)).cast("long")
     text = F.coalesce(F.col(parts), F.col("text"))
     n = F.when(F.col(hits).isNull(), F.lit(0).cast("long")).otherwise(count)
 
