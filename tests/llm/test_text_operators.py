@@ -387,6 +387,32 @@ def test_blanks_in_ibans_and_written_forms_of_dates(spark):
     assert [got[20 + i].text for i in range(4)] == left and all(got[20 + i].n_replaced == 0 for i in range(4))
 
 
+def test_long_mail_names_are_permuted_whole(spark):
+    letters = "maximilianaalexandrinawilhelminehohenloheschilling"  # 50: blocks of 24, 24 and 2
+    digits = "".join(str(i * 7 % 10) for i in range(30))
+
+    def plain(kind, s, base, alphabet, beside):
+        out = ""
+        for i in range(0, len(s), 24):
+            part = s[i:i + 24]
+            half = len(part) // 2
+            value = [int("0" + p, base) for p in (part[:half], part[half:])]
+            sizes = [base ** half, base ** (len(part) - half)]
+            for v, k, n in zip(network(kind, *value, *sizes, "k", beside + (f"/{s[:i]}" if i else "")), (half, len(part) - half), sizes):
+                out += "".join(alphabet[v // base ** e % base] for e in range(k - 1, -1, -1))
+        return out
+    base26 = "0123456789abcdefghijklmnop"
+    coded = letters.translate(str.maketrans("abcdefghijklmnopqrstuvwxyz", base26))
+    shown = plain("mail letters", coded, 26, "abcdefghijklmnopqrstuvwxyz", "")
+    mails = [f"{letters[:20]}.{letters[20:]}@a.org", f"{digits}@a.org"] + [f"{letters}{a}{b}@a.org" for a in base26[10:] for b in base26[10:]]
+    got = {r.doc_id: r.text for r in pii.pseudonymize(docs_of(spark, mails), "k").collect()}
+    assert got[0] == f"{shown[:20]}.{shown[20:]}@a.org"
+    assert got[1] == plain("mail digits", digits, 10, "0123456789", "") + "@a.org"
+    assert len(set(got.values())) == len(mails) and all(len(got[i]) == len(m) for i, m in enumerate(mails))
+    tails = [got[i].split("@")[0][24:] for i in range(2, len(mails))]
+    assert all(t[:26] != letters[24:50] for t in tails)
+
+
 def test_pseudonyms_are_permutations(spark):
     dates = [str(datetime.date(1900, 1, 1) + datetime.timedelta(i * 9)) for i in range(8000)]
     cards = []

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from yomisaku.llm.common import free_name
 
 ROUNDS = 8
+#: Letters or digits of a mail name that one network permutes.
+BLOCK = 24
 _LETTERS, _BASE26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
 
 _ISO = r"\d{4}-\d{2}-\d{2}"
@@ -84,6 +86,15 @@ def _written(kind: str, s: Column, base: int, key: str, beside: Column | None =
     return _with(pair, lambda p: F.concat(shown(p["l"], half), shown(p["r"], n - half)))
 
 
+def _blocks(kind: str, s: Column, base: int, key: str, beside: Column) -> Column:
+    """Any number of digits of a base permuted in blocks of ``BLOCK``; a block's permutation depends on the digits before it."""
+    def block(i: Column) -> Column:
+        before = F.when(i == 0, beside).otherwise(F.concat(beside, F.lit("/"), F.substr(s, F.lit(1), i)))
+        return _written(kind, F.substr(s, i + 1, F.lit(BLOCK)), base, key, before)
+    last = F.greatest(F.length(s) - 1, F.lit(0))
+    return F.array_join(F.transform(F.sequence(F.lit(0), last, F.lit(BLOCK)), block), "")
+
+
 def _with(value: Column, use) -> Column:
     """``use`` of a value that is worked out once."""
     return F.transform(F.array(value), use)[0]
@@ -190,12 +201,12 @@ def _iban(m: Column, key: str) -> tuple[Column, Column]:
 
 
 def _mail(m: Column, key: str) -> tuple[Column, Column]:
-    """The digits of the local part permuted among digits, its letters (the first 24) among letters; the domain stays."""
+    """The digits of the local part permuted among digits, its letters among letters; the domain stays."""
     local = F.lower(F.substring_index(m, "@", 1))
-    digits, letters = F.substr(_only(local, "0-9"), F.lit(1), F.lit(24)), F.substr(_only(local, "a-z"), F.lit(1), F.lit(24))
-    moved = F.translate(_written("mail letters", F.translate(letters, _LETTERS, _BASE26), 26, key, digits), _BASE26, _LETTERS)
-    made = _put_back(local, F.concat(_written("mail digits", digits, 10, key), F.substr(_only(local, "0-9"), F.lit(25))), "0-9")
-    made = _with(made, lambda x: _put_back(x, F.concat(moved, F.substr(_only(local, "a-z"), F.lit(25))), "a-z"))
+    digits, letters = _only(local, "0-9"), _only(local, "a-z")
+    moved = F.translate(_blocks("mail letters", F.translate(letters, _LETTERS, _BASE26), 26, key, digits), _BASE26, _LETTERS)
+    made = _put_back(local, _blocks("mail digits", digits, 10, key, F.lit("")), "0-9")
+    made = _with(made, lambda x: _with(moved, lambda y: _put_back(x, y, "a-z")))
     return F.length(digits) + F.length(letters) > 0, F.concat(made, F.substr(m, F.length(local) + 1))
 
 
