@@ -268,6 +268,17 @@ def test_mixed_languages(spark):
     assert langid.identify(odd_docs(spark), model).count() == odd_docs(spark).count()
 
 
+def test_more_languages_than_a_block(spark):
+    rnd = random.Random(8)
+    words = {f"l{i:03d}": ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for i in range(300)}
+    rows = [(i, " ".join(w * (2 if i < 260 else 1)), lang, "s", 1) for i, (lang, w) in enumerate(words.items())]
+    docs = spark.createDataFrame(rows, docs_of(spark, ["x"]).schema)
+    model = langid.learn(docs)
+    assert model.langs == sorted(words)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()}
+    assert got == {i: lang for i, _, lang, _, _ in rows}
+
+
 def test_viterbi_equals_plain_programming():
     rng = np.random.default_rng(1)
     scores = rng.normal(0, 4, (300, 3)).astype(np.float32)

@@ -1,8 +1,8 @@
 """Language identification of mixed texts: script candidates, word scores, and Viterbi with a switching penalty.
 
 Learning counts letter trigrams inside words and the scripts of letters per language, in one pass with one partial count per
-task. The counts of a language are an array of fixed size, so the model that is broadcast is bounded by the
-number of languages (``MAX_LANGUAGES``). A word's score per language is the sum of its trigrams' log probabilities;
+task. The counts of a language are an array of fixed size, so the model that is broadcast grows with the
+number of languages alone, 256 KB each; all of them are learned. A word's score per language is the sum of its trigrams' log probabilities;
 languages that do not write in the word's script are no candidates. Viterbi then labels the words of a text, paying a
 penalty for each change of language, and neighbouring words of one label form a span.
 """
@@ -14,10 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from yomisaku.llm.common import text_blocks, text_bytes
+from yomisaku.llm.common import text_blocks, text_bytes, written
 
 BUCKETS = 1 << 16
-MAX_LANGUAGES = 256
 SWITCH = 15.0
 UNKNOWN = "und"
 #: Least share of a language's letters for a script to be one of its own.
@@ -25,6 +24,8 @@ SCRIPT_SHARE = 0.001
 _OUT = -60.0
 _SMOOTH = 0.1
 _BLOCK = 2 << 20
+#: Up to so many languages texts are labelled in blocks of full size, beyond in smaller ones of as many scores.
+_FULL = 256
 
 # Unicode ranges of scripts; other letters are Latin below U+0370, else of no script named here.
 SCRIPTS = [("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF),
@@ -114,16 +115,19 @@ class Model:
 
 
 def learn(labelled: DataFrame) -> Model:
-    """A model from text and lang of every row; rows with a NULL in either teach nothing.
-
-    The ``MAX_LANGUAGES`` languages with the most letters are learned.
-    """
-    size = BUCKETS + len(SCRIPT_NAMES)
+    """A model from text and lang of every row; rows with a NULL in either teach nothing. Every language is learned."""
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("bucket", T.IntegerType()),
                            T.StructField("n", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for lang, got in counts.items():
+                some = np.flatnonzero(got)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()),
+                                                  pa.array(got[some], pa.int64())], names=schema.names)
+            counts.clear()
         for part in text_blocks(batches, limit=_BLOCK):
             letters = Letters(part.column(0))
             langs = part.column(1).to_pylist()
@@ -136,30 +140,32 @@ def learn(labelled: DataFrame) -> Model:
                 got = np.concatenate([np.bincount(letters.bucket[mine], minlength=BUCKETS),
                                       np.bincount(letters.script[mine], minlength=len(SCRIPT_NAMES))])
                 counts[lang] = counts[lang] + got if lang in counts else got
-        for lang, got in counts.items():
-            some = np.flatnonzero(got)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()),
-                                              pa.array(got[some], pa.int64())], names=schema.names)
+            if len(counts) > _FULL:  # so that a task holds few languages' counts at once
+                yield from counted()
+        yield from counted()
 
     known = labelled.filter("text is not null and lang is not null").select("text", "lang")
     sums = known.mapInArrow(count, schema).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    # A row per language with its counts; at most MAX_LANGUAGES of them reach the driver.
-    rows = (sums.groupBy("lang").agg(F.sum(F.expr(f"if(bucket >= {BUCKETS}, n, 0)")).alias("letters"),
-                                     F.collect_list(F.struct("bucket", "n")).alias("counts"))
-            .orderBy(F.desc("letters"), "lang").limit(MAX_LANGUAGES).toArrow().to_pylist())
-    rows.sort(key=lambda r: r["lang"])
-    table = np.zeros((len(rows), size))
-    for i, r in enumerate(rows):
-        table[i, [c["bucket"] for c in r["counts"]]] = [c["n"] for c in r["counts"]]
-    grams, by_script = table[:, :BUCKETS] + _SMOOTH, table[:, BUCKETS:]
-    logp = np.log(grams / grams.sum(1, keepdims=True)) if rows else grams
+    # A row per language; they come to the driver one by one, and of each only its probabilities are kept.
+    rows = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("counts")).select(
+        "lang", F.col("counts.bucket").alias("bucket"), F.col("counts.n").alias("n"))
+    rows = written(rows, "languages")
+    langs = sorted(r.lang for r in rows.select("lang").collect())
+    place = {lang: i for i, lang in enumerate(langs)}
+    logp = np.zeros((BUCKETS, len(langs)), np.float32)
+    by_script = np.zeros((len(langs), len(SCRIPT_NAMES)))
+    for r in rows.toLocalIterator():
+        counts = np.zeros(BUCKETS + len(SCRIPT_NAMES))
+        counts[r.bucket] = r.n
+        grams = counts[:BUCKETS] + _SMOOTH
+        logp[:, place[r.lang]] = np.log(grams / grams.sum())
+        by_script[place[r.lang]] = counts[BUCKETS:]
     share = by_script / np.maximum(by_script.sum(1, keepdims=True), 1)
     writes = (share >= SCRIPT_SHARE) & (by_script > 0)
     none = ~writes.any(0)
-    if rows and none.any():  # whoever has such letters at all, else everyone
+    if langs and none.any():  # whoever has such letters at all, else everyone
         writes[:, none] = (by_script[:, none] > 0) | ~(by_script[:, none] > 0).any(0)
-    return Model([r["lang"] for r in rows], np.ascontiguousarray(logp.T, np.float32),
-                 np.where(writes, 0, _OUT).T.astype(np.float32))
+    return Model(langs, logp, np.where(writes, 0, _OUT).T.astype(np.float32))
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -167,14 +173,14 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
 
     Steps through all texts at once, longest first. Ties go to the smaller label and to no change.
     """
-    labels = np.zeros(len(scores), np.int16)
+    labels = np.zeros(len(scores), np.int32)
     sizes = np.diff(first)
     order = np.argsort(-sizes, kind="stable")
     starts, sizes = first[:-1][order], sizes[order]
     if not len(sizes) or not sizes[0]:
         return labels
     running = np.zeros((len(sizes), scores.shape[1]), np.float32)
-    came = np.zeros(len(scores), np.int16)
+    came = np.zeros(len(scores), np.int32)
     stayed = np.ones(scores.shape, bool)
     active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # texts with more than t words
     running[:active[0]] = scores[starts[:active[0]]]
@@ -211,7 +217,7 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for part in text_blocks(batches, limit=_BLOCK):
+        for part in text_blocks(batches, limit=_BLOCK * _FULL // max(_FULL, len(known.langs))):
             letters = Letters(part.column(1))
             preds, shares, spans = _labelled(letters, known, switch, part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(preds, pa.string()), pa.array(shares, pa.float64()),
