@@ -20,17 +20,8 @@ ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 _HASH_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers = np.ones(1, np.uint64)
-
-
-def _power_table(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        steps = np.full(max(n, 2 * len(_powers)), _BASE, np.uint64)
-        steps[0] = 1
-        _powers = np.multiply.accumulate(steps)
-    return _powers
+#: Masks for the first 0 to 8 bytes of a little-endian block.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,20 +58,28 @@ class Words:
 
 
 def segment_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: int = 0) -> np.ndarray:
-    """A 64-bit hash of the bytes of each segment, none of which is empty; ``second`` = 1 gives another one."""
+    """A 64-bit hash of the bytes of each segment, none of which is empty; ``second`` = 1 gives another one.
+
+    Each block of eight bytes is mixed by itself and again with its place before the blocks are added up, so that no
+    sum of powers can cancel out as it can in a polynomial.
+    """
     out = np.empty(len(starts), np.uint64)
+    seed = np.uint64(0x165667B19E3779F9 if second else 0x2545F4914F6CDD1D)
+    step = np.uint64(0xC2B2AE3D27D4EB4F if second else 0x9E3779B97F4A7C15)
     at = 0
     while at < len(starts):  # in parts, so that a very long text takes little memory
         to = max(at + 1, int(np.searchsorted(starts, starts[at] + _HASH_BYTES)))
         s, e = starts[at:to] - starts[at], ends[at:to] - starts[at]
+        padded = np.zeros(int(e[-1]) + 8, np.uint8)
+        padded[:e[-1]] = raw[starts[at]:ends[to - 1]]
+        eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
         sizes = e - s
-        firsts = np.cumsum(sizes) - sizes
-        step = np.arange(int(sizes.sum())) - np.repeat(firsts, sizes)
-        values = raw[starts[at]:ends[to - 1]][step + np.repeat(s, sizes)].astype(np.uint64)
-        if second:
-            values = values * np.uint64(0xC2B2AE3D27D4EB4F) ^ np.uint64(0x165667B19E3779F9)
-        values += np.uint64(1)
-        values *= _power_table(int(sizes.max()))[step]
+        count = (sizes + 7) >> 3
+        firsts = np.cumsum(count) - count
+        place = np.arange(int(count.sum())) - np.repeat(firsts, count)
+        begin = np.repeat(s, count) + 8 * place
+        values = eight[begin] & _FIRST[np.minimum(np.repeat(e, count) - begin, 8)]
+        values = mix(mix(values ^ seed) + (place + 1).astype(np.uint64) * step)
         out[at:to] = np.add.reduceat(values, firsts) + sizes.astype(np.uint64)
         at = to
     return mix(out)
