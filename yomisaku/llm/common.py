@@ -43,6 +43,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def blocks(rows: DataFrame, most: int, most_bytes: int) -> list[DataFrame]:
+    """``rows``, a written table, in parts of about ``most`` rows and ``most_bytes`` bytes of text, for the driver to take
+    one after the other; rows alike share a part."""
+    texts = [F.octet_length(c) for c, kind in rows.dtypes if kind == "string"]
+    size = sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(0)).cast("long")
+    count, total = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    parts = max(1, -(-count // most), -(-total // most_bytes))
+    if parts == 1:
+        return [rows]
+    return [rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(parts)) == k) for k in range(parts)]
+
+
 def row_digest(*columns: str) -> F.Column:
     """128 bits of some columns as two longs; NULL and the empty text differ."""
     marked = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]

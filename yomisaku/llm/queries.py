@@ -4,7 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from yomisaku.llm import bpe, chunk_dedup, decontaminate as dc, langid, licenses, line_dedup, ngram_join, pii, quality, warc
+from yomisaku.llm import (bpe, chunk_dedup, decontaminate as dc, fill_middle, langid, lexical, licenses, line_dedup, ngram_join, pii, quality,
+                          url_filter, warc)
 from yomisaku.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -261,3 +262,75 @@ PSEUDONYM_KEY = "example key"
 @register()
 def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(table(spark, sf_dir, "documents"), PSEUDONYM_KEY).select("doc_id", "text", "n_replaced")
+
+
+SEARCH_SQL = r"""
+with words as (
+  select doc_id, rid, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from (select *, row_number() over () as rid from documents)),
+counts as (select rid, doc_id, t, count(*) as tf from words group by all),
+sizes as (select rid, sum(tf)::bigint as n from counts group by 1),
+corpus as (select count(*) as n_docs, sum(n)::bigint as n_terms from sizes),
+item_terms as (
+  select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark),
+asked as (select item_id, t, count(*) as times from item_terms group by all),
+weights as (
+  select t, floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1)))::bigint as w
+  from counts, corpus where t in (select t from asked) group by t),
+scores as (
+  select item_id, c.rid, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::bigint as score
+  from asked join weights using (t) join counts c using (t) join sizes using (rid), corpus group by all),
+ranked as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank
+  from scores where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 10
+"""
+
+
+@register(SEARCH_SQL)
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+MIDDLE_SQL = r"""
+with base as (select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n, sha256('1:' || doc_id) as sha from documents),
+hashed as (select *, ('0x' || sha[1:8])::bigint % (n + 1) as x, ('0x' || sha[9:16])::bigint % (n + 1) as y,
+  ('0x' || sha[17:24])::bigint % 100 as h3, ('0x' || sha[25:32])::bigint % 100 as h4 from base),
+formed as (select *, least(x, y) as p, greatest(x, y) - least(x, y) as m,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 >= 90 then 'plain'
+    when h4 < 20 then 'spm' else 'psm' end as form from hashed),
+cut as (select *, substr(text, 1, p) as pre, substr(text, p + 1, m) as mid, substr(text, p + m + 1) as suf from formed)
+select doc_id, n, form, case when form <> 'plain' then p end as prefix_chars, case when form <> 'plain' then m end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+    else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(text) as restored_sha256
+from cut
+"""
+
+
+@register(MIDDLE_SQL)
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.report(table(spark, sf_dir, "documents"))
+
+
+# The rules that the query judges by.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
+             ("block", "net/fr/")]
+
+URLS_SQL = r"""
+with rules(rule_host, rule_path, said) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+  ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+parts as (select row_number() over () as r, page_id, 
+  coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+  coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
+fits as (
+  select r, arg_max(rule_host || rule_path, length(rule_host) * 1000 + length(rule_path)) as rule,
+    arg_max(said, length(rule_host) * 1000 + length(rule_path)) as said
+  from parts join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path) group by r)
+select page_id, host, path, rule, coalesce(said, 'allow') as verdict from parts left join fits using (r)
+"""
+
+
+@register(URLS_SQL)
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rules_of(spark, URL_RULES))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
