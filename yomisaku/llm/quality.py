@@ -3,7 +3,10 @@
 The signals of a text are array expressions inside its row. The thresholds come from quantile sketches
 (``percentile_approx``: mergeable, built per task and merged by group), so a hot source costs one sketch per task. A
 group's fence is its quartile plus a multiple of the spread between quartiles, as for outliers in a box plot; it adapts
-to a language's or a source's habits where a fixed cutoff would not. The fences are joined back by language and source.
+to a language's or a source's habits where a fixed cutoff would not. Sketches of the corpus, of each language and of each
+language and source are made in one pass; a fence is drawn towards that of the level above as if that had been seen in
+``PRIOR`` rows, so small groups follow their language and large ones themselves. The fences are joined back by
+language and source.
 """
 
 from pyspark.sql import DataFrame, functions as F
@@ -21,12 +24,13 @@ WINDOW = 5
 #: Relative error of the sketches is 1 / ACCURACY; groups of fewer rows are exact.
 ACCURACY = 10_000
 
-#: Per signal: the least that its fence may be, so that a group without spread rejects no ordinary text, how many
-#: spreads lie between the upper quartile and the fence, and the group size below which a fence is not trusted.
-FENCES = {"symbol_rate": (0.05, 3.0), "dup_line_rate": (0.3, 3.0), "repeat_rate": (0.2, 3.0)}
+#: Per signal: the least that its fence may be, so that a group without spread rejects no ordinary text, and how many
+#: spreads lie between the upper quartile and the fence.
+FENCES = {"symbol_rate": (0.05, 3.0), "dup_line_rate": (0.3, 3.0), "repeat_rate": (0.1, 3.0)}
 WORD_LENGTH_SPREADS = 6.0
 WORD_LENGTH_SLACK = 2.0
-MIN_GROUP = 20
+#: Rows that the fence of the level above counts for.
+PRIOR = 20.0
 
 
 def words(text: F.Column) -> F.Column:
@@ -78,17 +82,25 @@ def _rates(signals: DataFrame) -> DataFrame:
 
 def thresholds(rated: DataFrame) -> DataFrame:
     """The fences of every group of language and source that pass the base rules; NULL forms groups of its own."""
-    sketched = rated.filter("not base_failed").groupBy("lang", "source").agg(
-        F.count("*").alias("rows"),
-        *[F.percentile_approx(c, [0.25, 0.75], ACCURACY).alias(c) for c in (*FENCES, "word_length")])
-    fences = {c: F.greatest(F.lit(least), F.col(c)[1] + spreads * (F.col(c)[1] - F.col(c)[0]))
+    sketched = rated.filter("not base_failed").rollup("lang", "source").agg(
+        F.grouping_id().alias("level"), F.count("*").cast("double").alias("rows"),
+        *[F.percentile_approx(c, [0.25, 0.75], ACCURACY).alias(c) for c in (*FENCES, "word_length")]).filter("rows > 0")
+    fences = {f"most_{c}": F.greatest(F.lit(least), F.col(c)[1] + spreads * (F.col(c)[1] - F.col(c)[0]))
               for c, (least, spreads) in FENCES.items()}
     spread = WORD_LENGTH_SPREADS * (F.col("word_length")[1] - F.col("word_length")[0]) + WORD_LENGTH_SLACK
-    trusted = F.col("rows") >= MIN_GROUP
-    return sketched.select(
-        "lang", "source", *[F.when(trusted, f).otherwise(F.lit(FENCES[c][0])).alias(f"most_{c}") for c, f in fences.items()],
-        F.when(trusted, F.col("word_length")[0] - spread).alias("least_length"),
-        F.when(trusted, F.col("word_length")[1] + spread).alias("most_length"))
+    fences |= {"least_length": F.col("word_length")[0] - spread, "most_length": F.col("word_length")[1] + spread}
+    # A few numbers for each group; the three levels are read from one small table.
+    own = written(sketched.select("lang", "source", "level", "rows", *[f.alias(c) for c, f in fences.items()]), "fences")
+
+    def drawn(here: DataFrame, above: DataFrame, on: F.Column) -> DataFrame:
+        above = above.select(F.col("lang").alias("above_lang"), *[F.col(c).alias(f"above_{c}") for c in fences])
+        return here.join(above, on).select("lang", "source", "rows", *[
+            ((F.col("rows") * F.col(c) + F.lit(PRIOR) * F.col(f"above_{c}")) / (F.col("rows") + F.lit(PRIOR))).alias(c) for c in fences])
+
+    same = F.col("lang").eqNullSafe(F.col("above_lang"))
+    # The corpus is one row, whose lang is NULL; every language meets it.
+    languages = drawn(own.filter("level = 1"), own.filter("level = 3"), F.col("above_lang").isNull())
+    return drawn(own.filter("level = 0"), languages, same).drop("rows")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -96,7 +108,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept. A NULL or empty
     text fails the base rules; NULL languages and sources are groups; repeated rows are judged alike; other columns are
-    dropped. Groups of fewer than ``MIN_GROUP`` rows are judged by the least fences alone.
+    dropped.
     """
     return _judged(with_signals(docs)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -112,16 +124,17 @@ def _judged(signals: DataFrame) -> DataFrame:
                         & F.col("source").eqNullSafe(F.col("group_source")), "left")
     fine = F.lit(True)
     for c in FENCES:
-        fine = fine & (F.col(c) <= F.coalesce(F.col(f"most_{c}"), F.lit(FENCES[c][0])))
-    length = F.col("word_length")
-    fine = fine & F.coalesce(length >= F.col("least_length"), F.lit(True)) & F.coalesce(length <= F.col("most_length"), F.lit(True))
-    return joined.withColumn("kept", ~F.col("base_failed") & fine)
+        fine = fine & (F.col(c) <= F.col(f"most_{c}"))
+    fine = fine & F.col("word_length").between(F.col("least_length"), F.col("most_length"))
+    # A group without fences has no row that passed the base rules.
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(fine, F.lit(False)))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns.
 
-    The verdict is joined by doc_id and a digest of the text, so rows of one doc_id with other texts are told apart.
+    The verdict is joined by a digest of the whole row that was judged, so rows of one doc_id with other texts are told
+    apart and repeated rows are kept or rejected together. NULL and empty texts go.
     """
     mark_a, mark_b = free_name(docs, "mark_a"), free_name(docs, "mark_b")
     marked = docs.withColumns({

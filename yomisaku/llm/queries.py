@@ -82,24 +82,29 @@ rated as (
     n_repeat_words / greatest(n_words, 1) as repeat_rate, word_chars / greatest(n_words, 1) as word_length
   from signals),
 quartiles as (
-  select lang, source, count(*) as n,
+  select lang, source, grouping_id(lang, source) as g, count(*)::double as n,
     quantile_disc(symbol_rate, 0.25) as s1, quantile_disc(symbol_rate, 0.75) as s3,
     quantile_disc(dup_line_rate, 0.25) as d1, quantile_disc(dup_line_rate, 0.75) as d3,
     quantile_disc(repeat_rate, 0.25) as r1, quantile_disc(repeat_rate, 0.75) as r3,
     quantile_disc(word_length, 0.25) as l1, quantile_disc(word_length, 0.75) as l3
-  from rated where not base_failed group by 1, 2),
+  from rated where not base_failed group by grouping sets ((lang, source), (lang), ())),
+own as (
+  select lang, source, g, n, greatest(0.05, s3 + 3.0 * (s3 - s1)) as most_s, greatest(0.3, d3 + 3.0 * (d3 - d1)) as most_d,
+    greatest(0.1, r3 + 3.0 * (r3 - r1)) as most_r, l1 - (6.0 * (l3 - l1) + 2.0) as least_l, l3 + (6.0 * (l3 - l1) + 2.0) as most_l
+  from quartiles),
+languages as (
+  select o.lang, (o.n * o.most_s + 20.0 * c.most_s) / (o.n + 20.0) as most_s, (o.n * o.most_d + 20.0 * c.most_d) / (o.n + 20.0) as most_d,
+    (o.n * o.most_r + 20.0 * c.most_r) / (o.n + 20.0) as most_r, (o.n * o.least_l + 20.0 * c.least_l) / (o.n + 20.0) as least_l,
+    (o.n * o.most_l + 20.0 * c.most_l) / (o.n + 20.0) as most_l
+  from own o, own c where o.g = 1 and c.g = 3),
 fences as (
-  select lang as g_lang, source as g_source,
-    case when n >= 20 then greatest(0.05, s3 + 3.0 * (s3 - s1)) else 0.05 end as most_s,
-    case when n >= 20 then greatest(0.3, d3 + 3.0 * (d3 - d1)) else 0.3 end as most_d,
-    case when n >= 20 then greatest(0.2, r3 + 3.0 * (r3 - r1)) else 0.2 end as most_r,
-    case when n >= 20 then l1 - (6.0 * (l3 - l1) + 2.0) end as least_l,
-    case when n >= 20 then l3 + (6.0 * (l3 - l1) + 2.0) end as most_l
-  from quartiles)
+  select o.lang as g_lang, o.source as g_source, (o.n * o.most_s + 20.0 * c.most_s) / (o.n + 20.0) as most_s,
+    (o.n * o.most_d + 20.0 * c.most_d) / (o.n + 20.0) as most_d, (o.n * o.most_r + 20.0 * c.most_r) / (o.n + 20.0) as most_r,
+    (o.n * o.least_l + 20.0 * c.least_l) / (o.n + 20.0) as least_l, (o.n * o.most_l + 20.0 * c.most_l) / (o.n + 20.0) as most_l
+  from own o join languages c on o.lang is not distinct from c.lang where o.g = 0)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and symbol_rate <= coalesce(most_s, 0.05) and dup_line_rate <= coalesce(most_d, 0.3)
-    and repeat_rate <= coalesce(most_r, 0.2) and coalesce(word_length >= least_l, true)
-    and coalesce(word_length <= most_l, true) as kept
+  not base_failed and coalesce(symbol_rate <= most_s and dup_line_rate <= most_d and repeat_rate <= most_r
+    and word_length between least_l and most_l, false) as kept
 from rated left join fences on lang is not distinct from g_lang and source is not distinct from g_source
 """
 
