@@ -8,11 +8,14 @@ over classes. It never holds a group of similar texts in one task and never make
    tokens share a bit matters for speed only: any one order is right), else by hash. Two sets that are similar enough share
    a token among the first of both (prefix filter).
 3. Classes are partitioned into groups of similar texts: those that share a minhash are compared with the one class
-   among them whose tokens are commonest, and what is similar enough joins its group.
-4. Between different groups: tokens that are not hot meet directly. Hot tokens meet in the token-group matrix, one row for
-   each token and group however many texts the group has. For the query classes of the smaller group, the overlap with the other
-   group's token union is an upper bound of that with each member; only groups that it lets through are opened.
-5. Pairs that remain are compared by bitmap sketches of the sets, which bound the intersection from above, then exactly
+   among them whose tokens are commonest, the pivot, and belong to it if they share half of their tokens. A class is then known by
+   its difference to what its group has in common.
+4. Between groups all candidates come from the token-group matrix, one row for each token and group however many
+   texts the group has. For the query classes of the smaller group, the overlap with the other group's token union is an
+   upper bound of that with each member; only groups that it lets through are opened.
+5. Inside a group, and for queries that a group was opened to, two sets differ by what their differences to the pivot
+   differ by. Those close to the pivot hang on one centre; the others meet over the few tokens of their differences.
+6. Pairs that remain are compared by bitmap sketches of the sets, which bound the intersection from above, then exactly
    on whole sets, and components are closed over all links.
 
 Two different shingles share a hash with a chance of about 2**-64, as do two different sets their key.
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from yomisaku.llm.bitmaps import bitmap, in_bitmap
 from yomisaku.llm.common import free_name, text_blocks, written
@@ -278,106 +281,252 @@ def _sets_of(docs: DataFrame, classes: DataFrame, keys: DataFrame, rule: Rule) -
     return written(_fetch(docs, need, rule), "sets")
 
 
-def _stars(classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """Links of classes that share a minhash with the commonest class of theirs, for minhashes of more than HOT classes."""
+def _differences(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Rule, every: bool = False) -> DataFrame:
+    """x, y, n (size of x) and delta of the pairs x, y of class keys that share half of their union at least.
+
+    ``delta`` holds the tokens of x that y lacks, then those of y that x lacks. With ``every`` the other pairs come too, with a NULL delta.
+    """
+    pairs = written(pairs, "compared")
+    likely = pairs if every else written(_plausible(pairs, classes, Rule(rule.k, 1, 2)), "near")
+    keys = likely.select(F.col("x").alias("key")).unionByName(likely.select(F.col("y").alias("key")))
+    sets = _sets_of(docs, classes, keys, rule)
+    left = sets.select(F.col("key").alias("x"), F.col("tokens").alias("xs"))
+    right = sets.select(F.col("key").alias("y"), F.col("tokens").alias("ys"))
+    schema = T.StructType([*[T.StructField(c, T.LongType()) for c in ("x", "y", "n")], T.StructField("delta", _LONGS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            sizes, deltas, near = [], [], []
+            for x, y in zip(_lists(part.column(2)), _lists(part.column(3))):
+                delta = np.concatenate([np.setdiff1d(x, y, True), np.setdiff1d(y, x, True)])
+                near.append(len(x) + len(y) >= 3 * len(delta))
+                deltas.append(delta if near[-1] else delta[:0])
+                sizes.append(len(x))
+            made = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), _list_column(deltas)], names=schema.names)
+            if not every:
+                yield made.filter(pa.array(near, pa.bool_()))
+            else:
+                far = pa.array(deltas and [None if not ok else d.view(np.int64) for ok, d in zip(near, deltas)], pa.list_(pa.int64()))
+                yield made.set_column(3, "delta", far)
+
+    return written(likely.join(left, "x").join(right, "y").select("x", "y", "xs", "ys").mapInArrow(run, schema), "deltas")
+
+
+def _groups(classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """key, grp, n and delta: classes partitioned by the pivot that they share half of their tokens with.
+
+    Pivots are the commonest classes of minhashes that more than HOT classes share. Of several the most shared one
+    counts; if a pivot itself belongs to another's group, its members are compared with that one too. A group is
+    named by its pivot, which serves as its reference and need not be a member. Classes near no pivot are left out.
+    """
     shared = classes.select("key", "n", "hot", F.posexplode("m").alias("j", "w"))
-    pivots = (shared.groupBy("j", "w").agg(F.count("*").alias("c"), F.max(F.struct("hot", "key", "n")).alias("p"))
-              .filter(F.col("c") > HOT).select("j", "w", F.col("p.key").alias("y"), F.col("p.n").alias("yn")))
-    pairs = (shared.join(pivots, ["j", "w"]).filter("key != y").filter(rule.sizes_fit("n", "yn"))
+    pivots = written(shared.groupBy("j", "w").agg(F.count("*").alias("c"), F.max(F.struct("hot", "key", "n")).alias("p"))
+                     .filter(F.col("c") > HOT).select("j", "w", F.col("p.key").alias("y"), F.col("p.n").alias("yn"), "c"), "pivots")
+    rank = pivots.groupBy("y").agg(F.max("c").alias("c"))
+    pairs = (shared.join(pivots, ["j", "w"]).filter("2 * least(n, yn) >= greatest(n, yn)")
              .select(F.col("key").alias("x"), "y").distinct())
-    pairs = written(_plausible(pairs, classes, rule), "stars")
-    keys = pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("y").alias("key")))
-    return written(_verified(pairs, _sets_of(docs, classes, keys, rule), rule), "star-links")
+    found = _differences(pairs, docs, classes, rule)
 
+    def chosen(found: DataFrame) -> DataFrame:
+        return found.join(rank, "y").groupBy("x").agg(F.max(F.struct("c", "y", "n", "delta")).alias("one")).select(
+            F.col("x").alias("key"), F.col("one.y").alias("grp"), F.col("one.n").alias("n"), F.col("one.delta").alias("delta"))
 
-def _cold_pairs(classes: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of classes of different groups that share a token which is not hot, and may be similar enough.
+    first = written(chosen(found), "first-groups")
+    above = first.filter("key != grp").select(F.col("key").alias("grp"), F.col("grp").alias("y"))
+    more = (first.join(above, "grp").select(F.col("key").alias("x"), "y").distinct()
+            .join(found.select("x", "y"), ["x", "y"], "left_anti"))
+    return written(chosen(found.unionByName(_differences(more, docs, classes, rule))), "groups")
 
-    If the last common token is at places i and j, no more than the common ones so far and the rest of the shorter
-    remainder can be common.
-    """
-    rows = classes.filter("cold > 0").select("key", "n", "grp", F.posexplode(F.slice("tokens", 1, F.col("cold"))).alias("i", "w"))
-    twice = (rows.select(F.pmod("w", F.lit(1 << 31)).cast("int").alias("w")).groupBy("w").count().filter("count > 1")
+
+def _postings(classes: DataFrame) -> DataFrame:
+    """key, n, grp, members, i and w: the places of those tokens in the classes' prefixes that occur more than once."""
+    tokens = classes.select(F.explode("tokens").alias("w"))
+    twice = (tokens.select(F.pmod("w", F.lit(1 << 31)).cast("int").alias("w")).groupBy("w").count().filter("count > 1")
              .select(F.col("w").cast("long").alias("w")))
     bits = classes.sparkSession.sparkContext.broadcast(bitmap(twice, "w"))
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "n", "grp", "members", "i", "w")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            lists = _lists(part.column(3))
+            lists = _lists(part.column(4))
             met = [np.flatnonzero(in_bitmap(bits.value, x)) for x in lists]
-            counts = np.array([len(m) for m in met])
-            whose = np.repeat(np.arange(part.num_rows), counts)
-            take = pa.array(whose)
+            take = pa.array(np.repeat(np.arange(part.num_rows), [len(m) for m in met]))
             yield pa.RecordBatch.from_arrays(
-                [*[part.column(c).take(take) for c in range(3)],
+                [*[part.column(c).take(take) for c in range(4)],
                  pa.array(np.concatenate(met) if met else np.zeros(0), pa.int64()),
                  pa.array(np.concatenate([x[m] for x, m in zip(lists, met)]).view(np.int64) if met else np.zeros(0), pa.int64())],
-                names=["key", "n", "grp", "i", "w"])
+                names=schema.names)
 
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "n", "grp", "i", "w")])
-    met = written(classes.filter("cold > 0").select("key", "n", "grp", F.slice("tokens", 1, F.col("cold")).alias("tokens")).mapInArrow(run, schema), "postings")
-    x = met.select("w", F.col("key").alias("x"), F.col("n").alias("xn"), F.col("grp").alias("xg"), F.col("i").alias("xi"))
-    y = met.select("w", F.col("key").alias("y"), F.col("n").alias("yn"), F.col("grp").alias("yg"), F.col("i").alias("yi"))
-    both = x.join(y, "w").filter("x < y and xg != yg").filter(rule.sizes_fit("xn", "yn"))
-    return (both.groupBy("x", "y", "xn", "yn").agg(F.count("*").alias("c"), F.max("xi").alias("xi"), F.max("yi").alias("yi"))
-            .filter(F.expr(f"c + least(xn - xi - 1, yn - yi - 1) >= {rule.overlap('xn', 'yn')}")).select("x", "y"))
+    return written(classes.select("key", "n", "grp", "members", "tokens").mapInArrow(run, schema), "postings")
 
 
-def _group_pairs(classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of classes of different groups that share hot tokens only, by the token-group matrix."""
-    rows = classes.select("key", "n", "grp", "members", F.posexplode("tokens").alias("i", "w"), "cold").filter("i >= cold")
+def _query_groups(classes: DataFrame, rule: Rule) -> DataFrame:
+    """The token-group matrix: query classes x and the other groups g that the matrix does not rule out.
+
+    One row for each token and group of its texts' prefixes, however many texts the group has; the classes of the
+    smaller group are the queries. Returns x, n, g, size, needed (overlap) and y, the member where the group has one.
+    """
+    rows = _postings(classes)
     matrix = (rows.groupBy("w", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("i")).alias("room"),
-                                           F.first("members").alias("size"))
-              .select("w", F.col("grp").alias("g"), "least", "most", "room", "size"))
+                                           F.max("i").alias("yi"), F.first("members").alias("size"), F.min("key").alias("y"))
+              .withColumnRenamed("grp", "g"))
     needed = rule.overlap("n", f"greatest(least, ceil({rule.num} * n / {rule.den}))")
     met = (rows.join(matrix, "w").filter("struct(members, grp) < struct(size, g)")
            .filter(f"{rule.den} * most >= {rule.num} * n and {rule.den} * n >= {rule.num} * least")
            # The first token that two texts share leaves each of them room for the overlap they need.
            .filter(f"least(n - i, room) >= {needed}")
-           .groupBy(F.col("key").alias("x"), "n", "g", "size").agg(F.min("least").alias("least"))
-           .select("x", "n", "g", "size", F.expr(needed).cast("long").alias("needed")))
-    met = written(met, "query-groups")
-    single = met.filter("size = 1")
-    several = met.filter("size > 1")
-    members = classes.select("key", "n", "grp")
-    # The token unions of groups of several members, and the queries' overlap with them.
-    groups = several.select(F.col("g").alias("grp")).distinct()
-    inside = members.join(groups, "grp", "left_semi")
-    keys = inside.select("key").unionByName(several.select(F.col("x").alias("key")))
+           .groupBy(F.col("key").alias("x"), "n", "g", "size").agg(
+               F.min("least").alias("least"), F.max("most").alias("most"), F.count("*").alias("c"), F.max("i").alias("i"), F.max("yi").alias("yi"),
+               F.min("y").alias("y"))
+           .withColumn("needed", F.expr(needed).cast("long"))
+           # After the last token that is shared with a single class, no more than the rest of the shorter remainder is.
+           .filter("size > 1 or c + least(n - i - 1, most - yi - 1) >= needed"))
+    return written(met.select("x", "n", "g", "size", "needed", F.when(F.col("size") == 1, F.col("y")).alias("y")), "query-groups")
+
+
+#: Bits of a group's token union, in words of 64.
+_UNION_BITS = 1 << 16
+
+
+def _qualifying(several: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """The rows of query classes and groups whose token unions may hold the overlap that is needed.
+
+    A union is a bitmap, which bounds the overlap with it, and so with each member, from above.
+    """
+    members = classes.select("key", "grp").join(several.select(F.col("g").alias("grp")).distinct(), "grp", "left_semi")
+    keys = members.select("key").unionByName(several.select(F.col("x").alias("key")))
     sets = _sets_of(docs, classes, keys, rule).select("key", "tokens")
-    union = (inside.join(sets, "key").select("grp", F.explode("tokens").alias("w")).distinct()
-             .select(F.col("grp").alias("g"), "w"))
-    asked = several.join(sets.withColumnRenamed("key", "x"), "x").select("x", "n", "g", "needed", F.explode("tokens").alias("w"))
-    open_ = (asked.join(union, ["g", "w"]).groupBy("x", "n", "g", "needed").agg(F.count("*").alias("c"))
-             .filter("c >= needed").select("x", "n", "g"))
-    opened = single.select("x", "n", "g").unionByName(open_)
-    other = members.select(F.col("key").alias("y"), F.col("n").alias("yn"), F.col("grp").alias("g"))
-    return opened.join(other, "g").filter(rule.sizes_fit("n", "yn")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            groups = part.column(0).to_numpy()
+            lists = _lists(part.column(1))
+            whose = np.repeat(groups, [len(x) for x in lists])
+            bit = (np.concatenate(lists) % np.uint64(_UNION_BITS)).astype(np.int64)
+            order = np.lexsort((bit >> 6, whose))
+            whose, bit = whose[order], bit[order]
+            at = np.flatnonzero((np.diff(whose, prepend=whose[:1] - 1) != 0) | (np.diff(bit >> 6, prepend=-1) != 0)) if len(bit) else np.zeros(0, np.int64)
+            words = np.bitwise_or.reduceat(np.uint64(1) << (bit & 63).astype(np.uint64), at) if len(at) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(whose[at]), pa.array((bit >> 6)[at]), pa.array(words.view(np.int64))],
+                                             names=["g", "place", "word"])
+
+    words = members.join(sets, "key").select("grp", "tokens").mapInArrow(union, "g long, place long, word long")
+    unions = (words.groupBy("g", "place").agg(F.bit_or("word").alias("word")).groupBy("g")
+              .agg(F.collect_list(F.struct("place", "word")).alias("bits")).select("g", "bits.place", "bits.word"))
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("x", "n", "g")])
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            ok = []
+            for needed, x, place, word in zip(part.column(3).to_pylist(), *[_lists(part.column(c)) for c in (4, 5, 6)]):
+                bits = np.zeros(_UNION_BITS // 64, np.uint64)
+                bits[place.view(np.int64)] = word
+                at = x % np.uint64(_UNION_BITS)
+                ok.append(int(((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).sum()) >= needed)
+            yield part.select(["x", "n", "g"]).filter(pa.array(ok, pa.bool_()))
+
+    asked = several.join(sets.withColumnRenamed("key", "x"), "x").join(unions, "g")
+    return written(asked.select("x", "n", "g", "needed", "tokens", "place", "word").mapInArrow(bound, schema), "qualifying")
+
+
+def _inside(rows: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Links among the classes compared with one pivot: grp, key, n and delta, their difference to it.
+
+    Two sets differ by what their deltas differ by, also after all deltas of a group are changed alike: tokens in more than half
+    of them change sides, so that deltas are those to what the group has in common, whichever class was the pivot. So with
+    f = (den + num) * size of the delta - (den - num) * n, two classes are similar enough if their f sum to 0 or less, and
+    all such pairs hang together by the class with the smallest f, the centre. Others must share (f + f) / 2 (den + num)
+    tokens of their deltas, which a prefix filter finds, rare tokens first. Returns the links x, y, where y is a centre,
+    and the other links.
+    """
+    up, down = rule.den + rule.num, rule.den - rule.num
+    rows = written(rows, "differences")
+
+    def counts(rows: DataFrame) -> DataFrame:
+        return rows.select("grp", F.explode("delta").alias("w")).groupBy("grp", "w").agg(F.count("*").alias("c"))
+
+    sizes = rows.groupBy("grp").agg(F.count("*").alias("size"))
+    common = counts(rows).join(sizes, "grp").filter("2 * c > size").groupBy("grp").agg(F.collect_list("w").alias("common"))
+    changed = F.array_union(F.array_except("delta", "common"), F.array_except("common", "delta"))
+    rows = rows.join(common, "grp", "left").withColumn("delta", F.when(F.col("common").isNull(), F.col("delta")).otherwise(changed))
+    rows = written(rows.drop("common").withColumn("f", F.expr(f"{up}L * size(delta) - {down}L * n")), "centred")
+    centre = rows.groupBy("grp").agg(F.min(F.struct("f", "key")).alias("s")).select("grp", F.col("s.f").alias("sf"), F.col("s.key").alias("sk"))
+    rows = written(rows.join(centre, "grp").withColumn("linked", F.expr("f + sf <= 0")), "inside")
+    stars = rows.filter("linked and key != sk").select(F.col("key").alias("x"), F.col("sk").alias("y"))
+    rest = rows.filter("not linked").groupBy("grp").agg(F.min("f").alias("zf"))
+
+    def shared(f: str) -> F.Column:
+        return F.expr(f"greatest(1L, cast(ceil(({f}) / cast({2 * up} as double) - 1e-9) as long))")
+
+    offered = (rows.join(rest, "grp").withColumn("least", F.when(F.col("linked"), shared("f + zf")).otherwise(shared("f + sf")))
+               .withColumn("d", F.size("delta").cast("long")).filter("d >= least"))
+    each = offered.select("grp", "key", "n", "f", "d", "linked", "least", F.explode("delta").alias("w"))
+    place = Window.partitionBy("grp", "key").orderBy("c", "w")
+    tokens = (each.join(counts(offered), ["grp", "w"]).withColumn("i", F.row_number().over(place).cast("long") - 1)
+              .filter("c > 1 and d - i >= least").drop("least", "c"))
+    tokens = written(tokens, "delta-tokens")
+    x = tokens.filter("not linked").select("grp", "w", F.col("key").alias("x"), *[F.col(c).alias("x" + c) for c in ("n", "f", "d", "i")])
+    y = tokens.select("grp", "w", F.col("key").alias("y"), "linked", *[F.col(c).alias("y" + c) for c in ("n", "f", "d", "i")])
+    pairs = (x.join(y, ["grp", "w"]).filter("(linked or x < y) and x != y and xf + yf > 0").filter(rule.sizes_fit("xn", "yn"))
+             .withColumn("need", shared("xf + yf")).filter("least(xd - xi, yd - yi) >= need")
+             .groupBy("grp", "x", "y", "need", "xd", "yd").agg(F.count("*").alias("c"), F.max("xi").alias("xi"), F.max("yi").alias("yi"))
+             .filter("c + least(xd - xi - 1, yd - yi - 1) >= need").select("grp", "x", "y", "need"))
+    pairs = written(pairs, "delta-pairs")
+    left = rows.select("grp", F.col("key").alias("x"), F.col("delta").alias("xs"))
+    right = rows.select("grp", F.col("key").alias("y"), F.col("delta").alias("ys"))
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("x", "y")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            ok = [len(np.intersect1d(a, b, True)) >= need for need, a, b in
+                  zip(part.column(2).to_pylist(), _lists(part.column(3)), _lists(part.column(4)))]
+            yield part.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
+
+    both = pairs.join(left, ["grp", "x"]).join(right, ["grp", "y"]).select("x", "y", "need", "xs", "ys")
+    return stars, both.mapInArrow(run, schema)
 
 
 def classes_of(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, t, n, a, b) and the group of each class that has others linked to it (key, b, root)."""
+    """Rows (doc_id, t, n, a, b) and the root (key, root) of each class that has others linked to it."""
     rule = Rule(k, num, den)
     sigs = written(signatures(docs, rule), "signatures")
     classes = _prefixes(sigs, docs, rule)
-    # A class belongs to the group of the least pivot that it is linked to; whoever has none is a group alone.
-    stars = _stars(classes, docs, rule)
-    first = stars.groupBy(F.col("x").alias("key")).agg(F.min("y").alias("grp"))
-    pivots = stars.select(F.col("y").alias("key")).distinct().join(first, "key", "left_anti").withColumn("grp", F.col("key"))
-    first = written(first.unionByName(pivots), "groups")
-    sizes = first.groupBy("grp").agg(F.count("*").alias("members"))
-    group = first.join(sizes, "grp")
-    grouped = (classes.select("key", "b", "label", "t", "n", "tokens", "cold", "sketch").join(group, "key", "left")
+    near = _groups(classes, docs, rule)
+    sizes = near.groupBy("grp").agg(F.count("*").alias("members"))
+    grouped = (classes.select("key", "b", "label", "t", "n", "tokens", "sketch")
+               .join(near.join(sizes, "grp").select("key", "grp", "members"), "key", "left")
                .withColumns({"grp": F.coalesce("grp", "key"), "members": F.coalesce("members", F.lit(1).cast("long"))}))
     grouped = written(grouped, "grouped")
-    met = _cold_pairs(grouped, rule).unionByName(_group_pairs(grouped, docs, rule)).distinct()
-    pairs = written(_plausible(met, grouped, rule), "pairs")
+    met = _query_groups(grouped, rule)
+    single = met.filter("size = 1").select("x", "y")
+    opened = _qualifying(met.filter("size > 1"), grouped, docs, rule)
+    # Whoever is near a group's pivot is a guest of the group and meets its members there, the others meet them one by one.
+    against = _differences(opened.select("x", F.col("g").alias("y")), docs, grouped, rule, every=True)
+    guests = against.filter("delta is not null").select(F.col("x").alias("key"), F.col("y").alias("grp"), "n", "delta")
+    stars, inside = _inside(near.select("key", "grp", "n", "delta").unionByName(guests), rule)
+    far = against.filter("delta is null").select("x", F.col("y").alias("grp"), F.col("n").alias("xn"))
+    plain = far.join(grouped.select(F.col("key").alias("y"), F.col("n").alias("yn"), "grp"), "grp").filter(rule.sizes_fit("xn", "yn")).select("x", "y")
+    pairs = written(_plausible(single.unionByName(plain), grouped, rule), "pairs")
     keys = pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("y").alias("key")))
     links = _verified(pairs, _sets_of(docs, grouped, keys, rule), rule)
-    edges = (links.select(F.col("x").alias("u"), F.col("y").alias("v"))
-             .unionByName(stars.select(F.col("x").alias("u"), F.col("y").alias("v"))))
-    roots = components(edges).select(F.col("node").alias("key"), "root")
-    return sigs.drop("m", "head", "sketch"), roots
+    # Each centre and what hangs on it alone is one node, so that no node has as many edges as a group has members.
+    stars = written(stars, "star-links")
+    centre = written(stars.groupBy("x").agg(F.min("y").alias("node")), "centres")
+    edges = (links.unionByName(inside).unionByName(stars.join(centre, "x").filter("y != node").select("node", "y").toDF("x", "y")))
+    for end in ("x", "y"):
+        edges = edges.join(centre.select(F.col("x").alias(end), F.col("node").alias(end + "_node")), end, "left").withColumn(
+            end, F.coalesce(end + "_node", end)).drop(end + "_node")
+    # A centre may hang on another one itself.
+    hanging = centre.select(F.col("x").alias("key"), "node")
+    chain = hanging.join(hanging.select(F.col("node").alias("key")).distinct(), "key").toDF("x", "y")
+    edges = edges.select("x", "y").unionByName(chain)
+    among = components(edges.select(F.col("x").alias("u"), F.col("y").alias("v"))).select(F.col("node").alias("key"), "root")
+    among = written(among, "nodes")
+    alone = hanging.select(F.col("node").alias("key")).distinct().join(hanging.select("key"), "key", "left_anti").withColumn("node", F.col("key"))
+    known = hanging.unionByName(alone)
+    others = among.join(known.select("key"), "key", "left_anti")
+    under = known.join(among.withColumnRenamed("key", "node"), "node", "left").select("key", F.coalesce("root", "node").alias("root"))
+    return sigs.drop("m", "head", "sketch"), under.unionByName(others)
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -388,29 +537,38 @@ def near_duplicates(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100)
     its component is its own doc_id. Rows of one doc_id are separate nodes. Rows without doc_id are linked like
     others but name no component: it is NULL if no row in reach has an id. Other columns are dropped.
     """
-    sigs, roots = classes_of(docs, k, num, den)
-    # The smallest id of each class, then of each component; one row per class from here on.
-    labels = sigs.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("label"))
-    rooted = labels.join(roots, F.col("a") == F.col("key"), "left").select(
-        "a", "b", "label", "root")
-    several = rooted.filter("root is not null").groupBy("root").agg(F.min("label").alias("least"))
-    named = rooted.join(several, "root", "left").select("a", "b", F.coalesce("least", "label").alias("component"))
-    return sigs.join(named, ["a", "b"], "left").select(
+    sigs, named = _named(docs, k, num, den)
+    least = named.groupBy("root", "root_b").agg(F.min("label").alias("component"))
+    placed = named.join(least, ["root", "root_b"]).select("a", "b", "component")
+    return sigs.join(placed, ["a", "b"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "t")
 
 
+def _named(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, t, n, a, b), and per class a, b of texts with words its smallest doc_id, its first row and its root.
+
+    A class without links is its own root; root_b tells such classes apart that share half of their digest.
+    """
+    sigs, roots = classes_of(docs, k, num, den)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first")
+    classes = sigs.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("label"), first)
+    rooted = classes.join(roots, F.col("a") == F.col("key"), "left").select(
+        "a", "b", "label", "first", F.coalesce("root", "a").alias("root"), F.when(F.col("root").isNull(), F.col("b")).otherwise(0).alias("root_b"))
+    return sigs, rooted
+
+
 def keep_first(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """One row of each component of ``near_duplicates``: the one with the smallest doc_id; all columns stay.
 
-    Rows repeated whole are one. Of rows that share the smallest id with different texts, that with the smallest hash stays. Rows without words are kept;
-    components without any id keep one row per text.
+    Of rows with equal ids in a component, that with the smallest hash of its text stays; rows without an id stay only in
+    components without any id. Different components keep a row each, also where they share a doc_id. Rows without words
+    are kept; rows that repeat an id and its text are one.
     """
     t = free_name(docs, "text_hash")
-    found = near_duplicates(docs, k, num, den).filter("n_shingles = 0 or doc_id <=> component_id")
-    every = F.expr("n_shingles = 0 or doc_id is null")
-    chosen = found.filter(every).select("doc_id", "t").distinct().unionByName(
-        found.filter(~every).groupBy("doc_id").agg(F.min("t").alias("t")))
+    sigs, named = _named(docs, k, num, den)
+    one = named.groupBy("root", "root_b").agg(F.min("first").alias("first")).select("first.doc_id", "first.t")
+    chosen = sigs.filter("n = 0").select("doc_id", "t").unionByName(one).distinct()
     chosen = chosen.select(F.col("doc_id").alias(t + "_id"), F.col("t").alias(t + "_t"))
     marked = docs.withColumn(t, F.xxhash64("text"))
     kept = marked.join(chosen, F.col("doc_id").eqNullSafe(F.col(t + "_id")) & (F.col(t) == F.col(t + "_t")), "left_semi")
