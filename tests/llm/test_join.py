@@ -81,8 +81,41 @@ def test_odd_rows(spark):
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows, 4, 85, 100)
     kept = ngram_join.keep_first(clashing(docs))
     assert kept.columns == clashing(docs).columns
-    # Whole repetitions are one row, and of one id's rows with words one stays.
-    assert sorted((repr(r.doc_id) for r in kept.collect() if r.text and r.text.strip())) == ["4", "5", "6", "None"]
+    # Whole repetitions are one row; unrelated texts of one id both stay.
+    assert sorted((repr(r.doc_id) for r in kept.collect() if r.text and r.text.strip())) == ["4", "5", "5", "6", "None"]
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a), (3, b), (None, a + " more"), (None, "no id here"), (None, "no id here"), (7, None), (7, " ")]
+    kept = ngram_join.keep_first(docs_of(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(1, a), (1, b), (None, "no id here"), (7, None), (7, " ")], key=repr)
+
+
+def test_texts_that_a_polynomial_cannot_tell_apart(spark):
+    """A Thue-Morse word and its complement differ everywhere, yet agree under any polynomial modulo a power of two."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba")))]
+    got = ngram_join.near_duplicates(docs_of(spark, rows)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2)]
+
+
+@pytest.mark.parametrize("k, num, copies", [(4, 85, 150), (5, 80, 150)])
+def test_large_group_beyond_the_threshold(spark, k, num, copies):
+    """Copies with so many edits that most are not similar to the common text, some to each other, with a passage in all."""
+    rnd = random.Random(k)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(copies):
+        text = list(words)
+        for at in rnd.sample(range(0, 120, 9), rnd.randint(0, 7)):
+            text[at] = rnd.choice("xyz") if i % 3 else f"x{rnd.random()}"
+        rows.append((i, " ".join(text)))
+    rows += [(1000 + i, " ".join(words[40:80] + [f"v{rnd.randrange(300)}" for _ in range(rnd.randint(0, 40))])) for i in range(copies)]
+    got = ngram_join.near_duplicates(docs_of(spark, rows, 4), k, num).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows, k, num, 100)
 
 
 def test_empty_table(spark):

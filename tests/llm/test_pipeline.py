@@ -1,21 +1,74 @@
 """The pipeline against brute force on a small corpus."""
 
+import itertools
+import math
 import random
 import re
 
 import pytest
 
 import corpus_pipeline
-from tests.llm.helpers import DOCS
+from tests.llm.helpers import DOCS, clashing, odd_docs
 from tests.llm.test_join import brute
-from tests.llm.test_text_operators import contamination, quality_figures
+from tests.llm.test_text_operators import bench_words, quality_figures
 from yomisaku.llm.queries import vocabulary_path
 
 
-def good(text):
-    n, chars, symbols, dup_lines, repeats, failed = quality_figures(text)
-    lines = [s for s in (text or "").split("\n") if s.strip(" \t\r\x0b\x0c")]
-    return not failed and symbols <= 0.05 * chars and dup_lines <= 0.3 * max(1, len(lines)) and repeats <= 0.2 * n
+def fences(rates):
+    """Per signal the least and the most that a group of rated texts allows by itself."""
+    out = {}
+    for name, least, spreads in (("symbols", .05, 3), ("lines", .3, 3), ("repeats", .1, 3), ("length", None, 6)):
+        values = sorted(r[name] for r in rates)
+        low, high = (values[max(0, math.ceil(p * len(values)) - 1)] for p in (.25, .75))
+        if least is None:
+            out[name] = (low - (spreads * (high - low) + 2), high + (spreads * (high - low) + 2))
+        else:
+            out[name] = (-1, max(least, high + spreads * (high - low)))
+    return out
+
+
+def drawn(own, n, above):
+    return {k: tuple((n * x + 20 * y) / (n + 20) for x, y in zip(own[k], above[k])) for k in own}
+
+
+def good(rows):
+    """The rows (doc, text, lang, source) that the base rules and the fences of language and source keep."""
+    rated = []
+    for row in rows:
+        text = row[1] or ""
+        n, chars, symbols, dup_lines, repeats, failed = quality_figures(text)
+        if not failed:
+            lines = [s for s in text.split("\n") if s.strip(" \t\r\x0b\x0c")]
+            rated.append((row, {"symbols": symbols / max(chars, 1), "lines": dup_lines / max(len(lines), 1), "repeats": repeats / n, "length": chars / n}))
+    kept = []
+    corpus = fences([r for _, r in rated])
+    for row, rate in rated:
+        language = [r for x, r in rated if x[2] == row[2]]
+        group = [r for x, r in rated if x[2:] == row[2:]]
+        limits = drawn(fences(group), len(group), drawn(fences(language), len(language), corpus))
+        if all(low <= rate[k] <= high for k, (low, high) in limits.items()):
+            kept.append(row[:2])
+    return kept
+
+
+def without_passages(text, items):
+    """The text without runs of 13 words or more that lie in benchmark windows, or None if a twentieth of it does."""
+    found = list(re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate({c: c + 32 for c in range(65, 91)})))
+    words, hit = [m.group() for m in found], set()
+    for item in items:
+        ws = bench_words(item)
+        m = min(13, len(ws))
+        windows = {tuple(ws[i:i + m]) for i in range(len(ws) - m + 1)}
+        for i in range(len(words) - m + 1):
+            if tuple(words[i:i + m]) in windows:
+                hit |= set(range(i, i + m))
+    if hit and 20 * len(hit) >= len(words):
+        return None
+    runs = [list(g) for _, g in itertools.groupby(sorted(hit), key=lambda x, c=itertools.count(): x - next(c))]
+    for run in reversed(runs):
+        if len(run) >= 13:
+            text = text[:found[run[0]].start()] + text[found[run[-1]].end():]
+    return text
 
 
 def without_repeated_lines(rows):
@@ -45,7 +98,7 @@ def corpus():
     def page(lines):
         return "\n".join(line() for _ in range(lines))
     items = [line(20), line(13), line(6)]
-    texts = [page(rnd.randint(1, 8)) for _ in range(25)]
+    texts = [page(rnd.randint(1, 8)) for _ in range(45)] + [page(3) + " #" * i for i in range(1, 7)]
     texts += [texts[3], texts[4], texts[5].replace(" ", "  "), "few words", None, "", "#*$ " * 30, (line(7) + "\n") * 9]
     block = page(4)
     texts += [page(3) + "\n" + block + "\n" + page(2) for _ in range(4)]
@@ -54,15 +107,19 @@ def corpus():
         edited = list(near)
         edited[rnd.randrange(120)] = "other"
         texts.append(" ".join(edited))
-    texts += [line(30) + " " + items[0] + " " + line(30), line(400) + " " + items[0], items[1], items[2].upper() + "? " + line(20)]
+    texts += [line(30) + " " + items[0] + " " + line(30), line(400) + " " + items[0], line(200) + " " + items[0].upper() + "!\n" + line(290), items[1], items[2].upper() + "? " + line(20)]
     return texts, items
 
 
+def place(i):
+    """A large group, a small one, and two of no source or language."""
+    return [("en", "s0"), ("en", "s0"), ("en", "s0"), ("en", "s1"), ("en", None), (None, "s0")][i % 6]
+
+
 @pytest.fixture
 def folder(spark, tmp_path):
     texts, items = corpus()
-    # Groups of language and source stay too small for fences of their own.
-    rows = [(i, t, "en", f"s{i % 9}", None if t is None else len(t)) for i, t in enumerate(texts)]
+    rows = [(i, t, *place(i), None if t is None else len(t)) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, DOCS).repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     return str(tmp_path)
@@ -72,13 +129,15 @@ def test_pipeline_equals_brute_force(spark, folder):
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(vocabulary_path())
     texts, items = corpus()
-    rows = [(i, t) for i, t in enumerate(texts) if good(t)]
+    rows = good([(i, t, *place(i)) for i, t in enumerate(texts)])
     rows = without_repeated_lines(rows)
     root = {doc: component for doc, _, component in brute(rows, 5, 80, 100)}
     rows = [(d, t) for d, t in rows if root[d] == d]
-    rows = [(d, t) for d, t in rows if not contamination(t, list(enumerate(items)), 13)[4]]
+    before = rows
+    rows = [(d, left) for d, t in rows for left in [without_passages(t, items)] if left is not None]
+    assert len(rows) < len(before) and set(rows) - set(before)
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
-    assert 15 < len(rows) < len(texts) - 12
+    assert 30 < len(rows) < len(texts) - 12
     assert sorted(got) == [d for d, _ in rows]
     for d, t in rows:
         want = library.encode(t, add_special_tokens=False).ids
@@ -92,4 +151,7 @@ def test_stages_keep_the_columns(spark, folder):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).columns == docs.columns, name
         assert stage(spark, docs.filter("false"), folder).count() == 0, name
+        odd = clashing(odd_docs(spark)).unionByName(clashing(odd_docs(spark)))
+        kept = stage(spark, odd, folder)
+        assert kept.columns == odd.columns and kept.count() <= odd.count(), name
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near duplicates", "decontamination", "tokens"]

@@ -188,11 +188,35 @@ def test_encoding_equals_the_library(spark):
 def test_forgetting_changes_nothing(monkeypatch):
     texts = [prose(50) for _ in range(30)]
     want = bpe.Vocabulary(vocabulary_path()).encode_block(texts)
-    monkeypatch.setattr(bpe, "REMEMBERED", 7)
+    monkeypatch.setattr(bpe, "REMEMBERED", 700)
     book = bpe.Vocabulary(vocabulary_path())
     assert [book.encode_block([t])[0] for t in texts] == want
 
 
+def test_memory_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 1 << 20)
+    book = bpe.Vocabulary(vocabulary_path())
+    rnd = random.Random(3)
+    for _ in range(40):  # long pieces without a blank are forgotten, short ones go when the bound is reached
+        book.encode_block(["".join(rnd.choice("漢字東京都日本語") for _ in range(3000)), " ".join(f"w{rnd.random()}" for _ in range(500))])
+        for memo in (book.pieces, book.words_done):
+            held = sum(4 * len(k) + len(v) + bpe.ENTRY for k, v in memo.known.items())
+            assert held == memo.held < (1 << 20) + 500 * 400
+            assert all(len(k) <= bpe.LONG for k in memo.known)
+
+
+@pytest.mark.parametrize("many, seed", [(1, 1), (10**9, 2), (24, 3)])
+def test_merging_by_arrays_and_by_places(monkeypatch, many, seed):
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(vocabulary_path())
+    monkeypatch.setattr(bpe, "MANY", many)
+    rnd = random.Random(seed)
+    texts = [" ".join("".join(rnd.choice("aabtheringoſé") for _ in range(rnd.randint(1, 30))) for _ in range(40)) for _ in range(60)]
+    ids = bpe.Vocabulary(vocabulary_path()).encode_block(texts)
+    for t, got in zip(texts, ids):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 # ---- WARC
 
 PAGE_ROWS = [(4, "http://a/1", "<p>same</p>"), (2, "http://a/2 b\n", "<p>same</p>"), (3, None, "é漢"), (9, "http://b/", None), (7, "http://c/", ""),
