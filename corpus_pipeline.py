@@ -28,8 +28,8 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words a twentieth or more are benchmark windows go."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), drop=True)
+    """Documents of whose words a twentieth or more are benchmark windows go; others lose passages of 13 words or more."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), max_span=decontaminate.WINDOW - 1, drop=True)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
