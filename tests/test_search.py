@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from yomisaku import schemas
-from yomisaku.operators import index as ix, query, search
+from yomisaku.operators import index as ix, query, search, search_sql
 from yomisaku.session import scratch_path
 
 WORDS = ["the", "of", "then", "theory", "a", "東", "京", "駅", "x", "caffè", "foo-bar", "end."]
@@ -211,3 +211,37 @@ def test_no_search_plan_has_a_nested_loop_or_product(spark, tables):
                search.search_many(posts, sites, index, many(spark))):
         plan = df._jdf.queryExecution().toString()
         assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def asked(spark, rows):
+    """A table of searches with their compiled text."""
+    table = spark.createDataFrame(rows, schemas.SEARCH)
+    return table, table.join(search_sql.text_queries(table.select("query_id", "q")), "query_id")
+
+
+def test_sql_function_in_a_lateral_join(spark, tables):
+    posts, sites, index, _ = tables
+    search_sql.register_search(posts, sites, index)
+    rows = [(i, q, None, None, None, None, False, "relevance", 200, 0) for i, q in enumerate(QUERIES)]
+    rows += [(100, "the", ["s0", "s2"], None, None, None, False, "newest", 5, 3), (101, "th", None, "corporate", None, None, False, "oldest", 7, 0),
+             (102, "", None, "backlink", None, None, False, "relevance", 9, 4), (103, "of", None, None, None, None, True, "newest", 50, 0),
+             (104, "", [], None, None, None, False, "newest", 5, 0), (105, "the", None, None, None, None, False, "relevance", 4, 10_000)]
+    table, compiled = asked(spark, rows)
+    compiled.createOrReplaceTempView("asked")
+    got = spark.sql("""select query_id, rn, site_id, post_id, total_count, rank from asked, lateral search_posts(
+        fts_query, nullif(site_ids, array()), group_id, sort, lim, off, widgets_only)""").collect()
+    want = search.search_many(posts, sites, index, table).select("query_id", "rn", "site_id", "post_id", "total_count", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len({r.query_id for r in got}) > 15
+
+
+def test_sql_function_by_itself(spark, tables):
+    posts, sites, index, _ = tables
+    search_sql.register_search(posts, sites, index)
+    for q, options, arguments in [("of", {"limit": 6, "offset": 2}, "p_limit => 6, p_offset => 2"), ("", {"sort": "oldest"}, "p_sort => 'oldest'"),
+                                  ('"of the"', {"site_ids": ["s0"]}, "p_site_ids => array('s0')"), ("・", {}, "p_limit => 30")]:
+        text = search_sql.text_query(spark, q)
+        got = spark.sql(f"select rn, site_id, post_id, title, total_count, rank from search_posts(:q, {arguments})", {"q": text}).collect()
+        page = search.search_posts(posts, sites, index, q, **options)
+        assert sorted(map(tuple, got)) == sorted(map(tuple, page.select("rn", "site_id", "post_id", "title", "total_count", "score").collect()))
+    assert search_sql.text_query(spark, 'th "of the" ・') == "th:* & of <-> the & !"
+    assert spark.sql("select count(*) from search_posts()").first()[0] == 30

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from yomisaku.functions import cards, markup, posts as post_fn, text
-from yomisaku.operators import facets, index as ix, ingest, pages, query, search
+from yomisaku.operators import facets, index as ix, ingest, pages, query, search, search_sql as search_sql_function
 from yomisaku.plans.fixtures import load, with_views
 from yomisaku.session import materialize, scratch_path
 from yomisaku.sources import landing, store
@@ -647,6 +647,15 @@ def search_posts(spark, sf_dir):
     return _search(spark, sf_dir, FLAGSHIP, group_id="corporate", sort="newest")
 
 
+@register(search_sql(f"{FLAGSHIP_SQL} and {ARTICLE} and s.group_id = 'corporate'"))
+def search_posts_sql(spark, sf_dir):
+    search_sql_function.register_search(*corpus(spark, sf_dir))
+    asked = search_sql_function.text_query(spark, FLAGSHIP)
+    found = spark.sql("select * from search_posts(:q, p_group_id => 'corporate', p_sort => 'newest')", {"q": asked})
+    lists = {c: post_fn.pipe_split(F.col(c)) for c in ("categories", "tags")}
+    return _plain(found.drop("rank").withColumns(lists))
+
+
 @register(search_sql(ARTICLE))
 def search_blank(spark, sf_dir):
     return _search(spark, sf_dir, "%%% ***")
