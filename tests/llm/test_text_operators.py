@@ -228,6 +228,23 @@ def pages(spark):
     return spark.createDataFrame(PAGE_ROWS, "page_id long, url string, html string").withColumn("payload", F.lit("clash")).repartition(3)
 
 
+def test_appending_adds_and_overwriting_replaces(spark, tmp_path):
+    path = str(tmp_path / "many")
+
+    def one(i):
+        return spark.createDataFrame([(i, f"http://a/{i}", f"<p>{i}</p>")], "page_id long, url string, html string")
+
+    def there():
+        return sorted(r.record_id for r in warc.read_warc(spark, path).collect())
+    warc.write_pages(one(1), path)
+    warc.write_pages(one(2), path)
+    assert there() == ["urn:x-page:1", "urn:x-page:2"]
+    warc.write_pages(one(3), path, mode="overwrite")
+    assert there() == ["urn:x-page:3"]
+    warc.write_pages(one(4), path)
+    assert there() == ["urn:x-page:3", "urn:x-page:4"]
+
+
 @pytest.mark.parametrize("compression", ["gzip", "none"])
 def test_archives_come_back(spark, pages, tmp_path, compression):
     path = str(tmp_path / "w")

@@ -5,8 +5,9 @@ on record type, target, digest and other headers are pushed down and decided on
 record that is not wanted is passed over without inflating or decoding it: gzip members carry their length in the
 ``sl`` extra field, and plain records say it in Content-Length. Only foreign members without the field are inflated in full.
 
-Each write task makes files of its own; the driver lists those of successful tasks in ``_manifest.json``, so what a
-lost or repeated task left behind is never read. Paths are any that Arrow's file systems open.
+Each write task makes files of its own; the driver lists those of a job's successful tasks in a manifest of that job, so what a
+lost or repeated task left behind is never read. Appending adds a manifest; overwriting takes the earlier ones away
+once the new one is written. Paths are any that Arrow's file systems open.
 """
 
 import base64
@@ -26,7 +27,8 @@ from pyspark.sql import datasource as ds
 
 from yomisaku.llm.common import scratch_path
 
-MANIFEST = "_manifest.json"
+#: How the names of manifests begin; each write job adds one.
+MANIFEST = "_manifest"
 PARTITION_BYTES = 64 << 20
 FILE_BYTES = 64 << 20
 _CHUNK = 64 << 10
@@ -63,7 +65,12 @@ class WarcSource(ds.DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite):
-        return WarcWriter(dict(self.options), [f.name for f in schema.fields])
+        return WarcWriter(dict(self.options), [f.name for f in schema.fields], overwrite)
+
+
+def _manifests(files: fs.FileSystem, root: str) -> list[str]:
+    there = files.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    return sorted(i.path for i in there if i.type == fs.FileType.File and i.base_name.startswith(MANIFEST))
 
 
 @dataclass
@@ -88,12 +95,13 @@ class WarcReader(ds.DataSourceReader):
 
     def partitions(self) -> Sequence[ds.InputPartition]:
         files, root = _open_fs(self.path)
-        manifest = f"{root}/{MANIFEST}"
-        if files.get_file_info(manifest).type == fs.FileType.File:
-            with files.open_input_stream(manifest) as f:
-                found = [(x["name"], x["bytes"]) for x in json.loads(f.read())]
-        elif files.get_file_info(root).type == fs.FileType.File:
+        if files.get_file_info(root).type == fs.FileType.File:
             found = [("", files.get_file_info(root).size)]
+        elif manifests := _manifests(files, root):
+            found = []
+            for manifest in manifests:
+                with files.open_input_stream(manifest) as f:
+                    found += [(x["name"], x["bytes"]) for x in json.loads(f.read())]
         else:
             found = [(i.path[len(root) + 1:], i.size) for i in files.get_file_info(fs.FileSelector(root, recursive=True))
                      if i.type == fs.FileType.File and i.path.endswith((".warc", ".warc.gz"))]
@@ -287,11 +295,11 @@ class Written(ds.WriterCommitMessage):
 class WarcWriter(ds.DataSourceArrowWriter):
     """Writes rows of ``WRITE_COLUMNS``; response and revisit records hold an HTTP header, revisits no payload."""
 
-    def __init__(self, options, columns):
+    def __init__(self, options, columns, overwrite=False):
         missing = {*WRITE_COLUMNS} - {*columns}
         if missing:
             raise ValueError(f"columns are missing: {sorted(missing)}")
-        self.path = _uri(options["path"])
+        self.path, self.overwrite = _uri(options["path"]), overwrite
         self.gzip = options.get("compression", "gzip") == "gzip"
         self.file_bytes = int(options.get("fileBytes", FILE_BYTES))
 
@@ -321,8 +329,11 @@ class WarcWriter(ds.DataSourceArrowWriter):
     def commit(self, messages):
         files, root = _open_fs(self.path)
         files.create_dir(root, recursive=True)
-        with files.open_output_stream(f"{root}/{MANIFEST}") as f:
+        before = _manifests(files, root)
+        with files.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps([x for m in messages if m for x in m.files]).encode())
+        for manifest in before if self.overwrite else ():
+            files.delete_file(manifest)
 
     def abort(self, messages):
         """What failed tasks wrote is in no manifest."""
@@ -384,9 +395,13 @@ def as_records(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T00:
         F.when(revisit, F.concat(F.lit("urn:x-page:"), F.col("first").cast("string"))).alias("refers_to"), "payload")
 
 
-def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, compression: str = "gzip") -> None:
+def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, compression: str = "gzip", mode: str = "append") -> None:
+    """Write ``as_records`` of the pages to ``path``, beside what earlier jobs wrote there or (``overwrite``) in its place.
+
+    Characters of a URL that are not visible ASCII come back percent-encoded.
+    """
     register(pages.sparkSession)
-    as_records(pages, min_bytes).write.format("warc").option("compression", compression).mode("append").save(path)
+    as_records(pages, min_bytes).write.format("warc").option("compression", compression).mode(mode).save(path)
 
 
 def read_warc(spark: SparkSession, path: str, payload: str = "full") -> DataFrame:
