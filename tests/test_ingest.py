@@ -248,3 +248,31 @@ def test_removed_posts_leave_store_and_index(spark, tmp_path):
     assert index_rows(got) == index_rows(want) and got.corpus.first() == want.corpus.first()
     assert sorted(map(tuple, got.vocab.collect())) == sorted(map(tuple, want.vocab.collect()))
     assert keyed(store.read_posts(spark, paths["store"]), "title") == keyed(left, "title")
+
+
+def test_landed_pages_are_read_and_scraped(spark, tmp_path):
+    article = "<html><head><title>T</title></head><body><article><h1>Head</h1><p>Body text</p></article><p>side</p></body></html>"
+    rows = [("https://s/a/1", 200, "text/html", article), ("https://s/a/2", 404, "text/html", None), (None, None, None, "")]
+    spark.createDataFrame(rows, schemas.PAGE).withColumn("more", F.lit(1)).write.parquet(str(tmp_path / "one"))
+    spark.createDataFrame([], schemas.PAGE).write.parquet(str(tmp_path / "none"))
+    got = landing.read_pages(spark, str(tmp_path / "one"))
+    assert got.schema == schemas.PAGE and sorted(map(tuple, got.collect()), key=repr) == sorted(rows, key=repr)
+    assert landing.read_pages(spark, str(tmp_path / "none")).count() == 0
+    outcomes = {r.url: r.outcome for r in landing.classify_responses(got).collect()}
+    assert outcomes["https://s/a/2"] == "fallback"
+
+
+def test_run_history_is_read_from_files(spark, tmp_path):
+    (tmp_path / "a.log").write_text("2026-05-25 03:43:32 JST | status=success | sites=130 | posts=?\n\n")
+    (tmp_path / "b.log").write_text("2026-05-26 00:00:00 JST | status=failure | sites=2 | posts=9\n")
+    rows = sorted((tuple(r) for r in landing.read_run_ledger(spark, str(tmp_path)).collect()), key=repr)
+    assert rows == sorted([(dt.datetime(2026, 5, 24, 18, 43, 32), "success", 130, None), (dt.datetime(2026, 5, 25, 15, 0), "failure", 2, 9),
+                           (None, "", None, None)], key=repr)
+
+
+def test_one_site_and_its_posts(spark):
+    sites = spark.createDataFrame([("a", "B"), ("b", "A"), ("c", "A")], "id string, name string")
+    posts = spark.createDataFrame([("a", 1), ("a", 1), ("a", -1), ("b", 2), (None, 3)], "site_id string, post_id bigint")
+    assert [r.name for r in ingest.lookup_site(sites, "a").collect()] == ["B"] and ingest.lookup_site(sites, "zz").collect() == []
+    assert [r.id for r in ingest.list_sites(sites).collect()] == ["b", "c", "a"]
+    assert sorted(r.post_id for r in ingest.post_ids(posts, "a").collect()) == [-1, 1] and ingest.post_ids(posts, "c").collect() == []
