@@ -28,7 +28,7 @@ def fences(rates):
 
 
 def drawn(own, n, above):
-    return {k: tuple((n * x + 20 * y) / (n + 20) for x, y in zip(own[k], above[k])) for k in own}
+    return {k: tuple((n * x + 5 * y) / (n + 5) for x, y in zip(own[k], above[k])) for k in own}
 
 
 def good(rows):

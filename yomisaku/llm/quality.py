@@ -30,7 +30,7 @@ FENCES = {"symbol_rate": (0.05, 3.0), "dup_line_rate": (0.3, 3.0), "repeat_rate"
 WORD_LENGTH_SPREADS = 6.0
 WORD_LENGTH_SLACK = 2.0
 #: Rows that the fence of the level above counts for.
-PRIOR = 20.0
+PRIOR = 5.0
 
 
 def words(text: F.Column) -> F.Column:

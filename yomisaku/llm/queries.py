@@ -93,14 +93,14 @@ own as (
     greatest(0.1, r3 + 3.0 * (r3 - r1)) as most_r, l1 - (6.0 * (l3 - l1) + 2.0) as least_l, l3 + (6.0 * (l3 - l1) + 2.0) as most_l
   from quartiles),
 languages as (
-  select o.lang, (o.n * o.most_s + 20.0 * c.most_s) / (o.n + 20.0) as most_s, (o.n * o.most_d + 20.0 * c.most_d) / (o.n + 20.0) as most_d,
-    (o.n * o.most_r + 20.0 * c.most_r) / (o.n + 20.0) as most_r, (o.n * o.least_l + 20.0 * c.least_l) / (o.n + 20.0) as least_l,
-    (o.n * o.most_l + 20.0 * c.most_l) / (o.n + 20.0) as most_l
+  select o.lang, (o.n * o.most_s + 5.0 * c.most_s) / (o.n + 5.0) as most_s, (o.n * o.most_d + 5.0 * c.most_d) / (o.n + 5.0) as most_d,
+    (o.n * o.most_r + 5.0 * c.most_r) / (o.n + 5.0) as most_r, (o.n * o.least_l + 5.0 * c.least_l) / (o.n + 5.0) as least_l,
+    (o.n * o.most_l + 5.0 * c.most_l) / (o.n + 5.0) as most_l
   from own o, own c where o.g = 1 and c.g = 3),
 fences as (
-  select o.lang as g_lang, o.source as g_source, (o.n * o.most_s + 20.0 * c.most_s) / (o.n + 20.0) as most_s,
-    (o.n * o.most_d + 20.0 * c.most_d) / (o.n + 20.0) as most_d, (o.n * o.most_r + 20.0 * c.most_r) / (o.n + 20.0) as most_r,
-    (o.n * o.least_l + 20.0 * c.least_l) / (o.n + 20.0) as least_l, (o.n * o.most_l + 20.0 * c.most_l) / (o.n + 20.0) as most_l
+  select o.lang as g_lang, o.source as g_source, (o.n * o.most_s + 5.0 * c.most_s) / (o.n + 5.0) as most_s,
+    (o.n * o.most_d + 5.0 * c.most_d) / (o.n + 5.0) as most_d, (o.n * o.most_r + 5.0 * c.most_r) / (o.n + 5.0) as most_r,
+    (o.n * o.least_l + 5.0 * c.least_l) / (o.n + 5.0) as least_l, (o.n * o.most_l + 5.0 * c.most_l) / (o.n + 5.0) as most_l
   from own o join languages c on o.lang is not distinct from c.lang where o.g = 0)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and coalesce(symbol_rate <= most_s and dup_line_rate <= most_d and repeat_rate <= most_r
