@@ -6,8 +6,10 @@ import hashlib
 import random
 import re
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -320,6 +322,67 @@ def test_more_languages_than_a_block(spark):
     assert got == {i: lang for i, _, lang, _, _ in rows}
 
 
+def test_scripts_choose_candidates_whatever_the_amounts(spark):
+    """A language with very many letters and one with few: neither script nor amount may give a word to the wrong one."""
+    much, few = "молоко река ", "the quick brown fox jumps over a lazy dog "
+    docs = docs_of(spark, ["x"]).limit(0).union(spark.createDataFrame(
+        [(i, much * 20_000, "ru", "s", 1) for i in range(20)] + [(50, few * 17, "en", "s", 1)], docs_of(spark, ["x"]).schema))
+    model = langid.learn(docs)
+    unseen = np.exp(model.logp.min(0))
+    assert model.langs == ["en", "ru"] and np.allclose(unseen[0], unseen[1])
+    texts = ["щупальце эхолот ёжик цыплята", "wizard hymn", "щука wizard", "молоко the ελα"]
+    got = {r.doc_id: r for r in langid.identify(docs_of(spark, texts), model).collect()}
+    assert [(got[i].lang_pred, got[i].score) for i in range(2)] == [("ru", 1.0), ("en", 1.0)]
+    assert [s.lang for s in got[2].spans] == ["ru", "en"] and [s.lang for s in got[3].spans][:2] == ["ru", "en"]
+
+
+def test_language_by_plain_steps(spark):
+    """Counting, scores, best path, share and spans, one word and one language at a time."""
+    rnd = random.Random(4)
+    letters = {"aa": "abcdeé", "bb": "cdefgh", "ru": "абвгд", "el": "αβγa"}
+
+    def some(lang, n):
+        return " ".join("".join(rnd.choice(letters[lang]) for _ in range(rnd.randint(1, 6))) for _ in range(n))
+    known = [(lang, some(lang, 30)) for lang in letters for _ in range(3)]
+    texts = [" ".join(some(rnd.choice(list(letters)), rnd.randint(1, 8)) for _ in range(rnd.randint(1, 5))) for _ in range(40)] + ["", "7", "aб"]
+    names = sorted(letters)
+
+    def words(text):  # letters with their place, script and bucket
+        got = langid.Letters(pa.array([text]))
+        ends = [*got.starts[1:].tolist(), len(got.at)]
+        return [(got.at[a:b].tolist(), got.bucket[a:b].tolist(), int(got.script[a])) for a, b in zip(got.starts.tolist(), ends)]
+    grams, scripts = {x: Counter() for x in names}, {x: Counter() for x in names}
+    for lang, text in known:
+        for _, buckets, script in words(text):
+            grams[lang].update(buckets)
+            scripts[lang][script] += len(buckets)
+
+    def score(lang, word):
+        writes = [x for x in names if scripts[x][word[2]] / sum(scripts[x].values()) >= langid.SCRIPT_SHARE] or names
+        total = sum(grams[lang].values())
+        return sum(np.log(0.99 * grams[lang][b] / total + 0.01 / langid.BUCKETS) for b in word[1]) if lang in writes else -np.inf
+
+    def best_path(found):
+        paths = {x: score(x, found[0]) for x in names}
+        for word in found[1:]:
+            paths = {x: max(s - (langid.SWITCH if x != y else 0) for y, s in paths.items()) + score(x, word) for x in names}
+        return max(paths.values())
+    docs = spark.createDataFrame([(i, t, x, "s", 1) for i, (x, t) in enumerate(known)], docs_of(spark, ["x"]).schema)
+    got = {r.doc_id: r for r in langid.identify(docs_of(spark, texts), langid.learn(docs)).collect()}
+    for i, text in enumerate(texts):
+        found = words(text)
+        labels = [next(s.lang for s in got[i].spans if s.start <= at[0] and at[-1] < s.end) for at, _, _ in found]
+        assert [x for x, _ in groupby(labels)] == [s.lang for s in got[i].spans]
+        if found:  # of paths that tie any will do
+            changes = sum(x != y for x, y in zip(labels, labels[1:]))
+            assert sum(map(score, labels, found)) - langid.SWITCH * changes == pytest.approx(best_path(found), abs=1e-2), text
+        mass = Counter()
+        for word, x in zip(found, labels):
+            mass[x] += len(word[0])
+        best = min(mass, key=lambda x: (-mass[x], x)) if mass else "und"
+        assert (got[i].lang_pred, got[i].score) == (best, pytest.approx(mass[best] / max(1, sum(mass.values()))))
+
+
 def test_viterbi_equals_plain_programming():
     rng = np.random.default_rng(1)
     scores = rng.normal(0, 4, (300, 3)).astype(np.float32)

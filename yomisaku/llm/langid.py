@@ -2,9 +2,9 @@
 
 Learning counts letter trigrams inside words and the scripts of letters per language, in one pass with one partial count per
 task. The counts of a language are an array of fixed size, so the model that is broadcast grows with the
-number of languages alone, 256 KB each; all of them are learned. A word's score per language is the sum of its trigrams' log probabilities;
-languages that do not write in the word's script are no candidates. Viterbi then labels the words of a text, paying a
-penalty for each change of language, and neighbouring words of one label form a span.
+number of languages alone, 256 KB each; all of them are learned. Its script leaves a word the languages that write in it
+as candidates, whose scores are the sums of its trigrams' log probabilities. Viterbi then labels the words of a text with
+candidates, paying a penalty for each change of language, and neighbouring words of one label form a span.
 """
 
 from collections.abc import Iterator
@@ -21,8 +21,8 @@ SWITCH = 15.0
 UNKNOWN = "und"
 #: Least share of a language's letters for a script to be one of its own.
 SCRIPT_SHARE = 0.001
-_OUT = -60.0
-_SMOOTH = 0.1
+#: Share of a language's probability that is spread over all trigrams, so that an unseen one costs every language the same.
+_UNSEEN = 0.01
 _BLOCK = 2 << 20
 #: Up to so many languages texts are labelled in blocks of full size, beyond in smaller ones of as many scores.
 _FULL = 256
@@ -94,24 +94,43 @@ class Letters:
 
 @dataclass
 class Model:
-    """Languages in order, log probabilities by language and bucket, and what a word of each script costs a language."""
+    """Languages in order, log probabilities by bucket and language, and by script which languages are candidates.
+
+    Every script has a candidate unless there is no language at all.
+    """
 
     langs: list[str]
     logp: np.ndarray
-    script: np.ndarray
+    candidates: np.ndarray
+
+    def __post_init__(self):
+        self._columns: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _of_script(self, script: int) -> tuple[np.ndarray, np.ndarray]:
+        """The candidates of a script and their log probabilities."""
+        if script not in self._columns:
+            some = np.flatnonzero(self.candidates[script])
+            self._columns[script] = some, self.logp if len(some) == len(self.langs) else self.logp[:, some]
+        return self._columns[script]
 
     def scores(self, letters: Letters) -> np.ndarray:
-        """Score of each word for each language."""
-        words, n = len(letters.starts), len(letters.bucket)
-        out = np.zeros((words, len(self.langs)), np.float32)
-        step = max(1, (4 << 20) // max(1, len(self.langs)))
-        a = 0
-        while a < words:  # in parts, so that many languages take little memory
-            b = max(a + 1, int(np.searchsorted(letters.starts, letters.starts[a] + step)))
-            lo, hi = int(letters.starts[a]), int(letters.starts[b]) if b < words else n
-            out[a:b] = np.add.reduceat(self.logp[letters.bucket[lo:hi]], letters.starts[a:b] - lo, axis=0)
-            a = b
-        return out + self.script[letters.script[letters.starts]] if words else out
+        """Score of each word for the candidates of its script; minus infinity for other languages."""
+        out = np.full((len(letters.starts), len(self.langs)), -np.inf, np.float32)
+        script_of = letters.script[letters.starts]
+        sizes = np.diff(np.append(letters.starts, len(letters.bucket)))
+        for script in np.unique(script_of).tolist():
+            some, logp = self._of_script(script)
+            words, buckets = np.flatnonzero(script_of == script), letters.bucket[letters.script == script]
+            starts = np.cumsum(sizes[words]) - sizes[words]
+            step = max(1, (4 << 20) // max(1, len(some)))
+            a = 0
+            while a < len(words):  # in parts, so that many languages take little memory
+                b = max(a + 1, int(np.searchsorted(starts, starts[a] + step)))
+                hi = int(starts[b]) if b < len(words) else len(buckets)
+                out[np.ix_(words[a:b], some)] = np.add.reduceat(
+                    logp[buckets[starts[a]:hi]], starts[a:b] - starts[a], axis=0)
+                a = b
+        return out
 
 
 def learn(labelled: DataFrame) -> Model:
@@ -157,21 +176,22 @@ def learn(labelled: DataFrame) -> Model:
     for r in rows.toLocalIterator():
         counts = np.zeros(BUCKETS + len(SCRIPT_NAMES))
         counts[r.bucket] = r.n
-        grams = counts[:BUCKETS] + _SMOOTH
-        logp[:, place[r.lang]] = np.log(grams / grams.sum())
+        grams = counts[:BUCKETS]
+        logp[:, place[r.lang]] = np.log((1 - _UNSEEN) * grams / max(grams.sum(), 1) + _UNSEEN / BUCKETS)
         by_script[place[r.lang]] = counts[BUCKETS:]
     share = by_script / np.maximum(by_script.sum(1, keepdims=True), 1)
     writes = (share >= SCRIPT_SHARE) & (by_script > 0)
     none = ~writes.any(0)
     if langs and none.any():  # whoever has such letters at all, else everyone
         writes[:, none] = (by_script[:, none] > 0) | ~(by_script[:, none] > 0).any(0)
-    return Model(langs, logp, np.where(writes, 0, _OUT).T.astype(np.float32))
+    return Model(langs, logp, writes.T)
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The best label of each word where a change of label inside a text costs ``switch``.
 
-    Steps through all texts at once, longest first. Ties go to the smaller label and to no change.
+    Steps through all texts at once, longest first. Ties go to the smaller label and to no change. A label whose score is
+    minus infinity is not given to that word; each word needs one that is finite.
     """
     labels = np.zeros(len(scores), np.int32)
     sizes = np.diff(first)
