@@ -146,6 +146,31 @@ def test_many_equals_single_searches(spark, tables):
         assert sorted(got.get(s.query_id, [])) == want, s.q
 
 
+def test_many_searches_by_place_and_name_like_brute_force(spark, tables):
+    """Searches without text: every place with no name, one name, several, of one taxonomy or both, repeated, NULL."""
+    posts, sites, index, rows = tables
+    names = [(None, None), (["NEWS"], None), (["news", "News", None], None), (["news", "event"], None), (None, ["t1", "T2"]),
+             (["news"], ["t1", "t2", "t1"]), (["a_b"], ["T2"]), ([None], None), ([None], ["t1"]), (["none"], None), (None, ["t2"])]
+    places = [(None, None), (["s0", "s2", "s0", "gone"], None), (["s0", "s1", "s2"], "corporate"), ([None], None), (None, "backlink")]
+    asked = [(i, "" if i % 2 else None, site_ids, group, categories, tags, i % 7 == 0, ["newest", "oldest", "relevance"][i % 3], 4 + i % 90, i % 4)
+             for i, ((categories, tags), (site_ids, group)) in enumerate((n, p) for n in names for p in places)]
+    got = {}
+    for r in search.search_many(posts, sites, index, spark.createDataFrame(asked, schemas.SEARCH)).collect():
+        got.setdefault(r.query_id, []).append((r.rn, r.total_count, r.site_id, r.post_id))
+
+    def has_any(wanted, names):
+        return not wanted or bool({n.lower() for n in wanted if n} & set(names.lower().strip("|").split("|")))
+    for i, _, site_ids, group, categories, tags, widgets, sort, lim, off in asked:
+        found = [(r[7], r[0], r[1]) for r in rows if (not site_ids or r[0] in site_ids)
+                 and (group is None or group == ("corporate" if int(r[0][1]) % 2 else "backlink"))
+                 and has_any(categories, r[9]) and has_any(tags, r[10]) and (r[1] == -1) == widgets]
+        sign = 1 if sort == "oldest" else -1
+        found.sort(key=lambda f: (f[0] is None, sign * f[0].toordinal() if f[0] else 0, f[1], f[2]))
+        want = [(n + 1, len(found), f[1], f[2]) for n, f in enumerate(found)][off:off + lim]
+        assert sorted(got.get(i, [])) == want, asked[i]
+    assert len(got) >= 20
+
+
 def test_pages_partition_the_result(spark, tables):
     posts, sites, index, _ = tables
     whole = search.search_posts(posts, sites, index, "the", limit=100).orderBy("rn").collect()

@@ -80,26 +80,30 @@ def clause_hits(clauses: DataFrame, index: Index) -> DataFrame:
 
 
 def _slot_hits(slots: DataFrame, index: Index) -> DataFrame:
-    """A clause of one term adds up its terms' counts. A phrase keeps the start positions its terms agree on: each
-    term's positions are shifted back by its place, and a start found for all places is an occurrence.
+    """A clause of one term adds up its terms' counts, in each task before the shuffle. A phrase keeps the start
+    positions its terms agree on: each term's positions are shifted back by its place, and a start found for all places is
+    an occurrence.
     """
     pairs = materialize(expand_prefixes(slots, index.vocab).withColumn("bucket", term_bucket()), "pairs")
-    terms = _only_wanted(index.terms, pairs)
-    found = terms.join(pairs, ["bucket", "term"]).selectExpr(
-        "query_id", "clause_no", "n_clauses", *DOC, "doc_len", "n_slots",
-        *[f"if(n_slots = 1, tf_{f}, null) as tf_{f}" for f in FIELD_NAMES],
-        "if(n_slots > 1, transform(positions, p -> p - slot), null) as starts")
-    # Clustering by document alone serves this grouping and the later one per search: one shuffle.
-    grouped = found.repartition(*HIT).groupBy("query_id", "clause_no", "n_clauses", *DOC, "doc_len", "n_slots").agg(
-        *[F.sum(f"tf_{f}").alias(f"tf_{f}") for f in FIELD_NAMES],
+    clause, counts = [*HIT, "clause_no", "n_clauses", "doc_len"], [f"tf_{f}" for f in FIELD_NAMES]
+    # Clustering by document alone serves these groupings and the later one per search: one shuffle.
+    words = _found_terms(index.terms, pairs.filter("n_slots = 1")).groupBy(*clause).agg(
+        *[F.sum(c).alias(c) for c in counts])
+    places = _found_terms(index.terms, pairs.filter("n_slots > 1")).selectExpr(
+        *clause, "n_slots", "transform(positions, p -> p - slot) as starts")
+    grouped = places.repartition(*HIT).groupBy(*clause, "n_slots").agg(
         F.expr("sort_array(flatten(collect_list(starts)))").alias("starts"))
     # In sorted starts one found n times is followed by itself n - 1 places on.
-    agreed = grouped.selectExpr("* except (starts)", """
-        if(n_slots > 1, filter(starts, (p, i) -> get(starts, i + n_slots - 1) = p), null) as starts""")
-    hits = agreed.selectExpr("query_id", "clause_no", "n_clauses", *DOC, "doc_len", *[
-        f"if(n_slots > 1, cast(size(filter(starts, p -> shiftright(p, {FIELD_SHIFT}) = {i})) as bigint), tf_{f}) as tf_{f}"
+    agreed = grouped.selectExpr(*clause, "filter(starts, (p, i) -> get(starts, i + n_slots - 1) = p) as starts")
+    phrases = agreed.selectExpr(*clause, *[
+        f"cast(size(filter(starts, p -> shiftright(p, {FIELD_SHIFT}) = {i})) as bigint) as tf_{f}"
         for i, f in enumerate(FIELD_NAMES)])
-    return hits.selectExpr("*", f"{' + '.join(f'tf_{f}' for f in FIELD_NAMES)} as tf").filter("tf > 0")
+    hits = words.unionByName(phrases)
+    return hits.selectExpr("*", f"{' + '.join(counts)} as tf").filter("tf > 0")
+
+
+def _found_terms(terms: DataFrame, pairs: DataFrame) -> DataFrame:
+    return _only_wanted(terms, pairs).join(pairs, ["bucket", "term"])
 
 
 def match_all(hits: DataFrame, *scores: Column) -> DataFrame:
@@ -289,27 +293,32 @@ def search_many(posts: DataFrame, sites: DataFrame, index: Index, searches: Data
                 rank: str = "bm25", profile: str = "local", max_limit: int | None = None) -> DataFrame:
     """The requested page of every search: ``query_id``, ``rn``, ``total_count``, ``score``, result columns.
 
-    Posts of unknown sites are not found. A search without text is joined by site, one with text by document; a
-    search that matches everything is ranked in salted parts before its top rows meet.
+    Posts of unknown sites are not found. A search with text is joined by document. One without text and with one name
+    at most reads the tops of its scopes, one with several names meets the posts by their names; a search that matches
+    everything is ranked in salted parts before its top rows meet.
     """
     searches = materialize(searches, "searches")
     slots = materialize(clause_slots(compile_queries(searches, profile)), "slots")
     request = _requests(searches, max_limit)
-    meta = posts.select(*DOC, "published_at", "categories", "tags")
     known = sites.select(F.col("id").alias("site_id"), F.col("group_id").alias("site_group"))
+    meta = posts.select(*DOC, "published_at", "categories", "tags")
+    deepest = request.agg(F.coalesce(F.max("last"), F.lit(0))).first()[0]
 
     with_text = _ranked(slots, index, rank).join(request, "query_id").join(known, "site_id").join(meta, DOC)
+    with_text = with_text.filter(_place_fits() & _names_fit()).withColumn("has_text", F.lit(True))
     blank = request.join(slots.select("query_id").distinct(), "query_id", "left_anti")
-    reach = _reachable_sites(blank, known, _parts(posts.sparkSession))
-    without_text = (meta.join(reach, "site_id").join(request, "query_id").join(known, "site_id")
-                    .withColumn("score", F.lit(0.0)))
+    n_names = F.size("names")
+    named = _posts_by_names(blank.filter(n_names > 1), meta, known).join(
+        request, "query_id").withColumn("score", F.lit(0.0)).withColumn("has_text", F.lit(False))
+    columns = ["query_id", *DOC, "published_at", "score", "has_text", "sort", "off", "last"]
+    found = materialize(with_text.select(columns).unionByName(named.select(columns)), "found")  # read to count and to cut
 
-    found = with_text.withColumn("has_text", F.lit(True)).unionByName(
-        without_text.withColumn("has_text", F.lit(False)))
-    found = found.filter(_request_filter()).select(
-        "query_id", *DOC, "published_at", "score", "has_text", "sort", "lim", "off")
-    deepest = request.agg(F.coalesce(F.max(F.col("lim") + F.col("off")), F.lit(0))).first()[0]
-    return _with_result_columns(_top_pages(found, deepest), posts)
+    scopes = _request_scopes(blank.filter(n_names <= 1), known)
+    tops = _scope_tops(scopes, meta, known, deepest).join(request, "query_id").withColumn(
+        "score", F.lit(0.0)).withColumn("has_text", F.lit(False))
+    totals = found.groupBy("query_id").agg(F.count("*").alias("total_count")).unionByName(
+        _scope_totals(scopes, meta, known))
+    return _with_result_columns(_top_pages(found.unionByName(tops.select(columns)), totals, deepest), posts)
 
 
 def _parts(spark: SparkSession) -> int:
@@ -319,7 +328,7 @@ def _parts(spark: SparkSession) -> int:
 def _requests(searches: DataFrame, max_limit: int | None) -> DataFrame:
     none = F.array().cast("array<string>")
     lim = F.coalesce("lim", F.lit(DEFAULT_LIMIT))
-    return searches.select(
+    requests = searches.select(
         "query_id",
         F.coalesce("sort", F.lit("relevance")).alias("sort"),
         F.coalesce("site_ids", none).alias("want_sites"),
@@ -329,53 +338,129 @@ def _requests(searches: DataFrame, max_limit: int | None) -> DataFrame:
         F.coalesce("widgets_only", F.lit(False)).alias("widgets_only"),
         F.least(F.greatest(lim, F.lit(1)), F.lit(max_limit)).cast("bigint").alias("lim"),
         F.greatest(F.coalesce("off", F.lit(0)), F.lit(0)).cast("bigint").alias("off"))
+    return requests.withColumn("last", F.col("lim") + F.col("off")).withColumn(
+        "names", _names_of(F.col("want_categories"), F.col("want_tags")))
 
 
-def _reachable_sites(requests: DataFrame, known: DataFrame, parts: int) -> DataFrame:
-    """The sites each request may look at: ``query_id, site_id``, by equi joins only."""
-    listed = requests.filter(F.size("want_sites") > 0).select(
-        "query_id", F.explode(F.array_distinct("want_sites")).alias("site_id")).join(known, "site_id")
-    free = requests.filter(F.size("want_sites") == 0)
-    by_group = free.filter(F.col("want_group") != "").select(
-        "query_id", F.col("want_group").alias("site_group")).join(known, "site_group")
-    # A request without limits meets every site once: each site lies in one part, the request in all of them.
-    everywhere = free.filter(F.col("want_group") == "").select(
-        "query_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"))
-    by_part = everywhere.join(
-        known.withColumn("part", F.pmod(F.xxhash64("site_id"), F.lit(parts))), "part")
-    columns = ["query_id", "site_id"]
-    return listed.select(columns).unionByName(by_group.select(columns)).unionByName(by_part.select(columns))
-
-
-def _request_filter() -> Column:
-    def names_match(column):
-        wanted = F.col(f"want_{column}")
-        return (F.size(wanted) == 0) | F.arrays_overlap(pipe_split(F.lower(column)), wanted)
+def _names_of(categories: Column, tags: Column) -> Column:
+    """Distinct names with their taxonomy, 1 for categories and 2 for tags."""
+    def marked(taxonomy, names):
+        return F.transform(F.array_distinct(names), lambda n: F.struct(F.lit(taxonomy).alias("taxonomy"), n.alias("name")))
+    return F.concat(marked(1, categories), marked(2, tags))
+
+
+def _post_names() -> Column:
+    return _names_of(pipe_split(F.lower("categories")), pipe_split(F.lower("tags")))
+
+
+def _place_fits() -> Column:
+    """Whether a request takes posts of this site and group, and widget rows or articles."""
     sites_match = (F.size("want_sites") == 0) | F.array_contains("want_sites", F.col("site_id"))
     group_matches = (F.col("want_group") == "") | (F.col("want_group") == F.col("site_group"))
-    widget = F.col("post_id") == schemas.WIDGET_POST_ID
-    return (sites_match & group_matches & (widget == F.col("widgets_only"))
-            & names_match("categories") & names_match("tags"))
+    return sites_match & group_matches & ((F.col("post_id") == schemas.WIDGET_POST_ID) == F.col("widgets_only"))
+
+
+def _names_fit() -> Column:
+    def match(column):
+        wanted = F.col(f"want_{column}")
+        return (F.size(wanted) == 0) | F.arrays_overlap(pipe_split(F.lower(column)), wanted)
+    return match("categories") & match("tags")
+
+
+def _posts_by_names(requests: DataFrame, meta: DataFrame, known: DataFrame) -> DataFrame:
+    """Posts that have any wanted name of each taxonomy a request names, by an equi join of single names.
+
+    A post is found once for each name it shares with a request; the taxonomies found are counted as bits.
+    """
+    needs = F.when(F.size("want_categories") > 0, 1).otherwise(0) + F.when(F.size("want_tags") > 0, 2).otherwise(0)
+    wanted = requests.select("query_id", "want_sites", "want_group", "widgets_only", needs.alias("needs"), F.inline("names"))
+    offered = meta.join(known, "site_id").select(*DOC, "site_group", "published_at", F.inline(_post_names()))
+    shared = offered.join(wanted, ["taxonomy", "name"]).filter(_place_fits())
+    return (shared.groupBy(*HIT).agg(F.bit_or("taxonomy").alias("has"), F.max("needs").alias("needs"),
+                                     F.max("published_at").alias("published_at"))
+            .filter(F.col("has") == F.col("needs")).select(*HIT, "published_at"))
+
+
+SCOPE = ["level", "place", "taxonomy", "name", "widgets_only"]
+
+
+def _with_scopes(rows: DataFrame) -> DataFrame:
+    """Each row (``site_id``, ``site_group``) under its site, its group and the whole: ``level``, ``place``."""
+    def at(level, place):
+        return F.struct(F.lit(level).alias("level"), place.alias("place"))
+    levels = F.array(at("site", F.col("site_id")), at("group", F.col("site_group")), at("all", F.lit("")))
+    return rows.select("*", F.inline(levels))
+
+
+def _offered_names(meta: DataFrame, known: DataFrame) -> DataFrame:
+    """A row for each post and each of its names, and one without a name (taxonomy 0)."""
+    unnamed = F.array(F.struct(F.lit(0).alias("taxonomy"), F.lit("").alias("name")))
+    widget = (F.col("post_id") == schemas.WIDGET_POST_ID).alias("widgets_only")
+    return meta.join(known, "site_id").select(
+        *DOC, "site_group", "published_at", widget, F.inline(F.concat(unnamed, _post_names())))
+
+
+def _request_scopes(requests: DataFrame, known: DataFrame) -> DataFrame:
+    """The scopes whose posts together are what a request without text and with one name at most finds.
+
+    No post is in two scopes of one request, so their counts add up. ``oldest`` tells the order.
+    """
+    one = requests.select("query_id", "want_sites", "want_group", "widgets_only", "last", (F.col("sort") == "oldest").alias("oldest"),
+                          F.coalesce(F.get("names", F.lit(0))["taxonomy"], F.lit(0)).alias("taxonomy"),
+                          F.when(F.size("names") == 0, "").otherwise(F.get("names", F.lit(0))["name"]).alias("name"))
+    listed = one.filter(F.size("want_sites") > 0).withColumn("site_id", F.explode(F.array_distinct("want_sites")))
+    listed = listed.join(known, "site_id").filter((F.col("want_group") == "") | (F.col("want_group") == F.col("site_group")))
+    free = one.filter(F.size("want_sites") == 0)
+    grouped = F.col("want_group") != ""
+    placed = listed.withColumn("level", F.lit("site")).withColumn("place", F.col("site_id")).unionByName(
+        free.withColumn("level", F.when(grouped, "group").otherwise("all")).withColumn("place", F.col("want_group")),
+        allowMissingColumns=True)
+    return placed.select("query_id", *SCOPE, "oldest", "last")
+
+
+def _scope_tops(scopes: DataFrame, meta: DataFrame, known: DataFrame, deepest: int) -> DataFrame:
+    """For each request the first posts of each of its scopes by date, as many as its page needs.
+
+    The posts meet the distinct scopes, not the requests; a scope keeps as many rows as the deepest request of it takes.
+    """
+    distinct = scopes.groupBy(*SCOPE, "oldest").agg(F.max("last").alias("depth"))
+    rows = _with_scopes(_offered_names(meta, known)).join(distinct, SCOPE)
+    order = [F.when(F.col("oldest"), F.col("published_at")).asc_nulls_last(),
+             F.when(~F.col("oldest"), F.col("published_at")).desc_nulls_last(), F.col("site_id"), F.col("post_id")]
+    rows = rows.select(*DOC, "published_at", *SCOPE, "oldest", F.col("depth").alias("last"))
+    tops = _first_in_parts(rows, [*SCOPE, "oldest"], order, deepest).withColumnRenamed("last", "depth")
+    return tops.join(scopes, [*SCOPE, "oldest"]).filter(F.col("rn") <= F.col("last")).select(*HIT, "published_at")
+
+
+def _scope_totals(scopes: DataFrame, meta: DataFrame, known: DataFrame) -> DataFrame:
+    """How many posts each request finds in all its scopes; posts are counted by site and name first."""
+    by_site = _offered_names(meta, known).groupBy("site_id", "site_group", "taxonomy", "name", "widgets_only").agg(
+        F.count("*").alias("n"))
+    by_scope = _with_scopes(by_site).join(scopes.select(SCOPE).distinct(), SCOPE).groupBy(*SCOPE).agg(F.sum("n").alias("n"))
+    return scopes.join(by_scope, SCOPE).groupBy("query_id").agg(F.sum("n").alias("total_count"))
+
+
+def _first_in_parts(rows: DataFrame, keys: list[str], order: list[Column], deepest: int) -> DataFrame:
+    """The rows of each key up to its place ``last`` in the order, ``rn``. ``deepest`` is the greatest ``last``.
+
+    A row among the first of its key is among the first of its part, so the parts can be cut separately.
+    """
+    def first_rows(some, *by):
+        some = some.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+        some = some.filter(F.col("rn") <= deepest)  # a literal: Spark cuts the groups before the shuffle too
+        return some.filter(F.col("rn") <= F.col("last"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*DOC), F.lit(_parts(rows.sparkSession))))
+    return first_rows(first_rows(salted, *keys, "salt").drop("rn", "salt"), *keys)
 
 
-def _top_pages(found: DataFrame, deepest: int) -> DataFrame:
-    """Page and total of each search. ``deepest`` is the last row any of them asks for."""
-    totals = found.groupBy("query_id").agg(F.count("*").alias("total_count"))
+def _top_pages(found: DataFrame, totals: DataFrame, deepest: int) -> DataFrame:
+    """The page of each search with its total. ``deepest`` is the last row any of them asks for."""
     by_score = ~F.col("sort").isin("newest", "oldest") & F.col("has_text")
     order = [F.when(by_score, F.col("score")).desc(),
              F.when(F.col("sort") == "oldest", F.col("published_at")).asc_nulls_last(),
              F.when(F.col("sort") != "oldest", F.col("published_at")).desc_nulls_last(),
              F.col("site_id"), F.col("post_id")]
-    last = F.col("off") + F.col("lim")
-
-    def first_rows(rows, *keys):
-        rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-        rows = rows.filter(F.col("rn") <= deepest)  # a literal: Spark cuts the groups before the shuffle too
-        return rows.filter(F.col("rn") <= last)
-    # A row among the first of its search is among the first of its part, so the parts can be cut separately.
-    salted = found.withColumn("salt", F.pmod(F.xxhash64(*DOC), F.lit(_parts(found.sparkSession))))
-    best = first_rows(first_rows(salted, "query_id", "salt").drop("rn"), "query_id")
-    page = best.filter(F.col("rn") > F.col("off"))
+    page = _first_in_parts(found, ["query_id"], order, deepest).filter(F.col("rn") > F.col("off"))
     return page.join(totals, "query_id").select(
         "query_id", F.col("rn").cast("bigint").alias("rn"), "total_count", "score", *DOC)
 
