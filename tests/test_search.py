@@ -190,6 +190,66 @@ def test_missing_dates_come_last(spark, tables, sort):
     assert known == sorted(known, reverse=sort == "newest")
 
 
+PHRASES = ['"the of"', '"the the the"', '"of the then a x"', '"東京駅"', '"東京"', "東京駅", '"駅 the"', '"the rare of the"', '"rare of"',
+           '"of rare"', '"the zzz of the"', "the-of-th", "foo-bar", '"caffe the foo bar the"', '"the of" "of the"']
+
+
+def phrase_posts(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(90):
+        words = [rng.choice(WORDS) for _ in range(rng.randint(0, 60))]
+        if i % 30 == 0:
+            words[5:5] = ["the", "rare", "of", "the"]
+        # Pairs must not reach over the end of a field.
+        rows.append((f"s{i % 3}", i, "the" if i % 2 else "", "of" if i % 4 else None, " ".join(words)))
+    return spark.createDataFrame(rows, "site_id string, post_id bigint, title string, excerpt string, content string")
+
+
+def phrase_hits(spark, index):
+    searches = spark.createDataFrame([(str(i), q) for i, q in enumerate(PHRASES)], "query_id string, q string")
+    return sorted(map(str, search.clause_hits(query.compile_queries(searches), index).collect()))
+
+
+def test_pairs_of_hot_terms_give_the_hits_of_whole_lists(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ix, "HOT_SHARE", 16)  # in few posts even rare terms are in one of 128
+    posts, path = phrase_posts(spark), str(tmp_path / "index")
+    index = ix.write_index(posts, path)
+    hot = {r.term for r in index.hot.collect()}
+    assert {"the", "of", "東", "京", "駅"} <= hot and not {"rare", "zzz"} & hot
+    assert all(set(r.term.split(" ")) <= hot for r in index.pairs.collect())
+    want = phrase_hits(spark, ix.build_index(posts))
+    assert phrase_hits(spark, index) == want and phrase_hits(spark, index._replace(hot=None, pairs=None)) == want
+    found = {r.term: r.positions for r in index.pairs.filter("site_id = 's0' and post_id = 0").collect()}
+    fields = ix._with_terms(posts).filter("post_id = 0").first()
+    start = 2 << ix.FIELD_SHIFT
+    assert found["of the"] == [start + i for i, two in enumerate(zip(fields.content, fields.content[1:])) if two == ("of", "the")]
+
+    # A later generation keeps the hot terms of its version, whatever the corpus becomes.
+    changed = spark.createDataFrame([("s0", 0, "the rare", "rare of the", "of rare 東京駅"), ("s9", 1, None, "", "the the the of")], posts.schema)
+    deleted = spark.createDataFrame([("s1", 1)], "site_id string, post_id bigint")
+    now = posts.filter("not (post_id = 0 or post_id = 1)").unionByName(changed)
+    want = phrase_hits(spark, ix.build_index(now))
+    assert phrase_hits(spark, ix.refresh_index(index, changed, deleted)) == want
+    assert phrase_hits(spark, ix.append_index(changed, deleted, path, 1)) == want
+    assert phrase_hits(spark, ix.write_index(now, path)) == want
+
+
+def test_a_phrase_of_hot_terms_reads_pairs_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ix, "HOT_SHARE", 16)  # in few posts even rare terms are in one of 128
+    index = ix.write_index(phrase_posts(spark), str(tmp_path / "index"))
+
+    def units(q):
+        slots = query.clause_slots(query.compile_queries(search.single_search(spark, q)))
+        return [(r.unit, r.slot, r.term, r.n_slots) for r in search._phrase_units(slots, index.hot).orderBy("clause_no", "slot").collect()]
+    assert units('"the of the"') == [("pair", 0, "the of", 2), ("pair", 1, "of the", 2)]
+    assert units('"the rare of the"') == [("place", 0, "the", 3), ("place", 1, "rare", 3), ("pair", 2, "of the", 3)]
+    assert units("the-of-th") == [("pair", 0, "the of", 2), ("place", 2, "th", 2)]
+    assert units('"the" rare') == [("word", 0, "the", 1), ("word", 0, "rare", 1)]
+    empty = ix.write_index(phrase_posts(spark).limit(0), str(tmp_path / "empty"))
+    assert empty.hot.count() == empty.pairs.count() == 0 and phrase_hits(spark, empty) == []
+
+
 def test_phrase_stays_in_its_field_and_prefix_covers_exact(spark, tables):
     posts, sites, index, _ = tables
     split = spark.createDataFrame([("s", 1, "alpha", "beta", "x alpha beta"), ("s", 2, "alpha", "beta", "x")],

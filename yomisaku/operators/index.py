@@ -6,6 +6,12 @@
 ``vocab``   term, docs, total
 ``docs``    site_id, post_id, doc_len
 ``corpus``  n_docs, avg_len (one row)
+``hot``     term: terms that many documents hold
+``pairs``   as ``terms``, but of two neighbouring hot terms with a blank between them, and without counts
+
+A phrase of hot terms reads its pairs, which are much rarer than either term. Which terms are hot is settled when a version
+is written and holds for all its generations, so the pairs are complete for every document whatever the corpus becomes;
+writing the index anew settles it again.
 
 On disk an index has a folder per version, and in it each table one per generation. A batch of changes is appended as a
 generation, never merged into old files: terms and documents leave out older rows of touched documents when read, vocabulary
@@ -31,6 +37,8 @@ FIELDS = (("title", "A"), ("excerpt", "B"), ("content", "C"))  # fixed values: f
 FIELD_SHIFT = 28
 BUCKETS = 64
 DOC = ["site_id", "post_id"]
+#: A term is hot from one document in so many on. At most so many times the mean number of distinct terms in a document are.
+HOT_SHARE = 128
 
 
 _KEY = "site_id string, post_id bigint"
@@ -39,6 +47,8 @@ _SCHEMAS = {
              "positions array<int>, gen int, bucket int",
     "vocab": "term string, docs bigint, total bigint, gen int",
     "docs": f"{_KEY}, doc_len int, gen int",
+    "hot": "term string",
+    "pairs": f"term string, {_KEY}, doc_len int, positions array<int>, gen int, bucket int",
     "corpus": "n_docs bigint, sum_len bigint, gen int",
     "touched": f"{_KEY}, gen int",
 }
@@ -49,6 +59,8 @@ class Index(NamedTuple):
     vocab: DataFrame
     docs: DataFrame
     corpus: DataFrame
+    hot: DataFrame | None = None      # without hot terms and pairs, phrases read whole position lists
+    pairs: DataFrame | None = None
 
 
 def _with_terms(posts: DataFrame) -> DataFrame:
@@ -94,18 +106,40 @@ def document_terms(posts: DataFrame) -> DataFrame:
     """
     located = ", ".join(
         f"transform({f}, (t, i) -> struct(t as term, i + {n << FIELD_SHIFT} as at))" for n, (f, _) in enumerate(FIELDS))
-    tokens = _doc_lengths(_with_terms(posts)).selectExpr(*DOC, "doc_len", f"sort_array(concat({located})) as tokens")
-    runs = tokens.selectExpr("*", """
+    rows = _runs(_doc_lengths(_with_terms(posts)).selectExpr(*DOC, "doc_len", f"concat({located}) as tokens"))
+    rows = rows.selectExpr("term", *DOC, "doc_len", *[
+        f"size(filter(positions, p -> shiftright(p, {FIELD_SHIFT}) = {n})) as tf_{f}" for n, (f, _) in enumerate(FIELDS)],
+        "positions")
+    return rows.withColumn("bucket", term_bucket())
+
+
+def document_pairs(posts: DataFrame, hot: DataFrame) -> DataFrame:
+    """One row per pair of neighbouring hot terms and document, with the places of the first one."""
+    located = ", ".join(f"""
+        transform(slice({f}, 1, greatest(size({f}) - 1, 0)),
+                  (t, i) -> struct(concat(t, ' ', get({f}, i + 1)) as term, i + {n << FIELD_SHIFT} as at))"""
+                        for n, (f, _) in enumerate(FIELDS))
+    rows = _runs(_doc_lengths(_with_terms(posts)).selectExpr(*DOC, "doc_len", f"concat({located}) as tokens"))
+    for place in (1, -1):
+        side = hot.select(F.col("term").alias(f"hot_{place % 3}"))
+        rows = rows.join(side, F.substring_index("term", " ", place) == side[f"hot_{place % 3}"], "left_semi")
+    return rows.withColumn("bucket", term_bucket())
+
+
+def hot_terms(vocab: DataFrame, n_docs: Column) -> DataFrame:
+    return vocab.filter(F.col("docs") * HOT_SHARE >= n_docs).select("term")
+
+
+def _runs(tokens: DataFrame) -> DataFrame:
+    """Tokens of a document to a row per term with its positions, in order."""
+    runs = tokens.withColumn("tokens", F.sort_array("tokens")).selectExpr("*", """
         filter(transform(tokens, (t, i) -> if(i = 0 or t.term <> get(tokens, i - 1).term, i, null)),
                i -> i is not null) as heads""")
     rows = runs.selectExpr(*DOC, "doc_len", """
         explode(transform(heads, (h, k) -> struct(
             get(tokens, h).term as term,
             transform(slice(tokens, h + 1, coalesce(get(heads, k + 1), size(tokens)) - h), t -> t.at) as positions))) as run""")
-    rows = rows.selectExpr("run.term", *DOC, "doc_len", "run.positions").selectExpr("term", *DOC, "doc_len", *[
-        f"size(filter(positions, p -> shiftright(p, {FIELD_SHIFT}) = {n})) as tf_{f}" for n, (f, _) in enumerate(FIELDS)],
-        "positions")
-    return rows.withColumn("bucket", term_bucket())
+    return rows.selectExpr("run.term", *DOC, "doc_len", "run.positions")
 
 
 def _clustered(terms: DataFrame) -> DataFrame:
@@ -219,6 +253,9 @@ def _write_generation(posts: DataFrame, touched: DataFrame, old_terms: DataFrame
     sizes = own("docs").select(F.lit(1).alias("n"), "doc_len").unionByName(old_docs.select(F.lit(-1).alias("n"), (-F.col("doc_len")).alias("doc_len")))
     write(sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_docs"),
                     F.coalesce(F.sum("doc_len"), F.lit(0)).cast("bigint").alias("sum_len")), "corpus")
+    if generation == 0:
+        hot_terms(own("vocab"), own("corpus").select("n_docs").scalar()).coalesce(1).write.mode("overwrite").parquet(f"{version}/hot")
+    write(_clustered(document_pairs(posts, _read(spark, version, "hot"))), "pairs", "bucket")
 
 
 def _read(spark: SparkSession, version: str, name: str) -> DataFrame:
@@ -243,7 +280,8 @@ def read_index(spark: SparkSession, path: str) -> Index:
         F.sum("docs").alias("docs"), F.sum("total").alias("total")).filter("docs > 0")
     corpus = _read(spark, version, "corpus").agg(F.sum("n_docs").alias("n_docs"), F.sum("sum_len").alias("sum_len"))
     return Index(_live(spark, version, "terms"), vocab, _live(spark, version, "docs"),
-                 corpus.select("n_docs", (F.col("sum_len") / F.col("n_docs")).alias("avg_len")))
+                 corpus.select("n_docs", (F.col("sum_len") / F.col("n_docs")).alias("avg_len")),
+                 _read(spark, version, "hot"), _live(spark, version, "pairs"))
 
 
 def refresh_terms(terms: DataFrame, changed: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -251,12 +289,18 @@ def refresh_terms(terms: DataFrame, changed: DataFrame, deleted: DataFrame) -> D
 
     ``changed`` are full post rows, ``deleted`` document keys. Equal to a rebuild over the new store.
     """
+    return _untouched(terms, changed, deleted).unionByName(document_terms(changed))
+
+
+def _untouched(rows: DataFrame, changed: DataFrame, deleted: DataFrame) -> DataFrame:
     touched = changed.select(*DOC).unionByName(deleted.select(*DOC)).distinct()
-    return terms.join(touched, DOC, "left_anti").unionByName(document_terms(changed))
+    return rows.join(touched, DOC, "left_anti")
 
 
 def refresh_index(index: Index, changed: DataFrame, deleted: DataFrame) -> Index:
-    touched = changed.select(*DOC).unionByName(deleted.select(*DOC)).distinct()
     terms = refresh_terms(index.terms, changed, deleted)
-    docs = index.docs.join(touched, DOC, "left_anti").unionByName(doc_stats(changed))
-    return Index(terms, vocabulary(terms), docs, corpus_stats(docs))
+    docs = _untouched(index.docs, changed, deleted).unionByName(doc_stats(changed))
+    pairs = None
+    if index.pairs is not None:
+        pairs = _untouched(index.pairs, changed, deleted).unionByName(document_pairs(changed, index.hot))
+    return Index(terms, vocabulary(terms), docs, corpus_stats(docs), index.hot, pairs)

@@ -8,7 +8,7 @@ their size. What is fetched to prune a scan is bounded by the number of index fo
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
 
 from yomisaku import schemas
 from yomisaku.functions.cards import (
@@ -45,10 +45,8 @@ def _any_of(predicates: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, predicates, F.lit(False))
 
 
-def _only_wanted(terms: DataFrame, pairs: DataFrame) -> DataFrame:
+def _only_wanted(terms: DataFrame, bounds: list[Row]) -> DataFrame:
     """Terms between the first and the last wanted one of each index folder; other folders are not read."""
-    bounds = (pairs.filter("term is not null").groupBy("bucket")
-              .agg(F.min("term").alias("low"), F.max("term").alias("high")).collect())
     if not bounds:
         return terms.filter(F.lit(False))
     return terms.filter(F.col("bucket").isin([b.bucket for b in bounds])).filter(_any_of(
@@ -82,15 +80,24 @@ def clause_hits(clauses: DataFrame, index: Index) -> DataFrame:
 def _slot_hits(slots: DataFrame, index: Index) -> DataFrame:
     """A clause of one term adds up its terms' counts, in each task before the shuffle. A phrase keeps the start
     positions its terms agree on: each term's positions are shifted back by its place, and a start found for all places is
-    an occurrence.
+    an occurrence. Neighbouring hot terms of a phrase are read as one pair.
     """
-    pairs = materialize(expand_prefixes(slots, index.vocab).withColumn("bucket", term_bucket()), "pairs")
+    units = _phrase_units(slots, index.hot)
+    pairs = materialize(expand_prefixes(units, index.vocab).withColumn("bucket", term_bucket()), "pairs")
     clause, counts = [*HIT, "clause_no", "n_clauses", "doc_len"], [f"tf_{f}" for f in FIELD_NAMES]
     # Clustering by document alone serves these groupings and the later one per search: one shuffle.
-    words = _found_terms(index.terms, pairs.filter("n_slots = 1")).groupBy(*clause).agg(
+    bounds = (pairs.filter("term is not null").groupBy("unit", "bucket")
+              .agg(F.min("term").alias("low"), F.max("term").alias("high")).collect())
+
+    def found(terms, unit):
+        wanted = _only_wanted(terms, [b for b in bounds if b.unit == unit])
+        return wanted.join(pairs.filter(F.col("unit") == unit), ["bucket", "term"])
+    words = found(index.terms, "word").groupBy(*clause).agg(
         *[F.sum(c).alias(c) for c in counts])
-    places = _found_terms(index.terms, pairs.filter("n_slots > 1")).selectExpr(
-        *clause, "n_slots", "transform(positions, p -> p - slot) as starts")
+    starts = [*clause, "n_slots", "transform(positions, p -> p - slot) as starts"]
+    places = found(index.terms, "place").selectExpr(*starts)
+    if index.pairs is not None:
+        places = places.unionByName(found(index.pairs, "pair").selectExpr(*starts))
     grouped = places.repartition(*HIT).groupBy(*clause, "n_slots").agg(
         F.expr("sort_array(flatten(collect_list(starts)))").alias("starts"))
     # In sorted starts one found n times is followed by itself n - 1 places on.
@@ -102,8 +109,29 @@ def _slot_hits(slots: DataFrame, index: Index) -> DataFrame:
     return hits.selectExpr("*", f"{' + '.join(counts)} as tf").filter("tf > 0")
 
 
-def _found_terms(terms: DataFrame, pairs: DataFrame) -> DataFrame:
-    return _only_wanted(terms, pairs).join(pairs, ["bucket", "term"])
+def _phrase_units(slots: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Slots with ``unit``: a word by itself, a place in a phrase, or a pair of neighbouring hot terms of a phrase.
+
+    Every two hot neighbours become a pair, so a hot term next to another needs no list of its own. ``n_slots`` counts the
+    units of the phrase that are left. The open end of a phrase is never part of a pair.
+    """
+    words = slots.filter("n_slots = 1").withColumn("unit", F.lit("word"))
+    phrases = slots.filter("n_slots > 1")
+    if hot is None:
+        return words.unionByName(phrases.withColumn("unit", F.lit("place")))
+    marked = phrases.join(hot.select("term", F.lit(True).alias("hot")), "term", "left")
+    marked = marked.withColumn("hot", F.coalesce(F.col("hot"), F.lit(False)) & ~F.col("is_prefix"))
+    clause = Window.partitionBy("query_id", "clause_no")
+    order = clause.orderBy("slot")
+    marked = marked.select(
+        "*", F.lead("term").over(order).alias("following"),
+        (F.col("hot") & F.lead("hot", 1, False).over(order)).alias("opens"),
+        (F.col("hot") & F.lag("hot", 1, False).over(order)).alias("closes"))
+    units = marked.filter("opens or not closes").withColumns({
+        "term": F.expr("if(opens, concat(term, ' ', following), term)"),
+        "unit": F.expr("if(opens, 'pair', 'place')"),
+        "n_slots": F.count("*").over(clause).cast(slots.schema["n_slots"].dataType)})
+    return words.unionByName(units.select(words.columns))
 
 
 def match_all(hits: DataFrame, *scores: Column) -> DataFrame:
