@@ -2,6 +2,7 @@ import datetime as dt
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -330,3 +331,32 @@ def test_sql_function_by_itself(spark, tables):
         assert sorted(map(tuple, got)) == sorted(map(tuple, page.select("rn", "site_id", "post_id", "title", "total_count", "score").collect()))
     assert search_sql.text_query(spark, 'th "of the" ・') == "th:* & of <-> the & !"
     assert spark.sql("select count(*) from search_posts()").first()[0] == 30
+
+
+def test_an_index_is_written_from_texts_prepared_once(spark, tmp_path, monkeypatch):
+    """Terms, lengths and pairs are read from one written preparation, and equal those made by plain steps."""
+    rows = [("s", 1, "Of the", "the", "a of the of  the é-b"), ("s", 1, "", "", ""), (None, 2, "東京 the", "", "of the_of"), ("t", None, "x", "x x", "")]
+    posts = spark.createDataFrame(rows, "site_id string, post_id bigint, title string, excerpt string, content string")
+    prepared, real = [], ix.index_terms_text
+    monkeypatch.setattr(ix, "index_terms_text", lambda text: prepared.append(1) or real(text))
+    index = ix.write_index(posts, str(tmp_path / "index"))
+    assert len(prepared) <= 3 * 3  # three fields: the posts, and two plans of no rows
+    want = []
+    for r in ix._with_terms(posts).collect():
+        fields = [r.title, r.excerpt, r.content]
+        at = {}
+        for n, terms in enumerate(fields):
+            for i, t in enumerate(terms):
+                at.setdefault(t, []).append((n << ix.FIELD_SHIFT) + i)
+        size = sum(map(len, fields))
+        want += [(t, r.site_id, r.post_id, size, *[sum(p >> ix.FIELD_SHIFT == n for p in ps) for n in range(3)], ps) for t, ps in at.items()]
+    got = [tuple(r)[:8] for r in index.terms.select(*ix.document_terms(posts).columns).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    lengths = sorted(tuple(r) for r in index.docs.select("doc_len").collect())
+    assert lengths == sorted((sum(len(f) for f in (r.title, r.excerpt, r.content)),) for r in ix._with_terms(posts).collect())
+
+
+def test_a_worker_holds_blocks_of_bounded_text(monkeypatch):
+    monkeypatch.setattr(ix, "BLOCK_BYTES", 10)
+    batch = pa.RecordBatch.from_pydict({"a": ["1234", "12", "123456789012", "", "1"], "b": ["1", "123", "1", "", "2"]})
+    assert [b.num_rows for b in ix._blocks(batch, ["a", "b"])] == [2, 1, 2]

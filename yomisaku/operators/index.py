@@ -26,12 +26,16 @@ its folder.
 
 import hashlib
 import time
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from yomisaku.functions.text import index_terms, with_index_text
-from yomisaku.session import shared_files
+from yomisaku.functions.text import index_terms, index_terms_text, with_index_text
+from yomisaku.session import materialize, shared_files
 
 FIELDS = (("title", "A"), ("excerpt", "B"), ("content", "C"))  # fixed values: fields and weight classes
 FIELD_SHIFT = 28
@@ -39,6 +43,8 @@ BUCKETS = 64
 DOC = ["site_id", "post_id"]
 #: A term is hot from one document in so many on. At most so many times the mean number of distinct terms in a document are.
 HOT_SHARE = 128
+#: Bytes of text whose terms a worker holds as arrays at once; one longer document is taken alone.
+BLOCK_BYTES = 4 << 20
 
 
 _KEY = "site_id string, post_id bigint"
@@ -63,12 +69,22 @@ class Index(NamedTuple):
     pairs: DataFrame | None = None
 
 
-def _with_terms(posts: DataFrame) -> DataFrame:
-    """Stage 2 term arrays per field, from stored ``*_idx`` columns or else computed."""
+def _per_field(posts: DataFrame, prepared) -> DataFrame:
+    """``prepared`` of the stored ``*_idx`` column of each field, or else of the computed one."""
     if "content_idx" not in posts.columns:
         posts = with_index_text(posts)
     idx = posts.select(*DOC, *[f"{f}_idx" for f, _ in FIELDS])
-    return idx.select(*DOC, *[index_terms(F.col(f"{f}_idx")).alias(f) for f, _ in FIELDS])
+    return idx.select(*DOC, *[prepared(F.col(f"{f}_idx")).alias(f) for f, _ in FIELDS])
+
+
+def _with_terms(posts: DataFrame) -> DataFrame:
+    """Stage 2 term arrays per field."""
+    return _per_field(posts, index_terms)
+
+
+def _term_texts(posts: DataFrame) -> DataFrame:
+    """Stage 2 texts per field: the terms between single spaces."""
+    return _per_field(posts, index_terms_text)
 
 
 def postings(posts: DataFrame) -> DataFrame:
@@ -82,11 +98,12 @@ def postings(posts: DataFrame) -> DataFrame:
 
 def doc_stats(posts: DataFrame) -> DataFrame:
     """Length of each document in terms, over all fields. Needs no shuffle."""
-    return _doc_lengths(_with_terms(posts)).select(*DOC, "doc_len")
+    return _text_lengths(_term_texts(posts))
 
 
-def _doc_lengths(with_terms: DataFrame) -> DataFrame:
-    return with_terms.withColumn("doc_len", sum(F.size(f) for f, _ in FIELDS))
+def _text_lengths(texts: DataFrame) -> DataFrame:
+    lengths = [f"if({f} = '', 0, length({f}) - length(replace({f}, ' ', '')) + 1)" for f, _ in FIELDS]
+    return texts.selectExpr(*DOC, f"{' + '.join(lengths)} as doc_len")
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -101,47 +118,99 @@ def term_bucket() -> Column:
 def document_terms(posts: DataFrame) -> DataFrame:
     """One row per term and document.
 
-    A document's terms are grouped within its row: sorted by term and place, each run of one term becomes a row.
-    Nothing is shuffled, and no group is larger than its document.
+    The terms of some documents at a time are sorted by term, document and place; each run of one term in a document becomes
+    a row. Nothing is shuffled.
     """
-    located = ", ".join(
-        f"transform({f}, (t, i) -> struct(t as term, i + {n << FIELD_SHIFT} as at))" for n, (f, _) in enumerate(FIELDS))
-    rows = _runs(_doc_lengths(_with_terms(posts)).selectExpr(*DOC, "doc_len", f"concat({located}) as tokens"))
-    rows = rows.selectExpr("term", *DOC, "doc_len", *[
-        f"size(filter(positions, p -> shiftright(p, {FIELD_SHIFT}) = {n})) as tf_{f}" for n, (f, _) in enumerate(FIELDS)],
-        "positions")
-    return rows.withColumn("bucket", term_bucket())
+    return _text_terms(_term_texts(posts))
+
+
+def _text_terms(texts: DataFrame) -> DataFrame:
+    counts = ", ".join(f"tf_{f} int" for f, _ in FIELDS)
+    return _located(texts, f"doc_len int, {counts}, positions array<int>", None).withColumn("bucket", term_bucket())
 
 
 def document_pairs(posts: DataFrame, hot: DataFrame) -> DataFrame:
-    """One row per pair of neighbouring hot terms and document, with the places of the first one."""
-    located = ", ".join(f"""
-        transform(slice({f}, 1, greatest(size({f}) - 1, 0)),
-                  (t, i) -> struct(concat(t, ' ', get({f}, i + 1)) as term, i + {n << FIELD_SHIFT} as at))"""
-                        for n, (f, _) in enumerate(FIELDS))
-    rows = _runs(_doc_lengths(_with_terms(posts)).selectExpr(*DOC, "doc_len", f"concat({located}) as tokens"))
-    for place in (1, -1):
-        side = hot.select(F.col("term").alias(f"hot_{place % 3}"))
-        rows = rows.join(side, F.substring_index("term", " ", place) == side[f"hot_{place % 3}"], "left_semi")
-    return rows.withColumn("bucket", term_bucket())
+    """One row per pair of neighbouring hot terms and document, with the places of the first one.
+
+    The hot terms are fetched and broadcast; by ``HOT_SHARE`` their number is bounded whatever the corpus.
+    """
+    return _text_pairs(_term_texts(posts), hot)
+
+
+def _text_pairs(texts: DataFrame, hot: DataFrame) -> DataFrame:
+    known = texts.sparkSession.sparkContext.broadcast([r.term for r in hot.select("term").collect()])
+    return _located(texts, "doc_len int, positions array<int>", known).withColumn("bucket", term_bucket())
+
+
+def _located(texts: DataFrame, columns: str, hot) -> DataFrame:
+    """Rows of terms, or with ``hot`` of pairs of these terms, of the documents whose fields are all known."""
+    fields = [f for f, _ in FIELDS]
+    types = dict(texts.dtypes)
+    schema = f"term string, {', '.join(f'{c} {types[c]}' for c in DOC)}, {columns}"
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if hot is None else pa.array(hot.value, pa.string())
+        for batch in batches:
+            for block in _blocks(batch, fields):
+                yield _runs(block, fields, wanted)
+    return texts.dropna(subset=fields).mapInArrow(rows, schema)
+
+
+def _blocks(batch: pa.RecordBatch, fields: list[str]) -> Iterator[pa.RecordBatch]:
+    """Slices of ``BLOCK_BYTES`` of text at most, or of a single longer document."""
+    ends = np.cumsum(sum(pc.binary_length(batch.column(f)).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields))
+    start = done = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(ends, done + BLOCK_BYTES, side="right")))
+        yield batch.slice(start, end - start)
+        start, done = end, int(ends[end - 1])
+
+
+def _runs(block: pa.RecordBatch, fields: list[str], hot: pa.Array | None) -> pa.RecordBatch:
+    """The terms of a block of documents to a row per term and document with its positions, in order."""
+    n = block.num_rows
+    split = pc.split_pattern(pa.concat_arrays([block.column(f) for f in fields]), " ")
+    starts = split.offsets.to_numpy().astype(np.int64)
+    tokens = split.flatten()
+    text = np.repeat(np.arange(len(split)), np.diff(starts))
+    place = np.arange(len(tokens)) - (starts - starts[0])[text] + ((text // n) << FIELD_SHIFT)
+    real = pc.not_equal(tokens, "").to_numpy(zero_copy_only=False)  # an empty text splits into one empty term
+    tokens, row, place, text = tokens.filter(pa.array(real)), (text % n)[real], place[real], text[real]
+    doc_len = np.bincount(row, minlength=n)
+    coded = tokens.dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary)
+    terms = coded.dictionary.take(order)
+    rank = np.empty(len(terms), np.int64)
+    rank[order.to_numpy()] = np.arange(len(terms))
+    code = rank[coded.indices.to_numpy()]
+    if hot is not None:
+        is_hot = pc.is_in(terms, hot).to_numpy(zero_copy_only=False)[code]
+        first = np.flatnonzero(is_hot[:-1] & is_hot[1:] & (text[:-1] == text[1:]))
+        pairs, code = np.unique(code[first] * max(1, len(terms)) + code[first + 1], return_inverse=True)
+        sides = np.divmod(pairs, max(1, len(terms)))
+        terms = pc.binary_join_element_wise(*[terms.take(pa.array(s)) for s in sides], " ")
+        row, place = row[first], place[first]
+    group = code * n + row
+    by_group = np.argsort(group, kind="stable")
+    group, place = group[by_group], place[by_group]
+    heads = np.flatnonzero(np.diff(group, prepend=-1))
+    term, row = np.divmod(group[heads], n)
+    columns = {"term": terms.take(pa.array(term)), **{c: block.column(c).take(pa.array(row)) for c in DOC},
+               "doc_len": pa.array(doc_len[row].astype(np.int32))}
+    if hot is None:
+        for k, f in enumerate(fields):
+            found = np.cumsum(np.append(0, place >> FIELD_SHIFT == k))
+            columns[f"tf_{f}"] = pa.array((found[np.append(heads[1:], len(place))] - found[heads]).astype(np.int32)
+                                          if len(heads) else np.zeros(0, np.int32))
+    ends = np.append(heads, len(place)).astype(np.int32)
+    columns["positions"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(place.astype(np.int32)))
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def hot_terms(vocab: DataFrame, n_docs: Column) -> DataFrame:
     return vocab.filter(F.col("docs") * HOT_SHARE >= n_docs).select("term")
 
 
-def _runs(tokens: DataFrame) -> DataFrame:
-    """Tokens of a document to a row per term with its positions, in order."""
-    runs = tokens.withColumn("tokens", F.sort_array("tokens")).selectExpr("*", """
-        filter(transform(tokens, (t, i) -> if(i = 0 or t.term <> get(tokens, i - 1).term, i, null)),
-               i -> i is not null) as heads""")
-    rows = runs.selectExpr(*DOC, "doc_len", """
-        explode(transform(heads, (h, k) -> struct(
-            get(tokens, h).term as term,
-            transform(slice(tokens, h + 1, coalesce(get(heads, k + 1), size(tokens)) - h), t -> t.at) as positions))) as run""")
-    return rows.selectExpr("run.term", *DOC, "doc_len", "run.positions")
-
-
 def _clustered(terms: DataFrame) -> DataFrame:
     """Sorted by folder, term and document. Rebalancing splits a folder too large for one task."""
     return terms.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", *DOC)
@@ -244,8 +313,9 @@ def _write_generation(posts: DataFrame, touched: DataFrame, old_terms: DataFrame
 
     def less(df, *columns):
         return df.select(*[(-F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
-    write(_clustered(document_terms(posts)), "terms", "bucket")
-    write(doc_stats(posts), "docs")
+    texts = materialize(_term_texts(posts), "term-texts")  # read for the terms, the lengths and the pairs
+    write(_clustered(_text_terms(texts)), "terms", "bucket")
+    write(_text_lengths(texts), "docs")
     write(touched.distinct(), "touched")
     added = vocabulary(own("terms")).unionByName(less(vocabulary(old_terms), "docs", "total"))
     added = added.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("total").alias("total")).filter("docs != 0 or total != 0")
@@ -255,7 +325,7 @@ def _write_generation(posts: DataFrame, touched: DataFrame, old_terms: DataFrame
                     F.coalesce(F.sum("doc_len"), F.lit(0)).cast("bigint").alias("sum_len")), "corpus")
     if generation == 0:
         hot_terms(own("vocab"), own("corpus").select("n_docs").scalar()).coalesce(1).write.mode("overwrite").parquet(f"{version}/hot")
-    write(_clustered(document_pairs(posts, _read(spark, version, "hot"))), "pairs", "bucket")
+    write(_clustered(_text_pairs(texts, _read(spark, version, "hot"))), "pairs", "bucket")
 
 
 def _read(spark: SparkSession, version: str, name: str) -> DataFrame:
