@@ -4,7 +4,7 @@ import random
 
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from yomisaku import schemas
 from yomisaku.operators import index as ix, query, search, search_sql
@@ -360,3 +360,12 @@ def test_a_worker_holds_blocks_of_bounded_text(monkeypatch):
     monkeypatch.setattr(ix, "BLOCK_BYTES", 10)
     batch = pa.RecordBatch.from_pydict({"a": ["1234", "12", "123456789012", "", "1"], "b": ["1", "123", "1", "", "2"]})
     assert [b.num_rows for b in ix._blocks(batch, ["a", "b"])] == [2, 1, 2]
+
+
+def test_pruning_of_many_folders_is_one_short_test(spark):
+    terms = spark.createDataFrame([(b, t) for b in range(64) for t in ("a", "m", "z")], "bucket int, term string")
+    bounds = [Row(bucket=b, low="b" if b % 2 else "a", high="n" if b % 3 else "a") for b in range(64) if b != 7]
+    kept = search._only_wanted(terms, bounds)
+    want = {(b.bucket, t) for b in bounds for t in ("a", "m", "z") if b.low <= t <= b.high}
+    assert {tuple(r) for r in kept.collect()} == want
+    assert kept._jdf.queryExecution().analyzed().toString().upper().count(" OR ") < 10

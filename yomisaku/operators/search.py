@@ -34,6 +34,7 @@ CARD_EXCERPT_CHARS = 200
 PAGE_WINDOW = 5
 
 HEAP_ROWS = 10000     # a page that ends later in the result is cut from a distributed sort, not from a heap per task
+FEW_FOLDERS = 8       # so many folders are pruned by a range of terms each, which also reaches row groups
 _LAST = "\U0010ffff"  # sorts after every letter of a term
 
 RESULT_COLUMNS = ["site_id", "post_id", "url", "title", "excerpt", "author", "published_at", "categories", "tags"]
@@ -49,8 +50,15 @@ def _only_wanted(terms: DataFrame, bounds: list[Row]) -> DataFrame:
     """Terms between the first and the last wanted one of each index folder; other folders are not read."""
     if not bounds:
         return terms.filter(F.lit(False))
-    return terms.filter(F.col("bucket").isin([b.bucket for b in bounds])).filter(_any_of(
-        [(F.col("bucket") == b.bucket) & F.col("term").between(b.low, b.high) for b in bounds]))
+    in_folders = terms.filter(F.col("bucket").isin([b.bucket for b in bounds]))
+    if len(bounds) <= FEW_FOLDERS:
+        return in_folders.filter(_any_of(
+            [(F.col("bucket") == b.bucket) & F.col("term").between(b.low, b.high) for b in bounds]))
+    # A test per folder would be too long to compile and run on each row: the folder's bounds are looked up.
+    of = {b.bucket: b for b in bounds}
+    low, high = (F.array(*[F.lit(getattr(of.get(k), side, None)) for k in range(max(of) + 1)]) for side in ("low", "high"))
+    return in_folders.filter(F.col("term").between(min(b.low for b in bounds), max(b.high for b in bounds))
+                             & F.col("term").between(F.get(low, F.col("bucket")), F.get(high, F.col("bucket"))))
 
 
 def expand_prefixes(slots: DataFrame, vocab: DataFrame) -> DataFrame:
