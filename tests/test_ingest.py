@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from yomisaku import schemas
 from yomisaku.operators import facets, index as ix, ingest
+from yomisaku.plans import catalog
 from yomisaku.session import scratch_path
 from yomisaku.sources import landing, store
 from yomisaku.streaming import crawl
@@ -276,3 +277,12 @@ def test_one_site_and_its_posts(spark):
     assert [r.name for r in ingest.lookup_site(sites, "a").collect()] == ["B"] and ingest.lookup_site(sites, "zz").collect() == []
     assert [r.id for r in ingest.list_sites(sites).collect()] == ["b", "c", "a"]
     assert sorted(r.post_id for r in ingest.post_ids(posts, "a").collect()) == [-1, 1] and ingest.post_ids(posts, "c").collect() == []
+
+
+def test_landed_posts_of_one_site_spread_over_the_files(spark, tmp_path):
+    rows = [(n, f"word{n} text", "en", "src1", 10) for n in range(200)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    landed = spark.read.text(catalog.land_posts(spark, str(tmp_path)))
+    files = [r["count"] for r in landed.groupBy(F.input_file_name().alias("file")).count().collect()]
+    assert sum(files) == 200 and max(files) < 50

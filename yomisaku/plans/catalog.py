@@ -888,11 +888,14 @@ def facets_all(spark, sf_dir):
 
 # ---- streaming --------------------------------------------------------------------------------------------------
 
+LANDED_FILES = 8  # dealt by post, so that one large site does not fill a file
+
+
 def land_posts(spark: SparkSession, sf_dir: str) -> str:
     """Write the API bodies as landed files and return their folder."""
     folder = scratch_path(spark, "landing")
     posts = landing.parse_posts(landed_bodies(spark, sf_dir))
-    posts.repartition(4, "site_id").write.json(folder)
+    posts.repartition(LANDED_FILES, "site_id", "id").write.json(folder)
     return folder
 
 
