@@ -369,3 +369,20 @@ def test_pruning_of_many_folders_is_one_short_test(spark):
     want = {(b.bucket, t) for b in bounds for t in ("a", "m", "z") if b.low <= t <= b.high}
     assert {tuple(r) for r in kept.collect()} == want
     assert kept._jdf.queryExecution().analyzed().toString().upper().count(" OR ") < 10
+
+
+def test_latin_texts_are_split_as_they_are(spark):
+    """The JVM only reads whether a Latin text is one; its terms are split and folded in Arrow like those of plain steps."""
+    texts = ["A.b É-c_d  Straße/x@y", "ÅÇ ÿ é", "½ x² ×÷ ªµ", "İstanbul İ", "東京・the ｶﾅ", "Ωmega naïve", "é ễ Ǆ", "", None, "...", "plain words"]
+    rows = [("s", i, t, texts[-i], " ".join(filter(None, texts[:i]))) for i, t in enumerate(texts)]
+    posts = spark.createDataFrame(rows, "site_id string, post_id bigint, title string, excerpt string, content string").coalesce(1)
+    prepared = {r.post_id: r.title for r in ix._term_texts(posts).collect()}
+    assert prepared[0] == "a.b é-c_d straße/x@y" and prepared[10] == "plain words"
+    want = {}
+    for r in ix._with_terms(posts).collect():
+        for n, terms in enumerate((r.title, r.excerpt, r.content)):
+            for i, t in enumerate(terms):
+                want.setdefault((r.post_id, t), []).append((n << ix.FIELD_SHIFT) + i)
+    assert {(r.post_id, r.term): r.positions for r in ix.document_terms(posts).collect()} == want
+    lengths = {r.post_id: r.doc_len for r in ix.doc_stats(posts).collect()}
+    assert lengths == {i: sum(len(ps) for (d, _), ps in want.items() if d == i) for i in range(len(texts))}

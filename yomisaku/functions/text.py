@@ -120,6 +120,21 @@ def fold_latin(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7f]"), folded).otherwise(text)
 
 
+# Characters besides ASCII and Latin letters. The first range ends the test of an ASCII character, as in _NEEDS_NFKC.
+_NOT_SIMPLE = r"[\x{80}-\x{10ffff}&&[^\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}\x{1e00}-\x{1eff}]]"
+
+
+def simple_index_text(index_text: Column) -> Column:
+    """Whether a prepared text holds ASCII and Latin letters only: its terms are runs of ASCII letters, digits and other
+    characters, folded by ``latin_table``."""
+    return ~index_text.rlike(_NOT_SIMPLE)
+
+
+def latin_table() -> dict[int, int]:
+    """``latin_folding`` for ``str.translate``."""
+    return str.maketrans(*latin_folding())
+
+
 def index_terms_text(index_text: Column) -> Column:
     """Stage 2 text of a prepared field: its terms, separated by single spaces."""
     return F.trim(F.regexp_replace(fold_latin(index_text), _NOT_A_TERM, " "))

@@ -34,7 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from yomisaku.functions.text import index_terms, index_terms_text, with_index_text
+from yomisaku.functions.text import index_terms, index_terms_text, latin_table, simple_index_text, with_index_text
 from yomisaku.session import materialize, shared_files
 
 FIELDS = (("title", "A"), ("excerpt", "B"), ("content", "C"))  # fixed values: fields and weight classes
@@ -45,7 +45,9 @@ DOC = ["site_id", "post_id"]
 HOT_SHARE = 128
 #: Bytes of text whose terms a worker holds as arrays at once; one longer document is taken alone.
 BLOCK_BYTES = 4 << 20
-
+#: Bytes of terms: ASCII letters and digits, and those of other characters. All others separate terms.
+_IN_TERM = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
+_SPACED = np.where(_IN_TERM, np.arange(256), ord(" ")).astype(np.uint8)
 
 _KEY = "site_id string, post_id bigint"
 _SCHEMAS = {
@@ -83,8 +85,11 @@ def _with_terms(posts: DataFrame) -> DataFrame:
 
 
 def _term_texts(posts: DataFrame) -> DataFrame:
-    """Stage 2 texts per field: the terms between single spaces."""
-    return _per_field(posts, index_terms_text)
+    """Texts per field whose terms are runs of ASCII letters, digits and other characters, Latin marks not folded yet.
+
+    That is true of most prepared texts as they are; of the others it is the stage 2 text.
+    """
+    return _per_field(posts, lambda text: F.when(simple_index_text(text), text).otherwise(index_terms_text(text)))
 
 
 def postings(posts: DataFrame) -> DataFrame:
@@ -102,8 +107,37 @@ def doc_stats(posts: DataFrame) -> DataFrame:
 
 
 def _text_lengths(texts: DataFrame) -> DataFrame:
-    lengths = [f"if({f} = '', 0, length({f}) - length(replace({f}, ' ', '')) + 1)" for f, _ in FIELDS]
-    return texts.selectExpr(*DOC, f"{' + '.join(lengths)} as doc_len")
+    types = dict(texts.dtypes)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = [_term_counts(batch.column(f)) for f, _ in FIELDS]
+            total = pc.add(pc.add(lengths[0], lengths[1]), lengths[2])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in DOC], total], names=[*DOC, "doc_len"])
+    return texts.mapInArrow(rows, ", ".join([*[f"{c} {types[c]}" for c in DOC], "doc_len int"]))
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The offsets and the bytes of an array of strings."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    return offsets, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+
+
+def _term_counts(texts: pa.Array) -> pa.Array:
+    """How many runs of term bytes each text has; NULL for NULL."""
+    if not len(texts):
+        return pa.array([], pa.int32())
+    missing = texts.is_null().to_numpy(zero_copy_only=False)
+    offsets, data = _bytes_of(texts)
+    inside = _IN_TERM[data[offsets[0]:offsets[-1]]]
+    offsets = offsets - offsets[0]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    first = offsets[:-1][np.diff(offsets) > 0]
+    begins[first] = inside[first]
+    before = np.append(0, np.cumsum(begins))
+    return pa.array((before[offsets[1:]] - before[offsets[:-1]]).astype(np.int32), mask=missing)
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -145,14 +179,14 @@ def _text_pairs(texts: DataFrame, hot: DataFrame) -> DataFrame:
 def _located(texts: DataFrame, columns: str, hot) -> DataFrame:
     """Rows of terms, or with ``hot`` of pairs of these terms, of the documents whose fields are all known."""
     fields = [f for f, _ in FIELDS]
-    types = dict(texts.dtypes)
+    types, fold = dict(texts.dtypes), latin_table()
     schema = f"term string, {', '.join(f'{c} {types[c]}' for c in DOC)}, {columns}"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = None if hot is None else pa.array(hot.value, pa.string())
         for batch in batches:
             for block in _blocks(batch, fields):
-                yield _runs(block, fields, wanted)
+                yield _runs(block, fields, fold, wanted)
     return texts.dropna(subset=fields).mapInArrow(rows, schema)
 
 
@@ -166,23 +200,33 @@ def _blocks(batch: pa.RecordBatch, fields: list[str]) -> Iterator[pa.RecordBatch
         start, done = end, int(ends[end - 1])
 
 
-def _runs(block: pa.RecordBatch, fields: list[str], hot: pa.Array | None) -> pa.RecordBatch:
+def _tokens(texts: pa.Array, fold: dict[int, int]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different terms of some texts, sorted; per term of the texts, in order, which one it is and of which text."""
+    offsets, data = _bytes_of(texts)
+    spaced = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(_SPACED[data]))
+    split = pc.split_pattern(spaced, " ")
+    tokens = split.flatten()
+    text = np.repeat(np.arange(len(split)), np.diff(split.offsets.to_numpy()))
+    real = pc.not_equal(tokens, "")
+    tokens, text = tokens.filter(real), text[real.to_numpy(zero_copy_only=False)]
+    coded = tokens.dictionary_encode()
+    marked = pc.not_equal(pc.binary_length(coded.dictionary), pc.utf8_length(coded.dictionary))
+    plain = [t.translate(fold) for t in coded.dictionary.filter(marked).to_pylist()]
+    words = pc.replace_with_mask(coded.dictionary, marked, pa.array(plain, pa.string())).dictionary_encode()  # é is e now
+    order = pc.array_sort_indices(words.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    return words.dictionary.take(order), rank[words.indices.to_numpy()][coded.indices.to_numpy()], text
+
+
+def _runs(block: pa.RecordBatch, fields: list[str], fold: dict[int, int], hot: pa.Array | None) -> pa.RecordBatch:
     """The terms of a block of documents to a row per term and document with its positions, in order."""
     n = block.num_rows
-    split = pc.split_pattern(pa.concat_arrays([block.column(f) for f in fields]), " ")
-    starts = split.offsets.to_numpy().astype(np.int64)
-    tokens = split.flatten()
-    text = np.repeat(np.arange(len(split)), np.diff(starts))
-    place = np.arange(len(tokens)) - (starts - starts[0])[text] + ((text // n) << FIELD_SHIFT)
-    real = pc.not_equal(tokens, "").to_numpy(zero_copy_only=False)  # an empty text splits into one empty term
-    tokens, row, place, text = tokens.filter(pa.array(real)), (text % n)[real], place[real], text[real]
+    terms, code, text = _tokens(pa.concat_arrays([block.column(f) for f in fields]), fold)
+    before = np.append(0, np.cumsum(np.bincount(text, minlength=len(fields) * n)))
+    place = np.arange(len(text)) - before[text] + ((text // max(1, n)) << FIELD_SHIFT)
+    row = text % max(1, n)
     doc_len = np.bincount(row, minlength=n)
-    coded = tokens.dictionary_encode()
-    order = pc.array_sort_indices(coded.dictionary)
-    terms = coded.dictionary.take(order)
-    rank = np.empty(len(terms), np.int64)
-    rank[order.to_numpy()] = np.arange(len(terms))
-    code = rank[coded.indices.to_numpy()]
     if hot is not None:
         is_hot = pc.is_in(terms, hot).to_numpy(zero_copy_only=False)[code]
         first = np.flatnonzero(is_hot[:-1] & is_hot[1:] & (text[:-1] == text[1:]))
@@ -194,7 +238,7 @@ def _runs(block: pa.RecordBatch, fields: list[str], hot: pa.Array | None) -> pa.
     by_group = np.argsort(group, kind="stable")
     group, place = group[by_group], place[by_group]
     heads = np.flatnonzero(np.diff(group, prepend=-1))
-    term, row = np.divmod(group[heads], n)
+    term, row = np.divmod(group[heads], max(1, n))
     columns = {"term": terms.take(pa.array(term)), **{c: block.column(c).take(pa.array(row)) for c in DOC},
                "doc_len": pa.array(doc_len[row].astype(np.int32))}
     if hot is None:
