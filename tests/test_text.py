@@ -1,6 +1,7 @@
 import itertools
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +75,14 @@ def test_text_without_need_stays_out_of_python(spark):
 def test_query_profiles(spark, profile, want):
     df = spark.createDataFrame([("Éa東B",)], "t string")
     assert df.select(text.prepare_query_text(F.col("t"), profile)).first()[0] == want
+
+
+def test_few_texts_of_a_batch_are_strings_at_a_time(monkeypatch):
+    """Texts go back to Arrow after each HELD_CHARS, whatever the size of the batch."""
+    monkeypatch.setattr(text, "HELD_CHARS", 10)
+    sizes, real = [], pa.array
+    monkeypatch.setattr(text.pa, "array", lambda values, kind: sizes.append(len(values)) or real(values, kind))
+    texts = real(["1234567890", "12345", None, "", "1234", "123456", "x"], pa.string())
+    assert text.map_texts(texts, str.upper).to_pylist() == ["1234567890", "12345", None, "", "1234", "123456", "X"]
+    assert sizes == [1, 5, 1]
+    assert text.map_texts(texts.slice(0, 0), str.upper).to_pylist() == [] and text.map_texts(texts.slice(2, 1), str.upper).to_pylist() == [None]

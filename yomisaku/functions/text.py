@@ -7,11 +7,12 @@ letter or a digit.
 """
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
 # The code points that count as CJK.
@@ -49,9 +50,25 @@ _LATIN_RANGES = ((0x00C0, 0x024F), (0x1E00, 0x1EFF))
 _HAS_LATIN_MARKS = "[" + "".join(f"{chr(lo)}-{chr(hi)}" for lo, hi in _LATIN_RANGES) + "]"
 
 
-@pandas_udf(StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
+#: Characters of text that a worker holds as Python strings at once; one longer text is taken alone.
+HELD_CHARS = 1 << 20
+
+
+def map_texts(texts: pa.Array, made: Callable[[str], str]) -> pa.Array:
+    """``made`` of each text; NULL stays. Of a batch only ``HELD_CHARS`` are strings at a time, the rest is Arrow."""
+    parts, held, size = [], [], 0
+    for text in texts:
+        text = text.as_py()
+        held.append(None if text is None else made(text))
+        size += len(text or "")
+        if size >= HELD_CHARS:
+            parts, held, size = [*parts, pa.array(held, pa.string())], [], 0
+    return pa.concat_arrays([*parts, pa.array(held, pa.string())])
+
+
+@arrow_udf(StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    return map_texts(texts, lambda text: unicodedata.normalize("NFKC", text))
 
 
 def nfkc_for_index(text: Column) -> Column:
