@@ -34,8 +34,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the token ids, their decoded text, and how many there are."""
-    ids = bpe.encode(docs, vocabulary_path())
-    return bpe.decode(ids, vocabulary_path()).selectExpr("doc_id", "size(ids) as n_tokens", "ids", "text as decoded")
+    return bpe.encode_decode(docs, vocabulary_path()).selectExpr("doc_id", "size(ids) as n_tokens", "ids", "text as decoded")
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", dedup_lines), ("near duplicates", dedup_documents),

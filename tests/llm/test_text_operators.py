@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm.helpers import clashing, docs_of, odd_docs
 from yomisaku.llm import bpe, chunk_dedup, decontaminate as dc, langid, licenses, line_dedup, pii, quality, warc
 from yomisaku.llm.queries import vocabulary_path
@@ -207,6 +208,30 @@ def test_memory_is_bounded_by_bytes(monkeypatch):
             assert all(len(k) <= bpe.LONG for k in memo.known)
 
 
+def test_a_worker_remembers_little_and_what_is_asked_for_again(monkeypatch):
+    assert 2 * bpe.REMEMBERED <= 48 << 20
+    monkeypatch.setattr(bpe, "REMEMBERED", 1 << 16)
+    book, merged = bpe.Vocabulary(vocabulary_path()), []
+    merge = book.merge
+    book.merge = lambda words: merged.extend(words) or merge(words)
+    for i in range(40):  # both generations together stay within the bound and a block
+        book.encode_block(["common words " + " ".join(f"x{i}y{j}" for j in range(60))])
+        for memo in (book.pieces, book.words_done):
+            both = memo.known | memo.earlier
+            assert sum(4 * len(k) + len(v) + bpe.ENTRY for k, v in both.items()) < (1 << 16) + 2 * 62 * 400
+    assert merged.count("common") == 1 and merged.count("words") == 1
+
+
+def test_one_worker_encodes_and_decodes(spark):
+    texts = [prose(20), None, "", "aaaa " * 300, "<|endoftext|> a", *[prose(3) for _ in range(150)]]
+    docs = clashing(docs_of(spark, texts, parts=1))
+    apart = bpe.decode(bpe.encode(docs, vocabulary_path()), vocabulary_path())
+    together = bpe.encode_decode(docs, vocabulary_path())
+    assert together.schema == apart.schema and sorted(together.collect()) == sorted(apart.collect())
+    plan = corpus_pipeline.tokenize(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 @pytest.mark.parametrize("many, seed", [(1, 1), (10**9, 2), (24, 3)])
 def test_merging_by_arrays_and_by_places(monkeypatch, many, seed):
     tokenizers = pytest.importorskip("tokenizers")

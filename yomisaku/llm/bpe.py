@@ -4,14 +4,14 @@ A task collects the words of a block of texts that it has not met yet, lays thei
 each pair of neighbours that has a merge rank to all its positions. The active ranks are applied in ascending order from a heap;
 each merge updates the lists of the pairs it makes; long lists are worked off as arrays, short ones place by place.
 Words are merged independently, so this gives each word what merging its lowest pair again and again would. Finished
-words are remembered within a bound of bytes per worker process.
+words are remembered within a bound of bytes per worker process, those asked for lately longest.
 """
 
 import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Collection, Iterator
+from collections.abc import Collection, Iterator, Set
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from yomisaku.llm.common import text_blocks
 
-#: Bytes of finished pieces of text, and as many of words, that a worker process remembers; beyond that it starts afresh.
-REMEMBERED = 96 << 20
+#: Bytes of finished pieces of text, and as many of words, that a worker process remembers. Workers stay for later stages.
+REMEMBERED = 24 << 20
 #: What an entry takes besides its texts; entries longer than ``LONG`` are forgotten after their block.
 ENTRY, LONG = 160, 256
 #: Lists of at least so many places are worked off as arrays.
 MANY = 24
 #: Bytes of text whose new words are merged together.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 # What the vocabulary's normaliser takes for white space.
 BLANK = r"\t-\r \x85\xa0  -     　"
@@ -181,9 +181,12 @@ class Vocabulary:
 
     def encode_block(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; NULL is empty."""
-        rows = [self._parts(t or "") for t in texts]
-        every = set().union(*rows)
-        fresh = self.pieces.lacking(every)
+        every: dict[str, str] = {}
+        rows = []
+        for t in texts:  # equal pieces of a block are one string
+            parts = self._parts(t or "")
+            rows.append(list(map(every.setdefault, parts, parts)))
+        fresh = self.pieces.lacking(every.keys())
         if fresh:
             split = {p: self.words.findall(_normal(p)) for p in fresh if p not in self.special}
             unknown = self.words_done.lacking({w for ws in split.values() for w in ws})
@@ -192,7 +195,7 @@ class Vocabulary:
             done = self.words_done.known
             self.pieces.add(split.keys(), [done[ws[0]] if len(ws) == 1 else b"".join([done[w] for w in ws]) for ws in split.values()])
             self.words_done.forget()
-            marks = every & self.special.keys()
+            marks = every.keys() & self.special.keys()
             self.pieces.add(marks, [self.special[s].to_bytes(4, "little") for s in marks])
         pieces = self.pieces.known
         out = [b"".join(map(pieces.__getitem__, row)) for row in rows]
@@ -224,19 +227,24 @@ class Vocabulary:
 
 
 class Memo:
-    """Texts and their ids within about ``limit`` bytes."""
+    """Texts and their ids within about ``limit`` bytes, in two generations: what a generation's time did not ask for is forgotten."""
 
     def __init__(self, limit: int):
         self.limit, self.held = limit, 0
         self.known: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
         self.long: list[str] = []
 
-    def lacking(self, texts: set[str]) -> list[str]:
-        """Which texts are not known; if what is held has reached the limit, all is forgotten and all of them are."""
-        if self.held >= self.limit:
-            self.known.clear()
-            self.held = 0
-        return list(texts - self.known.keys())
+    def lacking(self, texts: Set[str]) -> list[str]:
+        """Which texts are not known; the others are in ``known`` from now on. At half the limit a new generation begins."""
+        if self.held >= self.limit // 2:
+            self.earlier, self.known, self.held = self.known, {}, 0
+        lacking = list(texts - self.known.keys())
+        again = [t for t in lacking if t in self.earlier]
+        if again:
+            self.add(again, [self.earlier.pop(t) for t in again])
+            lacking = [t for t in lacking if t not in self.known]
+        return lacking
 
     def add(self, texts: Collection[str], ids: list[bytes]) -> None:
         self.known.update(zip(texts, ids))
@@ -250,7 +258,7 @@ class Memo:
         self.long.clear()
 
 
-def _in_parts(words: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
+def _in_parts(words: list[str], most: int = 1 << 19) -> Iterator[list[str]]:
     """The words in lists of about ``most`` letters, so that one index takes a bounded memory."""
     start, held = 0, 0
     for i, word in enumerate(words):
@@ -316,6 +324,21 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("text", T.StringType())]))
 
 
+def encode_decode(docs: DataFrame, path: str) -> DataFrame:
+    """What ``decode`` makes of ``encode``, by one worker for each task instead of two."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book = vocabulary(path)
+        for part in text_blocks(batches, limit=BLOCK):
+            ids = _lists(book.encode_block(part.column(1).to_pylist()))
+            for at in range(0, part.num_rows, 64):
+                some = ids.slice(at, 64)
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(at, 64), some, book.decode(some)], names=["doc_id", "ids", "text"])
+
+    kind = docs.schema["doc_id"].dataType
+    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([
+        T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())]))
+
+
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the decoded text: encodes and decodes every text in one pass.
 
