@@ -208,6 +208,17 @@ def test_memory_is_bounded_by_bytes(monkeypatch):
             assert all(len(k) <= bpe.LONG for k in memo.known)
 
 
+def test_decontamination_takes_one_worker_and_cuts_whole_letters(spark):
+    item = " ".join(f"é{i}漢" for i in range(13))
+    texts = [f"– vor ({item}) nach " + "wörter " * 600, item + " " + "ende " * 600, "anfang " * 600 + item, f"a {item} b… " + "mitte " * 600 + f"… {item}. z",
+             "nothing here", "", None]
+    want = [t if t is None else t.replace(item, "") for t in texts]
+    cut = dc.decontaminate(docs_of(spark, texts, parts=1), spark.createDataFrame([("i", item)], "item_id string, text string"), max_span=12, drop=True)
+    assert {r.doc_id: r.text for r in cut.collect()} == dict(enumerate(want))
+    plan = cut._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+
+
 def test_a_worker_remembers_little_and_what_is_asked_for_again(monkeypatch):
     assert 2 * bpe.REMEMBERED <= 48 << 20
     monkeypatch.setattr(bpe, "REMEMBERED", 1 << 16)
