@@ -1,13 +1,14 @@
 import datetime as dt
 import json
+import time
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from yomisaku import schemas
 from yomisaku.operators import facets, index as ix, ingest
 from yomisaku.plans import catalog
-from yomisaku.session import scratch_path
+from yomisaku.session import held, materialize, scratch_path, write_table
 from yomisaku.sources import landing, store
 from yomisaku.streaming import crawl
 
@@ -286,3 +287,62 @@ def test_landed_posts_of_one_site_spread_over_the_files(spark, tmp_path):
     landed = spark.read.text(catalog.land_posts(spark, str(tmp_path)))
     files = [r["count"] for r in landed.groupBy(F.input_file_name().alias("file")).count().collect()]
     assert sum(files) == 200 and max(files) < 50
+
+
+def test_no_shuffle_files_stay_after_a_table_is_written(spark, tmp_path):
+    """Shuffles of the steps before would lie on disk beside those of the later ones."""
+    def shuffle_files():
+        folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (folders.apply(i).getName() for i in range(folders.size())) if f.startswith("shuffle_")}
+    posts = make_posts(spark, [("a", i, f"t{i}", "x y", 1) for i in range(50)])
+    before = shuffle_files()
+    write_table(posts.groupBy("site_id", "post_id").agg(F.max("title").alias("title")).hint("rebalance", "post_id"), str(tmp_path / "table"))
+    materialize(posts.repartition(3, "post_id"), "test")
+    with held(posts.orderBy("title"), "test") as table:
+        place = table.inputFiles()[0].rsplit("/", 1)[0]
+        assert table.columns == posts.columns
+    for _ in range(100):
+        if not shuffle_files() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffle_files() - before
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(place)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_only_repeated_keys_are_shuffled_whole(spark, tmp_path, monkeypatch):
+    """Keys that come once, with NULLs among them, keep their rows as they are; of the others the last arrival counts."""
+    rows = [("a", 1, "old", "x", 1), ("a", 1, "new", "x", 2), ("a", 2, "one", "x", 1), (None, 3, "left", "x", 1), (None, 3, "kept", "x", 1),
+            (None, 4, "alone", "x", 1), ("b", None, "none", "x", 1), ("b", 5, "b", "x", 1)]
+    fields = [T.StructField(f.name, f.dataType) for f in schemas.POSTS]
+    posts = spark.createDataFrame([(s, i, "u", t, c, c, "", at(d), at(d), "", "") for s, i, t, c, d in rows], T.StructType(fields))
+    posts = posts.withColumn("seq", F.when(F.col("title") == "left", F.lit(1)).otherwise(F.lit(2)).cast("bigint"))
+    want = {("a", 1): "new", ("a", 2): "one", (None, 3): "kept", (None, 4): "alone", ("b", 5): "b"}
+    wanted = sorted(map(str, ingest.last_arrivals(posts).collect()))
+    assert sorted(map(str, store._one_per_key(posts).collect())) == wanted
+    store.write_posts(posts, str(tmp_path / "store"), slices=2)
+    assert {(r.site_id, r.post_id): r.title for r in store.read_posts(spark, str(tmp_path / "store")).collect()} == want
+    single = posts.filter("post_id in (2, 4, 5)")
+    monkeypatch.setattr(store, "last_arrivals", lambda *a: 1 / 0)
+    assert store._one_per_key(single) is single
+    monkeypatch.undo()
+    monkeypatch.setattr(store, "REPEATED_KEYS", 1)
+    assert sorted(map(str, store._one_per_key(posts).collect())) == wanted
+
+
+def test_slices_are_replaced_in_shares(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "SHARE_ROWS", 4)
+    path = str(tmp_path / "store")
+    store.write_posts(make_posts(spark, [(s, i, "old", "x", 1) for s in ("a", "b c", "d%e") for i in range(12)]), path, slices=3)
+    batch = make_posts(spark, [(s, i, "new", "Ａ東", 2) for s in ("a", "b c", "d%e", "f") for i in range(0, 14, 2)]).withColumn("seq", F.lit(1))
+    writes, real = [], store.write_table
+    monkeypatch.setattr(store, "write_table", lambda df, *a, **b: writes.append(a) or real(df, *a, **b))
+    store.merge_posts(spark, path, batch)
+    assert 4 < len(writes) <= store.SHARES
+    got = keyed(store.read_posts(spark, path), "title", "content_idx")
+    want = {(s, i): ("old", "x") for s in ("a", "b c", "d%e") for i in range(12)}
+    want |= {(s, i): ("new", "a 東") for s in ("a", "b c", "d%e", "f") for i in range(0, 14, 2)}
+    assert got == want
+    store.remove_posts(spark, path, batch)
+    assert set(keyed(store.read_posts(spark, path))) == {(s, i) for s in ("a", "b c", "d%e") for i in range(1, 12, 2)}

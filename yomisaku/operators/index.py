@@ -27,6 +27,7 @@ its folder.
 import hashlib
 import time
 from collections.abc import Iterator
+from contextlib import nullcontext
 from typing import NamedTuple
 
 import numpy as np
@@ -35,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from yomisaku.functions.text import index_terms, index_terms_text, latin_table, simple_index_text, with_index_text
-from yomisaku.session import materialize, shared_files
+from yomisaku.session import held, shared_files, write_table
 
 FIELDS = (("title", "A"), ("excerpt", "B"), ("content", "C"))  # fixed values: fields and weight classes
 FIELD_SHIFT = 28
@@ -45,6 +46,10 @@ DOC = ["site_id", "post_id"]
 HOT_SHARE = 128
 #: Bytes of text whose terms a worker holds as arrays at once; one longer document is taken alone.
 BLOCK_BYTES = 4 << 20
+#: A generation's terms and pairs are written in parts of its documents, so that the shuffle of one part is on disk at a time: one part
+#: for so many terms, and no more parts than that, as each reads the texts.
+PART_TERMS = 8_000_000
+PARTS = 8
 #: Bytes of terms: ASCII letters and digits, and those of other characters. All others separate terms.
 _IN_TERM = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
 _SPACED = np.where(_IN_TERM, np.arange(256), ord(" ")).astype(np.uint8)
@@ -144,9 +149,13 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
 
 
+def bucket_sql(term: str) -> str:
+    """The folder of a term: terms with the same two first letters lie together."""
+    return f"cast(pmod(xxhash64(substring({term}, 1, 2)), {BUCKETS}) as int)"
+
+
 def term_bucket() -> Column:
-    """The folder of ``term``: terms with the same two first letters lie together."""
-    return F.expr(f"cast(pmod(xxhash64(substring(term, 1, 2)), {BUCKETS}) as int)")
+    return F.expr(bucket_sql("term"))
 
 
 def document_terms(posts: DataFrame) -> DataFrame:
@@ -185,9 +194,12 @@ def _located(texts: DataFrame, columns: str, hot) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = None if hot is None else pa.array(hot.value, pa.string())
         for batch in batches:
+            for f in fields:
+                if batch.column(f).null_count:
+                    batch = batch.filter(pc.is_valid(batch.column(f)))
             for block in _blocks(batch, fields):
                 yield _runs(block, fields, fold, wanted)
-    return texts.dropna(subset=fields).mapInArrow(rows, schema)
+    return texts.mapInArrow(rows, schema)
 
 
 def _blocks(batch: pa.RecordBatch, fields: list[str]) -> Iterator[pa.RecordBatch]:
@@ -347,19 +359,33 @@ def _generation(spark: SparkSession, version: str, batch: str) -> tuple[int, boo
 
 def _write_generation(posts: DataFrame, touched: DataFrame, old_terms: DataFrame, old_docs: DataFrame, version: str,
                       generation: int) -> None:
-    spark = posts.sparkSession
+    texts = _term_texts(posts)  # read for the lengths, and for each part of the terms and the pairs
+    with nullcontext(texts) if "content_idx" in posts.columns else held(texts, "term-texts") as texts:
+        _write_tables(texts, touched, old_terms, old_docs, version, generation)
 
-    def write(df, name, *folders):
-        df.write.mode("overwrite").partitionBy(*folders).parquet(f"{version}/{name}/gen={generation}")
+
+def _write_tables(texts: DataFrame, touched: DataFrame, old_terms: DataFrame, old_docs: DataFrame, version: str,
+                  generation: int) -> None:
+    spark = texts.sparkSession
+
+    def write(df, name, *folders, mode="overwrite"):
+        write_table(df, f"{version}/{name}/gen={generation}", *folders, mode=mode)
 
     def own(name):
         return _read(spark, version, name).filter(F.col("gen") == generation)
 
     def less(df, *columns):
         return df.select(*[(-F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
-    texts = materialize(_term_texts(posts), "term-texts")  # read for the terms, the lengths and the pairs
-    write(_clustered(_text_terms(texts)), "terms", "bucket")
+
+    def write_parts(rows, name):
+        """``rows`` of the texts of a part of the documents at a time."""
+        part = F.pmod(F.xxhash64(*DOC), F.lit(parts))
+        for k in range(parts):
+            write(_clustered(rows(texts.filter(part == k))), name, "bucket", mode="append" if k else "overwrite")
     write(_text_lengths(texts), "docs")
+    n_terms = own("docs").agg(F.coalesce(F.sum("doc_len"), F.lit(0))).first()[0]
+    parts = min(PARTS, 1 + n_terms // PART_TERMS)
+    write_parts(_text_terms, "terms")
     write(touched.distinct(), "touched")
     added = vocabulary(own("terms")).unionByName(less(vocabulary(old_terms), "docs", "total"))
     added = added.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("total").alias("total")).filter("docs != 0 or total != 0")
@@ -368,8 +394,9 @@ def _write_generation(posts: DataFrame, touched: DataFrame, old_terms: DataFrame
     write(sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_docs"),
                     F.coalesce(F.sum("doc_len"), F.lit(0)).cast("bigint").alias("sum_len")), "corpus")
     if generation == 0:
-        hot_terms(own("vocab"), own("corpus").select("n_docs").scalar()).coalesce(1).write.mode("overwrite").parquet(f"{version}/hot")
-    write(_clustered(_text_pairs(texts, _read(spark, version, "hot"))), "pairs", "bucket")
+        write_table(hot_terms(own("vocab"), own("corpus").select("n_docs").scalar()).coalesce(1), f"{version}/hot")
+    hot = _read(spark, version, "hot")
+    write_parts(lambda some: _text_pairs(some, hot), "pairs")
 
 
 def _read(spark: SparkSession, version: str, name: str) -> DataFrame:

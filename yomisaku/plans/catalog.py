@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from yomisaku.functions import cards, markup, posts as post_fn, text
 from yomisaku.operators import facets, index as ix, ingest, pages, query, search, search_sql as search_sql_function
 from yomisaku.plans.fixtures import load, with_views
-from yomisaku.session import materialize, scratch_path
+from yomisaku.session import held, materialize, scratch_path, shuffles_dropped
 from yomisaku.sources import landing, store
 from yomisaku.streaming import crawl
 
@@ -891,11 +891,15 @@ def facets_all(spark, sf_dir):
 LANDED_FILES = 8  # dealt by post, so that one large site does not fill a file
 
 
-def land_posts(spark: SparkSession, sf_dir: str) -> str:
+PACKED_FILES = 64  # a packed file is read by one task
+
+
+def land_posts(spark: SparkSession, sf_dir: str, files: int = LANDED_FILES, packed: bool = False) -> str:
     """Write the API bodies as landed files and return their folder."""
     folder = scratch_path(spark, "landing")
-    posts = landing.parse_posts(landed_bodies(spark, sf_dir))
-    posts.repartition(LANDED_FILES, "site_id", "id").write.json(folder)
+    posts = landing.parse_posts(landed_bodies(spark, sf_dir)).repartition(files, "site_id", "id")
+    with shuffles_dropped(spark):
+        posts.write.json(folder, compression="gzip" if packed else "none")
     return folder
 
 
@@ -915,10 +919,11 @@ select a.site_id, post_id, 'T ' || post_id as title, trim(regexp_replace(content
 from articles a join sites s on s.id = a.site_id""")
 def stream_upsert(spark, sf_dir):
     """Landed posts merged into a store that holds older versions of all articles; marks moved."""
-    folder = land_posts(spark, sf_dir)
+    folder = land_posts(spark, sf_dir, PACKED_FILES, packed=True)
     store_path, sites_path = scratch_path(spark, "store"), scratch_path(spark, "sites")
     older = load(spark, sf_dir, "articles").withColumn("title", F.lit("old"))
-    store.write_posts(older, store_path, slices=2)
+    with held(older, "older") as older:  # so that its join and the store's shuffle are not on disk together
+        store.write_posts(older, store_path, slices=2)
     store.write_sites(load(spark, sf_dir, "sites"), sites_path)
     run = crawl.stream_upsert(spark, folder, scratch_path(spark, "checkpoint"), store=store_path, sites=sites_path,
                               now=_now(), slices=2)

@@ -3,10 +3,14 @@
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+ZSTD_LEVEL = 9
 _own_roots: dict[str, str] = {}
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: str = "8", app: str = "yomisaku", memory: str = "12g") -> SparkSession:
@@ -47,17 +51,47 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside it the shuffle files of a query go when it ends, instead of whenever the driver collects its garbage."""
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
+
+
+def write_table(df: DataFrame, path: str, *partition_by: str, mode: str = "overwrite", **options: str) -> None:
+    """Write ``df`` as densely packed Parquet; its shuffle files are gone afterwards."""
+    writer = df.write.mode(mode).options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": ZSTD_LEVEL}, **options)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    with shuffles_dropped(df.sparkSession):
+        writer.parquet(path)
+
+
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the plan, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    write_table(df, path, *partition_by)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def held(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``materialize`` for the time of a block: the table is deleted when it ends."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    try:
+        write_table(df, path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        files, make = shared_files(spark, path)
+        files.delete(make(path), True)
+
+
 def shared_files(spark: SparkSession, path: str):
     """The Hadoop file system that holds a path, and what makes its path objects."""
     make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path

@@ -3,24 +3,32 @@
 The second level splits large sites, so a batch rewrites only the slices its posts fall into, and a scan of one
 large site still spreads over many tasks. The number of slices is written with the store and always read from there.
 
-A batch's new slices are written in full to ``_pending`` and marked as ready before the old ones are replaced. Readers
+A batch's new slices are written in full to ``_pending`` and marked as ready before they are moved to the place of the old ones. Readers
 take ready slices instead of stored ones, and the next writer finishes a replacement that was broken off, so no row is
 lost in between. A store has one writer at a time.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from yomisaku import schemas
-from yomisaku.functions.text import with_index_text
+from yomisaku.functions.text import prepare_index_text, with_index_text
 from yomisaku.operators.ingest import KEY, delete_posts, last_arrivals, upsert_posts
-from yomisaku.session import materialize, shared_files
+from yomisaku.session import held, materialize, shared_files, write_table
 from yomisaku.sources.landing import DEFAULT_GROUP
 
 SLICES = 64
+#: Slices are replaced in shares: one for so many rows, and no more shares than that.
+SHARE_ROWS = 10_000
+SHARES = 16
+#: Up to so many repeated keys, only their rows are shuffled to find the last arrivals.
+REPEATED_KEYS = 10_000
 
+_TEXTS = ("title", "excerpt", "content")
 _STORED = T.StructType(
     [T.StructField(f.name, f.dataType) for f in schemas.POSTS]
-    + [T.StructField(f"{name}_idx", T.StringType()) for name in ("title", "excerpt", "content")]
+    + [T.StructField(f"{name}_idx", T.StringType()) for name in _TEXTS]
     + [T.StructField("slice", T.IntegerType())])
 
 
@@ -48,19 +56,54 @@ def _ready(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def _finish(spark: SparkSession, path: str) -> None:
-    """Replace the slices that a complete batch left ready. For writers only, of which there is one at a time."""
-    ready = _ready(spark, path)
-    if ready is not None:
-        (_by_slice(ready).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("site_id", "slice").parquet(path))
+    """Put the slices that a complete batch left ready in the place of the old ones. For writers only, of which there is one at a time.
+
+    Folders are moved, not copied: until its move is done a slice is ready, after it is stored.
+    """
     files, make = shared_files(spark, path)
+    if files.exists(make(_pending(path) + "/_SUCCESS")):
+        for site in _folders(files, make, _pending(path), "site_id="):
+            files.mkdirs(make(f"{path}/{site}"))
+            for part in _folders(files, make, f"{_pending(path)}/{site}", "slice="):
+                files.delete(make(f"{path}/{site}/{part}"), True)
+                if not files.rename(make(f"{_pending(path)}/{site}/{part}"), make(f"{path}/{site}/{part}")):
+                    raise OSError(f"{path}/{site}/{part} could not be replaced")
     files.delete(make(_pending(path)), True)
 
 
-def _replace_slices(sliced: DataFrame, path: str) -> None:
-    """The new slices first as a whole beside the store; Spark marks the copy when its last task is done."""
-    sliced.select(*_STORED.names).write.mode("overwrite").parquet(_pending(path))
-    _finish(sliced.sparkSession, path)
+def _folders(files, make, path: str, begin: str) -> list[str]:
+    found = [f.getPath().getName() for f in files.listStatus(make(path)) if f.isDirectory()]
+    return sorted(name for name in found if name.startswith(begin))
+
+
+def _replace_slices(merged: Callable[[Column], DataFrame], n_rows: int, path: str, spark: SparkSession) -> None:
+    """The new slices first as a whole beside the store; the copy is marked when all of it is there.
+
+    ``merged`` gives the rows of the slices that fulfil a test, of about ``n_rows`` in all. A share of the slices is merged at
+    a time, so that only what is shuffled for one share is on disk.
+    """
+    files, make = shared_files(spark, path)
+    shares = min(SHARES, 1 + n_rows // SHARE_ROWS)
+    share = F.pmod(F.xxhash64("site_id", "slice"), F.lit(shares))
+    for k in range(shares):
+        rows = _by_slice(merged(share == k).select(*_STORED.names))
+        write_table(_prepared(rows), _pending(path), "site_id", "slice", mode="append" if k else "overwrite",
+                    **{"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"})
+    files.create(make(_pending(path) + "/_SUCCESS")).close()
+    _finish(spark, path)
+
+
+def _unprepared(posts: DataFrame) -> DataFrame:
+    """Posts without prepared texts, which ``_prepared`` makes after the shuffle."""
+    return posts.withColumns({f"{name}_idx": F.lit(None).cast("string") for name in _TEXTS})
+
+
+def _prepared(rows: DataFrame) -> DataFrame:
+    """The prepared text of each text that has none yet; a stored one is never NULL."""
+    def of(name):
+        stored = F.col(f"{name}_idx")
+        return F.when(F.col("post_id").isNotNull(), F.coalesce(stored, prepare_index_text(F.when(stored.isNull(), F.col(name)))))
+    return rows.withColumns({f"{name}_idx": of(name) for name in _TEXTS})
 
 
 def _slice_count(spark: SparkSession, path: str, slices: int | None) -> int:
@@ -70,17 +113,32 @@ def _slice_count(spark: SparkSession, path: str, slices: int | None) -> int:
     return stored
 
 
+def _one_per_key(posts: DataFrame) -> DataFrame:
+    """``last_arrivals``, but texts are not shuffled for keys that come once: keys are counted by themselves first."""
+    repeated = materialize(posts.groupBy(*KEY).agg(F.count("*").alias("n")).filter("n > 1").select(
+        *[F.col(c).alias(f"again_{c}") for c in KEY]), "repeated")
+    found = repeated.limit(REPEATED_KEYS + 1).count()
+    if found == 0:
+        return posts
+    if found > REPEATED_KEYS:
+        return last_arrivals(posts)
+    again = F.lit(True)
+    for c in KEY:
+        again = again & F.col(c).eqNullSafe(F.col(f"again_{c}"))
+    return posts.join(repeated, again, "left_anti").unionByName(last_arrivals(posts.join(repeated, again, "left_semi")))
+
+
 def write_posts(posts: DataFrame, path: str, slices: int = SLICES) -> None:
     """Write a whole store, with the prepared text columns, which are made after the shuffle.
 
     ``slices`` bounds what a batch rewrites: choose it so that a slice of a large site fits in a few files. Of rows
     with one key the last arrival is kept.
     """
-    sliced = _by_slice(_sliced(last_arrivals(posts), slices))
+    sliced = _by_slice(_sliced(_one_per_key(posts), slices))
     if "content_idx" not in posts.columns:
         sliced = with_index_text(sliced)
     sliced = sliced.drop("seq")
-    sliced.write.mode("overwrite").partitionBy("site_id", "slice").parquet(path)
+    write_table(sliced, path, "site_id", "slice")
     posts.sparkSession.range(1).selectExpr(f"{slices} as slices").coalesce(1).write.mode("overwrite").json(f"{path}/_slices")
 
 
@@ -130,12 +188,13 @@ def merge_posts(spark: SparkSession, path: str, batch: DataFrame, newest_wins: b
     Repeating the batch gives the same store. ``slices``, if given, must be the store's.
     """
     _finish(spark, path)
-    batch = with_index_text(batch)
-    incoming = _sliced(batch, _slice_count(spark, path, slices))
+    incoming = _sliced(_unprepared(batch), _slice_count(spark, path, slices))
     touched = _touched_slices(spark, path, incoming)
-    merged = upsert_posts(touched.filter(F.col("post_id").isNotNull()).select(*incoming.drop("seq").columns),
-                          incoming, newest_wins)
-    _replace_slices(merged, path)
+    stored = touched.filter(F.col("post_id").isNotNull()).select(*incoming.drop("seq").columns)
+
+    def merged(chosen):
+        return upsert_posts(stored.filter(chosen), incoming.filter(chosen), newest_wins)
+    _replace_slices(merged, touched.count() + incoming.count(), path, spark)
 
 
 def remove_posts(spark: SparkSession, path: str, keys: DataFrame, slices: int | None = None) -> None:
@@ -143,9 +202,10 @@ def remove_posts(spark: SparkSession, path: str, keys: DataFrame, slices: int |
     _finish(spark, path)
     gone = _sliced(keys.select(*KEY), _slice_count(spark, path, slices))
     touched = _touched_slices(spark, path, gone)
-    left = materialize(delete_posts(touched, gone), "delete")
-    empty = _slice_of(gone).join(_slice_of(left), ["site_id", "slice"], "left_anti")
-    _replace_slices(left.unionByName(empty, allowMissingColumns=True), path)
+    with held(delete_posts(touched, gone), "delete") as left:
+        empty = _slice_of(gone).join(_slice_of(left), ["site_id", "slice"], "left_anti")
+        rest = left.unionByName(empty, allowMissingColumns=True)
+        _replace_slices(rest.filter, left.count(), path, spark)
 
 
 def write_urls(urls: DataFrame, path: str) -> None:

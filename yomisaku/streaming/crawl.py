@@ -12,7 +12,7 @@ from yomisaku import schemas
 from yomisaku.functions.text import with_index_text
 from yomisaku.operators.index import append_index
 from yomisaku.operators.ingest import advance_marks, normalize_posts, upsert_posts
-from yomisaku.session import materialize
+from yomisaku.session import held
 from yomisaku.sources.store import merge_posts, read_sites, remove_posts, stored_posts, write_sites
 
 
@@ -29,21 +29,22 @@ def ingest_batch(spark: SparkSession, landed: DataFrame, batch: str | int, *, st
     to this index; a replayed one is not indexed again.
     """
     known = read_sites(spark, sites)
-    posts = materialize(normalize_posts(landed, known), "batch")  # read by every step below
-    if index is not None:
-        before = materialize(stored_posts(spark, store, posts), "before")
-        prepared = with_index_text(posts)
-        after = upsert_posts(before.select(*prepared.drop("seq").columns), prepared, newest_wins)
-        append_index(materialize(after, "after"), posts.select("site_id", "post_id").limit(0), index, batch, before)
-    merge_posts(spark, store, posts, newest_wins, slices)
-    write_sites(advance_marks(known, posts, now), sites)
+    with held(normalize_posts(landed, known), "batch") as posts:  # read by every step below
+        if index is not None:
+            with held(stored_posts(spark, store, posts), "before") as before:
+                prepared = with_index_text(posts)
+                after = upsert_posts(before.select(*prepared.drop("seq").columns), prepared, newest_wins)
+                with held(after, "after") as after:
+                    append_index(after, posts.select("site_id", "post_id").limit(0), index, batch, before)
+        merge_posts(spark, store, posts, newest_wins, slices)
+        write_sites(advance_marks(known, posts, now), sites)
 
 
 def remove_batch(spark: SparkSession, keys: DataFrame, batch: str | int, *, store: str, index: str | None = None) -> None:
     """Delete posts by key from the index and then from the store; a repeated batch changes nothing."""
     if index is not None:
-        before = materialize(stored_posts(spark, store, keys), "removed")
-        append_index(before.limit(0), keys, index, batch, before)
+        with held(stored_posts(spark, store, keys), "removed") as before:
+            append_index(before.limit(0), keys, index, batch, before)
     remove_posts(spark, store, keys)
 
 
