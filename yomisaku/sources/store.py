@@ -8,6 +8,7 @@ take ready slices instead of stored ones, and the next writer finishes a replace
 lost in between. A store has one writer at a time.
 """
 
+import heapq
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -76,20 +77,30 @@ def _folders(files, make, path: str, begin: str) -> list[str]:
     return sorted(name for name in found if name.startswith(begin))
 
 
-def _replace_slices(merged: Callable[[Column], DataFrame], n_rows: int, path: str, spark: SparkSession) -> None:
+def _shares(rows: DataFrame) -> list[Column]:
+    """Tests that deal the slices of some rows out to shares of about equal size. Fetched are a hash and a count per slice."""
+    slice_hash = F.xxhash64("site_id", "slice")
+    sizes = sorted(((r.n, r.at) for r in rows.groupBy(slice_hash.alias("at")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    shares = [(0, k, []) for k in range(min(SHARES, len(sizes), 1 + sum(n for n, _ in sizes) // SHARE_ROWS))]
+    for n, at in sizes:
+        held_rows, k, some = heapq.heappop(shares)
+        heapq.heappush(shares, (held_rows + n, k, [*some, at]))
+    return [slice_hash.isin(some) for _, _, some in shares]
+
+
+def _replace_slices(merged: Callable[[Column], DataFrame], shares: list[Column], path: str, spark: SparkSession) -> None:
     """The new slices first as a whole beside the store; the copy is marked when all of it is there.
 
-    ``merged`` gives the rows of the slices that fulfil a test, of about ``n_rows`` in all. A share of the slices is merged at
-    a time, so that only what is shuffled for one share is on disk.
+    ``merged`` gives the rows of the slices that fulfil a test. One share of the slices is merged at a time, so that only what
+    is shuffled for it is on disk.
     """
     files, make = shared_files(spark, path)
-    shares = min(SHARES, 1 + n_rows // SHARE_ROWS)
-    share = F.pmod(F.xxhash64("site_id", "slice"), F.lit(shares))
-    for k in range(shares):
-        rows = _by_slice(merged(share == k).select(*_STORED.names))
+    for k, share in enumerate(shares):
+        rows = _by_slice(merged(share).select(*_STORED.names))
         write_table(_prepared(rows), _pending(path), "site_id", "slice", mode="append" if k else "overwrite",
                     **{"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"})
-    files.create(make(_pending(path) + "/_SUCCESS")).close()
+    if shares:
+        files.create(make(_pending(path) + "/_SUCCESS")).close()
     _finish(spark, path)
 
 
@@ -194,7 +205,7 @@ def merge_posts(spark: SparkSession, path: str, batch: DataFrame, newest_wins: b
 
     def merged(chosen):
         return upsert_posts(stored.filter(chosen), incoming.filter(chosen), newest_wins)
-    _replace_slices(merged, touched.count() + incoming.count(), path, spark)
+    _replace_slices(merged, _shares(stored.select("site_id", "slice").unionByName(incoming.select("site_id", "slice"))), path, spark)
 
 
 def remove_posts(spark: SparkSession, path: str, keys: DataFrame, slices: int | None = None) -> None:
@@ -205,7 +216,7 @@ def remove_posts(spark: SparkSession, path: str, keys: DataFrame, slices: int |
     with held(delete_posts(touched, gone), "delete") as left:
         empty = _slice_of(gone).join(_slice_of(left), ["site_id", "slice"], "left_anti")
         rest = left.unionByName(empty, allowMissingColumns=True)
-        _replace_slices(rest.filter, left.count(), path, spark)
+        _replace_slices(rest.filter, _shares(rest), path, spark)
 
 
 def write_urls(urls: DataFrame, path: str) -> None:
