@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import os
 import random
 
 import pyarrow as pa
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import Row, functions as F
 
 from yomisaku import schemas
+from yomisaku.functions.text import with_index_text
 from yomisaku.operators import index as ix, query, search, search_sql
 from yomisaku.session import scratch_path
 
@@ -386,3 +388,40 @@ def test_latin_texts_are_split_as_they_are(spark):
     assert {(r.post_id, r.term): r.positions for r in ix.document_terms(posts).collect()} == want
     lengths = {r.post_id: r.doc_len for r in ix.doc_stats(posts).collect()}
     assert lengths == {i: sum(len(ps) for (d, _), ps in want.items() if d == i) for i in range(len(texts))}
+
+
+def test_terms_and_pairs_are_written_in_parts_of_the_documents(spark, tmp_path, monkeypatch):
+    """Parts, of texts prepared by the store or only here, give the tables that a single part gives, and hold no copy of the texts."""
+    monkeypatch.setattr(ix, "HOT_SHARE", 16)
+    posts = phrase_posts(spark)
+    whole = ix.write_index(posts, str(tmp_path / "whole"))
+    parts, real, root = [], ix._clustered, scratch_path(spark, "x").rsplit("/", 1)[0]
+    monkeypatch.setattr(ix, "_clustered", lambda rows: parts.append(1) or real(rows))
+    monkeypatch.setattr(ix, "PART_TERMS", 1)
+    before = set(os.listdir(root))
+    for name, given in (("plain", posts), ("prepared", with_index_text(posts))):
+        parts.clear()
+        index = ix.write_index(given, str(tmp_path / name))
+        assert len(parts) == 2 * ix.PARTS
+        for found, want in zip(index, whole):
+            assert sorted(map(str, found.collect())) == sorted(map(str, want.select(found.columns).collect()))
+    assert not [f for f in set(os.listdir(root)) - before if f.startswith("term-texts")]
+
+
+def test_prefixes_meet_the_index_without_its_vocabulary(spark, tables):
+    """A prefix that begins many terms stays one row; the terms table is neither shuffled nor joined with a long list."""
+    posts, sites, index, _ = tables
+    searches = spark.createDataFrame([(1, "t"), (2, "th"), (3, '"th"'), (4, "the-o"), (5, "t th o"), (6, "東"), (7, "zzzz")], "query_id bigint, q string")
+    hits = search.clause_hits(query.compile_queries(searches), index._replace(vocab=None))
+    texts = {(r.site_id, r.post_id): [r.title, r.excerpt, r.content] for r in ix._with_terms(posts).collect()}
+    want = set()
+    for q, clause, words in [(1, 0, ["t"]), (2, 0, ["th"]), (4, 0, ["the", "o"]), (5, 0, ["t"]), (5, 1, ["th"]), (5, 2, ["o"])]:
+        for key, fields in texts.items():
+            n = sum(f[i:i + len(words) - 1] == words[:-1] and f[i + len(words) - 1].startswith(words[-1])
+                    for f in fields for i in range(len(f) - len(words) + 1))
+            if n:
+                want.add((q, clause, *key, n))
+    got = {(r.query_id, r.clause_no, r.site_id, r.post_id, r.tf) for r in hits.filter("query_id not in (3, 6, 7)").collect()}
+    assert got == want and len({w[0] for w in want}) > 2
+    plan = search.clause_hits(query.compile_queries(searches.filter("query_id < 3")), index)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan

@@ -14,7 +14,7 @@ from yomisaku import schemas
 from yomisaku.functions.cards import (
     format_date, highlight, title_or_default, truncate_ellipsis)
 from yomisaku.functions.posts import pipe_split
-from yomisaku.operators.index import FIELD_SHIFT, FIELDS, Index, term_bucket
+from yomisaku.operators.index import BUCKETS, FIELD_SHIFT, FIELDS, Index, term_bucket
 from yomisaku.operators.query import clause_slots, compile_queries
 from yomisaku.session import materialize
 
@@ -61,23 +61,34 @@ def _only_wanted(terms: DataFrame, bounds: list[Row]) -> DataFrame:
                              & F.col("term").between(F.get(low, F.col("bucket")), F.get(high, F.col("bucket"))))
 
 
-def expand_prefixes(slots: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Slots with whole terms only: prefix slots become one slot per vocabulary term they begin.
+def _wanted_ranges(slots: DataFrame) -> list[Row]:
+    """For each unit and index folder: the first and the last term that slots ask for there, and ``lengths`` of their
+    beginnings, 0 for whole terms. A beginning of one letter may be in any folder.
+    """
+    folders = F.when(F.col("is_prefix") & (F.length("term") < 2), F.sequence(F.lit(0), F.lit(BUCKETS - 1))).otherwise(
+        F.array(term_bucket()))
+    wanted = slots.filter("term is not null").select(
+        "unit", "term", F.explode(folders).alias("bucket"), "length",
+        F.when(F.col("is_prefix"), F.concat("term", F.lit(_LAST))).otherwise(F.col("term")).alias("last"))
+    return wanted.groupBy("unit", "bucket").agg(
+        F.min("term").alias("low"), F.max("last").alias("high"), F.collect_set("length").alias("lengths")).collect()
+
+
+def expand_prefixes(slots: DataFrame, rows: DataFrame, ranges: list[Row]) -> DataFrame:
+    """Index rows with the slots whose term they are or begin with.
 
-    An equi join: each vocabulary term offers its beginnings of the lengths that occur among the prefixes.
+    An equi join: each row offers its term and its beginnings of the lengths that occur among the prefixes of its folder. The
+    few slots are joined as they are, not the many terms that begin with them.
     """
-    columns = [c for c in slots.columns if c != "is_prefix"]
-    exact = slots.filter(~F.col("is_prefix")).select(columns)
-    prefixes = slots.filter("is_prefix").withColumnRenamed("term", "prefix")
-    wanted = prefixes.groupBy(F.length("prefix").alias("n")).agg(
-        F.min("prefix").alias("low"), F.max(F.concat("prefix", F.lit(_LAST))).alias("high")).collect()
-    if not wanted:
-        return exact
-    terms = vocab.select("term").filter(F.col("term").between(min(w.low for w in wanted), max(w.high for w in wanted)))
-    starts = terms.select("term", F.explode(F.array(*[F.lit(w.n) for w in wanted])).alias("n"))
-    starts = starts.filter(F.length("term") >= F.col("n")).select(
-        "term", F.substring("term", F.lit(1), F.col("n")).alias("prefix"))
-    return exact.unionByName(starts.join(prefixes, "prefix").select(columns))
+    lengths = {r.bucket: sorted(r.lengths) for r in ranges}
+    if any(found != [0] for found in lengths.values()):
+        offered = F.array(*[F.array(*[F.lit(n) for n in lengths.get(k, [])]).cast("array<int>") for k in range(BUCKETS)])
+        rows = rows.withColumn("length", F.explode(F.get(offered, F.col("bucket")))).filter(F.col("length") <= F.length("term"))
+        rows = rows.withColumn("sought", F.when(F.col("length") == 0, F.col("term")).otherwise(
+            F.substring("term", F.lit(1), F.col("length"))))
+    else:
+        rows = rows.withColumns({"length": F.lit(0), "sought": F.col("term")})
+    return rows.drop("term").join(slots.withColumnRenamed("term", "sought"), ["length", "sought"])
 
 
 def clause_hits(clauses: DataFrame, index: Index) -> DataFrame:
@@ -90,16 +101,15 @@ def _slot_hits(slots: DataFrame, index: Index) -> DataFrame:
     positions its terms agree on: each term's positions are shifted back by its place, and a start found for all places is
     an occurrence. Neighbouring hot terms of a phrase are read as one pair.
     """
-    units = _phrase_units(slots, index.hot)
-    pairs = materialize(expand_prefixes(units, index.vocab).withColumn("bucket", term_bucket()), "pairs")
+    length = F.when(F.col("is_prefix"), F.length("term")).otherwise(0).alias("length")
+    units = materialize(_phrase_units(slots, index.hot).select("*", length), "units")
     clause, counts = [*HIT, "clause_no", "n_clauses", "doc_len"], [f"tf_{f}" for f in FIELD_NAMES]
     # Clustering by document alone serves these groupings and the later one per search: one shuffle.
-    bounds = (pairs.filter("term is not null").groupBy("unit", "bucket")
-              .agg(F.min("term").alias("low"), F.max("term").alias("high")).collect())
+    ranges = _wanted_ranges(units)
 
-    def found(terms, unit):
-        wanted = _only_wanted(terms, [b for b in bounds if b.unit == unit])
-        return wanted.join(pairs.filter(F.col("unit") == unit), ["bucket", "term"])
+    def found(rows, unit):
+        mine = [r for r in ranges if r.unit == unit]
+        return expand_prefixes(units.filter(F.col("unit") == unit), _only_wanted(rows, mine), mine)
     words = found(index.terms, "word").groupBy(*clause).agg(
         *[F.sum(c).alias(c) for c in counts])
     starts = [*clause, "n_slots", "transform(positions, p -> p - slot) as starts"]
