@@ -2,6 +2,7 @@ import datetime as dt
 import math
 import os
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -425,3 +426,15 @@ def test_prefixes_meet_the_index_without_its_vocabulary(spark, tables):
     assert got == want and len({w[0] for w in want}) > 2
     plan = search.clause_hits(query.compile_queries(searches.filter("query_id < 3")), index)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_sql_function_joins_terms_with_the_places_of_a_search(spark, tables):
+    posts, sites, index, _ = tables
+    search_sql.register_search(posts, sites, index._replace(vocab=None))
+    for q in ("t", "th", "o", '"of the"', "the-o", "東"):
+        text = search_sql.text_query(spark, q)
+        found = spark.sql("select rn, site_id, post_id, total_count, rank from search_posts(:q, p_limit => 100)", {"q": text})
+        page = search.search_posts(posts, sites, index, q, limit=100)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, page.select("rn", "site_id", "post_id", "total_count", "score").collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"BroadcastHashJoin[^\n]*\[bucket", plan) and not re.search(r"SortMergeJoin[^\n]*\[bucket", plan)

@@ -2,9 +2,9 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from yomisaku.operators.index import FIELDS, Index
+from yomisaku.operators.index import BUCKETS, FIELDS, Index, bucket_sql
 from yomisaku.operators.query import compile_queries
-from yomisaku.operators.search import BM25_B, BM25_K1, BM25_MIN_IDF, DEFAULT_LIMIT, single_search, term_bucket
+from yomisaku.operators.search import BM25_B, BM25_K1, BM25_MIN_IDF, DEFAULT_LIMIT, single_search
 
 _TF = " + ".join(f"t.tf_{f}" for f, _ in FIELDS)
 _RESULT = "site_id, post_id, url, title, excerpt, author, published_at, categories, tags"
@@ -13,18 +13,17 @@ _BODY = f"""
 with clauses as (
   select pos as clause_no, size(split(fts_query, ' & ')) as n_clauses, split(col, ' <-> ') as lexemes
   from (select posexplode(split(fts_query, ' & ')) as (pos, col)) a where length(fts_query) > 0),
-slots as (
+places as (
   select clause_no, n_clauses, size(lexemes) as n_slots, slot, if(endswith(lexeme, ':*'), substr(lexeme, 1, length(lexeme) - 2), lexeme) as stem,
     endswith(lexeme, ':*') as open
   from clauses lateral view posexplode(lexemes) z as slot, lexeme),
-wanted as (
-  select clause_no, n_clauses, n_slots, slot, v.term, v.bucket from slots s join search_vocab v on v.term = s.stem where not s.open
-  union all
-  select clause_no, n_clauses, n_slots, slot, v.term, v.bucket from slots s join search_vocab v on startswith(v.term, s.stem) where s.open),
+slots as (
+  select clause_no, n_clauses, n_slots, slot, stem, open, bucket
+  from places lateral view explode(if(open and length(stem) < 2, sequence(0, {BUCKETS - 1}), array({bucket_sql("stem")}))) b as bucket),
 met as (
   select clause_no, n_clauses, n_slots, t.site_id, t.post_id, t.doc_len, sum({_TF}) as n,
     sort_array(flatten(collect_list(if(n_slots > 1, transform(t.positions, p -> p - slot), null)))) as starts
-  from wanted w join search_terms t on t.bucket = w.bucket and t.term = w.term
+  from slots s join search_terms t on t.bucket = s.bucket and if(s.open, startswith(t.term, s.stem), t.term = s.stem)
   group by clause_no, n_clauses, n_slots, t.site_id, t.post_id, t.doc_len),
 hits as (
   select clause_no, n_clauses, site_id, post_id, doc_len,
@@ -74,12 +73,13 @@ def register_search(posts: DataFrame, sites: DataFrame, index: Index) -> None:
     or oldest), p_limit, p_offset and p_widgets_only. Rows hold the result columns, total_count, rank (BM25) and rn, the place in the
     whole result. It may stand after ``lateral`` with columns of a table of searches as arguments; many searches at
     once are the work of ``search_many``. Posts of unknown sites are not found.
+
+    The few places of a search are joined with the terms by folder, not the many terms that begin with them.
     """
     spark = posts.sparkSession
     known = sites.select(F.col("id").alias("site_id"), "group_id")
     posts.select(*_RESULT.split(", ")).join(known, "site_id").createOrReplaceTempView("searchable")
     index.terms.createOrReplaceTempView("search_terms")
-    index.vocab.select("term").withColumn("bucket", term_bucket()).createOrReplaceTempView("search_vocab")
     index.corpus.createOrReplaceTempView("search_corpus")
     spark.sql(f"""
         create or replace temporary function search_posts(
